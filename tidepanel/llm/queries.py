@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import ngram_join, substring_dedup, wu_manber
+from tidepanel.llm import deleted_interpolation, ecoc_langid, ngram_join, quality_pu, substring_dedup, token_store, wu_manber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_pu.score_quality(docs, quality_pu.train(docs, table(spark, sf_dir, "labels")))
+    fold = F.crc32(F.col("doc_id").cast("string")) % quality_pu.FOLDS == quality_pu.HELD_OUT
+    return scored.select("doc_id", fold.alias("held_out"), "score", "predicted")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.dedup_passages(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -27,4 +34,24 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_ngram_jaccard_join, op6_decontamination)}
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_store.store_path(spark)
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read_tokens(spark, path)
+
+
+def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op9_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ecoc_langid.train(docs.select("doc_id", "text", "lang"))
+    found = ecoc_langid.identify(docs.select("doc_id", "text"), model)
+    fold = F.crc32(F.col("doc_id").cast("string")) % ecoc_langid.FOLDS == ecoc_langid.HELD_OUT
+    return found.select("doc_id", fold.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_substring_dedup, op5_ngram_jaccard_join, op6_decontamination, op7_token_store, op8_deleted_interpolation, op9_ecoc_langid)}
