@@ -39,7 +39,7 @@ TEMPLATES = {
     "lgpl-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "SPDX-License-Identifier: LGPL-3.0-only"],
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.", "SPDX-License-Identifier: MIT"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "SPDX-License-Identifier: MPL-2.0"],
-    "proprietary": ["All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited.", "Proprietary and confidential.", "This software is licensed, not sold, under the terms of an end user license agreement."],
+    "proprietary": ["All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited.", "All rights reserved.", "Proprietary and confidential.", "This software is licensed, not sold, under the terms of an end user license agreement."],
 }
 
 
@@ -156,22 +156,30 @@ class Model:
                     texts.append(" ".join(keep))
                     y.append(k)
         negatives = [t for t in negatives if t.strip()] + ["All rights of way are reserved for the public.", "The driving license was renewed.", "She works in the free software business."]
+        terms = sorted({w for f in self.families[1:] for t in TEMPLATES[f] for w in t.split()})
+        negatives += terms + [" ".join(rng.choice(terms, 3)) for _ in range(len(terms))]
         texts += negatives
         y += [0] * len(negatives)
         y = np.array(y)
-        lines, _, _, _, rows, cols, values = self.features([" ".join(t.split()) for t in texts], dense=True)
+        _, _, _, _, rows, cols, values = self.features([" ".join(t.split()) for t in texts], dense=True)
+        x = np.zeros((len(y), len(self.weights)), dtype=np.float32)
+        np.add.at(x, (rows, cols), values)
         aside = rng.random(len(y)) < 0.2
         weight = np.where(y == 0, 0.5 / max(1, (y == 0).sum()), 0.5 / max(1, (y > 0).sum())) * ~aside
         w = self.weights
         m, v = np.zeros_like(w), np.zeros_like(w)
         truth = np.eye(len(self.families))[y]
+
+        def share():
+            z = x @ w
+            p = np.exp(z - z.max(1, keepdims=True))
+            return p / p.sum(1, keepdims=True)
+
         for step in range(1, ROUNDS + 1):
-            pull = (self.probabilities(len(y), rows, cols, values) - truth) * weight[:, None]
-            g = 1e-5 * w
-            np.add.at(g, cols, pull[rows] * values[:, None])
+            g = x.T @ ((share() - truth) * weight[:, None]) + 1e-5 * w
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        p = 1 - self.probabilities(len(y), rows, cols, values)[:, 0]
+        p = 1 - share()[:, 0]
         wrong, right = p[aside & (y == 0)], p[aside & (y > 0)]
         low = max(np.quantile(wrong, 0.9999), 0.05) if len(wrong) else 0.05
         high = np.quantile(right, 0.01) if len(right) else 0.95
@@ -188,12 +196,11 @@ def train(docs: DataFrame) -> Model:
     model = Model()
     rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select(F.explode(F.slice(F.split("text", "\n"), 1, 200)).alias("line")).toArrow()
     lines = sorted(set(rows.column("line").to_pylist()))
-    families = model.families[1:]
-    clean = []
-    for line in lines:
-        h = Words([line], ALNUM, lower=True).hash
-        if len(h) and not any(model.confirmed(f, h) for f in families):
-            clean.append(line)
+    words = Words(lines, ALNUM, lower=True)
+    triples = np.array(sorted(set().union(*(t for own in model.templates.values() for t in own))), dtype=np.uint64)
+    known = np.isin(grams(words.hash, 3), triples) & (words.left()[: max(0, len(words.hash) - 2)] >= 3)
+    doubt = set(words.doc()[: len(known)][known].tolist())
+    clean = [line for k, line in enumerate(lines) if k not in doubt or not any(model.confirmed(f, words.hash[words.first[k] : words.first[k + 1]]) for f in model.families[1:])]
     return model.fit(clean)
 
 

@@ -46,4 +46,16 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES = {"op2_substring_dedup": OP2, "op5_ngram_jaccard_join": OP5, "op6_decontamination": OP6}
+OP4 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT m.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, least(m.vec_id, coalesce(c.m, m.vec_id)) AS component_id,
+       m.vec_id = least(m.vec_id, coalesce(c.m, m.vec_id)) AS kept
+FROM embeddings m LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) k ON k.a = m.vec_id LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = m.vec_id
+"""
+
+ORACLES = {"op4_embedding_hnsw": OP4, "op2_substring_dedup": OP2, "op5_ngram_jaccard_join": OP5, "op6_decontamination": OP6}

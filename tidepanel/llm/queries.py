@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import deleted_interpolation, ecoc_langid, ngram_join, quality_pu, substring_dedup, token_store, wu_manber
+from tidepanel.llm import deleted_interpolation, ecoc_langid, embedding_hnsw, license_scan, ngram_join, quality_pu, sentencepiece_sa, substring_dedup, token_store, wu_manber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,20 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_passages(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = sentencepiece_sa.sentencepiece_decode(sentencepiece_sa.sentencepiece_encode(docs, model), model)
+    ids = F.concat_ws(",", F.transform("ids", lambda x: x.cast("string")))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(ids, 256).alias("ids_sha256"), F.coalesce(F.col("decoded").eqNullSafe(F.col("text")), F.lit(False)).alias("round_trip"))
+
+
+def op4_embedding_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -54,4 +68,10 @@ def op9_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_substring_dedup, op5_ngram_jaccard_join, op6_decontamination, op7_token_store, op8_deleted_interpolation, op9_ecoc_langid)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan_licenses(docs, license_scan.train(docs))
+    return found.select("doc_id", "n_paragraphs", "n_licensed", "n_unknown", F.concat_ws(",", "licenses").alias("licenses"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_substring_dedup, op3_sentencepiece, op4_embedding_hnsw, op5_ngram_jaccard_join, op6_decontamination, op7_token_store, op8_deleted_interpolation, op9_ecoc_langid, op10_license_scan)}
