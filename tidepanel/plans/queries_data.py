@@ -163,8 +163,8 @@ SELECT symbol, date, rsi, rsi - lag(rsi) OVER ({BY}) AS velocity FROM r""", "sym
 RSI = f"rs AS (SELECT symbol, date, close, 100 - 100 / (1 + g / CASE WHEN l < 1e-5 THEN 1e-5 ELSE l END) AS rsi FROM (SELECT symbol, date, close, {full('avg(greatest(d, 0))', 'd', 20, 5)} AS g, {full('avg(greatest(-d, 0))', 'd', 20, 5)} AS l FROM (SELECT *, coalesce(close - lag(close) OVER ({BY}), 0) AS d FROM daily_bars) a) b)"
 add("t06_rsi_simple", lambda v: technical.rsi_simple(v("daily_bars")), "daily_bars", f"WITH {RSI} SELECT symbol, date, rsi AS rsi_simple FROM rs", "symbol date", "rsi_simple", 4)
 add("t07_rsi_signal", lambda v: technical.rsi_signal(technical.rsi_simple(v("daily_bars")).withColumnRenamed("rsi_simple", "rsi")), "daily_bars", f"WITH {RSI} SELECT symbol, date, rsi > 75 AS is_overbought, rsi < 32 AS is_oversold, close > fc AS bearish_divergence, CASE WHEN close > fc THEN 0.35 WHEN rsi > 75 THEN 0.25 WHEN rsi < 32 THEN 0.75 ELSE 0.5 END AS score, CASE WHEN close > fc THEN 'BEARISH_REVERSAL_RISK' WHEN rsi > 75 THEN 'OVERBOUGHT_SELL_SIGNAL' WHEN rsi < 32 THEN 'OVERSOLD_BUY_SIGNAL' ELSE 'NEUTRAL_MOMENTUM' END AS label FROM (SELECT *, first_value(close) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fc FROM rs WHERE rsi IS NOT NULL) t", "symbol date is_overbought is_oversold bearish_divergence label", "score")
-ATR = f"at AS (SELECT symbol, date, close, {full('avg(tr)', 'tr', 20, 5)} AS atr FROM (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(close - pc)) END AS tr FROM (SELECT *, lag(close) OVER ({BY}) AS pc FROM daily_bars) a) b)"
-add("t08_t14_atr", lambda v: technical.atr(v("daily_bars")), "daily_bars", f"WITH {ATR} SELECT symbol, date, atr FROM at", "symbol date", "atr", 4)
+ATR = f"atrs AS (SELECT symbol, date, close, {full('avg(tr)', 'tr', 20, 5)} AS atr FROM (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(close - pc)) END AS tr FROM (SELECT *, lag(close) OVER ({BY}) AS pc FROM daily_bars) a) b)"
+add("t08_t14_atr", lambda v: technical.atr(v("daily_bars")), "daily_bars", f"WITH {ATR} SELECT symbol, date, atr FROM atrs", "symbol date", "atr", 4)
 add("t09_ma_cross", lambda v: technical.ma_cross(v("daily_bars")), "daily_bars", f"""WITH a AS (SELECT symbol, date, close, avg(close) OVER {last(50)} AS ma_short, avg(close) OVER {last(200)} AS ma_long, row_number() OVER ({BY}) AS n, first_value(close) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fc FROM daily_bars)
 SELECT symbol, date, ma_short, ma_long, (ma_short / ma_long - 1) * 100 AS spread, (ma_long - fc) / n AS slope, close / ma_long - 1 AS distance FROM a""", "symbol date", "ma_short ma_long spread slope distance", 3)
 add("t10_bollinger", lambda v: technical.bollinger(v("daily_bars")), "daily_bars", f"""WITH a AS (SELECT * FROM (SELECT symbol, date, close, {full('avg(close)', 'close', 20, 20)} AS mid, {full('stddev_pop(close)', 'close', 20, 20)} AS s FROM daily_bars) t WHERE mid IS NOT NULL),
@@ -176,7 +176,7 @@ add("t11_obv", lambda v: technical.obv(v("daily_bars")), "daily_bars", f"WITH {O
 add("t12_rvol_flow", lambda v: technical.rvol_flow(v("daily_bars")), "daily_bars", f"""WITH {OBV}, a AS (SELECT symbol, date, obv, volume / greatest(1, avg(volume) OVER r) AS rvol, close - first_value(close) OVER r AS dp, obv - first_value(obv) OVER r AS dv FROM ob WINDOW r AS ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT symbol, date, obv, rvol, rvol > 2 AS is_spike, rvol < 0.5 AS is_illiquid, dp < 0 AND dv > 0 AS accumulation, CASE WHEN dp < 0 AND dv > 0 THEN 0.9 WHEN dp > 0 AND rvol < 0.6 THEN 0.18 WHEN rvol > 2 THEN 0.85 ELSE 0.5 END AS score FROM a""", "symbol date is_spike is_illiquid accumulation", "obv rvol score", 3)
 add("t13_fib_levels", lambda v: technical.fib_levels(v("daily_bars")), "daily_bars", f"""WITH a AS (SELECT symbol, date, close, max(high) OVER {last(60)} AS h, min(low) OVER {last(60)} AS l FROM daily_bars)
-SELECT symbol, date, h AS swing_high, l AS swing_low, {', '.join(f"h - (h - l) * {s} AS {n}" for n, s in technical.RETRACEMENTS.items())}, close < h - (h - l) * 0.786 AS invalidated, CASE WHEN close < h - (h - l) * 0.786 THEN 'BELOW_0786_BROKEN' WHEN close < h - (h - l) * 0.618 THEN 'LEVEL_0786' WHEN close < h - (h - l) * 0.5 THEN 'LEVEL_0618' WHEN close < h - (h - l) * 0.382 THEN 'LEVEL_0500' WHEN close < h - (h - l) * 0.236 THEN 'LEVEL_0382' ELSE 'ABOVE_0236' END AS zone FROM a""", "symbol date invalidated zone", "swing_high swing_low " + " ".join(technical.RETRACEMENTS), 8)
+SELECT symbol, date, h AS swing_high, l AS swing_low, {', '.join(f"h - (h - l) * {s} AS {n}" for n, s in technical.RETRACEMENTS.items())}, close < h - (h - l) * 0.786 AS invalidated, CASE WHEN close < h - (h - l) * 0.786 THEN 'BELOW_0786_BROKEN' WHEN close < h - (h - l) * 0.618 THEN 'LEVEL_0786' WHEN close < h - (h - l) * 0.5 THEN 'LEVEL_0618' WHEN close < h - (h - l) * 0.382 THEN 'LEVEL_0500' WHEN close < h - (h - l) * 0.236 THEN 'LEVEL_0382' ELSE 'ABOVE_0236' END AS zone FROM a""", "symbol date invalidated zone", "swing_high swing_low " + " ".join(technical.RETRACEMENTS), 4)
 
 # -- factors --------------------------------------------------------------------------------------------------------
 FACTOR = f"""f1 AS (SELECT *, coalesce(close / lag(close) OVER ({BY}) - 1, 0) AS ret_1 FROM monthly_panel),

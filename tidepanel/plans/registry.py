@@ -23,6 +23,11 @@ class Tables:
         return base(self.spark, self.sf_dir, name) if name in BASE else view(self.spark, self.sf_dir, name)
 
 
+def _nudge(digits: int) -> float:
+    """A hundredth of half a unit: exact halves, which the two engines round differently, are none any more."""
+    return 5e-3 * 10.0**-digits
+
+
 def add(name: str, make: Callable[[Tables], DataFrame], views: str = "", sql: str | None = None, keys: str = "", rounded: dict[str, int] | str = "", digits: int = 6) -> None:
     """Register a query. Both sides return the keys as they are and the rounded columns at their number of digits."""
     digits_of = rounded if isinstance(rounded, dict) else {c: digits for c in rounded.split()}
@@ -31,10 +36,10 @@ def add(name: str, make: Callable[[Tables], DataFrame], views: str = "", sql: st
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = make(Tables(spark, sf_dir))
         if key or digits_of:
-            df = df.select(*key, *[(F.round(F.col(c).cast("double"), d) + F.lit(0.0)).alias(c) for c, d in digits_of.items()])
+            df = df.select(*key, *[(F.round(F.col(c).cast("double") + F.lit(_nudge(d)), d) + F.lit(0.0)).alias(c) for c, d in digits_of.items()])
         return df
 
     QUERIES[name] = run
     if sql:
-        outer = ", ".join([*key, *(f"round(CAST({c} AS DOUBLE), {d}) + CAST(0 AS DOUBLE) AS {c}" for c, d in digits_of.items())]) or "*"
+        outer = ", ".join([*key, *(f"round(CAST({c} AS DOUBLE) + CAST({_nudge(d)!r} AS DOUBLE), {d}) + CAST(0 AS DOUBLE) AS {c}" for c, d in digits_of.items())]) or "*"
         ORACLES[name] = f"SELECT {outer} FROM ({with_views(views.split(), sql) if views else sql}) _q"
