@@ -27,9 +27,11 @@ from tidepanel.llm.words import SPACED, Words, grams, mix
 SHINGLE = 4
 PERCENT = 85
 #: Cells of the count table that defines the global order; its size does not depend on the corpus.
-CELLS = 1 << 21
+CELLS = 1 << 23
 CHUNKS = 32
 FRAGMENTS = 8
+#: Bits of the filter that keeps texts which are surely not wanted out of a shuffle; it may be full, but never drops any.
+FILTER_BITS = 1 << 25
 #: Posting lists up to this length propose all their pairs at once.
 SHORT_LIST = 8
 PREFIX_BUCKET_BYTES = 4 << 20
@@ -64,13 +66,13 @@ def set_ids(d: np.ndarray, h: np.ndarray, n: int):
     return size, np.where(size > 0, ids, -1)
 
 
-def _counts(docs: DataFrame) -> tuple[DataFrame, bytes]:
-    """(doc_id, set_id, n) of every row, and the level of each cell of the count table (2 MB)."""
+def _counts(docs: DataFrame, shingle: int) -> tuple[DataFrame, bytes]:
+    """(doc_id, set_id, n) of every row, and the level of each cell of the count table (8 MB)."""
 
     def run(batches):
         cells = np.zeros(CELLS, dtype=np.uint32)
         for batch in batches:
-            d, h = shingle_sets(batch.column(1).to_pylist())
+            d, h = shingle_sets(batch.column(1).to_pylist(), shingle)
             size, ids = set_ids(d, h, batch.num_rows)
             np.add.at(cells, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], ["doc_id", "set_id", "n", "chunk", "cells"])
@@ -98,13 +100,13 @@ def _counts(docs: DataFrame) -> tuple[DataFrame, bytes]:
     return out.where("chunk is null").select("doc_id", "set_id", "n"), level.tobytes()
 
 
-def _prefixes(docs: DataFrame, levels, percent: int, buckets: int) -> DataFrame:
+def _prefixes(docs: DataFrame, levels, percent: int, buckets: int, shingle: int) -> DataFrame:
     """(bucket, rows binary): triples (shingle, set_id, n) of the prefixes, copies of a set within a batch once."""
 
     def run(batches):
         level = np.frombuffer(levels.value, dtype=np.uint8)
         for batch in batches:
-            d, h = shingle_sets(batch.column(0).to_pylist())
+            d, h = shingle_sets(batch.column(0).to_pylist(), shingle)
             size, ids = set_ids(d, h, batch.num_rows)
             _, first = np.unique(ids, return_index=True)
             alone = np.zeros(batch.num_rows, dtype=bool)
@@ -195,17 +197,59 @@ def _cross(percent: int):
     return run
 
 
-def _fragments(docs: DataFrame) -> DataFrame:
-    """(set_id, fragment, n, part array<long>): the set of each row cut at fixed points of the hash order."""
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) >> np.uint64(64 - int(math.log2(FILTER_BITS)))).astype(np.int64)
+
+
+def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, text) whose doc_id may be among ids: a filter of fixed size is gathered and sent."""
+    step = FILTER_BITS // CHUNKS
+
+    def mark(batches):
+        bits = np.zeros(FILTER_BITS, dtype=bool)
+        for batch in batches:
+            bits[_slot(batch.column(0).to_numpy())] = True
+        rows = [(k, zlib.compress(np.packbits(bits[k * step : (k + 1) * step]).tobytes(), 1)) for k in range(CHUNKS) if bits[k * step : (k + 1) * step].any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([z for _, z in rows], pa.binary())], ["chunk", "bits"])
+
+    def unite(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(z), dtype=np.uint8)
+                sums[k] = sums[k] | own if k in sums else own
+        for k, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["chunk", "bits"])
+
+    table = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in ids.mapInArrow(mark, "chunk int, bits binary").repartition(CHUNKS, "chunk").mapInArrow(unite, "chunk int, bits binary").collect():
+        table[r.chunk * step // 8 : (r.chunk + 1) * step // 8] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def keep(batches):
+        bits = np.frombuffer(sent.value, dtype=np.uint8)
+        for batch in batches:
+            at = _slot(batch.column(0).fill_null(-1).to_numpy())
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7))) & 1).cast(pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _fragments(docs: DataFrame, shingle: int) -> DataFrame:
+    """(set_id, fragment, n, part array<long>): the set of each row cut at fixed points of the hash order; rows whose text
+    has another set (a repeated doc_id) are left out."""
     shift = np.uint64(64 - int(math.log2(FRAGMENTS)))
 
     def run(batches):
         for batch in batches:
-            d, h = shingle_sets(batch.column(1).to_pylist())
-            size = np.bincount(d, minlength=batch.num_rows)
+            d, h = shingle_sets(batch.column(1).to_pylist(), shingle)
+            size, own = set_ids(d, h, batch.num_rows)
+            ids = batch.column(0).to_numpy()
+            right = (own == ids)[d]
+            d, h = d[right], h[right]
             key = d * FRAGMENTS + (h >> shift).astype(np.int64)
             full, first = np.unique(key, return_index=True)
-            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
             parts = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(h.astype(np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(ids[full // FRAGMENTS], pa.int64()), pa.array(full % FRAGMENTS, pa.int32()), pa.array(size[full // FRAGMENTS], pa.int64()), parts], ["set_id", "fragment", "n", "part"])
 
@@ -217,12 +261,13 @@ def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     left = parts.select(F.col("set_id").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("pa"))
     right = parts.select(F.col("set_id").alias("b"), F.col("fragment").alias("fb"), F.col("n").alias("nb"), F.col("part").alias("pb"))
     met = pairs.join(left, "a").join(right, "b").where("fragment = fb")
-    met = met.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("part"))
-    summed = met.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+    met = met.select("a", "b", "na", "nb", F.struct("fragment", F.size(F.array_intersect("pa", "pb")).cast("long").alias("n")).alias("part"))
+    # a set of structs, since repeated rows of a document give the same part again
+    summed = met.groupBy("a", "b", "na", "nb").agg(F.aggregate(F.collect_set("part"), F.lit(0).cast("long"), lambda t, x: t + x.n).alias("both"))
     return summed.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, prefix_bucket_bytes: int = PREFIX_BUCKET_BYTES) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, prefix_bucket_bytes: int = PREFIX_BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
 
     Rows link when 100 * intersection >= percent * union of their shingle sets; component_id is the smallest doc_id
@@ -231,28 +276,29 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, prefix_bucket_by
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sets, level = _counts(docs)
+    sets, level = _counts(docs, shingle)
     levels = spark.sparkContext.broadcast(level)
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(24, math.ceil(total * (100 - percent) / 100 * 20 / prefix_bucket_bytes))
-    proposed = cut(_prefixes(docs, levels, percent, buckets).groupBy("bucket").applyInPandas(_propose(percent), "a long, b long, shingle long, n long"))
+    proposed = cut(_prefixes(docs, levels, percent, buckets, shingle).groupBy("bucket").applyInPandas(_propose(percent), "a long, b long, shingle long, n long"))
     pairs = cut(proposed.where("b >= 0").select("a", "b").distinct())
     lists = proposed.where("b < 0").select("a", "shingle", "n")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(lists.select(F.col("a").alias("set_id"))).distinct()
     classes = sets.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     chosen = classes.join(wanted, "set_id").select("set_id", (F.col("rep") + 0).alias("rep"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    mine = sets.where("n > 0").select(F.col("doc_id").alias("rep"), F.col("set_id").alias("own"))
-    found = texts.join(chosen, F.col("doc_id") == F.col("rep")).select("set_id", "text")
-    parts = cut(_fragments(found).dropDuplicates(["set_id", "fragment"])) if not mine.isEmpty() else cut(_fragments(found))
+    chosen = cut(chosen)
+    texts = _maybe(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen.select("rep"))
+    parts = cut(_fragments(texts.join(chosen, F.col("doc_id") == F.col("rep")).select("set_id", "text"), shingle))
     links = cut(_verified(pairs, parts, percent))
     first = components(links)
     placed = lists.join(first.select(F.col("node").alias("a"), "component"), "a", "left").select("shingle", "a", "n", F.coalesce("component", "a").alias("component"))
     open_lists = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select((F.col("shingle") + 0).alias("s"))
     crossed = placed.join(open_lists, F.col("shingle") == F.col("s")).select("shingle", "a", "n", "component").groupBy("shingle").applyInPandas(_cross(percent), "a long, b long")
     crossed = cut(crossed.distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = cut(_verified(crossed, parts, percent))
-    joined = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if not more.isEmpty() else first
+    joined = first
+    if not crossed.isEmpty():
+        more = cut(_verified(crossed, parts, percent))
+        joined = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     # components of sets -> smallest doc_id
     placed = sets.where("n > 0").join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("doc_id", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
     name = placed.groupBy("component").agg(F.min("doc_id").alias("component_id")).select((F.col("component") + 0).alias("c"), "component_id")
