@@ -46,6 +46,12 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(c)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Aggregate Pearson correlation, null where one side does not vary (the built-in one fails there in ANSI mode)."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.when((F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12), F.covar_pop(x, y) / (F.stddev_pop(a) * F.stddev_pop(b)))
+
+
 def cascade(*cases: tuple[Column, object], otherwise: object = None) -> Column:
     """Value of the first case that holds."""
     out = None

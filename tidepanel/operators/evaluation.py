@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.windows import average_rank, cascade, cross_section, dates_indexed, series
+from tidepanel.functions.windows import average_rank, cascade, correlation, cross_section, dates_indexed, series
 
 
 def _place(score: str, *, up: bool = False) -> Column:
@@ -22,7 +22,7 @@ def ndcg_at_k(df: DataFrame, k: int = 10, score: str = "score") -> DataFrame:
 
 def spearman(df: DataFrame) -> DataFrame:
     x = df.withColumns({"_p": average_rank("score", "date"), "_a": average_rank("actual", "date")})
-    out = x.groupBy("date").agg(F.when((F.stddev_pop("_p") > 0) & (F.stddev_pop("_a") > 0), F.corr("_p", "_a")).alias("c"), F.count("*").alias("n"))
+    out = x.groupBy("date").agg(correlation("_p", "_a").alias("c"), F.count("*").alias("n"))
     return out.select("date", F.when(F.col("n") < 3, 0.0).otherwise(F.coalesce("c", F.lit(0.0))).alias("spearman"))
 
 

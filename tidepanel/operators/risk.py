@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.windows import cascade, clip, finite, last_rows, series
+from tidepanel.functions.windows import cascade, clip, correlation, finite, series
 from tidepanel.operators.ingest import INTRADAY, NAV
 
 YEAR = 252.0
@@ -223,7 +223,7 @@ def beta_table(returns: DataFrame, market: DataFrame, debt: Column | None = None
     """Beta per symbol (symbol, date, ret) against a market (date, mkt): raw, adjusted, unlevered, up and down market."""
     x = returns.join(market, "date")
     de = F.lit(0.5) if debt is None else debt
-    out = x.groupBy("symbol").agg(slope(F.col("ret"), F.col("mkt")).alias("beta"), F.corr("ret", "mkt").alias("corr"), slope(F.when(F.col("mkt") > 0, F.col("ret")), F.when(F.col("mkt") > 0, F.col("mkt"))).alias("up"), slope(F.when(F.col("mkt") < 0, F.col("ret")), F.when(F.col("mkt") < 0, F.col("mkt"))).alias("down"), F.count("*").alias("n"))
+    out = x.groupBy("symbol").agg(slope(F.col("ret"), F.col("mkt")).alias("beta"), correlation("ret", "mkt").alias("corr"), slope(F.when(F.col("mkt") > 0, F.col("ret")), F.when(F.col("mkt") > 0, F.col("mkt"))).alias("up"), slope(F.when(F.col("mkt") < 0, F.col("ret")), F.when(F.col("mkt") < 0, F.col("mkt"))).alias("down"), F.count("*").alias("n"))
     out = out.where("n >= 3").withColumn("blume", 0.67 * F.col("beta") + 0.33)
     return out.select("symbol", "beta", "corr", "blume", (F.col("beta") / (1 + (1 - tax) * de)).alias("unlevered"), "up", "down", F.when(F.col("down") > 0, F.col("up") / F.col("down")).otherwise(1.0).alias("asymmetry"), F.when(F.col("blume") > 1.2, 0.80).otherwise(0.50).alias("score"), cascade((F.col("blume") > 1.2, "OVERWEIGHT_IN_BULL_MARKET"), (F.col("blume") < 0.7, "DEFENSIVE_SAFE_HAVEN"), otherwise="NEUTRAL_MARKET_PERFORMANCE").alias("label"))
 
@@ -231,7 +231,7 @@ def beta_table(returns: DataFrame, market: DataFrame, debt: Column | None = None
 def sharpe_table(returns: DataFrame, per_year: float = 252.0, rf: float = 0.05, trials: int = 10) -> DataFrame:
     """Sharpe ratio per symbol, corrected for autocorrelation (lag one), for skew and kurtosis, and for trials."""
     x = returns.withColumn("_prev", F.lag("ret").over(series()))
-    m = x.groupBy("symbol").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.count("ret").alias("n"), F.avg(F.col("ret") ** 2).alias("m2"), F.avg(F.col("ret") ** 3).alias("m3"), F.avg(F.col("ret") ** 4).alias("m4"), F.when((F.stddev_samp(F.when(F.col("_prev").isNotNull(), F.col("ret"))) > 1e-12) & (F.stddev_samp("_prev") > 1e-12), F.corr("ret", "_prev")).alias("rho"))
+    m = x.groupBy("symbol").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.count("ret").alias("n"), F.avg(F.col("ret") ** 2).alias("m2"), F.avg(F.col("ret") ** 3).alias("m3"), F.avg(F.col("ret") ** 4).alias("m4"), correlation("ret", "_prev").alias("rho"))
     m = m.where("n >= 3 and s > 1e-12")
     var = F.col("m2") - F.col("m") ** 2
     skew = (F.col("m3") - 3 * F.col("m") * F.col("m2") + 2 * F.col("m") ** 3) / F.pow(var, 1.5)

@@ -252,7 +252,12 @@ def replay(v, source: DataFrame, build, files: int = 1, order: str | None = None
     """Rows that a streaming query makes of a bounded source: written as files, read as a stream, all available at once."""
     path = folder(v)
     if order:
-        source.repartitionByRange(files, order).write.parquet(f"{path}/in")
+        # one file after the other, as a feed would bring them: the stream takes files by their age
+        at = source.select(F.percentile_approx(F.unix_date(F.to_date(order)), F.array(*[F.lit(k / files) for k in range(1, files)])).alias("q"))
+        part = F.size(F.filter("q", lambda q: q < F.unix_date(F.to_date(order))))
+        placed = source.join(F.broadcast(at)).withColumn("_part", part).drop("q")
+        for k in range(files):
+            placed.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{path}/in")
     else:
         source.repartition(files).write.parquet(f"{path}/in")
     stream = v.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1 if order else 1000).parquet(f"{path}/in")
