@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.llm.pool import IdPool
 from tidepanel.llm.store import small_batches
 
 SPACE = "▁"
-CACHE_UNITS = 300_000
 #: Characters indexed at once.
 BATCH_CHARS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -219,40 +219,42 @@ def encode_units(model: PieceModel, units: list[str]) -> list[np.ndarray]:
     return out
 
 
-def units_of(text: str, prefix: bool) -> list[str]:
-    """Units of a text: leading spaces and the characters up to the next space, spaces written as the piece marker."""
+def units_of(text: str, prefix: bool) -> list:
+    """Units of a text: a run of spaces and the characters up to the next space.
+
+    A word after one space is that word; any other unit is given as it is written for the pieces, in bytes.
+    """
     if not text:
         return []
     words = text.replace(SPACE, " ").split(" ")
-    out, spaces = [], SPACE if prefix else ""
+    if prefix and "" not in words:
+        return words
+    out, spaces = [], int(prefix)
     for w in words:
         if w:
-            out.append(spaces + w)
-            spaces = SPACE
+            out.append(w if spaces == 1 else (SPACE * spaces + w).encode())
+            spaces = 1
         else:
-            spaces += SPACE
-    if len(spaces) > 1 or not words[-1]:
-        out.append(spaces[:-1])
+            spaces += 1
+    if spaces > 1 or not words[-1]:
+        out.append((SPACE * (spaces - 1)).encode())
     return [u for u in out if u]
 
 
 class Codec:
-    """Encoder with a cache of units, and decoder, for one model."""
+    """Encoder with a pool of units, and decoder, for one model."""
 
     def __init__(self, serialized: bytes):
         self.model = PieceModel(serialized)
-        self.cache: dict[str, np.ndarray] = {}
+        self.pool = IdPool(self._learn, np.int32)
         self.surface = [b"" if t in (CONTROL,) else b" \xe2\x81\x87 " if t == UNKNOWN else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, t in zip(self.model.pieces, self.model.kind, strict=True)]
 
-    def encode(self, texts: list) -> list[np.ndarray]:
-        """Ids of each text; null and empty texts have none."""
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        units = [units_of(t or "", self.model.prefix) for t in texts]
-        fresh = list({u for own in units for u in own if u not in self.cache})
-        self.cache.update(zip(fresh, encode_units(self.model, fresh), strict=True))
-        none = np.zeros(0, dtype=np.int64)
-        return [np.concatenate([self.cache[u] for u in own]) if own else none for own in units]
+    def _learn(self, units: list) -> list[np.ndarray]:
+        return encode_units(self.model, [SPACE + u if isinstance(u, str) else u.decode() for u in units])
+
+    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids per text); null and empty texts have none."""
+        return self.pool.encode([units_of(t or "", self.model.prefix) for t in texts])
 
     def decode(self, ids) -> str:
         raw = b"".join([self.surface[i] for i in ids])
@@ -288,10 +290,10 @@ def sentencepiece_encode(docs: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             for lo in range(0, len(texts), 200):
-                ids = codec.encode(texts[lo : lo + 200])
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+                ids, count = codec.encode(texts[lo : lo + 200])
+                offsets = np.concatenate(([0], np.cumsum(count)))
                 null = np.array([t is None for t in texts[lo : lo + 200]] + [False])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=null), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=null), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)).slice(lo, 200) for n in names), lists], [*names, "ids"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids array<int>"

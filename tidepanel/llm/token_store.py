@@ -12,18 +12,17 @@ import os
 import struct
 import uuid
 import zlib
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidepanel.llm.pool import IdPool
 from tidepanel.llm.store import shared_folder, small_batches
 
 END_ID = 2
 SEGMENT_TOKENS = 1 << 21
-CACHE_WORDS = 1_000_000
 MAGIC = b"EFTOK1\0\0"
 SAMPLE_BYTES = 64
 _ONES = np.array([bin(x).count("1") for x in range(256)], dtype=np.int64)
@@ -106,10 +105,9 @@ class Segment:
 
 
 class CachedEncoder:
-    """Ids of the white-space separated chunks of texts, each distinct chunk encoded once while it stays in the cache.
+    """Ids of the white-space separated chunks of texts, through a pool.
 
-    Right for tokenizers that drop white space, never join what it separates, and lower the case. When the cache is full,
-    chunks that came once are forgotten.
+    Right for tokenizers that drop white space, never join what it separates, and lower the case.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -118,57 +116,14 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self._clear()
-
-    def _clear(self):
-        self.known: dict[bytes | None, int] = {}
-        self.pool, self.lens, self.uses = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _shrink(self):
-        """Keep the chunks that came more than once."""
-        keep = self.uses > 1
-        if keep.sum() > CACHE_WORDS // 2:
-            keep = self.uses > np.partition(self.uses, -CACHE_WORDS // 2)[-CACHE_WORDS // 2]
-        words = [w for w, k in zip(self.known, keep, strict=True) if k]
-        self.known = {w: k for k, w in enumerate(words)}
-        self.pool, self.lens, self.uses = self.pool[np.repeat(keep, self.lens)], self.lens[keep], self.uses[keep] // 2
-
-    def _learn(self, words: list) -> None:
-        ids, lens = [self.pool], [self.lens]
-        for at in range(0, len(words), 4096):
-            got = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words[at : at + 4096]], add_special_tokens=False)]
-            ids.append(np.fromiter(chain.from_iterable(got), dtype=self.dtype))
-            lens.append(np.fromiter(map(len, got), dtype=np.int64, count=len(got)))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.pool, self.lens = np.concatenate(ids), np.concatenate(lens)
-        self.uses = np.concatenate((self.uses, np.zeros(len(words), np.int64)))
+        self.pool = IdPool(self._learn, np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4"))
+
+    def _learn(self, chunks: list[bytes]) -> list:
+        return [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in chunks], add_special_tokens=False)]
 
     def encode(self, texts: list, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; number of ids per text)."""
-        if not texts:
-            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        if len(self.known) > CACHE_WORDS:
-            self._shrink()
-        chunks = [_chunks(t) for t in texts]
-        count = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
-        flat = list(chain.from_iterable(chunks))
-        words = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-        if len(miss := np.flatnonzero(words < 0)):
-            fresh = [flat[k] for k in miss.tolist()]
-            self._learn(list(dict.fromkeys(fresh)))
-            words[miss] = np.fromiter(map(self.known.__getitem__, fresh), dtype=np.int64, count=len(fresh))
-        self.uses += np.bincount(words, minlength=len(self.uses))
-        # one end per text, as one more chunk
-        ends = np.cumsum(count + 1) - 1
-        whole = np.full(len(flat) + len(texts), len(self.lens), dtype=np.int64)
-        inner = np.ones(len(whole), dtype=bool)
-        inner[ends] = False
-        whole[inner] = words
-        pool, lens = np.append(self.pool, self.dtype.type(end_id)), np.append(self.lens, 1)
-        n = lens[whole]
-        at = np.repeat((np.cumsum(lens) - lens)[whole] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return pool[at], np.add.reduceat(n, ends - count)
+        return self.pool.encode([_chunks(t) for t in texts], end_id)
 
 
 def _chunks(text: str | None) -> list[bytes]:
