@@ -166,9 +166,10 @@ class Model:
         np.add.at(x, (rows, cols), values)
         aside = rng.random(len(y)) < 0.2
         weight = np.where(y == 0, 0.5 / max(1, (y == 0).sum()), 0.5 / max(1, (y > 0).sum())) * ~aside
-        w = self.weights
+        w = self.weights.astype(np.float32)
         m, v = np.zeros_like(w), np.zeros_like(w)
-        truth = np.eye(len(self.families))[y]
+        weight = weight.astype(np.float32)
+        truth = np.eye(len(self.families), dtype=np.float32)[y]
 
         def share():
             z = x @ w
@@ -179,6 +180,7 @@ class Model:
             g = x.T @ ((share() - truth) * weight[:, None]) + 1e-5 * w
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        self.weights = w.astype(np.float64)
         p = 1 - share()[:, 0]
         wrong, right = p[aside & (y == 0)], p[aside & (y > 0)]
         low = max(np.quantile(wrong, 0.9999), 0.05) if len(wrong) else 0.05
