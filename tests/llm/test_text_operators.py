@@ -29,9 +29,9 @@ def brute_dedup(docs, n=20):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [300, 8 << 20])
-def test_dedup_equals_brute_force(frame, corpus, block_bytes):
-    rows = substring_dedup.dedup_passages(frame, block_bytes=block_bytes).collect()
+@pytest.mark.parametrize("block_bytes,automata", [(300, False), (8 << 20, False), (8000, True)])
+def test_dedup_equals_brute_force(frame, corpus, block_bytes, automata):
+    rows = substring_dedup.dedup_passages(frame, block_bytes=block_bytes, automata=automata).collect()
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256, r.text) for r in rows)
     assert got == sorted((str(k), n, m, sha, None if null else kept) for k, n, m, sha, kept, null in brute_dedup(corpus))
     assert rows[0].lang == "en" and all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in rows)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.exchange import bucket_bounds, decode, encode
 from tidepanel.llm.store import BLOCK_BYTES, blocks, cut, small_batches, unpack
+from tidepanel.llm.suffix_automata import earlier_windows
 from tidepanel.llm.words import SPACED, Words, grams
 
 WINDOW = 20
@@ -49,14 +50,15 @@ def covered(at: np.ndarray, n: int, total: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def dedup_passages(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
+def dedup_passages(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = True, automata: bool = False) -> DataFrame:
     """All columns of docs, with text as the kept words joined by one space (null stays null when keep_text), and n_words
     long, n_removed long, kept_sha256 string, spans array<struct<start,end>> of removed words.
 
     docs holds doc_id and text; further columns pass through. A window is removed if the same words start earlier: at a
     smaller doc_id, among rows with one doc_id at the smaller text, or earlier in the text. Null doc_id sorts first. Null
     and empty texts have no words; texts shorter than the window lose nothing. Fingerprints hold at least twice the bits
-    of the number of windows, so that a false match is unlikely (2**-6 for the whole corpus at worst up to 64 bits).
+    of the number of windows, so that a false match is unlikely. With automata, blocks are the reference shards whose
+    suffix automata all documents stream past instead: exact words and the same result, for small corpora.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -89,10 +91,12 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
             at += len(x)
         return pd.DataFrame({"block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "n": [len(x) for x in lists], "bits": bits})
 
-    asked = held.select("block", "payload").mapInArrow(ask, "bucket int, block long, keys binary")
-    said = asked.groupBy("bucket").applyInPandas(answer, "block long, bucket int, n int, bits binary")
+    if automata:
+        said = earlier_windows(held, window).select("block", F.lit(0).alias("bucket"), F.lit(0).alias("n"), F.col("starts").alias("bits"))
+    else:
+        asked = held.select("block", "payload").mapInArrow(ask, "bucket int, block long, keys binary")
+        said = asked.groupBy("bucket").applyInPandas(answer, "block long, bucket int, n int, bits binary")
     said = said.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("said"))
-    names = [f.name for f in docs.schema.fields]
     added = "n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
     fields = docs.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name not in ("n_words", "n_removed", "kept_sha256", "spans")) + ", " + added
@@ -105,15 +109,21 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
                 table = unpack(payload.as_buffer())
                 yield from one(table, sorted(said or [], key=lambda x: x["bucket"]))
 
+    def repeated(words, said):
+        """Starts of the windows that begin earlier."""
+        if automata:
+            return np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x["bits"], dtype=np.int64) for x in said)]))
+        at, prints = _windows(words, window)
+        if not len(at):
+            return at
+        keys, rank, fresh = _distinct(prints, shift)
+        earlier = np.concatenate([np.unpackbits(np.frombuffer(x["bits"], dtype=np.uint8), count=x["n"]) for x in said]).astype(bool)
+        assert len(earlier) == len(keys), "answers do not fit the block"
+        return at[earlier[rank] | ~fresh]
+
     def one(table, said):
         words = Words(table.column("text").to_pylist(), SPACED)
-        at, prints = _windows(words, window)
-        gone = np.zeros(len(words.hash), dtype=bool)
-        if len(at):
-            keys, rank, fresh = _distinct(prints, shift)
-            earlier = np.concatenate([np.unpackbits(np.frombuffer(x["bits"], dtype=np.uint8), count=x["n"]) for x in said]).astype(bool)
-            assert len(earlier) == len(keys), "answers do not fit the block"
-            gone = covered(at[earlier[rank] | ~fresh], window, len(words.hash))
+        gone = covered(repeated(words, said), window, len(words.hash))
         nulls = table.column("text").is_null().to_pylist()
         texts, shas, spans, removed = [], [], [], []
         for k in range(table.num_rows):
