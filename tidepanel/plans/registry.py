@@ -24,8 +24,8 @@ class Tables:
 
 
 def _nudge(digits: int) -> float:
-    """A hundredth of half a unit: exact halves, which the two engines round differently, are none any more."""
-    return 5e-3 * 10.0**-digits
+    """A sliver of a unit: exact halves, which the two engines round differently, are none any more."""
+    return 4.1357e-3 * 10.0**-digits
 
 
 def add(name: str, make: Callable[[Tables], DataFrame], views: str = "", sql: str | None = None, keys: str = "", rounded: dict[str, int] | str = "", digits: int = 6) -> None:
