@@ -96,7 +96,7 @@ FUS = f"""{PE}, {PB}, {EB}, {EV}, {RO}, {LQ}, ffl AS (SELECT ticker, as_of, (fp
 fu1 AS (SELECT c.ticker, c.as_of, (pex.score + pbx.score + ebx.score + evx.score + rox.score + lqx.score) / 6 AS fundamental_part, 0.5 AS technical_part, (0.5 + fls + 0.5) / 3 AS risk_part, blocked, NOT rox.ae > 0 AS dn, NOT lqx.rt AND lqx.a < 1 AS ds FROM company c JOIN pex USING (ticker, as_of) JOIN pbx USING (ticker, as_of) JOIN ebx USING (ticker, as_of) JOIN evx USING (ticker, as_of) JOIN rox USING (ticker, as_of) JOIN lqx USING (ticker, as_of) JOIN ffl USING (ticker, as_of)),
 fu2 AS (SELECT *, CASE WHEN blocked THEN 0 ELSE (0.3 * fundamental_part + 0.25 * 0.5 + 0.25 * 0.5 + 0.2 * risk_part) * CASE WHEN dn THEN 0.5 ELSE 1 END * CASE WHEN ds THEN 0.7 ELSE 1 END END AS composite FROM fu1)"""
 add("d01_master_fusion", lambda v: decisions.master_fusion(fusion_facts(v)).withColumn("warnings", F.concat_ws(";", "warnings")), "company", f"WITH {FUS} SELECT ticker, as_of, CASE WHEN blocked THEN 'REJECTED_LOW_FLOAT_CORNERING_RISK' WHEN composite >= 0.8 THEN 'STRONG_BUY_INSTITUTIONAL_CONFLUENCE' WHEN composite >= 0.65 THEN 'BUY_ACCUMULATE' WHEN composite >= 0.4 THEN 'NEUTRAL_HOLD' ELSE 'STRONG_SELL_REDUCE_EXPOSURE' END AS label, CASE WHEN blocked THEN 'low float block' ELSE concat_ws(';', CASE WHEN dn THEN 'double negative equity' END, CASE WHEN ds THEN 'liquidity distress' END) END AS warnings, fundamental_part, risk_part, composite FROM fu2", "ticker as_of label warnings", "fundamental_part risk_part composite", 4)
-add("d02_meta_label", lambda v: decisions.meta_label(v("signals").select("symbol", "date", (F.col("symbol") % 3 - 1).cast("int").alias("side"), F.col("p_success").alias("win_rate"), (F.col("symbol") % 7 * 0.002).alias("spread"), (F.col("p_bull") - 0.5).alias("obi"), F.lit(0.015).alias("volatility"))), "signals", "SELECT symbol, date, p AS p_success, 2 * p - 1 AS p_size, side <> 0 AND p >= 0.55 AS approved FROM (SELECT symbol, date, symbol % 3 - 1 AS side, CASE WHEN symbol % 3 = 1 THEN 0.5 ELSE least(1, greatest(0, p_success + least(0.2, greatest(-0.15, (p_bull - 0.5) * 0.25)) + 0.025 - least(0.15, symbol % 7 * 0.02))) END AS p FROM signals) t", "symbol date approved", "p_success p_size", 5)
+add("d02_meta_label", lambda v: decisions.meta_label(v("signals").select("symbol", "date", (F.col("symbol") % 3 - 1).cast("int").alias("side"), F.col("p_success").alias("win_rate"), (F.col("symbol") % 7 * 0.002).alias("spread"), (F.col("p_bull") - 0.5).alias("obi"), F.lit(0.01537).alias("volatility"))), "signals", "SELECT symbol, date, p AS p_success, 2 * p - 1 AS p_size, side <> 0 AND p >= 0.55 AS approved FROM (SELECT symbol, date, symbol % 3 - 1 AS side, CASE WHEN symbol % 3 = 1 THEN 0.5 ELSE least(1, greatest(0, p_success + least(0.2, greatest(-0.15, (p_bull - 0.5) * 0.25)) + 0.02315 - least(0.15, symbol % 7 * 0.02))) END AS p FROM signals) t", "symbol date approved", "p_success p_size", 5)
 EN = "en AS (SELECT *, CASE WHEN p_bull > p_bear AND p_bull >= 0.35 THEN 1 WHEN p_bear > 0.45 THEN -1 ELSE 0 END AS engine_a, CASE WHEN p_success >= 0.52 THEN 1 WHEN p_success < 0.4 THEN -1 ELSE 0 END AS engine_b FROM signals)"
 MX = "mx(engine_b, engine_a, signal, advice) AS (VALUES " + ", ".join(f"({b}, {a}, '{s}', '{t}')" for b, a, s, t in decisions.MATRIX) + ")"
 add("d03_d04_consolidated_signals", lambda v: decisions.consolidate(decisions.engine_signals(v("signals"))), "signals", f"WITH {EN}, {MX} SELECT symbol, date, engine_a, engine_b, signal, advice FROM en JOIN mx USING (engine_a, engine_b)", "symbol date engine_a engine_b signal advice")
