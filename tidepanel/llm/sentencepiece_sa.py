@@ -22,7 +22,11 @@ from tidepanel.llm.store import small_batches
 
 SPACE = "▁"
 #: Characters indexed at once.
-BATCH_CHARS = 1 << 18
+BATCH_CHARS = 1 << 17
+#: Columns of four characters by which suffixes are sorted.
+SORTED = 2
+#: Units that a worker remembers.
+UNITS = 500_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 
@@ -105,12 +109,19 @@ def edges(model: PieceModel, codes: np.ndarray):
     for k in range(model.columns):
         at = 4 * k
         columns.append(padded[at : at + n] << np.uint64(48) | padded[at + 1 : at + 1 + n] << np.uint64(32) | padded[at + 2 : at + 2 + n] << np.uint64(16) | padded[at + 3 : at + 3 + n])
-    order = np.lexsort(columns[::-1])
-    lo, hi = _search(columns, order, model.low, False), _search(columns, order, model.high, True)
+    # suffixes are sorted by their first eight characters; what a longer piece has beyond is compared at each occurrence
+    order = np.lexsort(columns[:SORTED][::-1])
+    lo, hi = _search(columns[:SORTED], order, model.low[:SORTED], False), _search(columns[:SORTED], order, model.high[:SORTED], True)
     count = hi - lo
     row = np.repeat(np.arange(len(lo)), count)
     at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     start = order[at]
+    for have, low, high in zip(columns[SORTED:], model.low[SORTED:], model.high[SORTED:], strict=True):
+        some = np.flatnonzero(model.length[row] > 4 * SORTED)
+        same = (have[start[some]] & ~(low ^ high)[row[some]]) == low[row[some]]
+        keep = np.ones(len(row), dtype=bool)
+        keep[some[~same]] = False
+        start, row = start[keep], row[keep]
     by = np.lexsort((model.length[row], start))
     return start[by], row[by]
 
@@ -246,7 +257,7 @@ class Codec:
 
     def __init__(self, serialized: bytes):
         self.model = PieceModel(serialized)
-        self.pool = IdPool(self._learn, np.int32)
+        self.pool = IdPool(self._learn, np.int32, UNITS)
         self.surface = [b"" if t in (CONTROL,) else b" \xe2\x81\x87 " if t == UNKNOWN else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, t in zip(self.model.pieces, self.model.kind, strict=True)]
 
     def _learn(self, units: list) -> list[np.ndarray]:
