@@ -21,7 +21,8 @@ class IdPool:
         self.known: dict = {}
         self.pool, self.lens, self.uses = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _shrink(self) -> None:
+    def shrink(self) -> None:
+        """Forget keys that came once, and the rarer ones beyond half the limit."""
         keep = self.uses > 1
         if keep.sum() > self.limit // 2:
             keep = self.uses > np.partition(self.uses, -self.limit // 2)[-self.limit // 2]
@@ -42,7 +43,7 @@ class IdPool:
     def encode(self, texts: list[list], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end if there is one; number of ids per text), texts as lists of keys."""
         if len(self.known) > self.limit:
-            self._shrink()
+            self.shrink()
         count = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         flat = list(chain.from_iterable(texts))
         words = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))

@@ -26,7 +26,7 @@ BATCH_CHARS = 1 << 17
 #: Columns of four characters by which suffixes are sorted.
 SORTED = 2
 #: Units that a worker remembers.
-UNITS = 500_000
+UNITS = 250_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 
@@ -306,6 +306,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str) -> DataFrame:
                 null = np.array([t is None for t in texts[lo : lo + 200]] + [False])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=null), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)).slice(lo, 200) for n in names), lists], [*names, "ids"])
+        codec.pool.shrink()  # the worker lives on, and later stages need its memory
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids array<int>"
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
