@@ -89,19 +89,19 @@ def _counts(docs: DataFrame, shingle: int) -> tuple[DataFrame, bytes]:
                 own = np.frombuffer(zlib.decompress(z), dtype=np.uint32).astype(np.uint64)
                 sums[k] = sums[k] + own if k in sums else own
         for k, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["chunk", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(255, 4 * np.log2(own + 1.0)).astype(np.uint8).tobytes()], pa.binary())], ["chunk", "cells"])
 
     out = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set_id long, n long, chunk int, cells binary"))
     chunks = out.where("chunk is not null").select("chunk", "cells").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, cells binary").collect()
     step = CELLS // CHUNKS
     level = np.zeros(CELLS, dtype=np.uint8)
     for r in chunks:
-        level[r.chunk * step : (r.chunk + 1) * step] = np.minimum(255, 4 * np.log2(np.frombuffer(bytes(r.cells), dtype=np.uint64) + 1.0))
+        level[r.chunk * step : (r.chunk + 1) * step] = np.frombuffer(bytes(r.cells), dtype=np.uint8)
     return out.where("chunk is null").select("doc_id", "set_id", "n"), level.tobytes()
 
 
 def _prefixes(docs: DataFrame, levels, percent: int, buckets: int, shingle: int) -> DataFrame:
-    """(bucket, rows binary): triples (shingle, set_id, n) of the prefixes, copies of a set within a batch once."""
+    """(bucket, rows binary): (shingle, set_id, n, place in the order) of the prefixes, copies of a set within a batch once."""
 
     def run(batches):
         level = np.frombuffer(levels.value, dtype=np.uint8)
@@ -120,61 +120,65 @@ def _prefixes(docs: DataFrame, levels, percent: int, buckets: int, shingle: int)
             d, h = d[order], h[order]
             start = np.searchsorted(d, d)
             n = size[d]
-            pre = np.arange(len(d)) - start < n - (n * percent + 99) // 100 + 1
-            d, h = d[pre], h[pre]
-            order = np.argsort(h, kind="stable")
-            d, h = d[order], h[order]
+            place = np.arange(len(d)) - start
+            pre = np.flatnonzero(place < n - (n * percent + 99) // 100 + 1)
+            pre = pre[np.argsort(h[pre], kind="stable")]
+            d, h, place = d[pre], h[pre], place[pre].astype(np.int32)
             cuts = bucket_bounds(h, buckets)
             full = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-            rows = [b"".join((h[a:b].tobytes(), ids[d[a:b]].tobytes(), size[d[a:b]].astype(np.int32).tobytes())) for a, b in ((cuts[k], cuts[k + 1]) for k in full)]
+            rows = [b"".join((h[a:b].tobytes(), ids[d[a:b]].tobytes(), size[d[a:b]].astype(np.int32).tobytes(), place[a:b].tobytes())) for a, b in ((cuts[k], cuts[k + 1]) for k in full)]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "rows"])
 
     return docs.select("text").mapInArrow(run, "bucket int, rows binary")
 
 
+def _may_link(na, nb, pa_, pb, percent: int):
+    """Whether two sets whose first common shingle is at places pa_ and pb can reach the threshold: what they share lies
+    from there on."""
+    need = -(-percent * (na.astype(np.int64) + nb) // (100 + percent))
+    return np.minimum(na - pa_, nb - pb) >= need
+
+
 def _propose(percent: int):
     """Pairs of the short lists, stars of the long ones; the members of long lists once more for the second round."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, ids, sizes = [], [], []
+        columns = [[], [], [], []]
         for x in rows["rows"]:
-            n = len(x) // 20
-            keys.append(np.frombuffer(x, np.uint64, n))
-            ids.append(np.frombuffer(x, np.int64, n, 8 * n))
-            sizes.append(np.frombuffer(x, np.int32, n, 16 * n))
-        keys, ids, sizes = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)
+            n = len(x) // 24
+            for k, (kind, at) in enumerate(((np.uint64, 0), (np.int64, 8), (np.int32, 16), (np.int32, 20))):
+                columns[k].append(np.frombuffer(x, kind, n, at * n))
+        keys, ids, sizes, place = (np.concatenate(c) for c in columns)
         order = np.lexsort((ids, keys))
-        keys, ids, sizes = keys[order], ids[order], sizes[order]
+        keys, ids, sizes, place = keys[order], ids[order], sizes[order], place[order]
         fresh = np.ones(len(keys), dtype=bool)
         fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-        keys, ids, sizes = keys[fresh], ids[fresh], sizes[fresh]
+        keys, ids, sizes, place = keys[fresh], ids[fresh], sizes[fresh], place[fresh]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         count = np.diff(np.append(first, len(keys)))
         a, b = [], []
+        short = np.repeat(np.where(count <= SHORT_LIST, count, 0), count)
+        at = np.arange(len(keys)) - np.repeat(first, count)
         for gap in range(1, SHORT_LIST):
-            lists = np.repeat(np.where(count <= SHORT_LIST, count, 0), count)
-            at = np.arange(len(keys)) - np.repeat(first, count)
-            i = np.flatnonzero(at + gap < lists)
+            i = np.flatnonzero(at + gap < short)
             a.append(i)
             b.append(i + gap)
-        big = np.flatnonzero(count > SHORT_LIST)
-        members = np.concatenate([np.arange(first[k], first[k] + count[k]) for k in big]) if len(big) else np.zeros(0, np.int64)
-        if len(big):
-            # the centre differs from list to list, so that near copies meet many centres
-            score = mix(keys[members] ^ ids[members].astype(np.uint64))
-            lens = count[big]
+        long = np.flatnonzero(count > SHORT_LIST)
+        members = np.flatnonzero(np.repeat(count > SHORT_LIST, count))
+        if len(long):
+            lens = count[long]
             at = np.concatenate(([0], np.cumsum(lens)[:-1]))
-            best = np.minimum.reduceat(score, at)
-            centre = members[np.flatnonzero(score == np.repeat(best, lens))]
-            centre = centre[np.unique(keys[centre], return_index=True)[1]]
-            a.append(np.repeat(centre, lens))
-            b.append(members)
+            # two centres: the set with the fewest rarer shingles, which is likest to its copies, and one that differs
+            # from list to list
+            score = mix(keys[members] ^ ids[members].astype(np.uint64))
+            for order in (np.lexsort((score, place[members] / sizes[members], keys[members])), np.lexsort((score, keys[members]))):
+                a.append(np.repeat(members[order[at]], lens))
+                b.append(members)
         a, b = np.concatenate(a), np.concatenate(b)
-        ok = (ids[a] != ids[b]) & (100 * np.minimum(sizes[a], sizes[b]).astype(np.int64) >= percent * np.maximum(sizes[a], sizes[b]).astype(np.int64))
-        lo, hi = np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])
-        pairs = pd.DataFrame({"a": lo, "b": hi}).drop_duplicates()
-        pairs["shingle"], pairs["n"] = 0, 0
-        return pd.concat([pairs, pd.DataFrame({"a": ids[members], "b": -1, "shingle": keys[members].astype(np.int64), "n": sizes[members]})])
+        ok = (ids[a] != ids[b]) & _may_link(sizes[a], sizes[b], place[a], place[b], percent)
+        pairs = pd.DataFrame({"a": np.minimum(ids[a[ok]], ids[b[ok]]), "b": np.maximum(ids[a[ok]], ids[b[ok]])}).drop_duplicates()
+        pairs["shingle"], pairs["n"], pairs["place"] = 0, 0, 0
+        return pd.concat([pairs, pd.DataFrame({"a": ids[members], "b": -1, "shingle": keys[members].astype(np.int64), "n": sizes[members], "place": place[members]})])
 
     return run
 
@@ -184,11 +188,11 @@ def _cross(percent: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "a"])
-        ids, n, comp = rows["a"].to_numpy(), rows["n"].to_numpy(), rows["component"].to_numpy()
+        ids, n, comp, place = (rows[c].to_numpy() for c in ("a", "n", "component", "place"))
         out = []
         for i in range(len(ids)):
             to = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
-            j = i + 1 + np.flatnonzero(comp[i + 1 : to] != comp[i])
+            j = i + 1 + np.flatnonzero((comp[i + 1 : to] != comp[i]) & _may_link(n[i : i + 1], n[i + 1 : to], place[i], place[i + 1 : to], percent))
             if len(j):
                 out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
         out = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
@@ -237,34 +241,34 @@ def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _fragments(docs: DataFrame, shingle: int) -> DataFrame:
-    """(set_id, fragment, n, part array<long>): the set of each row cut at fixed points of the hash order; rows whose text
-    has another set (a repeated doc_id) are left out."""
-    shift = np.uint64(64 - int(math.log2(FRAGMENTS)))
+    """(set_id, n, parts array<array<long>>): the set of each row cut into fragments at fixed points of the hash order;
+    rows whose text has another set (a repeated doc_id) are left out."""
+    edges = (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(64 - int(math.log2(FRAGMENTS)))).astype(np.uint64)
 
     def run(batches):
         for batch in batches:
             d, h = shingle_sets(batch.column(1).to_pylist(), shingle)
             size, own = set_ids(d, h, batch.num_rows)
             ids = batch.column(0).to_numpy()
-            right = (own == ids)[d]
-            d, h = d[right], h[right]
-            key = d * FRAGMENTS + (h >> shift).astype(np.int64)
-            full, first = np.unique(key, return_index=True)
-            parts = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(h.astype(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[full // FRAGMENTS], pa.int64()), pa.array(full % FRAGMENTS, pa.int32()), pa.array(size[full // FRAGMENTS], pa.int64()), parts], ["set_id", "fragment", "n", "part"])
+            some = np.flatnonzero(own == ids)
+            keep = (own == ids)[d]
+            h = h[keep]
+            key = d[keep] * FRAGMENTS + np.searchsorted(edges, h, "right")
+            cuts = np.searchsorted(key, (some[:, None] * FRAGMENTS + np.arange(FRAGMENTS)).reshape(-1))
+            inner = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(h)), pa.int32()), pa.array(h.astype(np.int64), pa.int64()))
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * FRAGMENTS, pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(size[some], pa.int64()), parts], ["set_id", "n", "parts"])
 
-    return docs.select("set_id", "text").mapInArrow(run, "set_id long, fragment int, n long, part array<long>")
+    return docs.select("set_id", "text").mapInArrow(run, "set_id long, n long, parts array<array<long>>")
 
 
 def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose summed partial overlaps reach the threshold."""
-    left = parts.select(F.col("set_id").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = parts.select(F.col("set_id").alias("b"), F.col("fragment").alias("fb"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    met = pairs.join(left, "a").join(right, "b").where("fragment = fb")
-    met = met.select("a", "b", "na", "nb", F.struct("fragment", F.size(F.array_intersect("pa", "pb")).cast("long").alias("n")).alias("part"))
-    # a set of structs, since repeated rows of a document give the same part again
-    summed = met.groupBy("a", "b", "na", "nb").agg(F.aggregate(F.collect_set("part"), F.lit(0).cast("long"), lambda t, x: t + x.n).alias("both"))
-    return summed.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    """(a, b) of the pairs whose overlaps, counted fragment by fragment and summed, reach the threshold."""
+    left = parts.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
+    right = parts.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
+    overlap = sum((F.size(F.array_intersect(F.col("pa")[k], F.col("pb")[k])) for k in range(FRAGMENTS)), F.lit(0)).cast("long")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", overlap.alias("both"))
+    return met.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, prefix_bucket_bytes: int = PREFIX_BUCKET_BYTES) -> DataFrame:
@@ -279,10 +283,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     sets, level = _counts(docs, shingle)
     levels = spark.sparkContext.broadcast(level)
     total = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = max(24, math.ceil(total * (100 - percent) / 100 * 20 / prefix_bucket_bytes))
-    proposed = cut(_prefixes(docs, levels, percent, buckets, shingle).groupBy("bucket").applyInPandas(_propose(percent), "a long, b long, shingle long, n long"))
+    buckets = max(24, math.ceil(total * (100 - percent) / 100 * 24 / prefix_bucket_bytes))
+    proposed = cut(_prefixes(docs, levels, percent, buckets, shingle).groupBy("bucket").applyInPandas(_propose(percent), "a long, b long, shingle long, n long, place long"))
     pairs = cut(proposed.where("b >= 0").select("a", "b").distinct())
-    lists = proposed.where("b < 0").select("a", "shingle", "n")
+    lists = proposed.where("b < 0").select("a", "shingle", "n", "place")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(lists.select(F.col("a").alias("set_id"))).distinct()
     classes = sets.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     chosen = classes.join(wanted, "set_id").select("set_id", (F.col("rep") + 0).alias("rep"))
@@ -291,9 +295,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     parts = cut(_fragments(texts.join(chosen, F.col("doc_id") == F.col("rep")).select("set_id", "text"), shingle))
     links = cut(_verified(pairs, parts, percent))
     first = components(links)
-    placed = lists.join(first.select(F.col("node").alias("a"), "component"), "a", "left").select("shingle", "a", "n", F.coalesce("component", "a").alias("component"))
+    placed = lists.join(first.select(F.col("node").alias("a"), "component"), "a", "left").select("shingle", "a", "n", "place", F.coalesce("component", "a").alias("component"))
     open_lists = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select((F.col("shingle") + 0).alias("s"))
-    crossed = placed.join(open_lists, F.col("shingle") == F.col("s")).select("shingle", "a", "n", "component").groupBy("shingle").applyInPandas(_cross(percent), "a long, b long")
+    crossed = placed.join(open_lists, F.col("shingle") == F.col("s")).select("shingle", "a", "n", "place", "component").groupBy("shingle").applyInPandas(_cross(percent), "a long, b long")
     crossed = cut(crossed.distinct().join(pairs, ["a", "b"], "left_anti"))
     joined = first
     if not crossed.isEmpty():
