@@ -23,7 +23,7 @@ from tidepanel.llm.store import blocks, cut, small_batches, unpack
 from tidepanel.llm.words import GRAM_BASE, SPACED, Words, mix
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 BUCKET_BYTES = 6 << 20
 START, END = np.uint64(0x5357A127), np.uint64(0xE5D0F7EC)
 #: Steps per octave of the probabilities in the table from which the weights are learned.
