@@ -100,8 +100,8 @@ add("r04_r13_newey_west_kappa", lambda v: risk.newey_west_kappa(panel(v)), "pane
 add("r04_r14_pair_covariance", lambda v: risk.pair_covariance(panel(v)), "panel_returns", f"WITH {COV} SELECT * FROM cv", "sym_i sym_j", "cov", 4)
 
 
-def bitemporal(v):
-    x = panel(v)
+def bitemporal(v, rows=panel):
+    x = rows(v)
     fast = x.where("asset_type in ('EQUITY', 'ETF')")
     return risk.bitemporal_cov(fast, x, risk.newey_west_kappa(fast))
 
@@ -124,6 +124,22 @@ add("r23_total_penalty", lambda v: risk.total_penalty(risk.penalties(v("daily_ba
 add("r24_risk_report", lambda v: risk.risk_report(v("daily_bars"), risk.cov_condition(risk.pair_covariance(panel(v)))), "panel_returns", f"WITH {BOUND}, {AUCTION}, {VOL} SELECT ar.symbol, ar.asset_type, days_used, is_floored, auction_ratio, vol, variance FROM ar LEFT JOIN sv USING (symbol) LEFT JOIN (SELECT sym_i AS symbol, cov + {EPS} AS variance FROM cv, bd WHERE sym_i = sym_j) z USING (symbol)", "symbol asset_type days_used is_floored", {"auction_ratio": 6, "vol": 6, "variance": 3})
 
 
+# the same over every symbol and date; the queries above keep the subset that their SQL names
+def whole(v):
+    return v("panel_returns").where("ret is not null").select("symbol", "asset_type", F.col("date").alias("ts"), "ret")
+
+
+add("r04_r13_newey_west_kappa_whole", lambda v: risk.newey_west_kappa(whole(v)), rounded="avg_rho kappa")
+add("r04_r14_pair_covariance_whole", lambda v: risk.pair_covariance(whole(v)), keys="sym_i sym_j", rounded="cov", digits=4)
+add("r14_bitemporal_cov_whole", lambda v: bitemporal(v, whole), keys="sym_i sym_j", rounded="cov", digits=3)
+add("r15_rolling_cov_whole", lambda v: risk.rolling_cov(v("panel_returns").where("ret is not null")), keys="date sym_i sym_j", rounded="cov", digits=4)
+add("r16_cov_vols_whole", lambda v: risk.cov_vols(risk.pair_covariance(whole(v))), keys="symbol", rounded="vol", digits=4)
+add("r17_cov_bounds_whole", lambda v: risk.cov_bounds(risk.pair_covariance(whole(v))), keys="surely_definite", rounded="lower upper condition_bound", digits=3)
+add("r18_cov_condition_whole", lambda v: risk.cov_condition(risk.pair_covariance(whole(v))), keys="sym_i sym_j", rounded="cov eps", digits=3)
+add("r23_total_penalty_whole", lambda v: risk.total_penalty(risk.penalties(v("daily_bars")), risk.cov_bounds(risk.pair_covariance(whole(v)))), keys="symbol", rounded="penalty", digits=3)
+add("r24_risk_report_whole", lambda v: risk.risk_report(v("daily_bars"), risk.cov_condition(risk.pair_covariance(whole(v)))), keys="symbol asset_type days_used is_floored", rounded={"auction_ratio": 6, "vol": 6, "variance": 3})
+
+
 def market(v):
     x = v("panel_returns").where("ret is not null")
     return x, x.groupBy("date").agg(F.avg("ret").alias("mkt"))
