@@ -13,6 +13,11 @@ PANEL = (" AND date >= DATE '1996-01-01' AND symbol < 40",)
 CLAUSES = {
     **dict.fromkeys("r04_r13_newey_west_kappa r04_r14_pair_covariance r14_bitemporal_cov r16_cov_vols r17_cov_bounds r18_cov_condition r23_total_penalty r24_risk_report".split(), PANEL),
     "r15_rolling_cov": (" AND symbol < 12",),
+    "s01_read_panel_pruned": (" AND symbol < 50",),
+    "s06_wide_long": (" WHERE symbol IN (1, 2, 3, 5)",),
+    "s07_align_panels": (" WHERE symbol % 3 <> 0", " WHERE symbol % 2 = 0"),
+    "d10_opportunity_cards": (" WHERE p_success > 0.8",),
+    "ml07_per_asset_model": (" WHERE abs(score) < 5 AND abs(actual) < 5",),
 }
 
 

@@ -36,6 +36,18 @@ add("s01_read_panel_pruned", lambda v: v("daily_bars").where((F.col("date") >= F
 add("s05_watchlist", lambda v: ingest.watchlist_remove(ingest.watchlist_add(v("nation").where("n_regionkey < 2").select(F.col("n_name").alias("ticker")), v("nation").where("n_regionkey < 4").select(F.lower("n_name").alias("ticker"))), v("nation").where("n_nationkey % 5 = 0").select(F.col("n_name").alias("ticker"))), "", "SELECT upper(n_name) AS ticker FROM nation WHERE n_regionkey < 4 AND n_nationkey % 5 <> 0", "ticker")
 add("s06_wide_long", lambda v: ingest.wide_to_long(ingest.long_to_wide(v("monthly_panel").where("symbol in (1, 2, 3, 5)"), "date", "symbol", "close", [1, 2, 3, 5]), "date").select("date", F.col("symbol").cast("long").alias("symbol"), "close"), "monthly_panel", "SELECT date, CAST(symbol AS BIGINT) AS symbol, close FROM monthly_panel WHERE symbol IN (1, 2, 3, 5)", "date symbol", "close", 8)
 add("s07_align_panels", lambda v: ingest.align_panels(v("monthly_panel").where("symbol % 3 <> 0").select("symbol", "date", F.col("close").alias("a")), v("monthly_panel").where("symbol % 2 = 0").select("symbol", "date", F.col("volume").alias("b")), ["symbol", "date"]), "monthly_panel", "SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.date, y.date) AS date, a, b FROM (SELECT symbol, date, close AS a FROM monthly_panel WHERE symbol % 3 <> 0) x FULL JOIN (SELECT symbol, date, volume AS b FROM monthly_panel WHERE symbol % 2 = 0) y ON x.symbol = y.symbol AND x.date = y.date", "symbol date", "a b", 8)
+# s01, s06 and s07 keep the rows that their SQL names; these take every symbol
+add("s01_read_panel_pruned_whole", lambda v: v("daily_bars").where(F.col("date") >= F.lit("1996-01-01").cast("date")).groupBy("asset_type").agg(F.count("*").alias("n"), F.sum("close").alias("total")), keys="asset_type n", rounded="total", digits=2)
+
+
+def wide_long(v):
+    x = v("monthly_panel")
+    columns = [r[0] for r in x.select("symbol").distinct().orderBy("symbol").collect()]
+    return ingest.wide_to_long(ingest.long_to_wide(x, "date", "symbol", "close", columns), "date").select("date", F.col("symbol").cast("long").alias("symbol"), "close")
+
+
+add("s06_wide_long_whole", wide_long, keys="date symbol", rounded="close", digits=8)
+add("s07_align_panels_whole", lambda v: ingest.align_panels(v("monthly_panel").select("symbol", "date", F.col("close").alias("a")), v("monthly_panel").select("symbol", "date", F.col("volume").alias("b")), ["symbol", "date"]), keys="symbol date", rounded="a b", digits=8)
 add("s08_fill_calendar", lambda v: ingest.fill_calendar(v("monthly_panel"), ["close", "volume"], backward=True), "monthly_panel", """WITH g AS (SELECT s.symbol, d.date, p.close, p.volume FROM (SELECT DISTINCT symbol FROM monthly_panel) s CROSS JOIN (SELECT DISTINCT date FROM monthly_panel) d
 LEFT JOIN monthly_panel p ON p.symbol = s.symbol AND p.date = d.date)
 SELECT symbol, date, coalesce(last_value(close IGNORE NULLS) OVER a, first_value(close IGNORE NULLS) OVER b) AS close, coalesce(last_value(volume IGNORE NULLS) OVER a, first_value(volume IGNORE NULLS) OVER b) AS volume

@@ -119,6 +119,8 @@ add("d08_scan_top_k", lambda v: decisions.scan_top_k(states(v)), "signals", f"WI
 add("d09_watchlist_alerts", lambda v: decisions.watchlist_alerts(states(v), v("supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("symbol"))), "signals", f"WITH {ST} SELECT symbol, date, code, code_before FROM (SELECT *, coalesce(lag(code) OVER ({BY}), 0) AS code_before FROM st) t WHERE code <> code_before AND code <> 0 AND symbol % 3 = 0", "symbol date code code_before")
 add("d09_watchlist_status", lambda v: decisions.watchlist_status(states(v), v("supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("symbol"))), "signals", f"WITH {ST} SELECT s_suppkey AS symbol, max(date) AS date, max_by(code, date) AS code FROM supplier LEFT JOIN st ON symbol = s_suppkey WHERE s_suppkey % 3 = 0 GROUP BY 1", "symbol date code")
 add("d10_opportunity_cards", lambda v: decisions.opportunity_cards(v("signals").where("p_success > 0.8")), "signals", "SELECT 'REC_' || strftime(date, '%Y%m%d') || '_' || symbol AS rec_id, symbol, date, close * 1.1 AS target_low, close * 1.15 AS target_high, close * 0.95 AS stop, CAST(date + 30 AS DATE) AS due_date, 'PENDING' AS status FROM signals WHERE p_success > 0.8", "rec_id symbol date due_date status", "target_low target_high stop", 3)
+# d10 keeps the rows that its SQL names; this one makes a card of every signal
+add("d10_opportunity_cards_whole", lambda v: decisions.opportunity_cards(v("signals")), keys="rec_id symbol date due_date status", rounded="target_low target_high stop", digits=3)
 
 
 def advisory(v) -> DataFrame:
@@ -210,6 +212,8 @@ def champion(v) -> DataFrame:
 
 add("ml06_champion_challenger", champion)
 add("ml07_per_asset_model", lambda v: ml.per_asset_model(v("predictions").withColumn("square", F.col("score") ** 2).where("abs(score) < 5 and abs(actual) < 5"), ["score"], "actual", ridge=0.0 + 1e-3), "predictions", "SELECT symbol, n, (sy * (sxx + 1e-3) - sx * sxy) / ((n + 1e-3) * (sxx + 1e-3) - sx * sx) AS intercept, ((n + 1e-3) * sxy - sx * sy) / ((n + 1e-3) * (sxx + 1e-3) - sx * sx) AS w_score FROM (SELECT symbol, count(*) AS n, sum(score) AS sx, sum(actual) AS sy, sum(score * score) AS sxx, sum(score * actual) AS sxy FROM predictions WHERE abs(score) < 5 AND abs(actual) < 5 GROUP BY 1) t", "symbol n", "intercept w_score", 4)
+# ml07 leaves out what its SQL leaves out; this one is fitted on the extreme returns too
+add("ml07_per_asset_model_whole", lambda v: ml.per_asset_model(v("predictions"), ["score"], "actual", ridge=0.0 + 1e-3), keys="symbol n", rounded="intercept w_score", digits=4)
 
 # -- sources and streams --------------------------------------------------------------------------------------------
 def folder(v) -> str:
