@@ -12,7 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.store import small_batches
@@ -126,8 +126,11 @@ def train(docs: DataFrame) -> Model | None:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & fold)
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.select("doc_id", "lang").join(sizes, "lang").where(draw < 1.25 * SAMPLE_PER_LANGUAGE / F.col("n"))
-    ids = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id").distinct()
+    some = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(draw < 1.25 * SAMPLE_PER_LANGUAGE / F.col("n"))
+    # an equal share of the sample for each language, at least one row, so that rare ones keep theirs
+    share = sizes.agg(F.greatest(F.lit(1), F.floor(F.lit(SAMPLE) / F.count("*"))).alias("share"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = some.withColumn("place", place).join(F.broadcast(share)).where("place <= share").select("doc_id").distinct()
 
     def run(batches):
         for batch in batches:
