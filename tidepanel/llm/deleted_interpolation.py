@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.exchange import bucket_bounds, decode, encode
-from tidepanel.llm.store import blocks, cut, small_batches, unpack
+from tidepanel.llm.store import blocks, cut, small_batches, tidy, unpack
 from tidepanel.llm.words import GRAM_BASE, SPACED, Words, mix
 
 FOLDS, HELD_OUT = 7, 2
@@ -29,6 +29,8 @@ START, END = np.uint64(0x5357A127), np.uint64(0xE5D0F7EC)
 #: Steps per octave of the probabilities in the table from which the weights are learned.
 STEPS, NEVER, LEVELS = 4, 255, 48
 ROUNDS = 60
+#: Weights before the first round.
+WEIGHTS = (0.4, 0.4, 0.2)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -84,28 +86,31 @@ def _context_bucket(c: np.ndarray) -> np.ndarray:
     return np.minimum(LEVELS - 1, np.log2(c + 1.0).astype(np.int64))
 
 
-def learn_weights(rows: list, vocabulary: int) -> np.ndarray:
-    """Weights (bucket; bigram, unigram, uniform) by expectation-maximisation over (bucket, level2, level1, n) rows."""
-    weights = np.tile(np.array([0.4, 0.4, 0.2]), (LEVELS, 1))
-    table = np.array(rows, dtype=np.float64).reshape(-1, 4)
-    for b in range(LEVELS):
-        own = table[table[:, 0] == b]
-        if not len(own):
-            near = np.unique(table[:, 0])  # a frequency that did not occur learns from the nearest that did
-            if not len(near):
-                continue
-            own = table[table[:, 0] == near[np.abs(near - b).argmin()]]
-        p = np.stack([np.where(own[:, k] == NEVER, 0, 2.0 ** (-own[:, k] / STEPS)) for k in (1, 2)] + [np.full(len(own), 1 / (vocabulary + 1))], 1)
-        w = weights[b]
-        for _ in range(ROUNDS):
-            part = w * p
-            part = part / part.sum(1, keepdims=True) * own[:, 3:]
-            w = np.maximum(part.sum(0) / own[:, 3].sum(), 1e-6)
-            w = w / w.sum()
-        weights[b] = w
-    weights[0, 1] += weights[0, 0]  # an unseen context has no bigram estimate
-    weights[0, 0] = 0.0
-    return weights
+def learn_weights(cells: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Weights of bigram, unigram and uniform estimates by expectation-maximisation over the rows (level2, level1, n) of one
+    context bucket."""
+    p = np.stack([np.where(cells[:, k] == NEVER, 0, 2.0 ** (-cells[:, k] / STEPS)) for k in (0, 1)] + [np.full(len(cells), 1 / (vocabulary + 1))], 1)
+    w = np.array(WEIGHTS)
+    for _ in range(ROUNDS):
+        part = w * p
+        part = part / part.sum(1, keepdims=True) * cells[:, 2:]
+        w = np.maximum(part.sum(0) / cells[:, 2].sum(), 1e-6)
+        w = w / w.sum()
+    return w
+
+
+def all_weights(learned: list) -> np.ndarray:
+    """Weights of every bucket from the (bucket, weights) that were learned: a frequency that did not occur takes those of
+    the nearest that did."""
+    out = np.tile(np.array(WEIGHTS), (LEVELS, 1))
+    if learned:
+        near = np.array(sorted(x["bucket"] for x in learned))
+        by = {x["bucket"]: x["w"] for x in learned}
+        for b in range(LEVELS):
+            out[b] = by[int(near[np.abs(near - b).argmin()])]
+    out[0, 1] += out[0, 0]  # an unseen context has no bigram estimate
+    out[0, 0] = 0.0
+    return out
 
 
 def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -146,7 +151,7 @@ def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             out = pd.concat([out, pd.DataFrame({"block": [-1], "bucket": [bucket], "counts": [b""], "distinct": [int((totals > 0).sum())]})])
         return out
 
-    asked = held.select("block", "payload").mapInArrow(ask, "bucket long, block long, keys binary, counts binary")
+    asked = held.select("block", "payload").mapInArrow(tidy(ask), "bucket long, block long, keys binary, counts binary")
     said = cut(asked.groupBy("bucket").applyInPandas(answer, "block long, bucket long, counts binary, distinct long"))
     vocabulary = said.where("block = -1").agg(F.sum("distinct")).first()[0] or 0
 
@@ -167,17 +172,18 @@ def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     def opened(batches):
         for batch in batches:
+            weights = all_weights(batch.column(2)[0].as_py()) if batch.num_columns > 2 and batch.num_rows else None
             for payload, answers in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 tokens = Tokens(unpack(payload.as_buffer()))
                 answers.sort(key=lambda x: x["bucket"])
                 one, two = (np.concatenate([unpack_counts(x["counts"]) for x in answers if x["bucket"] // 1_000_000_000 == kind]) for kind in (1, 2))
                 c2, c12 = one[tokens.uni_rank], two[tokens.two_rank]
                 c1 = np.where(tokens.context >= 0, one[tokens.context], starts)
-                yield tokens, c1, c2, c12
+                yield tokens, c1, c2, c12, weights
 
     def events(batches):
         sums: dict = {}
-        for tokens, c1, c2, c12 in opened(batches):
+        for tokens, c1, c2, c12, _ in opened(batches):
             own = tokens.train[tokens.doc]
             c1, c2, c12 = c1[own] - 1, c2[own] - 1, c12[own] - 1
             level2, level1 = _log_level(c12 / np.maximum(c1, 1)), _log_level(c2 / max(total - 1, 1))
@@ -187,12 +193,18 @@ def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if sums:
             yield pa.RecordBatch.from_pydict({"cell": pa.array(list(sums), pa.int64()), "n": pa.array(list(sums.values()), pa.int64())})
 
-    # at most LEVELS * 256 * 256 rows, whatever the corpus
-    seen = joined.mapInArrow(events, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    weights = learn_weights([(r.cell >> 16, (r.cell >> 8) & 255, r.cell & 255, r.n) for r in seen], vocabulary)
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "w": [learn_weights(rows[["level2", "level1", "n"]].to_numpy(np.float64), vocabulary)]})
+
+    # at most 256 * 256 rows for each of the LEVELS buckets, whatever the corpus
+    seen = joined.mapInArrow(tidy(events), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    seen = seen.select(F.shiftright("cell", 16).alias("bucket"), F.shiftright("cell", 8).bitwiseAND(255).alias("level2"), F.col("cell").bitwiseAND(255).alias("level1"), "n")
+    learned = seen.groupBy("bucket").applyInPandas(learn, "bucket long, w array<double>").agg(F.collect_list(F.struct("bucket", "w")).alias("learned"))
+    # one query reads the joined blocks twice, and Spark uses their exchanges again
+    with_weights = joined.select("payload", "said", learned.scalar().alias("learned"))
 
     def score(batches):
-        for tokens, c1, c2, c12 in opened(batches):
+        for tokens, c1, c2, c12, weights in opened(batches):
             n = len(tokens.ids)
             base = np.log10((c2 + 1.0) / (total + 1.0 * (vocabulary + 1)))
             w = weights[_context_bucket(c1)]
@@ -201,4 +213,4 @@ def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             known = np.bincount(tokens.doc, weights=c2 > 0, minlength=n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.ids, pa.int64()), pa.array(~tokens.train, pa.bool_()), pa.array(np.diff(tokens.first), pa.int64()), pa.array(known, pa.int64()), pa.array([total] * n, pa.int64()), pa.array(sums[0], pa.float64()), pa.array(sums[1], pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return joined.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return with_weights.mapInArrow(tidy(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
