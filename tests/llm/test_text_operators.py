@@ -3,7 +3,9 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.llm import ngram_join, substring_dedup, wu_manber
 
@@ -66,13 +68,43 @@ def brute_components(docs, n, percent):
     return sorted((str(k), len(s), str(least.get(top(i)) if s else k)) for i, ((k, _), s) in enumerate(zip(docs, sets, strict=True)))
 
 
-@pytest.mark.parametrize("n,percent,short", [(4, 85, 8), (5, 80, 2)])
-def test_join_equals_brute_force(frame, corpus, n, percent, short, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
-    rows = ngram_join.jaccard_components(frame, percent, n, prefix_bucket_bytes=2000).collect()
+@pytest.mark.parametrize("n,percent,short,piece,block,fragments", [(4, 85, 8, 1 << 16, 2048, 4), (5, 80, 2, 4, 3, 1), (4, 60, 1, 4, 4, 3)])
+def test_join_equals_brute_force(frame, corpus, n, percent, short, piece, block, fragments, monkeypatch):
+    for name, value in (("SHORT_LIST", short), ("PIECE", piece), ("BLOCK", block)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = ngram_join.jaccard_components(frame, percent, n, prefix_bucket_bytes=2000, fragments=fragments).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == brute_components(corpus, n, percent)
 
 
+def test_overlaps_are_summed_over_fragments(spark):
+    """Each fragment alone is far from the threshold; the order of the sets' fragments is that of the global order."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words[:-2], "x", "y"]))]
+    level = np.zeros(ngram_join.CELLS, dtype=np.uint8)
+    hashes = ngram_join.shingle_sets([texts[0][1]], 4)[1]
+    level[(hashes & np.uint64(ngram_join.CELLS - 1)).astype(np.int64)] = 4 + np.arange(len(hashes)) // 8
+    sent = spark.sparkContext.broadcast(level.tobytes())
+    ids = [int(ngram_join.set_ids(*ngram_join.shingle_sets([t], 4), 1)[1][0]) for _, t in texts]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in zip(ids, texts, strict=True)], "set_id long, text string")
+    parts = ngram_join._fragments(docs, 4, sent, 4).cache()
+    ranks = [sorted(int(x) for x in ngram_join._ranks(np.array(r.shingles, dtype=np.int64).view(np.uint64), level)) for r in parts.where(F.col("set_id") == ids[0]).sort("fragment").collect()]
+    assert len(ranks) == 4 and all(ranks) and sum(ranks, []) == sorted(sum(ranks, []))
+    pairs = spark.createDataFrame([(min(ids), max(ids))], "a long, b long")
+    each = [ngram_join._counted(pairs, parts, range(k, k + 1)).first() for k in range(4)]
+    whole = ngram_join._counted(pairs, parts, range(4)).first()
+    assert whole.both == sum(r.both for r in each) == 55 and whole.ka == whole.kb == 57
+    assert all(r.both < 0.85 * 59 for r in each)
+    assert ngram_join._verified(pairs, parts, 85, 4).count() == 1 and ngram_join._verified(pairs, parts, 95, 4).count() == 0
+
+
+def test_join_of_repeated_rows_and_ids(spark):
+    """A repeated doc_id with other words is a set of its own; null ids follow the rows with the same set."""
+    t = " ".join(f"w{k}" for k in range(40))
+    rows = [(3, t), (3, t), (3, t.replace(" ", "  ")), (3, "quite another text under that id"), (5, t + " end"), (None, t), (None, "alone a b c d e"), (9, "quite another text under that id")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted([("3", 37, "3")] * 3 + [("3", 3, "3"), ("5", 38, "3"), ("None", 37, "3"), ("None", 3, "None"), ("9", 3, "3")])
+
+
 def brute_hits(docs, items, n=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     out = []

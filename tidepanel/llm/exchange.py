@@ -7,13 +7,19 @@ one entry per block, so no bucket grows with the copies of a key.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
+@lru_cache(4)
+def _edges(buckets: int) -> np.ndarray:
+    return np.array((np.arange(buckets, dtype=object) * (1 << 64)) // buckets, dtype=np.uint64)
+
+
 def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Positions that split sorted keys into the buckets, which are equal ranges of the key space."""
-    edges = (np.arange(buckets, dtype=object) * (1 << 64)) // buckets
-    return np.append(np.searchsorted(keys, np.array(edges, dtype=np.uint64)), len(keys))
+    return np.append(np.searchsorted(keys, _edges(buckets)), len(keys))
 
 
 def encode(keys: np.ndarray, shift: int = 0) -> bytes:
