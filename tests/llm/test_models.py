@@ -103,7 +103,7 @@ def test_score_is_the_mixture_and_beats_the_base(spark):
             c1, c2, c12 = (start if a == "<s>" else uni[a]) - 1, uni[b] - 1, two[a, b] - 1
             cell = (deleted_interpolation._context_bucket(np.array([c1]))[0], deleted_interpolation._log_level(np.array([c12 / max(c1, 1)]))[0], deleted_interpolation._log_level(np.array([c2 / (total - 1)]))[0])
             events[cell] += 1
-    weights = deleted_interpolation.learn_weights([(*c, n) for c, n in events.items()], len(uni))
+    weights = mixed([(*c, n) for c, n in events.items()], len(uni))
     want = {}
     for k, t in docs:
         w, s = ["<s>", *t.split(), None], 0.0
@@ -115,9 +115,14 @@ def test_score_is_the_mixture_and_beats_the_base(spark):
     assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9) for r in rows)
 
 
+def mixed(rows, vocabulary):
+    table = np.array(rows, dtype=float)
+    return deleted_interpolation.all_weights([{"bucket": int(b), "w": deleted_interpolation.learn_weights(table[table[:, 0] == b, 1:], vocabulary)} for b in np.unique(table[:, 0])])
+
+
 def test_weights_grow_with_evidence():
     rows = [(1, 255, 20, 90), (1, 8, 20, 10), (6, 4, 30, 95), (6, 255, 30, 5)]
-    w = deleted_interpolation.learn_weights(rows, 1000)
+    w = mixed(rows, 1000)
     assert w[6, 0] > w[1, 0] and np.allclose(w.sum(1), 1) and w[0, 0] == 0
 
 
@@ -162,9 +167,39 @@ def test_sentencepiece_equals_the_library(frame, corpus):
     texts = ["", " ", "   ", "  a  b\n\tc ", "▁▁ x ▁", "x\x00y  ", "a" * 70, "=" * 100, "<s> </s> <0x0A>", "日本語 梦", "😀 é", *("".join(rng.choice("ab e\n=#th▁ing日") for _ in range(rng.randint(1, 150))) for _ in range(100))]
     ids, count = codec.encode(texts)
     assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == lib.encode(texts)
-    back = sentencepiece_sa.sentencepiece_decode(sentencepiece_sa.sentencepiece_encode(frame, path), path).collect()
-    assert sorted(str((r.doc_id, r.text, None if r.ids is None else list(r.ids))) for r in back) == sorted(str((k, t, None if t is None else lib.encode(t))) for k, t in corpus)
-    assert all(r.decoded == r.text for r in back)
+    want = sorted(str((k, t, None if t is None else lib.encode(t))) for k, t in corpus)
+    for both in (sentencepiece_sa.sentencepiece_encode(frame, path, decoded="decoded"), sentencepiece_sa.sentencepiece_decode(sentencepiece_sa.sentencepiece_encode(frame, path), path)):
+        back = both.collect()
+        assert sorted(str((r.doc_id, r.text, None if r.ids is None else list(r.ids))) for r in back) == want
+        assert all(r.decoded == r.text for r in back)
+
+
+def test_long_units_equal_the_library():
+    """Units without spaces, of more than a batch, with characters of many alphabets, with few cuts and with none."""
+    import sentencepiece
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    codec = sentencepiece_sa.Codec(open(path, "rb").read())
+    rng = random.Random(3)
+    for text in ("a" * 300_000, "thequickbrownfox" * 5000, "".join(rng.choice("theaoinrsd") for _ in range(100_000)), "".join(chr(rng.randint(32, 0x2FFF)) for _ in range(20_000)), "中文没有空格" * 3000, "abc1,2;x" * 20_000):
+        ids, _ = codec.encode([text])
+        assert ids.tolist() == lib.encode(text)
+
+
+def test_decoding_of_odd_ids():
+    """Broken bytes are replaced, control ids give nothing, a null list gives null; slices of a column are decoded alike."""
+    import pyarrow as pa
+    import sentencepiece
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    codec = sentencepiece_sa.Codec(open(path, "rb").read())
+    lists = [lib.encode("one two"), None, [], [1, *lib.encode("three"), 2], [3 + 0xE9], [3 + 0xC3, 3 + 0xA9], lib.encode("  é\n日本")]
+    want = [None if x is None else lib.decode(x) for x in lists]
+    for lo in range(len(lists)):
+        assert codec.decode(pa.array(lists, pa.list_(pa.int32())).slice(lo)).to_pylist() == want[lo:]
+    assert codec.decode(pa.array([], pa.list_(pa.int32()))).to_pylist() == []
 
 
 def test_licences_and_look_alikes(spark, frame):

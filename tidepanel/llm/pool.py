@@ -8,15 +8,18 @@ from itertools import chain, repeat
 import numpy as np
 
 LIMIT = 1_000_000
+#: Keys that are learned at once.
+TOGETHER = 1 << 15
 
 
 class IdPool:
     """Ids of keys (words or other pieces of text), each distinct key encoded once while it stays.
 
-    learn: list of keys -> their id lists. When the pool is full, keys that came once are forgotten.
+    learn: list of keys -> (ids of all of them, number of ids of each). When the pool is full, keys that came once are
+    forgotten.
     """
 
-    def __init__(self, learn: Callable[[list], list], dtype: np.dtype, limit: int = LIMIT):
+    def __init__(self, learn: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype: np.dtype, limit: int = LIMIT):
         self.learn, self.dtype, self.limit = learn, np.dtype(dtype), limit
         self.known: dict = {}
         self.pool, self.lens, self.uses = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -32,10 +35,10 @@ class IdPool:
 
     def _add(self, keys: list) -> None:
         ids, lens = [self.pool], [self.lens]
-        for at in range(0, len(keys), 4096 * 4):
-            got = self.learn(keys[at : at + 4096 * 4])
-            ids.append(np.fromiter(chain.from_iterable(got), dtype=self.dtype))
-            lens.append(np.fromiter(map(len, got), dtype=np.int64, count=len(got)))
+        for at in range(0, len(keys), TOGETHER):
+            own, count = self.learn(keys[at : at + TOGETHER])
+            ids.append(own.astype(self.dtype, copy=False))
+            lens.append(count)
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
         self.pool, self.lens = np.concatenate(ids), np.concatenate(lens)
         self.uses = np.concatenate((self.uses, np.zeros(len(keys), np.int64)))

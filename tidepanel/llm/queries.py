@@ -29,7 +29,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = sentencepiece_sa.sentencepiece_decode(sentencepiece_sa.sentencepiece_encode(docs, model), model)
+    back = sentencepiece_sa.sentencepiece_encode(docs, model, decoded="decoded")
     ids = F.concat_ws(",", F.transform("ids", lambda x: x.cast("string")))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(ids, 256).alias("ids_sha256"), F.coalesce(F.col("decoded").eqNullSafe(F.col("text")), F.lit(False)).alias("round_trip"))
 

@@ -12,6 +12,7 @@ import os
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -118,8 +119,9 @@ class CachedEncoder:
         self.tokenizer.no_truncation()
         self.pool = IdPool(self._learn, np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4"))
 
-    def _learn(self, chunks: list[bytes]) -> list:
-        return [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in chunks], add_special_tokens=False)]
+    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in chunks], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), dtype=self.pool.dtype), np.fromiter(map(len, got), dtype=np.int64, count=len(got))
 
     def encode(self, texts: list, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; number of ids per text)."""
