@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.exchange import bucket_bounds, decode, encode
-from tidepanel.llm.store import BLOCK_BYTES, blocks, cut, small_batches, unpack
+from tidepanel.llm.store import BLOCK_BYTES, blocks, cut, small_batches, tidy, unpack
 from tidepanel.llm.suffix_automata import earlier_windows
 from tidepanel.llm.words import SPACED, Words, grams, mix
 
@@ -184,12 +184,12 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     if automata:
         said = earlier_windows(held, window).select("block", F.lit(0).alias("bucket"), F.lit(0).alias("n"), F.col("starts").alias("bits"))
     else:
-        asked = held.select("block", "payload").mapInArrow(ask, "bucket int, block long, keys binary")
+        asked = held.select("block", "payload").mapInArrow(tidy(ask), "bucket int, block long, keys binary")
         shared = asked.groupBy("bucket").applyInPandas(answer, "block long, bucket int, n int, bits binary")
         shared = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("shared"))
         # read twice, by the second question and by the end; Spark uses its exchange again
         held = held.select("block", "payload").join(shared, "block", "left")
-        asked = held.select("block", "payload", "shared").mapInArrow(ask_again, "bucket int, block long, keys binary, checks binary")
+        asked = held.select("block", "payload", "shared").mapInArrow(tidy(ask_again), "bucket int, block long, keys binary, checks binary")
         said = asked.groupBy("bucket").applyInPandas(answer_again, "block long, bucket int, n int, bits binary")
     said = said.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("said"))
     added = "n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
@@ -244,4 +244,4 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
 
     if automata:
         held = held.select("block", "payload", F.lit(None).cast("array<struct<bucket:int,n:int,bits:binary>>").alias("shared"))
-    return held.join(said, "block", "left").select("payload", "shared", "said").mapInArrow(apply, schema)
+    return held.join(said, "block", "left").select("payload", "shared", "said").mapInArrow(tidy(apply), schema)
