@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import ngram_join, quality_pu, sentencepiece_sa, substring_dedup, token_store, wu_manber
+from tidepanel.llm.store import cut, free_name
 
 #: Near copies in the pipeline: five-word shingles, Jaccard similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
@@ -21,10 +22,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies."""
-    groups = ngram_join.jaccard_components(docs.select("doc_id", "text"), PERCENT, SHINGLE)
-    gone = groups.where("doc_id <> component_id").select((F.col("doc_id") + 0).alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One document of each group of near copies: that of the smallest doc_id (nulls last), one row of repeated ones.
+
+    The join works on row numbers, so that another text under the same doc_id stays. docs is read twice and must come in
+    the same order both times, as a written table does.
+    """
+    row = free_name(docs, "row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = ngram_join.jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), PERCENT, SHINGLE)
+    groups = groups.select((F.col("doc_id") + 0).alias("member"), "component_id").join(rows.select("doc_id", row), F.col("member") == F.col(row))
+    groups = cut(groups.select("component_id", "member", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "member").alias("place")))
+    first = groups.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.member").alias("stays"))
+    gone = groups.join(first, F.col("member") == F.col("stays"), "left_anti").select("member")
+    return rows.join(gone, F.col(row) == F.col("member"), "left_anti").drop(row)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +54,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    back = sentencepiece_sa.sentencepiece_decode(sentencepiece_sa.sentencepiece_encode(docs, model), model)
+    back = sentencepiece_sa.sentencepiece_encode(docs, model, decoded="decoded")
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 

@@ -90,6 +90,18 @@ def test_stages_keep_the_columns(spark, folder):
         assert stage(spark, docs.where("doc_id < 0"), path).count() == 0, name
 
 
+def test_near_duplicates_decide_by_row(spark, tmp_path):
+    """One row of each group stays: of repeated rows, of rows without an id, and not another text under a dropped id."""
+    words = lambda n, k: " ".join(f"w{k}x{i}" for i in range(n))
+    a, b, c = words(60, 1), words(60, 2), words(60, 3)
+    rows = [(1, a), (2, a), (2, b), (5, c), (5, c), (None, a + " end"), (None, words(50, 4)), (None, words(50, 4)), (8, ""), (8, ""), (9, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", docs_column(spark)).withColumn("ROW", docs_column(spark)).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted([("1", a), ("2", b), ("5", c), ("None", words(50, 4)), ("8", ""), ("8", ""), ("9", "None")])
+
+
 def docs_column(spark):
     from pyspark.sql import functions as F
 

@@ -45,6 +45,22 @@ def tidy(run: Callable) -> Callable:
     return inner
 
 
+def fields_but(frame: DataFrame, made: tuple[str, ...]) -> list:
+    """Fields of frame but those that are made anew; names are compared as Spark does, without case."""
+    return [f for f in frame.schema.fields if f.name.lower() not in [n.lower() for n in made]]
+
+
+def schema_of(fields: list, *more: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + list(more))
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """name, or a longer one that frame has no column of."""
+    while name.lower() in [c.lower() for c in frame.columns]:
+        name += "_"
+    return name
+
+
 def pack(table: pa.Table) -> bytes:
     sink = io.BytesIO()
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
