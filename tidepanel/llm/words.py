@@ -109,6 +109,14 @@ class Words:
         return self.data[self.start[k] : self.end[k]]
 
 
+def grams_at(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """What grams has at the given positions, computed there only."""
+    out = h[at]
+    for k in range(1, n):
+        out = out * GRAM_BASE + h[at + k]
+    return mix(out + np.uint64(n))
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n values from each position on; positions whose window passes the end are left out."""
     if len(h) < n:
