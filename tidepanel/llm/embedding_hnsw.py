@@ -2,8 +2,9 @@
 
 Equal vectors of a label are one vertex. The vertices of a label are dealt into shards of bounded size; each shard gets a
 graph, built in batches with numpy. Every shard is queried with every shard of its label (each unordered pair of shards
-once): searches of many queries run in step through the layers. Beams are widened until an audit against brute force
-finds all links of the audited queries, and further for each query whose beam is full of links. Cosines of what is found
+once): searches of many queries run in step through the layers. Beams are widened until an audit against brute force,
+of queries drawn at random until they have enough true links, finds all these links, and further for each query whose
+beam is full of links. What the audit finds counts as found. Cosines of what is found
 are verified in double precision; links inside a pair of shards are counted and thinned to a spanning forest before they
 leave the task, and the forests are united as Spark jobs.
 """
@@ -25,7 +26,8 @@ THRESHOLD = 0.98
 #: Vertices a shard holds on average at most.
 SHARD = 4096
 DEGREE, BUILD_BEAM, BEAM, EXPAND, AUDIT, CHUNK = 12, 32, 32, 4, 64, 1024
-#: Share of the audited links that must be found.
+#: Audited queries have so many true links at least (or all queries are audited), and this share of them must be found.
+AUDIT_LINKS = 200
 AUDIT_RECALL = 1.0
 SLACK = 1e-5
 
@@ -199,13 +201,16 @@ def linked_pairs(graph: Graph, queries: np.ndarray, same: bool, threshold: float
     n, q = len(graph.unit), len(queries)
     limit = np.float32(threshold - SLACK)
     own = np.arange(q) if same else None
-    audit = np.unique(np.linspace(0, q - 1, min(q, AUDIT)).astype(int))
-    # half of the audit goes to queries that have links, found with the first beam
     beam = min(n, BEAM)
     ids, sims = graph.query(queries, beam, own)
-    rich = np.flatnonzero((sims >= limit).sum(1) > same)
-    audit = np.union1d(audit, rich[np.linspace(0, len(rich) - 1, min(len(rich), AUDIT)).astype(int)] if len(rich) else rich)
-    truth = (queries[audit] @ graph.unit.T) >= limit
+    # queries drawn at random are compared with all vectors, more and more until they have enough true links
+    drawn = np.random.default_rng(7).permutation(q)
+    audit, truth = drawn[:0], np.zeros((0, n), dtype=bool)
+    while len(audit) < q and truth.sum() - len(audit) * same < AUDIT_LINKS:
+        more = drawn[len(audit) : max(AUDIT, 2 * len(audit))]
+        audit, truth = np.concatenate((audit, more)), np.concatenate((truth, queries[more] @ graph.unit.T >= limit))
+    by = np.argsort(audit)
+    audit, truth = audit[by], truth[by]
     out = []
     todo = np.arange(q)
     while True:
@@ -227,7 +232,8 @@ def linked_pairs(graph: Graph, queries: np.ndarray, same: bool, threshold: float
             break
         beam = min(n, 2 * beam)
         ids, sims = graph.query(queries[todo], beam, None if own is None else own[todo])
-    pairs = np.concatenate(out)
+    r, c = np.nonzero(truth)
+    pairs = np.unique(np.concatenate([*out, np.stack((audit[r], c), 1)]), axis=0)
     if same:
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         pairs = np.unique(np.sort(pairs, 1), axis=0)
@@ -259,7 +265,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
     Rows link if their labels are equal and not null, their vectors have the same length, and their cosine reaches the
     threshold; equal vectors are found exactly, others through the graphs (see the recall test). Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing. A null vec_id links with nothing and has a null
-    component_id and kept. Repeated rows count as vectors of their own. Other columns are ignored.
+    component_id and kept. Repeated rows count as vectors of their own, also those of one vec_id with other vectors or
+    labels. Other columns are ignored.
     """
     e = F.col("embedding")
     ok = e.isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
@@ -267,17 +274,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
     good, rest = rows.where(F.coalesce(ok, F.lit(False))), rows.where(~F.coalesce(ok, F.lit(False)))
     # equal vectors have cosine 1, above any threshold in use
     classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
+    # the table is written, so its rows keep these numbers; a vec_id may be in several classes
+    classes = classes.withColumn("class", F.monotonically_increasing_id())
     sizes = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.ceil(F.count("*") / shard).alias("shards"))
-    dealt = classes.withColumn("dim", F.size("embedding")).join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), "shards").cast("int"))
+    dealt = classes.withColumn("dim", F.size("embedding")).join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("class"), "shards").cast("int"))
     kind = dict(classes.dtypes)["label"]
 
     def build(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep")
+        rows = rows.sort_values(["rep", "class"])
         x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
         scaled = x / np.abs(x).max(1, keepdims=True)
         unit = (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
         side = io.BytesIO()
-        np.savez(side, rep=rows["rep"].to_numpy(), size=rows["size"].to_numpy(), x=x)
+        np.savez(side, ids=rows["class"].to_numpy(), size=rows["size"].to_numpy(), x=x)
         return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "shards": [rows["shards"].iloc[0]], "graph": [Graph.build(unit).dump()], "side": [side.getvalue()]})
 
     index = cut(dealt.groupBy("label", "dim", "shard").applyInPandas(build, f"label {kind}, dim int, shard int, shards long, graph binary, side binary"))
@@ -298,7 +307,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
                 sure = np.concatenate([(xb[p[:, 0]] * xa[p[:, 1]]).sum(1) / (nb[p[:, 0]] * na[p[:, 1]]) >= threshold for p in np.array_split(pairs, max(1, len(pairs) // 100_000))]) if len(pairs) else np.zeros(0, bool)
                 pairs = pairs[sure]
                 shift = 0 if same else len(xa)
-                ids = own["rep"] if same else np.concatenate((own["rep"], other["rep"]))
+                ids = own["ids"] if same else np.concatenate((own["ids"], other["ids"]))
                 sizes_ = own["size"] if same else np.concatenate((own["size"], other["size"]))
                 i, j = pairs[:, 0] + shift, pairs[:, 1]
                 n_links = np.bincount(i, weights=sizes_[j], minlength=len(ids)) + np.bincount(j, weights=sizes_[i], minlength=len(ids))
@@ -308,9 +317,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
 
     found = cut(left.join(right, ["label", "dim", "shard"]).select("a", "shard", "graph_a", "side_a", "graph_b", "side_b").mapInArrow(link, "a long, b long, n long"))
     united = components(found.where("b is not null").select("a", "b"))
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    known = classes.join(counts, "rep", "left").join(united.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = known.select((F.xxhash64("label", "embedding") + 0).alias("k"), F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    counts = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
+    placed = cut(united.select(F.col("node").alias("class"), "component").join(classes.select("class", "rep"), "class"))
+    names = cut(placed.groupBy("component").agg(F.min("rep").alias("name")))
+    known = classes.join(counts, "class", "left").join(placed.join(names, "component").select("class", "name"), "class", "left")
+    known = known.select((F.xxhash64("label", "embedding") + 0).alias("k"), F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("name", "rep").alias("component_id"))
     members = good.withColumn("h", F.xxhash64("label", "embedding"))
     out = members.join(known, F.col("h") == F.col("k")).where((F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e"))).select("vec_id", "n_links", "component_id")
     out = out.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
