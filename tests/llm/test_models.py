@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.llm import deleted_interpolation, ecoc_langid, embedding_hnsw, license_scan, quality_pu, sentencepiece_sa, token_store
 
@@ -202,6 +203,52 @@ def test_decoding_of_odd_ids():
     assert codec.decode(pa.array([], pa.list_(pa.int32()))).to_pylist() == []
 
 
+def test_prior_is_estimated_from_positives_and_unlabelled():
+    rng = np.random.default_rng(4)
+    good, bad = rng.normal(0, 1, (9000, 5)), rng.normal(2.5, 1, (9000, 5))
+    for share in (0.3, 0.6, 0.85):
+        n = int(6000 * share)
+        unlabelled = rng.permutation(np.concatenate((good[3000 : 3000 + n], bad[: 6000 - n])))
+        prior = quality_pu.estimate_prior(good[:3000], unlabelled)
+        assert abs(prior - share) < 0.05
+        model = quality_pu.fit(good[:3000], unlabelled, prior)
+        assert share * (model.score(good[8500:]) >= 0.5).mean() + (1 - share) * (model.score(bad[8500:]) < 0.5).mean() > 0.9
+
+
+def test_quality_with_positive_labels_only(spark):
+    """Labels of good documents alone: the bad ones are found; repeated rows, null and long texts have scores too."""
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice(["the", "river", "stone", "morning", "walked", "garden,", "light.", "slowly"]) for _ in range(60))
+    bad = lambda: " ".join(rng.choice(["###", "&&&", "BUY", "!!!", "$$", "CLICK"]) for _ in range(60))
+    rows = [(k, good() if k % 3 else bad()) for k in range(600)] + [(601, None), (602, ""), (603, good() * 2000), (604, bad()), (604, bad()), (None, good())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("SCORE", F.lit("clash"))
+    labels = spark.createDataFrame([(k, 1) for k in range(600) if k % 3 and k % 2], "doc_id long, quality int")
+    got = quality_pu.score_quality(docs, quality_pu.train(docs, labels)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    right = [r.predicted == (r.doc_id % 3 > 0) for r in got if r.doc_id is not None and r.doc_id < 600]
+    assert sum(right) > 0.95 * len(right)
+    none = quality_pu.score_quality(docs, quality_pu.train(docs, labels.where("doc_id < 0")))
+    assert {r.score for r in none.collect()} == {0.5}
+
+
+def test_one_id_with_two_vectors_and_labels(spark):
+    """Links of one class do not leak into another one with the same vec_id."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = lambda v, e: [x + e for x in v]
+    rows = [(7, a, 1), (9, near(a, 0.01), 1), (7, b, 2), (3, near(b, 0.01), 2), (8, near(b, 0.02), 2), (5, a, 3), (5, a, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_hnsw.near_duplicates(df).collect())
+    assert got == sorted([(7, 1, 7), (9, 1, 7), (7, 2, 3), (3, 2, 3), (8, 2, 3), (5, 1, 5), (5, 1, 5)])
+
+
+def test_paragraphs_are_the_same_in_training_and_scan(spark):
+    text = "one\ntwo\r\nthree\x0bfour\x85five\u2028six\n\nseven"
+    got = spark.createDataFrame([(text,)], "text string").select(F.split("text", license_scan.PARAGRAPHS)).first()[0]
+    assert got == text.splitlines()
+    found = license_scan.paragraph_grams([text])
+    assert found[0] == text.splitlines()
+
+
 def test_licences_and_look_alikes(spark, frame):
     rows = [(1, "Some text.\nLicensed under the Apache License, Version 2.0.\nMore."), (2, "Released under the MIT License."), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "Licensed under CC BY-NC 4.0."), (5, "The driver renewed the licence of the car."), (6, None), (7, ""), (8, "Licensed under the Grand Order of Seven Rivers License, Version 9.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

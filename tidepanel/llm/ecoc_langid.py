@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.store import small_batches
+from tidepanel.llm.store import fields_but, schema_of, small_batches
 from tidepanel.llm.words import LOWER, mix
 
 FOLDS, HELD_OUT = 4, 2
@@ -121,7 +121,10 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
 
 
 def train(docs: DataFrame) -> Model | None:
-    """Fit on a bounded sample of the training fold (doc_id, text, lang), taken by hash; None if it has no labelled row."""
+    """Fit on a bounded sample of the training fold (doc_id, text, lang), taken by hash; None if it has no labelled row.
+
+    A doc_id counts once for each of its languages, however often it is repeated (the text whose features come first).
+    """
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & fold)
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
@@ -135,9 +138,10 @@ def train(docs: DataFrame) -> Model | None:
     def run(batches):
         for batch in batches:
             x = ngram_features(batch.column(0).to_pylist()).astype(np.float16)
-            yield pa.RecordBatch.from_pydict({"lang": batch.column(1), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"lang": batch.column(1), "doc_id": batch.column(2), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    got = rows.join(F.broadcast(ids), "doc_id").select("text", "lang").mapInArrow(run, "lang string, x binary").toArrow()
+    made = rows.join(F.broadcast(ids), "doc_id").select("text", "lang", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "lang string, doc_id long, x binary")
+    got = made.groupBy("doc_id", "lang").agg(F.min("x").alias("x")).select("lang", "x").toArrow()
     if not got.num_rows:
         return None
     x = np.stack([np.frombuffer(r.as_py(), dtype=np.float16) for r in got.column("x")]).astype(np.float64)
@@ -153,7 +157,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     codeword has less than 0.6 of the share. Only text is looked at.
     """
     small_batches(docs.sparkSession)
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "ambiguous")]
+    fields = fields_but(docs, ("lang_pred", "score", "ambiguous"))
     names = [f.name for f in fields]
 
     def run(batches):
@@ -170,5 +174,5 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(letters & (score < AMBIGUOUS), pa.bool_())], [*names, "lang_pred", "score", "ambiguous"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, ambiguous boolean"
+    schema = schema_of(fields, "lang_pred string", "score double", "ambiguous boolean")
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)

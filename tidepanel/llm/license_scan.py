@@ -14,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.store import small_batches
+from tidepanel.llm.store import fields_but, schema_of, small_batches
 from tidepanel.llm.words import ALNUM, Words, grams
 
 NONE, UNKNOWN = "none", "unknown"
 #: Documents whose paragraphs are the negative examples of the training.
 NEGATIVE_DOCS = 400
+#: Most paragraphs of these documents that are used.
+NEGATIVE_PARAGRAPHS = 12_000
+#: Where paragraphs end, as str.splitlines has it.
+PARAGRAPHS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 VARIATIONS = 60
 CONFIRM = 0.5
 ROUNDS = 200
@@ -192,11 +196,13 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Fit with the paragraphs of a bounded sample of docs (doc_id, text), taken by hash, as negatives.
 
-    Paragraphs of the sample that hold a whole template count for its family's triples and are left out.
+    Of the paragraphs of these whole documents at most NEGATIVE_PARAGRAPHS different ones are taken, by hash. Those that
+    hold a whole template count for its family's triples and are left out.
     """
     ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(NEGATIVE_DOCS).distinct()
     model = Model()
-    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select(F.explode(F.slice(F.split("text", "\n"), 1, 200)).alias("line")).toArrow()
+    lines = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select(F.explode(F.split("text", PARAGRAPHS)).alias("line")).where("line <> ''").distinct()
+    rows = lines.orderBy(F.xxhash64("line"), "line").limit(NEGATIVE_PARAGRAPHS).toArrow()
     lines = sorted(set(rows.column("line").to_pylist()))
     words = Words(lines, ALNUM, lower=True)
     triples = np.array(sorted(set().union(*(t for own in model.templates.values() for t in own))), dtype=np.uint64)
@@ -215,7 +221,7 @@ def scan_licenses(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     made = ("n_paragraphs", "licenses", "n_licensed", "n_unknown", "found")
-    fields = [f for f in docs.schema.fields if f.name not in made]
+    fields = fields_but(docs, made)
     names = [f.name for f in fields]
     sent = spark.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64())]))
@@ -228,5 +234,5 @@ def scan_licenses(docs: DataFrame, model: Model) -> DataFrame:
             arrays = [pa.array(number, pa.int64()), pa.array([sorted({f[1] for f in x}) for x in known], pa.list_(pa.string())), pa.array([len(x) for x in known], pa.int64()), pa.array([len(x) - len(y) for x, y in zip(found, known, strict=True)], pa.int64()), pa.array([[dict(zip(("paragraph", "family", "probability"), f, strict=True)) for f in x] for x in found], kind)]
             yield pa.RecordBatch.from_arrays([*kept, *arrays], [*names, *made])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_paragraphs long, licenses array<string>, n_licensed long, n_unknown long, found array<struct<paragraph:int,family:string,probability:double>>"
+    schema = schema_of(fields, "n_paragraphs long", "licenses array<string>", "n_licensed long", "n_unknown long", "found array<struct<paragraph:int,family:string,probability:double>>")
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)

@@ -13,14 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.store import small_batches
+from tidepanel.llm.store import fields_but, schema_of, small_batches
 from tidepanel.llm.words import SPACED, Words, grams
 
 FOLDS, HELD_OUT = 3, 1
 #: Most positives and most unlabelled documents that the classifier is fitted on, taken by hash.
 POSITIVES, UNLABELLED = 12_000, 12_000
 BINS = 16
-ROUNDS = 1200
+ROUNDS, PRIOR_ROUNDS = 1200, 400
+#: Where the estimate of the prior compares the scores: shares of the positives that lie below.
+QUANTILES = np.linspace(0.02, 0.5, 25)
 STATISTICS = ("length", "symbols", "bars", "shouts", "capitals", "digits", "breaks", "ends", "commas", "non_ascii", "word_length", "distinct_words", "same_again", "common_word", "distinct_pairs", "distinct_triples", "capital_words", "short_words", "long_words", "glued")
 _CLASSES = {"symbols": b"#$%&*@~^_=+<>{}[]\\/", "bars": b"|", "shouts": b"!?", "capitals": bytes(range(65, 91)), "digits": bytes(range(48, 58)), "breaks": b"\n\r", "ends": b".", "commas": b",;:"}
 
@@ -91,7 +93,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[self.bins(x)].sum(1) + self.bias, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from these two samples alone.
+
+    Above any threshold of a score, the share of the unlabelled is at least prior times that of the positives; the
+    least ratio of both shares, each with its standard error, is the estimate. Each half is scored by a classifier fitted on the other one.
+    """
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    half_p, half_u = np.arange(len(positive)) % 2 == 0, np.arange(len(unlabelled)) % 2 == 0
+    sp, su = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    for half in (False, True):
+        model = fit(positive[half_p == half], unlabelled[half_u == half], 0.5, PRIOR_ROUNDS)
+        sp[half_p != half], su[half_u != half] = model.score(positive[half_p != half]), model.score(unlabelled[half_u != half])
+    at = np.quantile(sp, QUANTILES)
+    above_u, above_p = (su >= at[:, None]).mean(1), (sp >= at[:, None]).mean(1)
+    error = np.sqrt(above_u * (1 - above_u) / len(su) + (above_u / above_p) ** 2 * above_p * (1 - above_p) / len(sp)) / above_p
+    return float((above_u / above_p + error).min())
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS) -> Model:
     """Minimise the non-negative risk with Adam; bins are quantiles of the unlabelled sample, ends made finer."""
     prior = min(max(prior, 0.01), 0.99)
     at = np.concatenate(([0.005, 0.02], np.linspace(0.06, 0.94, BINS - 5), [0.98, 0.995]))
@@ -110,7 +131,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
         g[-1] = pull.sum()
         return g, np.logaddexp(0, -t).mean()
 
-    for step in range(1, ROUNDS + 1):
+    for step in range(1, rounds + 1):
         up, _ = gradient(bp, 1.0)
         down, risk_p = gradient(bp, -1.0)
         free, risk_u = gradient(bu, -1.0)
@@ -125,28 +146,26 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on bounded samples of the training fold; None without positives.
 
-    The prior is the share of good documents among the labelled rows of that fold, which are drawn like the documents;
-    apart from it, labels only name the positives. Labels with a null doc_id or quality do not count; of several labels
-    of one document the best counts.
+    Labels only name the positives (quality = 1), and labels of bad documents are not looked at; the prior is estimated
+    from the positives and the unlabelled documents. Labels with a null doc_id or quality do not count.
     """
     spark = docs.sparkSession
     small_batches(spark)
     fold = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT)
-    known = labels.where(fold & F.col("quality").isNotNull()).select("doc_id", "quality")
-    prior = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    if prior is None:
-        return None
+    known = labels.where(fold & (F.col("quality") == 1)).select("doc_id")
     draw = F.xxhash64("doc_id")
-    p = known.where("quality = 1").select("doc_id").orderBy(draw, "doc_id").limit(POSITIVES).distinct().withColumn("kind", F.lit(1))
+    p = known.orderBy(draw, "doc_id").limit(POSITIVES).distinct().withColumn("kind", F.lit(1))
     u = docs.where(fold).select("doc_id").orderBy(draw, "doc_id").limit(UNLABELLED).distinct().withColumn("kind", F.lit(2))
     chosen = p.unionByName(u).groupBy("doc_id").agg(F.sum("kind").alias("kind"))
 
     def run(batches):
         for batch in batches:
             x = statistics(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_pydict({"kind": batch.column(1), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"kind": batch.column(1), "doc_id": batch.column(2), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    got = docs.where(fold).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("kind").cast("int").alias("kind")).mapInArrow(run, "kind int, x binary").toArrow()
+    made = docs.where(fold).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("kind").cast("int").alias("kind"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "kind int, doc_id long, x binary")
+    # one row for each id, however often it is repeated
+    got = made.groupBy("doc_id", "kind").agg(F.min("x").alias("x")).select("kind", "x").toArrow()
     if not got.num_rows:
         return None
     kind = np.array(got.column("kind").to_pylist())
@@ -154,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     order = np.lexsort((*x.T, kind))
     kind, x = kind[order], x[order]
     positive, unlabelled = x[(kind & 1) > 0], x[(kind & 2) > 0]
-    return fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else None
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled)) if len(positive) and len(unlabelled) else None
 
 
 def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -163,7 +182,7 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     Only text is looked at; null and empty texts are scored as texts without words. Without a model every score is 0.5.
     """
     small_batches(docs.sparkSession)
-    fields = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
+    fields = fields_but(docs, ("score", "predicted"))
     names = [f.name for f in fields]
 
     def run(batches):
@@ -173,5 +192,5 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
             kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], [*names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, predicted int"
+    schema = schema_of(fields, "score double", "predicted int")
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.pool import IdPool
-from tidepanel.llm.store import small_batches, tidy
+from tidepanel.llm.store import fields_but, schema_of, small_batches, tidy
 
 SPACE = "▁"
 #: Characters indexed at once.
@@ -371,15 +371,6 @@ def _codec(serialized: bytes) -> Codec:
     return _CODECS[key]
 
 
-def _fields(frame: DataFrame, made: tuple[str, ...]) -> list:
-    """Fields of frame but those that are made anew; names are compared as Spark does, without case."""
-    return [f for f in frame.schema.fields if f.name.lower() not in [n.lower() for n in made]]
-
-
-def _schema(fields: list, *more: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + list(more))
-
-
 def sentencepiece_encode(docs: DataFrame, model_path: str, decoded: str | None = None) -> DataFrame:
     """All columns of docs (but ids), then ids array<int> of text, the model's own encoding without added ids; with decoded,
     also a column of that name with the text that the same task decodes from the ids.
@@ -390,7 +381,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, decoded: str | None =
     with open(model_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     made = ("ids", decoded) if decoded else ("ids",)
-    fields = _fields(docs, made)
+    fields = fields_but(docs, made)
     names = [f.name for f in fields]
 
     def run(batches):
@@ -412,7 +403,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, decoded: str | None =
         for pool in (codec.pool, codec.parts):  # the worker lives on, and later stages need its memory
             pool.shrink()
 
-    schema = _schema(fields, "ids array<int>", *([f"`{decoded}` string"] if decoded else []))
+    schema = schema_of(fields, "ids array<int>", *([f"`{decoded}` string"] if decoded else []))
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(tidy(run), schema)
 
 
@@ -420,7 +411,7 @@ def sentencepiece_decode(encoded: DataFrame, model_path: str, out: str = "decode
     """All columns of encoded (but `out`), then the text of ids; null ids give null, empty ones an empty text."""
     with open(model_path, "rb") as f:
         sent = encoded.sparkSession.sparkContext.broadcast(f.read())
-    fields = _fields(encoded, (out,))
+    fields = fields_but(encoded, (out,))
     names = [f.name for f in fields]
 
     def run(batches):
@@ -429,4 +420,4 @@ def sentencepiece_decode(encoded: DataFrame, model_path: str, out: str = "decode
             text = codec.decode(batch.column(batch.schema.get_field_index("ids")))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), text], [*names, out])
 
-    return encoded.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(tidy(run), _schema(fields, f"`{out}` string"))
+    return encoded.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(tidy(run), schema_of(fields, f"`{out}` string"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.exchange import bucket_bounds, decode, encode
-from tidepanel.llm.store import BLOCK_BYTES, blocks, cut, small_batches, tidy, unpack
+from tidepanel.llm.store import BLOCK_BYTES, blocks, cut, fields_but, schema_of, small_batches, tidy, unpack
 from tidepanel.llm.suffix_automata import earlier_windows
 from tidepanel.llm.words import SPACED, Words, grams, mix
 
@@ -192,10 +192,9 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
         asked = held.select("block", "payload", "shared").mapInArrow(tidy(ask_again), "bucket int, block long, keys binary, checks binary")
         said = asked.groupBy("bucket").applyInPandas(answer_again, "block long, bucket int, n int, bits binary")
     said = said.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("said"))
-    added = "n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
-    fields = docs.schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name not in ("n_words", "n_removed", "kept_sha256", "spans")) + ", " + added
-    names = [f.name for f in fields if f.name not in ("n_words", "n_removed", "kept_sha256", "spans")]
+    fields = fields_but(docs, ("n_words", "n_removed", "kept_sha256", "spans"))
+    schema = schema_of(fields, "n_words long", "n_removed long", "kept_sha256 string", "spans array<struct<start:int,end:int>>")
+    names = [f.name for f in fields]
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def apply(batches):
