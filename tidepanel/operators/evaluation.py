@@ -180,6 +180,10 @@ def portfolio_stats(returns: DataFrame, per_year: float = 12.0) -> DataFrame:
     return out.select("portfolio", "max_drawdown", F.when(F.col("s") > 1e-12, F.col("m") / F.col("s") * per_year**0.5).otherwise(0.0).alias("sharpe"), growth("nav").alias("cagr"), (growth("nav") - growth("bm")).alias("alpha"))
 
 
+#: What sums of weights may be off by rounding.
+SLACK = 1e-9
+
+
 def weight_limits_check(weights: DataFrame, most: float = 0.35, budget: float = 1.0) -> DataFrame:
     """Violations of box, long-only and budget limits: (portfolio, step, symbol or null, rule, value)."""
     box = weights.where(F.col("weight") > most).select("portfolio", "step", "symbol", F.lit("box").alias("rule"), F.col("weight").alias("value"))
@@ -188,6 +192,30 @@ def weight_limits_check(weights: DataFrame, most: float = 0.35, budget: float =
     return box.unionByName(short).unionByName(total.select("portfolio", "step", F.lit(None).cast(weights.schema["symbol"].dataType).alias("symbol"), F.lit("budget").alias("rule"), "value"))
 
 
+def group_limits_check(weights: DataFrame, limits: DataFrame, group: str) -> DataFrame:
+    """Violations of the least and most total weight of each group: (portfolio, step, symbol null, group, rule, value).
+
+    limits: a row (group, least, most) for each limited group; a group without weights at a step has the total 0.
+    """
+    held = weights.groupBy("portfolio", "step", group).agg(F.sum("weight").alias("value"))
+    every = weights.select("portfolio", "step").distinct().join(F.broadcast(limits.select(F.collect_list(F.struct(group, "least", "most")).alias("limits"))))
+    every = every.select("portfolio", "step", F.explode("limits").alias("x")).select("portfolio", "step", "x.*")
+    met = every.join(held, ["portfolio", "step", group], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    met = met.withColumn("rule", cascade((F.col("value") > F.col("most") + SLACK, "group max"), (F.col("value") < F.col("least") - SLACK, "group min"))).where("rule is not null")
+    return met.select("portfolio", "step", F.lit(None).cast(weights.schema["symbol"].dataType).alias("symbol"), group, "rule", "value")
+
+
+def turnover_check(weights: DataFrame, most: float) -> DataFrame:
+    """Steps after a portfolio's first one at which the absolute changes of its weights add up to more than `most`."""
+    steps = weights.select("portfolio", "step").distinct().withColumn("after", F.lead("step").over(Window.partitionBy("portfolio").orderBy("step")))
+    steps = steps.withColumn("first", F.min("step").over(Window.partitionBy("portfolio")))
+    w = weights.select("portfolio", "step", "symbol", "weight").join(steps, ["portfolio", "step"])
+    sides = F.array(F.struct("step", "weight"), F.struct(F.col("after").alias("step"), (-F.col("weight")).alias("weight")))
+    moved = w.select("portfolio", "symbol", "first", F.explode(sides).alias("x")).select("portfolio", "symbol", "first", "x.*").where("step > first")
+    moved = moved.groupBy("portfolio", "step", "symbol").agg(F.abs(F.sum("weight")).alias("d")).groupBy("portfolio", "step").agg(F.sum("d").alias("value"))
+    return moved.where(F.col("value") > most + SLACK).select("portfolio", "step", F.lit(None).cast(weights.schema["symbol"].dataType).alias("symbol"), F.lit("turnover").alias("rule"), "value")
+
+
 def run_stats(weights: DataFrame) -> DataFrame:
     active = F.sum((F.abs("weight") > 1e-6).cast("int")).cast("long")
     return weights.groupBy("portfolio", "step").agg(active.alias("active"), F.max("weight").alias("max_weight"), F.min("weight").alias("min_weight"), F.sum("weight").alias("total"))

@@ -17,9 +17,14 @@ def barrier_label(df: DataFrame, column: str = "fwd", up: float = 0.075, down: f
 
 
 def path_barrier_outcome(cards: DataFrame, bars: DataFrame) -> DataFrame:
-    """Outcome of cards (card_id, symbol, issue_date, due_date, target, stop): the target counts before the stop."""
-    b = bars.select("symbol", "date", "high", "low")
-    met = cards.join(b, (cards.symbol == b.symbol) & b.date.between(cards.issue_date, cards.due_date), "left").drop(b.symbol)
+    """Outcome of cards (card_id, symbol, issue_date, due_date, target, stop): the target counts before the stop.
+
+    Cards meet the bars of the months that they are open in, not the whole history of their symbol.
+    """
+    b = bars.select("symbol", F.trunc("date", "month").alias("_m"), "date", "high", "low")
+    months = F.when(F.col("issue_date") <= F.col("due_date"), F.sequence(F.trunc("issue_date", "month"), F.trunc("due_date", "month"), F.expr("INTERVAL 1 MONTH")))
+    open_ = cards.withColumn("_m", F.explode_outer(months))
+    met = open_.join(b, (open_.symbol == b.symbol) & (open_._m == b._m) & b.date.between(open_.issue_date, open_.due_date), "left").drop(b.symbol)
     out = met.groupBy("card_id", "symbol", "target", "stop").agg(F.max("high").alias("max_price"), F.min("low").alias("min_price"))
     return out.withColumn("outcome", cascade((F.coalesce(F.col("max_price") >= F.col("target"), F.lit(False)), "SUCCESS"), (F.coalesce(F.col("min_price") <= F.col("stop"), F.lit(False)), "FAILURE"), otherwise="EXPIRED"))
 

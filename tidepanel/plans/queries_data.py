@@ -32,22 +32,15 @@ def full(expr: str, arg: str, n: int, least: int) -> str:
 RET = f"SELECT *, close / lag(close) OVER ({BY}) - 1 AS r, ln(close / lag(close) OVER ({BY})) AS lr"
 
 # -- ingest ---------------------------------------------------------------------------------------------------------
-add("s01_read_panel_pruned", lambda v: v("daily_bars").where((F.col("date") >= F.lit("1996-01-01").cast("date")) & (F.col("symbol") < 50)).groupBy("asset_type").agg(F.count("*").alias("n"), F.sum("close").alias("total")), "daily_bars", "SELECT asset_type, count(*) AS n, sum(close) AS total FROM daily_bars WHERE date >= DATE '1996-01-01' AND symbol < 50 GROUP BY asset_type", "asset_type n", "total", 2)
 add("s05_watchlist", lambda v: ingest.watchlist_remove(ingest.watchlist_add(v("nation").where("n_regionkey < 2").select(F.col("n_name").alias("ticker")), v("nation").where("n_regionkey < 4").select(F.lower("n_name").alias("ticker"))), v("nation").where("n_nationkey % 5 = 0").select(F.col("n_name").alias("ticker"))), "", "SELECT upper(n_name) AS ticker FROM nation WHERE n_regionkey < 4 AND n_nationkey % 5 <> 0", "ticker")
-add("s06_wide_long", lambda v: ingest.wide_to_long(ingest.long_to_wide(v("monthly_panel").where("symbol in (1, 2, 3, 5)"), "date", "symbol", "close", [1, 2, 3, 5]), "date").select("date", F.col("symbol").cast("long").alias("symbol"), "close"), "monthly_panel", "SELECT date, CAST(symbol AS BIGINT) AS symbol, close FROM monthly_panel WHERE symbol IN (1, 2, 3, 5)", "date symbol", "close", 8)
-add("s07_align_panels", lambda v: ingest.align_panels(v("monthly_panel").where("symbol % 3 <> 0").select("symbol", "date", F.col("close").alias("a")), v("monthly_panel").where("symbol % 2 = 0").select("symbol", "date", F.col("volume").alias("b")), ["symbol", "date"]), "monthly_panel", "SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.date, y.date) AS date, a, b FROM (SELECT symbol, date, close AS a FROM monthly_panel WHERE symbol % 3 <> 0) x FULL JOIN (SELECT symbol, date, volume AS b FROM monthly_panel WHERE symbol % 2 = 0) y ON x.symbol = y.symbol AND x.date = y.date", "symbol date", "a b", 8)
-# s01, s06 and s07 keep the rows that their SQL names; these take every symbol
-add("s01_read_panel_pruned_whole", lambda v: v("daily_bars").where(F.col("date") >= F.lit("1996-01-01").cast("date")).groupBy("asset_type").agg(F.count("*").alias("n"), F.sum("close").alias("total")), keys="asset_type n", rounded="total", digits=2)
-
-
 def wide_long(v):
     x = v("monthly_panel")
     columns = [r[0] for r in x.select("symbol").distinct().orderBy("symbol").collect()]
     return ingest.wide_to_long(ingest.long_to_wide(x, "date", "symbol", "close", columns), "date").select("date", F.col("symbol").cast("long").alias("symbol"), "close")
 
 
-add("s06_wide_long_whole", wide_long, keys="date symbol", rounded="close", digits=8)
-add("s07_align_panels_whole", lambda v: ingest.align_panels(v("monthly_panel").select("symbol", "date", F.col("close").alias("a")), v("monthly_panel").select("symbol", "date", F.col("volume").alias("b")), ["symbol", "date"]), keys="symbol date", rounded="a b", digits=8)
+add("s06_wide_long", wide_long, "monthly_panel", "SELECT date, CAST(symbol AS BIGINT) AS symbol, close FROM monthly_panel", "date symbol", "close", 8)
+add("s07_align_panels", lambda v: ingest.align_panels(v("monthly_panel").select("symbol", "date", F.col("close").alias("a")), v("monthly_panel").select("symbol", F.add_months("date", 1).alias("date"), F.col("volume").alias("b")), ["symbol", "date"]), "monthly_panel", "SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.date, y.date) AS date, a, b FROM (SELECT symbol, date, close AS a FROM monthly_panel) x FULL JOIN (SELECT symbol, CAST(date + INTERVAL 1 MONTH AS DATE) AS date, volume AS b FROM monthly_panel) y ON x.symbol = y.symbol AND x.date = y.date", "symbol date", "a b", 8)
 add("s08_fill_calendar", lambda v: ingest.fill_calendar(v("monthly_panel"), ["close", "volume"], backward=True), "monthly_panel", """WITH g AS (SELECT s.symbol, d.date, p.close, p.volume FROM (SELECT DISTINCT symbol FROM monthly_panel) s CROSS JOIN (SELECT DISTINCT date FROM monthly_panel) d
 LEFT JOIN monthly_panel p ON p.symbol = s.symbol AND p.date = d.date)
 SELECT symbol, date, coalesce(last_value(close IGNORE NULLS) OVER a, first_value(close IGNORE NULLS) OVER b) AS close, coalesce(last_value(volume IGNORE NULLS) OVER a, first_value(volume IGNORE NULLS) OVER b) AS volume
@@ -100,29 +93,29 @@ add("r09_ewma_asym_vol", lambda v: risk.ewma_asym_vol(risk.log_returns(v("daily_
 add("r10_hybrid_vol", lambda v: risk.hybrid_vol(v("daily_bars")), "daily_bars", f"WITH {VOL} SELECT * FROM sv WHERE NOT {NAV}", "symbol asset_type is_fallback", "vol")
 add("r11_nav_vol", lambda v: risk.nav_vol(v("daily_bars")), "daily_bars", f"WITH {VOL} SELECT * FROM sv WHERE {NAV}", "symbol asset_type is_fallback", "vol")
 add("r12_snapshot_volatility", lambda v: risk.snapshot_volatility(v("daily_bars")), "daily_bars", f"WITH {VOL} SELECT * FROM sv", "symbol asset_type is_fallback", "vol")
-# return panel of the last year of months, absent returns zero
+# return panel of all months, absent returns zero
 def panel(v):
-    return v("panel_returns").where("ret is not null and date >= '1996-01-01' and symbol < 40").select("symbol", "asset_type", F.col("date").alias("ts"), "ret")
+    return v("panel_returns").where("ret is not null").select("symbol", "asset_type", F.col("date").alias("ts"), "ret")
 
 
-PANEL = "pr AS (SELECT symbol, asset_type, date AS ts, ret FROM panel_returns WHERE ret IS NOT NULL AND date >= DATE '1996-01-01' AND symbol < 40), grid AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i FROM (SELECT DISTINCT ts FROM pr) x), dense AS (SELECT s.symbol, g.ts, g.i, coalesce(p.ret, 0) AS ret FROM (SELECT DISTINCT symbol FROM pr) s CROSS JOIN grid g LEFT JOIN pr p ON p.symbol = s.symbol AND p.ts = g.ts)"
+PANEL = "pr AS (SELECT symbol, asset_type, date AS ts, ret FROM panel_returns WHERE ret IS NOT NULL), grid AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i FROM (SELECT DISTINCT ts FROM pr) x), dense AS (SELECT s.symbol, g.ts, g.i, coalesce(p.ret, 0) AS ret FROM (SELECT DISTINCT symbol FROM pr) s CROSS JOIN grid g LEFT JOIN pr p ON p.symbol = s.symbol AND p.ts = g.ts)"
 KAPPA = f"{PANEL}, mv AS (SELECT symbol FROM dense GROUP BY symbol HAVING var_samp(ret) >= 1e-16), rk AS (SELECT d.symbol, k, CASE WHEN var_pop(d.ret) > 1e-18 AND var_pop(e.ret) > 1e-18 THEN corr(d.ret, e.ret) ELSE 0 END * (1 - k / 5.0) AS rho FROM (SELECT unnest([1, 2, 3, 4]) AS k) ks, dense d JOIN mv USING (symbol) JOIN dense e ON e.symbol = d.symbol WHERE e.i = d.i + k GROUP BY d.symbol, k), kap AS (SELECT avg(r) AS avg_rho, coalesce(least(75, greatest(30, 175 * (1 + 2 * avg(r)))), 45) AS kappa FROM (SELECT symbol, sum(rho) AS r FROM rk GROUP BY symbol) x)"
 COV = f"{KAPPA}, cv AS (SELECT a.symbol AS sym_i, b.symbol AS sym_j, covar_samp(a.ret, b.ret) AS cov FROM dense a JOIN dense b ON a.ts = b.ts AND a.symbol <= b.symbol GROUP BY 1, 2)"
 add("r04_r13_newey_west_kappa", lambda v: risk.newey_west_kappa(panel(v)), "panel_returns", f"WITH {KAPPA} SELECT avg_rho, kappa FROM kap", "", "avg_rho kappa")
 add("r04_r14_pair_covariance", lambda v: risk.pair_covariance(panel(v)), "panel_returns", f"WITH {COV} SELECT * FROM cv", "sym_i sym_j", "cov", 4)
 
 
-def bitemporal(v, rows=panel):
-    x = rows(v)
+def bitemporal(v):
+    x = panel(v)
     fast = x.where("asset_type in ('EQUITY', 'ETF')")
     return risk.bitemporal_cov(fast, x, risk.newey_west_kappa(fast))
 
 
-FAST = "fr AS (SELECT * FROM panel_returns WHERE ret IS NOT NULL AND date >= DATE '1996-01-01' AND symbol < 40 AND asset_type IN ('EQUITY', 'ETF'))"
+FAST = "fr AS (SELECT * FROM panel_returns WHERE ret IS NOT NULL AND asset_type IN ('EQUITY', 'ETF'))"
 BIT = COV.replace("FROM panel_returns WHERE ret IS NOT NULL", "FROM panel_returns WHERE asset_type IN ('EQUITY', 'ETF') AND ret IS NOT NULL")
 SLOW = "dx AS (SELECT s.symbol, s.fast, g.ts, coalesce(p.ret, 0) AS ret FROM (SELECT DISTINCT symbol, asset_type IN ('EQUITY', 'ETF') AS fast FROM q) s CROSS JOIN (SELECT DISTINCT date AS ts FROM q) g LEFT JOIN q p ON p.symbol = s.symbol AND p.date = g.ts)"
-add("r14_bitemporal_cov", bitemporal, "panel_returns", f"WITH {BIT}, q AS (SELECT symbol, asset_type, date, ret FROM panel_returns WHERE ret IS NOT NULL AND date >= DATE '1996-01-01' AND symbol < 40), {SLOW} SELECT sym_i, sym_j, cov * kappa AS cov FROM cv, kap UNION ALL SELECT a.symbol, b.symbol, covar_samp(a.ret, b.ret) * 5 FROM dx a JOIN dx b ON a.ts = b.ts AND a.symbol <= b.symbol WHERE NOT (a.fast AND b.fast) GROUP BY 1, 2", "sym_i sym_j", "cov", 3)
-add("r15_rolling_cov", lambda v: risk.rolling_cov(v("panel_returns").where("ret is not null and symbol < 12")), "panel_returns", "WITH p AS (SELECT symbol, date, ret FROM panel_returns WHERE ret IS NOT NULL AND symbol < 12), m AS (SELECT a.date, a.symbol AS sym_i, b.symbol AS sym_j, a.ret AS x, b.ret AS y FROM p a JOIN p b ON a.date = b.date AND a.symbol <= b.symbol) SELECT date, sym_i, sym_j, cov FROM (SELECT date, sym_i, sym_j, CASE WHEN count(*) OVER w >= 20 THEN covar_samp(x, y) OVER w + CASE WHEN sym_i = sym_j THEN 1e-5 ELSE 0 END END AS cov FROM m WINDOW w AS (PARTITION BY sym_i, sym_j ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) t WHERE cov IS NOT NULL", "date sym_i sym_j", "cov", 4)
+add("r14_bitemporal_cov", bitemporal, "panel_returns", f"WITH {BIT}, q AS (SELECT symbol, asset_type, date, ret FROM panel_returns WHERE ret IS NOT NULL), {SLOW} SELECT sym_i, sym_j, cov * kappa AS cov FROM cv, kap UNION ALL SELECT a.symbol, b.symbol, covar_samp(a.ret, b.ret) * 5 FROM dx a JOIN dx b ON a.ts = b.ts AND a.symbol <= b.symbol WHERE NOT (a.fast AND b.fast) GROUP BY 1, 2", "sym_i sym_j", "cov", 3)
+add("r15_rolling_cov", lambda v: risk.rolling_cov(v("panel_returns").where("ret is not null")), "panel_returns", "WITH p AS (SELECT symbol, date, ret FROM panel_returns WHERE ret IS NOT NULL), m AS (SELECT a.date, a.symbol AS sym_i, b.symbol AS sym_j, a.ret AS x, b.ret AS y FROM p a JOIN p b ON a.date = b.date AND a.symbol <= b.symbol) SELECT date, sym_i, sym_j, cov FROM (SELECT date, sym_i, sym_j, CASE WHEN count(*) OVER w >= 20 THEN covar_samp(x, y) OVER w + CASE WHEN sym_i = sym_j THEN 1e-5 ELSE 0 END END AS cov FROM m WINDOW w AS (PARTITION BY sym_i, sym_j ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) t WHERE cov IS NOT NULL", "date sym_i sym_j", "cov", 4)
 add("r16_cov_vols", lambda v: risk.cov_vols(risk.pair_covariance(panel(v))), "panel_returns", f"WITH {COV} SELECT sym_i AS symbol, sqrt(cov) AS vol FROM cv WHERE sym_i = sym_j", "symbol", "vol", 4)
 BOUND = f"{COV}, mir AS (SELECT * FROM cv UNION ALL SELECT sym_j, sym_i, cov FROM cv WHERE sym_i < sym_j), gr AS (SELECT sym_i, sum(CASE WHEN sym_i = sym_j THEN cov ELSE 0 END) AS d, sum(CASE WHEN sym_i <> sym_j THEN abs(cov) ELSE 0 END) AS r FROM mir GROUP BY sym_i), bd AS (SELECT min(d - r) AS lower, max(d + r) AS upper FROM gr)"
 add("r17_cov_bounds", lambda v: risk.cov_bounds(risk.pair_covariance(panel(v))), "panel_returns", f"WITH {BOUND} SELECT lower, upper, CASE WHEN lower > 0 THEN upper / lower END AS condition_bound, lower > 0 AS surely_definite FROM bd", "surely_definite", "lower upper condition_bound", 3)
@@ -136,22 +129,6 @@ add("r23_total_penalty", lambda v: risk.total_penalty(risk.penalties(v("daily_ba
 add("r24_risk_report", lambda v: risk.risk_report(v("daily_bars"), risk.cov_condition(risk.pair_covariance(panel(v)))), "panel_returns", f"WITH {BOUND}, {AUCTION}, {VOL} SELECT ar.symbol, ar.asset_type, days_used, is_floored, auction_ratio, vol, variance FROM ar LEFT JOIN sv USING (symbol) LEFT JOIN (SELECT sym_i AS symbol, cov + {EPS} AS variance FROM cv, bd WHERE sym_i = sym_j) z USING (symbol)", "symbol asset_type days_used is_floored", {"auction_ratio": 6, "vol": 6, "variance": 3})
 
 
-# the same over every symbol and date; the queries above keep the subset that their SQL names
-def whole(v):
-    return v("panel_returns").where("ret is not null").select("symbol", "asset_type", F.col("date").alias("ts"), "ret")
-
-
-add("r04_r13_newey_west_kappa_whole", lambda v: risk.newey_west_kappa(whole(v)), rounded="avg_rho kappa")
-add("r04_r14_pair_covariance_whole", lambda v: risk.pair_covariance(whole(v)), keys="sym_i sym_j", rounded="cov", digits=4)
-add("r14_bitemporal_cov_whole", lambda v: bitemporal(v, whole), keys="sym_i sym_j", rounded="cov", digits=3)
-add("r15_rolling_cov_whole", lambda v: risk.rolling_cov(v("panel_returns").where("ret is not null")), keys="date sym_i sym_j", rounded="cov", digits=4)
-add("r16_cov_vols_whole", lambda v: risk.cov_vols(risk.pair_covariance(whole(v))), keys="symbol", rounded="vol", digits=4)
-add("r17_cov_bounds_whole", lambda v: risk.cov_bounds(risk.pair_covariance(whole(v))), keys="surely_definite", rounded="lower upper condition_bound", digits=3)
-add("r18_cov_condition_whole", lambda v: risk.cov_condition(risk.pair_covariance(whole(v))), keys="sym_i sym_j", rounded="cov eps", digits=3)
-add("r23_total_penalty_whole", lambda v: risk.total_penalty(risk.penalties(v("daily_bars")), risk.cov_bounds(risk.pair_covariance(whole(v)))), keys="symbol", rounded="penalty", digits=3)
-add("r24_risk_report_whole", lambda v: risk.risk_report(v("daily_bars"), risk.cov_condition(risk.pair_covariance(whole(v)))), keys="symbol asset_type days_used is_floored", rounded={"auction_ratio": 6, "vol": 6, "variance": 3})
-
-
 def market(v):
     x = v("panel_returns").where("ret is not null")
     return x, x.groupBy("date").agg(F.avg("ret").alias("mkt"))

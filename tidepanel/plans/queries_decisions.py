@@ -118,9 +118,7 @@ add("d07_latest_signal", lambda v: decisions.latest_signal(states(v)), "signals"
 add("d08_scan_top_k", lambda v: decisions.scan_top_k(states(v)), "signals", f"WITH {ST}, l AS (SELECT symbol, max_by(code, date) AS code, max_by(p_success, date) AS p FROM st GROUP BY symbol) SELECT * FROM (SELECT code, symbol, row_number() OVER (PARTITION BY code ORDER BY p DESC, symbol) AS place FROM l) t WHERE place <= 5", "code symbol place")
 add("d09_watchlist_alerts", lambda v: decisions.watchlist_alerts(states(v), v("supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("symbol"))), "signals", f"WITH {ST} SELECT symbol, date, code, code_before FROM (SELECT *, coalesce(lag(code) OVER ({BY}), 0) AS code_before FROM st) t WHERE code <> code_before AND code <> 0 AND symbol % 3 = 0", "symbol date code code_before")
 add("d09_watchlist_status", lambda v: decisions.watchlist_status(states(v), v("supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("symbol"))), "signals", f"WITH {ST} SELECT s_suppkey AS symbol, max(date) AS date, max_by(code, date) AS code FROM supplier LEFT JOIN st ON symbol = s_suppkey WHERE s_suppkey % 3 = 0 GROUP BY 1", "symbol date code")
-add("d10_opportunity_cards", lambda v: decisions.opportunity_cards(v("signals").where("p_success > 0.8")), "signals", "SELECT 'REC_' || strftime(date, '%Y%m%d') || '_' || symbol AS rec_id, symbol, date, close * 1.1 AS target_low, close * 1.15 AS target_high, close * 0.95 AS stop, CAST(date + 30 AS DATE) AS due_date, 'PENDING' AS status FROM signals WHERE p_success > 0.8", "rec_id symbol date due_date status", "target_low target_high stop", 3)
-# d10 keeps the rows that its SQL names; this one makes a card of every signal
-add("d10_opportunity_cards_whole", lambda v: decisions.opportunity_cards(v("signals")), keys="rec_id symbol date due_date status", rounded="target_low target_high stop", digits=3)
+add("d10_opportunity_cards", lambda v: decisions.opportunity_cards(v("signals")), "signals", "SELECT 'REC_' || strftime(date, '%Y%m%d') || '_' || symbol AS rec_id, symbol, date, close * 1.1 AS target_low, close * 1.15 AS target_high, close * 0.95 AS stop, CAST(date + 30 AS DATE) AS due_date, 'PENDING' AS status FROM signals", "rec_id symbol date due_date status", "target_low target_high stop", 3)
 
 
 def advisory(v) -> DataFrame:
@@ -171,6 +169,26 @@ NV = f"{PR}, nv AS (SELECT *, CASE WHEN max(CASE WHEN ret <= -1 THEN 1 ELSE 0 EN
 add("e18_nav_curve", lambda v: evaluation.nav_curve(evaluation.portfolio_return(v("weights"))).select("portfolio", "step", F.log10("nav").alias("log_nav"), F.log10("bm_nav").alias("log_bm")), "weights", f"WITH {NV} SELECT portfolio, step, log10(nav) AS log_nav, log10(bm_nav) AS log_bm FROM nv", "portfolio step", "log_nav log_bm", 5)
 add("e19_portfolio_stats", lambda v: evaluation.portfolio_stats(evaluation.portfolio_return(v("weights"))), "weights", f"WITH {NV}, x AS (SELECT *, 1 - nav / greatest(max(nav) OVER (PARTITION BY portfolio ORDER BY step), 1) AS dd FROM nv), s AS (SELECT portfolio, max(dd) AS max_drawdown, avg(ret) AS m, stddev_samp(ret) AS s, max_by(nav, step) AS nav, max_by(bm_nav, step) AS bm, count(*) AS n FROM x GROUP BY 1) SELECT portfolio, max_drawdown, CASE WHEN s > 1e-12 THEN m / s * sqrt(12) ELSE 0 END AS sharpe, nav ** (12.0 / n) - 1 AS cagr, nav ** (12.0 / n) - bm ** (12.0 / n) AS alpha FROM s", "portfolio", {"max_drawdown": 5, "sharpe": 5, "cagr": 2, "alpha": 2})
 add("e20_weight_limits_check", lambda v: evaluation.weight_limits_check(v("weights")), "weights", "SELECT portfolio, step, symbol, 'box' AS rule, weight AS value FROM weights WHERE weight > 0.35 UNION ALL SELECT portfolio, step, symbol, 'long only', weight FROM weights WHERE weight < 0 UNION ALL SELECT portfolio, step, NULL, 'budget', sum(weight) FROM weights GROUP BY 1, 2 HAVING abs(sum(weight) - 1) > 1e-6", "portfolio step symbol rule", "value")
+CAPS = "caps(sector, least, most) AS (VALUES (0, 0.05, 0.30), (1, 0.00, 0.25), (2, 0.22, 1.00), (3, 0.10, 0.40))"
+LIMITS = f"""WITH {CAPS}, w AS (SELECT portfolio, step, symbol, symbol % 4 AS sector, weight FROM weights),
+st AS (SELECT portfolio, step, lead(step) OVER (PARTITION BY portfolio ORDER BY step) AS after FROM (SELECT DISTINCT portfolio, step FROM w) x),
+g AS (SELECT st.portfolio, st.step, caps.sector, coalesce(sum(weight), 0) AS value, max(least) AS least, max(most) AS most FROM st CROSS JOIN caps LEFT JOIN w ON w.portfolio = st.portfolio AND w.step = st.step AND w.sector = caps.sector GROUP BY 1, 2, 3),
+mv AS (SELECT portfolio, step, symbol, weight FROM w UNION ALL SELECT st.portfolio, st.after, symbol, -weight FROM st JOIN w ON w.portfolio = st.portfolio AND w.step = st.step WHERE st.after IS NOT NULL),
+tn AS (SELECT portfolio, step, sum(abs(d)) AS value FROM (SELECT portfolio, step, symbol, sum(weight) AS d FROM mv GROUP BY 1, 2, 3) y WHERE step > (SELECT min(step) FROM st WHERE st.portfolio = y.portfolio) GROUP BY 1, 2)
+SELECT portfolio, step, symbol, NULL AS sector, 'box' AS rule, weight AS value FROM w WHERE weight > 0.12
+UNION ALL SELECT portfolio, step, NULL, sector, 'group max', value FROM g WHERE value > most + 1e-9
+UNION ALL SELECT portfolio, step, NULL, sector, 'group min', value FROM g WHERE value < least - 1e-9
+UNION ALL SELECT portfolio, step, NULL, NULL, 'turnover', value FROM tn WHERE value > 0.9 + 1e-9"""
+
+
+def limits_violated(v) -> DataFrame:
+    caps = v.spark.createDataFrame([(0, 0.05, 0.30), (1, 0.00, 0.25), (2, 0.22, 1.00), (3, 0.10, 0.40)], "sector long, least double, most double")
+    w = v("weights").withColumn("sector", F.col("symbol") % 4)
+    box = evaluation.weight_limits_check(w, most=0.12).where("rule <> 'budget'").withColumn("sector", F.lit(None).cast("long"))
+    return box.unionByName(evaluation.group_limits_check(w, caps, "sector")).unionByName(evaluation.turnover_check(w, 0.9).withColumn("sector", F.lit(None).cast("long")))
+
+
+add("e20_weight_limits_caps", limits_violated, "weights", LIMITS, "portfolio step symbol sector rule", "value")
 add("e21_run_stats", lambda v: evaluation.run_stats(v("weights")), "weights", "SELECT portfolio, step, count(*) FILTER (abs(weight) > 1e-6) AS active, max(weight) AS max_weight, min(weight) AS min_weight, sum(weight) AS total FROM weights GROUP BY 1, 2", "portfolio step active", "max_weight min_weight total")
 add("e22_classification_metrics", lambda v: evaluation.classification_metrics(states(v).withColumn("predicted", F.when(F.col("p_success") >= 0.5, 1).otherwise(-1)).withColumn("label", F.col("code"))), "signals", f"WITH {ST} SELECT avg(CASE WHEN code = CASE WHEN p_success >= 0.5 THEN 1 ELSE -1 END THEN 1.0 ELSE 0 END) AS accuracy, min(p_success) AS p_min, max(p_success) AS p_max, stddev_pop(p_success) AS p_std, count(DISTINCT symbol) AS n_symbols, count(*) AS n_rows FROM st", "n_symbols n_rows", "accuracy p_min p_max p_std")
 
@@ -211,9 +229,7 @@ def champion(v) -> DataFrame:
 
 
 add("ml06_champion_challenger", champion)
-add("ml07_per_asset_model", lambda v: ml.per_asset_model(v("predictions").withColumn("square", F.col("score") ** 2).where("abs(score) < 5 and abs(actual) < 5"), ["score"], "actual", ridge=0.0 + 1e-3), "predictions", "SELECT symbol, n, (sy * (sxx + 1e-3) - sx * sxy) / ((n + 1e-3) * (sxx + 1e-3) - sx * sx) AS intercept, ((n + 1e-3) * sxy - sx * sy) / ((n + 1e-3) * (sxx + 1e-3) - sx * sx) AS w_score FROM (SELECT symbol, count(*) AS n, sum(score) AS sx, sum(actual) AS sy, sum(score * score) AS sxx, sum(score * actual) AS sxy FROM predictions WHERE abs(score) < 5 AND abs(actual) < 5 GROUP BY 1) t", "symbol n", "intercept w_score", 4)
-# ml07 leaves out what its SQL leaves out; this one is fitted on the extreme returns too
-add("ml07_per_asset_model_whole", lambda v: ml.per_asset_model(v("predictions"), ["score"], "actual", ridge=0.0 + 1e-3), keys="symbol n", rounded="intercept w_score", digits=4)
+add("ml07_per_asset_model", lambda v: ml.per_asset_model(v("predictions"), ["score"], "actual", ridge=0.0 + 1e-3), "predictions", "SELECT symbol, n, (sy * (sxx + 1e-3) - sx * sxy) / ((n + 1e-3) * (sxx + 1e-3) - sx * sx) AS intercept, ((n + 1e-3) * sxy - sx * sy) / ((n + 1e-3) * (sxx + 1e-3) - sx * sx) AS w_score FROM (SELECT symbol, count(*) AS n, sum(score) AS sx, sum(actual) AS sy, sum(score * score) AS sxx, sum(score * actual) AS sxy FROM predictions GROUP BY 1) t", "symbol n", "intercept w_score", 4)
 
 # -- sources and streams --------------------------------------------------------------------------------------------
 def folder(v) -> str:
@@ -222,11 +238,18 @@ def folder(v) -> str:
     return f"{root.rstrip('/')}/panel-{uuid.uuid4().hex}"
 
 
-def written_panel(v) -> DataFrame:
+def stored_panel(v) -> DataFrame:
     path = folder(v)
     io.write_panel(v("daily_bars"), path)
-    return io.read_panel(v.spark, path, io.PANEL + ", year int").where("year = 1996")
+    return io.read_panel(v.spark, path, io.PANEL + ", year int")
+
+
+def written_panel(v) -> DataFrame:
+    return stored_panel(v).where("year = 1996")
+
 
+# pruning is the feature: whole years by folder, then the date inside the files
+add("s01_read_panel_pruned", lambda v: stored_panel(v).where("year >= 1996 and date >= '1996-03-01'").groupBy("asset_type").agg(F.count("*").alias("n"), F.sum("close").alias("total")), "daily_bars", "SELECT asset_type, count(*) AS n, sum(close) AS total FROM daily_bars WHERE date >= DATE '1996-03-01' GROUP BY asset_type", "asset_type n", "total", 2)
 
 add("s02_write_panel", written_panel, "daily_bars", "SELECT symbol, date, close, volume FROM daily_bars WHERE year(date) = 1996", "symbol date", "close volume", 8)
 

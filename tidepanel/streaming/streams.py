@@ -42,9 +42,11 @@ STATES = "symbol long, date date, code int, p_prev double, days_held int"
 
 def _step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     code, before, held, prev = state.get if state.exists else (0, None, -1, None)
-    for part in rows:
+    # a key's rows may come in several pieces, which are in order only together
+    parts = list(rows)
+    if parts:
         out = []
-        for r in part.sort_values("date").itertuples():
+        for r in pd.concat(parts).sort_values("date").itertuples():
             held += 1
             p = r.p_success
             drop = prev is not None and r.close / prev - 1 <= -max(1.8 * r.atr / prev, 0.04)
