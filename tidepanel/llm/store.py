@@ -17,8 +17,10 @@ BLOCK_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Set a checkpoint folder of our own only where the session names none (tests and local runs)."""
+    """Set a checkpoint folder of our own only where the session names none and runs on one machine (tests, local runs)."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
