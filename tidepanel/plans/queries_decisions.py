@@ -234,7 +234,10 @@ add("ml07_per_asset_model", lambda v: ml.per_asset_model(v("predictions"), ["sco
 # -- sources and streams --------------------------------------------------------------------------------------------
 def folder(v) -> str:
     """A new folder that executors share: under spark.checkpoint.dir, or a temporary one on a single machine."""
-    root = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-panel-")
+    root = v.spark.conf.get("spark.checkpoint.dir", None)
+    if not root and v.spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="spark-panel-")
     return f"{root.rstrip('/')}/panel-{uuid.uuid4().hex}"
 
 
