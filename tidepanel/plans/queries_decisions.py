@@ -252,7 +252,7 @@ def written_panel(v) -> DataFrame:
 
 
 # pruning is the feature: whole years by folder, then the date inside the files
-add("s01_read_panel_pruned", lambda v: stored_panel(v).where("year >= 1996 and date >= '1996-03-01'").groupBy("asset_type").agg(F.count("*").alias("n"), F.sum("close").alias("total")), "daily_bars", "SELECT asset_type, count(*) AS n, sum(close) AS total FROM daily_bars WHERE date >= DATE '1996-03-01' GROUP BY asset_type", "asset_type n", "total", 2)
+add("s01_read_panel_pruned", lambda v: stored_panel(v).where("year >= 1996 and date >= '1996-01-01'").groupBy("asset_type").agg(F.count("*").alias("n"), F.sum("close").alias("total")), "daily_bars", "SELECT asset_type, count(*) AS n, sum(close) AS total FROM daily_bars WHERE date >= DATE '1996-01-01' GROUP BY asset_type", "asset_type n", "total", 2)
 
 add("s02_write_panel", written_panel, "daily_bars", "SELECT symbol, date, close, volume FROM daily_bars WHERE year(date) = 1996", "symbol date", "close volume", 8)
 
