@@ -41,10 +41,15 @@ def date_uniqueness(df: DataFrame) -> DataFrame:
 
 
 def label_uniqueness(spans: DataFrame) -> DataFrame:
-    """Mean inverse concurrency over each span (symbol, start_t, end_t inclusive, ret), and the weight with the return."""
+    """Mean inverse concurrency over each span (symbol, start_t, end_t inclusive, ret), and the weight with the return.
+
+    A repeated row is a span of its own: it counts as concurrent and comes back as often as it was given.
+    """
     points = spans.withColumn("t", F.explode(F.sequence("start_t", "end_t")))
     busy = points.groupBy("symbol", "t").agg(F.count("*").alias("c"))
-    out = points.join(busy, ["symbol", "t"]).groupBy("symbol", "start_t", "end_t", "ret").agg(F.avg(1.0 / F.col("c")).alias("uniqueness"))
+    out = points.join(busy, ["symbol", "t"]).groupBy("symbol", "start_t", "end_t", "ret").agg(F.avg(1.0 / F.col("c")).alias("uniqueness"), F.count("*").alias("_n"))
+    times = (F.col("_n") / F.size(F.sequence("start_t", "end_t"))).cast("int")
+    out = out.withColumn("_n", F.explode(F.sequence(F.lit(1), times))).drop("_n")
     return out.withColumn("weight", F.col("uniqueness") * F.abs("ret"))
 
 

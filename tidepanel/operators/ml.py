@@ -65,7 +65,7 @@ def champion_challenger(df: DataFrame, models: dict[str, PipelineModel]) -> Data
         x = scored.withColumn(f"_ok_{name}", (F.col("class") == F.col("label") + 1).cast("double")).select(*x.columns, f"_ok_{name}")
     row = x.agg(*[F.avg(f"_ok_{n}").alias(n) for n in models])
     out = row.unpivot([], list(models), "model", "accuracy")
-    best = out.agg(F.max_by("model", F.struct("accuracy", F.lit(""))).alias("kept"))
+    best = out.agg(F.min(F.struct((-F.col("accuracy")).alias("less"), "model"))["model"].alias("kept"))
     return out.join(F.broadcast(best)).withColumn("kept", F.col("model") == F.col("kept"))
 
 

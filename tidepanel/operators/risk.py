@@ -98,27 +98,29 @@ def snapshot_volatility(df: DataFrame) -> DataFrame:
 def newey_west_kappa(returns: DataFrame, max_lag: int = 4, n: int = 175) -> DataFrame:
     """Autocorrelation scale of a return panel (symbol, ts, ret) in which absent returns are zero: one row (kappa, avg_rho).
 
-    Moments of the two slices of each lag come from sums over the present returns; zeros enter through the grid size.
+    Moments of the two slices of each lag come from sums over the present returns; zeros enter through the grid size. All
+    lags share one window and one aggregation per symbol; (symbol, ts) is a key.
     """
     grid = returns.select("ts").distinct().withColumn("idx", F.row_number().over(Window.orderBy("ts")) - 1)
     size = grid.agg(F.count("*").alias("g"))
     x = returns.select("symbol", "ts", "ret").join(grid, "ts").join(size)
-    moments = x.groupBy("symbol").agg(F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"), F.max("g").alias("g"))
-    moving = moments.where((F.col("q") - F.col("s") * F.col("s") / F.col("g")) / (F.col("g") - 1) >= 1e-16).select("symbol")
-    x = x.join(moving, "symbol")
-    total = None
+    # the last max_lag rows of a symbol hold every earlier return that is at most max_lag grid steps away
+    w = Window.partitionBy("symbol").orderBy("idx")
+    x = x.withColumns({f"_{c}{j}": F.lag(c, j).over(w) for j in range(1, max_lag + 1) for c in ("idx", "ret")})
+    part = lambda c, v: F.sum(F.when(c, v).otherwise(0.0))
+    sums = [F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"), F.max("g").alias("g")]
     for k in range(1, max_lag + 1):
-        later = x.select("symbol", (F.col("idx") - k).alias("idx"), F.col("ret").alias("y"))
-        cross = x.join(later, ["symbol", "idx"]).groupBy("symbol").agg(F.sum(F.col("ret") * F.col("y")).alias("xy"))
         head, tail = F.col("idx") < F.col("g") - k, F.col("idx") >= k
-        part = lambda c, v: F.sum(F.when(c, v).otherwise(0.0))
-        sums = x.groupBy("symbol").agg(part(head, F.col("ret")).alias("sx"), part(head, F.col("ret") ** 2).alias("qx"), part(tail, F.col("ret")).alias("sy"), part(tail, F.col("ret") ** 2).alias("qy"), (F.max("g") - k).alias("m"))
-        both = sums.join(cross, "symbol", "left")
-        vx, vy = F.col("qx") - F.col("sx") ** 2 / F.col("m"), F.col("qy") - F.col("sy") ** 2 / F.col("m")
-        rho = (F.coalesce("xy", F.lit(0.0)) - F.col("sx") * F.col("sy") / F.col("m")) / F.sqrt(vx * vy)
-        own = both.select("symbol", (F.when((vx > 1e-18) & (vy > 1e-18), rho).otherwise(0.0) * (1 - k / (max_lag + 1.0))).alias("rho"))
-        total = own if total is None else total.unionByName(own)
-    out = total.groupBy("symbol").agg(F.sum("rho").alias("r")).agg(F.avg("r").alias("avg_rho"))
+        product = sum((F.when(F.col(f"_idx{j}") == F.col("idx") - k, F.col(f"_ret{j}") * F.col("ret")).otherwise(0.0) for j in range(1, k + 1)), F.lit(0.0))
+        sums += [part(head, F.col("ret")).alias(f"sx{k}"), part(head, F.col("ret") ** 2).alias(f"qx{k}"), part(tail, F.col("ret")).alias(f"sy{k}"), part(tail, F.col("ret") ** 2).alias(f"qy{k}"), F.sum(product).alias(f"xy{k}")]
+    own = x.groupBy("symbol").agg(*sums).where((F.col("q") - F.col("s") * F.col("s") / F.col("g")) / (F.col("g") - 1) >= 1e-16)
+    total = F.lit(0.0)
+    for k in range(1, max_lag + 1):
+        m = F.col("g") - k
+        vx, vy = F.col(f"qx{k}") - F.col(f"sx{k}") ** 2 / m, F.col(f"qy{k}") - F.col(f"sy{k}") ** 2 / m
+        rho = (F.col(f"xy{k}") - F.col(f"sx{k}") * F.col(f"sy{k}") / m) / F.sqrt(vx * vy)
+        total = total + F.when((vx > 1e-18) & (vy > 1e-18), rho).otherwise(0.0) * (1 - k / (max_lag + 1.0))
+    out = own.agg(F.avg(total).alias("avg_rho"))
     return out.select("avg_rho", F.coalesce(clip(n * (1 + 2 * F.col("avg_rho")), 30, 75), F.lit(45.0)).alias("kappa"))
 
 

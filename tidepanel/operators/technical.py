@@ -32,10 +32,17 @@ def ema(df: DataFrame, spans: dict[str, int], column: str = "close") -> DataFram
 
 def ppo_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, adx: float = 25.0) -> DataFrame:
     """Percentage oscillator, signal line, histogram and its differences, zero-line state, cross and its age, score, label."""
-    two = ema(df, {"fast": fast, "slow": slow}).withColumn("ppo", (F.col("fast") - F.col("slow")) / F.greatest(F.lit(0.001), F.col("slow")) * 100)
-    line = ema(two, {"signal": signal}, "ppo")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        mean = lambda x, n: x.ewm(span=n, adjust=False).mean()
+        low = mean(rows["close"], slow)
+        ppo = (mean(rows["close"], fast) - low) / low.clip(lower=0.001) * 100
+        return rows[["symbol", "date"]].assign(ppo=ppo, signal=mean(ppo, signal))
+
     w = series()
-    x = two.join(line, ["symbol", "date"]).withColumn("hist", F.col("ppo") - F.col("signal"))
+    x = df.select("symbol", "date", "close").groupBy("symbol").applyInPandas(run, f"symbol {dict(df.dtypes)['symbol']}, date date, ppo double, signal double")
+    x = x.withColumn("hist", F.col("ppo") - F.col("signal"))
     x = x.withColumn("delta", F.col("hist") - F.lag("hist").over(w)).withColumn("accel", F.col("delta") - F.lag("delta").over(w))
     x = x.withColumn("bullish_cross", F.col("ppo") > F.col("signal"))
     change = (F.col("bullish_cross") != F.lag("bullish_cross").over(w)).cast("int")
