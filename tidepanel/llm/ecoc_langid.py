@@ -37,14 +37,17 @@ def ngram_features(texts: list) -> np.ndarray:
         if not group:
             return
         joined = LOWER[np.frombuffer(b"\0\0".join(x for _, x in group) + b"\0\0", dtype=np.uint8)].astype(np.uint64)
-        row = np.repeat(np.arange(len(group)), [len(x) + 2 for _, x in group])
+        # an n-gram belongs to the text it starts in, and to one piece of it; two zeros end each text
+        size = np.array([len(x) + 2 for _, x in group])
+        place = np.arange(len(joined)) - np.repeat(np.cumsum(size) - size, size)
+        at = np.flatnonzero(place < np.repeat(np.minimum(size - 2, PIECE), size))
+        row = np.repeat(np.arange(len(group)), size)[at]
         two = joined[:-1] << np.uint64(8) | joined[1:]
         three = two[:-1] << np.uint64(8) | joined[2:]
         ids = np.array([k for k, _ in group])
         for g, tag in ((joined, 1), (two, 2), (three, 3)):
-            n = len(joined) - 2
-            slot = (mix(g[:n] + np.uint64(tag << 40)) % np.uint64(DIMENSIONS)).astype(np.int64)
-            counts = np.bincount(row[:n] * DIMENSIONS + slot, minlength=len(group) * DIMENSIONS).reshape(len(group), DIMENSIONS)
+            slot = (mix(g[at] + np.uint64(tag << 40)) % np.uint64(DIMENSIONS)).astype(np.int64)
+            counts = np.bincount(row * DIMENSIONS + slot, minlength=len(group) * DIMENSIONS).reshape(len(group), DIMENSIONS)
             np.add.at(out, ids, counts.astype(np.float32))
         group.clear()
 
