@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import deleted_interpolation, ecoc_langid, embedding_hnsw, license_scan, quality_pu, sentencepiece_sa, token_store
+from tidepanel.llm import deleted_interpolation, ecoc_langid, embedding_hnsw, license_scan, quality_pu, sentencepiece_sa, store, token_store
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -148,6 +148,24 @@ def test_token_store_equals_the_library(spark, frame, corpus):
     assert got == sorted((s, k, n, c, i) for k, s, n, c, i in want)
 
 
+@pytest.mark.parametrize("rows", [0, 1 << 20])
+def test_token_store_of_many_small_parts(spark, frame, corpus, rows, monkeypatch):
+    """Many tasks and segments, one doc_id in several of them, with and without the broadcast: offsets stay whole."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(store, "PART_BYTES", 2000)
+    monkeypatch.setattr(token_store, "BROADCAST_ROWS", rows)
+    docs = frame.select("doc_id", "text").unionByName(spark.createDataFrame([(5, f"w{k} and more") for k in range(300)], "doc_id long, text string"))
+    path = token_store.store_path(spark)
+    token_store.write_tokens(docs, path, tokenizers.path("word_bpe_49k.json"), segment_tokens=64)
+    got = token_store.read_tokens(spark, path, with_ids=True).orderBy("start").collect()
+    assert spark.read.parquet(path).selectExpr("count(distinct shiftright(segment, 32)) n").first().n > 8
+    want = sorted([*corpus, *[(5, f"w{k} and more") for k in range(300)]], key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert [r.doc_id for r in got] == [k for k, _ in want]
+    plain = [x.ids + [2] for x in Tokenizer.from_file(tokenizers.path("word_bpe_49k.json")).encode_batch([t or "" for _, t in want], add_special_tokens=False)]
+    assert [list(r.ids) for r in got] == plain and [r.start for r in got] == [sum(map(len, plain[:k])) for k in range(len(plain))]
+
+
 def test_elias_fano_select():
     rng = np.random.default_rng(9)
     for n, top in ((1, 0), (1, 10**9), (1000, 10), (1000, 10**7), (5000, 5000)):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import io
+import math
 import tempfile
 from collections.abc import Callable
 
@@ -11,9 +12,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes of a block.
 BLOCK_BYTES = 4 << 20
+#: Text bytes of a partition of ordered documents at most, on average.
+PART_BYTES = 256 << 20
+#: Characters of a text that ranges of documents are cut by, after doc_id.
+BEGINNING = 32
 
 
 def shared_folder(spark: SparkSession) -> None:
@@ -75,6 +81,22 @@ def unpack(payload) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(payload)).read_all()
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """docs in ascending doc_id order (nulls first), then by text, in partitions that follow this order.
+
+    Partitions are those of the session, or as many as PART_BYTES of text need. Different texts of one doc_id may lie in
+    several: ranges are cut by how texts begin, too.
+    """
+    keys = F.col("doc_id"), F.substring("text", 1, BEGINNING)
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = math.ceil(n_bytes / PART_BYTES)
+    if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        dealt = docs.repartitionByRange(parts, *keys)
+    else:
+        dealt = docs.repartitionByRange(*keys)
+    return dealt.sortWithinPartitions("doc_id", "text")
+
+
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, ordered: bool = False) -> DataFrame:
     """Rows (block long, n_rows long, n_bytes long, payload binary): about block_bytes of text each, compressed.
 

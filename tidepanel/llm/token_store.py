@@ -20,12 +20,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.pool import IdPool
-from tidepanel.llm.store import shared_folder, small_batches
+from tidepanel.llm.store import cut, in_order, shared_folder, small_batches
 
 END_ID = 2
 SEGMENT_TOKENS = 1 << 21
 MAGIC = b"EFTOK1\0\0"
 SAMPLE_BYTES = 64
+#: Rows of a store: `ahead` counts the ids that its task wrote before.
+SEGMENTS = "segment long, n_docs long, n_tokens long, ahead long, payload binary"
+#: Tasks of a store whose sums (16 bytes each) are broadcast to its segments; beyond them Spark joins by shuffle.
+BROADCAST_ROWS = 1 << 20
 _ONES = np.array([bin(x).count("1") for x in range(256)], dtype=np.int64)
 
 
@@ -166,13 +170,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, ahead = TaskContext.get().partitionId(), 0, 0
         encoder = _encoder(sent.value)
         docs, lens, ids, size = [], [], [], 0
 
         def row():
             payload = write_segment(docs, np.concatenate(lens), np.concatenate(ids))
-            return pa.RecordBatch.from_pydict({"segment": pa.array([(part << 32) | seq], pa.int64()), "n_docs": pa.array([len(docs)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
+            return pa.RecordBatch.from_pydict({"segment": pa.array([(part << 32) | seq], pa.int64()), "n_docs": pa.array([len(docs)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "ahead": pa.array([ahead], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
         for batch in batches:
             if not batch.num_rows:
@@ -184,20 +188,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             size += len(own)
             if size >= segment_tokens:
                 yield row()
+                ahead += size
                 docs, lens, ids, size, seq = [], [], [], 0, seq + 1
         if docs:
             yield row()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "segment long, n_docs long, n_tokens long, payload binary").write.option("compression", "none").parquet(path)
+    ordered = in_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    ordered.mapInArrow(run, SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids array<long>]) of every document of the store at path."""
-    segments = spark.read.schema("segment long, n_docs long, n_tokens long, payload binary").parquet(path)
-    sums = segments.select("segment", "n_tokens")
-    ahead = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select((F.col("segment") + 0).alias("s"), F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)).alias("base"))
+    segments = spark.read.schema(SEGMENTS).parquet(path).withColumn("part", F.shiftright("segment", 32))
+    # one row for each task that wrote; segments know what stands before them in their own task
+    sums = cut(segments.groupBy("part").agg(F.sum("n_tokens").alias("n")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if sums.count() <= BROADCAST_ROWS:
+        base = F.broadcast(base)
 
     def run(batches):
         for batch in batches:
@@ -213,5 +221,5 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    joined = segments.join(base, F.col("segment") == F.col("s")).select("base", "payload")
+    joined = segments.join(base, "part").select(F.col("base") + F.col("ahead"), "payload")
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
