@@ -294,8 +294,9 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("shard", [40, 4096])
-def test_embedding_links_equal_brute_force(spark, shard):
+@pytest.mark.parametrize(("shard", "partners"), [(9, 2), (40, 16), (4096, 16)])
+def test_embedding_links_equal_brute_force(spark, shard, partners, monkeypatch):
+    monkeypatch.setattr(embedding_hnsw, "PARTNERS", partners)
     rows = vectors()
     ok = [(k, np.array(e, dtype=np.float64), y) for k, e, y in rows if k is not None and y is not None and e and all(v is not None and math.isfinite(v) for v in e) and any(e)]
     links = {k: set() for k, _, _ in ok}

@@ -29,6 +29,8 @@ DEGREE, BUILD_BEAM, BEAM, EXPAND, AUDIT, CHUNK = 12, 32, 32, 4, 64, 1024
 #: Audited queries have so many true links at least (or all queries are audited), and this share of them must be found.
 AUDIT_LINKS = 200
 AUDIT_RECALL = 1.0
+#: Shards that meet a shard in one task at most.
+PARTNERS = 16
 SLACK = 1e-5
 
 
@@ -290,8 +292,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
         return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "shards": [rows["shards"].iloc[0]], "graph": [Graph.build(unit).dump()], "side": [side.getvalue()]})
 
     index = cut(dealt.groupBy("label", "dim", "shard").applyInPandas(build, f"label {kind}, dim int, shard int, shards long, graph binary, side binary"))
-    left = index.select("label", "dim", F.explode(F.sequence(F.col("shard"), (F.col("shards") - 1).cast("int"))).alias("shard"), F.col("shard").alias("a"), F.col("graph").alias("graph_a"), F.col("side").alias("side_a"))
-    right = index.select("label", "dim", "shard", F.col("graph").alias("graph_b"), F.col("side").alias("side_b"))
+    # shard a meets a, a + 1, ... up to half way round, so that each unordered pair comes once and all shards get as many
+    steps = F.sequence(F.lit(0), F.floor(F.col("shards") / 2).cast("int"))
+    half = (F.col("step") * 2 == F.col("shards")) & (F.col("a") * 2 >= F.col("shards"))
+    left = index.select("label", "dim", "shards", F.col("shard").alias("a"), F.explode(steps).alias("step"), F.col("graph").alias("graph_a"), F.col("side").alias("side_a")).where(~half)
+    left = left.withColumn("shard", ((F.col("a") + F.col("step")) % F.col("shards")).cast("int")).withColumn("piece", F.floor(F.col("step") / PARTNERS).cast("int"))
+    pieces = F.sequence(F.lit(0), F.floor(F.floor(F.col("shards") / 2) / PARTNERS).cast("int"))
+    right = index.select("label", "dim", "shard", F.explode(pieces).alias("piece"), F.col("graph").alias("graph_b"), F.col("side").alias("side_b"))
 
     def link(batches):
         for batch in batches:
@@ -315,7 +322,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
                 keep = _forest(i, j, len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[some], ids[i[keep]])), pa.int64()), pa.array([None] * len(some) + ids[j[keep]].tolist(), pa.int64()), pa.array(np.concatenate((n_links[some], np.zeros(len(keep)))).astype(np.int64), pa.int64())], ["a", "b", "n"])
 
-    found = cut(left.join(right, ["label", "dim", "shard"]).select("a", "shard", "graph_a", "side_a", "graph_b", "side_b").mapInArrow(link, "a long, b long, n long"))
+    found = cut(left.join(right, ["label", "dim", "shard", "piece"]).select("a", "shard", "graph_a", "side_a", "graph_b", "side_b").mapInArrow(link, "a long, b long, n long"))
     united = components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
     placed = cut(united.select(F.col("node").alias("class"), "component").join(classes.select("class", "rep"), "class"))
