@@ -103,7 +103,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, ordered: bool = Fals
     ordered: blocks and the rows in them follow doc_id (nulls first), then text. docs must hold doc_id and text.
     """
     if ordered:
-        docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        docs = in_order(docs)
 
     def run(batches):
         from pyspark import TaskContext
