@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import ngram_join, substring_dedup, wu_manber
+from tidepanel.llm import ngram_join, substring_dedup, suffix_automata, wu_manber
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -68,6 +68,12 @@ def brute_components(docs, n, percent):
     return sorted((str(k), len(s), str(least.get(top(i)) if s else k)) for i, ((k, _), s) in enumerate(zip(docs, sets, strict=True)))
 
 
+def test_automata_refuse_large_references(frame, monkeypatch):
+    monkeypatch.setattr(suffix_automata, "REFERENCE_BYTES", 1000)
+    with pytest.raises(ValueError, match="reference"):
+        substring_dedup.dedup_passages(frame, automata=True)
+
+
 @pytest.mark.parametrize("n,percent,short,piece,block,fragments", [(4, 85, 8, 1 << 16, 2048, 4), (5, 80, 2, 4, 3, 1), (4, 60, 1, 4, 4, 3)])
 def test_join_equals_brute_force(frame, corpus, n, percent, short, piece, block, fragments, monkeypatch):
     for name, value in (("SHORT_LIST", short), ("PIECE", piece), ("BLOCK", block)):

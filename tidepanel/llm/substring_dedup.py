@@ -115,7 +115,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     smaller doc_id, among rows with one doc_id at the smaller text, or earlier in the text. Null doc_id sorts first. Null
     and empty texts have no words; texts shorter than the window lose nothing. Same words are 96 bits of two independent
     hashes that agree (128 inside a block). With automata, blocks are the reference shards whose
-    suffix automata all documents stream past instead: exact words and the same result, for small corpora.
+    suffix automata all documents stream past instead: words by one 64-bit hash, the same result, for small corpora.
     """
     spark = docs.sparkSession
     small_batches(spark)

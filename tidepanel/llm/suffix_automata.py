@@ -1,8 +1,8 @@
 """Suffix automata of reference shards, and matching statistics of documents against them.
 
 For references of a bounded size: a shard is a block of documents, its automaton is built in a task, brought to the
-driver and broadcast (SHARD_BYTES of text bound both), and all documents stream past it. The work is documents times
-shards, so the whole corpus is its own reference only on small data; substring_dedup says what is done instead.
+driver and broadcast, and all documents stream past it. The work is documents times shards, so references of more than
+REFERENCE_BYTES of text are refused; substring_dedup says what is done instead. Words are their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tidepanel.llm.store import unpack
 from tidepanel.llm.words import SPACED, Words
 
-SHARD_BYTES = 1 << 20
+#: Text bytes of all shards together at most.
+REFERENCE_BYTES = 64 << 20
 
 
 class SuffixAutomaton:
@@ -80,7 +81,10 @@ class SuffixAutomaton:
 
 def earlier_windows(held: DataFrame, window: int, together: int = 4) -> DataFrame:
     """(block, starts binary): starts of the windows of each block (from store.blocks, ordered) that begin earlier in it or
-    in an earlier block; `together` automata are broadcast at once."""
+    in an earlier block; `together` automata are broadcast at once. ValueError beyond REFERENCE_BYTES of text."""
+    n_bytes = held.agg(F.sum("n_bytes")).first()[0] or 0
+    if n_bytes > REFERENCE_BYTES:
+        raise ValueError(f"{n_bytes} bytes of reference text are more than {REFERENCE_BYTES}")
 
     def build(batches):
         for batch in batches:
