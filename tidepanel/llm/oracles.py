@@ -58,4 +58,30 @@ SELECT m.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, least(m.vec_id, co
 FROM embeddings m LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) k ON k.a = m.vec_id LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = m.vec_id
 """
 
-ORACLES = {"op4_embedding_hnsw": OP4, "op2_substring_dedup": OP2, "op5_ngram_jaccard_join": OP5, "op6_decontamination": OP6}
+OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+f AS (SELECT doc_id, part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) AS c,
+      regexp_matches(t, '[#$%&*|]') AS d, coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS e FROM d),
+m AS (SELECT part, [a, b, c, d, e] AS fails, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM f),
+k AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) AS x),
+o AS (SELECT [p.x, q.x, r.x, s.x, u.x] AS ord FROM l p, l q, l r, l s, l u WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+st AS (SELECT ord, array_to_string(list_transform(ord, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, l.x AS step, ord[l.x] AS own, ord[1:l.x - 1] AS before FROM o, l),
+g AS (SELECT part, filter_order, step, own,
+      sum(CASE WHEN NOT fails[own] AND NOT earlier THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails[own] AND NOT earlier THEN n ELSE 0 END) AS removed,
+      sum(CASE WHEN fails[own] AND earlier THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails[own] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails,
+      sum(CASE WHEN fails[own] AND NOT earlier THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails[own] AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost
+      FROM (SELECT *, len(list_filter(before, lambda x: fails[x])) > 0 AS earlier FROM k, st) GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM g
+"""
+
+OP13 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+c AS (SELECT *, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((strpos('0123456789abcdef', substr(h || '0', i * 5 // 4 + 1, 1)) - 1) * 16
+      + strpos('0123456789abcdef', substr(h || '0', i * 5 // 4 + 2, 1)) - 1) // CAST(2 ** (3 - i * 5 % 4) AS INTEGER)) % 32, 1)) AS b FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(b, '') AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to FROM c
+"""
+
+ORACLES = {"op4_embedding_hnsw": OP4, "op2_substring_dedup": OP2, "op5_ngram_jaccard_join": OP5, "op6_decontamination": OP6, "op11_filter_audit": OP11, "op13_warc": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import deleted_interpolation, ecoc_langid, embedding_hnsw, license_scan, ngram_join, quality_pu, sentencepiece_sa, substring_dedup, token_store, wu_manber
+from tidepanel.llm import deleted_interpolation, ecoc_langid, embedding_hnsw, filter_audit, license_scan, ngram_join, quality_pu, sentencepiece_sa, substring_dedup, token_alignment, token_store, warc, wu_manber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,4 +74,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_paragraphs", "n_licensed", "n_unknown", F.concat_ws(",", "licenses").alias("licenses"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_substring_dedup, op3_sentencepiece, op4_embedding_hnsw, op5_ngram_jaccard_join, op6_decontamination, op7_token_store, op8_deleted_interpolation, op9_ecoc_langid, op10_license_scan)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return token_alignment.align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.store_path(spark)
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    found = warc.page_records(warc.read_archives(spark, path))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_substring_dedup, op3_sentencepiece, op4_embedding_hnsw, op5_ngram_jaccard_join, op6_decontamination, op7_token_store, op8_deleted_interpolation, op9_ecoc_langid, op10_license_scan, op11_filter_audit, op12_token_alignment, op13_warc)}
