@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.windows import cascade, clip, correlation, finite, series
+from tidepanel.functions import tiles
+from tidepanel.functions.windows import cascade, clip, correlation, dates_indexed, finite, series
 from tidepanel.operators.ingest import INTRADAY, NAV
 
 YEAR = 252.0
@@ -127,17 +128,16 @@ def newey_west_kappa(returns: DataFrame, max_lag: int = 4, n: int = 175) -> Data
 def pair_covariance(returns: DataFrame) -> DataFrame:
     """(sym_i, sym_j, cov) for i <= j of a return panel (symbol, ts, ret) in which absent returns are zero.
 
-    Products are summed per pair over common timestamps only; pairs that never meet come from the sums of their symbols.
+    Products are summed tile by tile (see functions/tiles.py), so that no row per pair and date exists; (symbol, ts) is a key.
     """
-    g = returns.agg(F.count_distinct("ts").alias("g"))
     x = returns.select("symbol", "ts", "ret")
-    sums = x.groupBy("symbol").agg(F.sum("ret").alias("s"))
-    a, b = x.select(F.col("symbol").alias("sym_i"), "ts", F.col("ret").alias("x")), x.select(F.col("symbol").alias("sym_j"), "ts", F.col("ret").alias("y"))
-    met = a.join(b, "ts").where("sym_i <= sym_j").groupBy("sym_i", "sym_j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    # the matrix has a row for each pair of symbols of one snapshot: that is the result, not a by-product
-    pairs = sums.select(F.col("symbol").alias("sym_i"), F.col("s").alias("si")).join(sums.select(F.col("symbol").alias("sym_j"), F.col("s").alias("sj")), F.col("sym_i") <= F.col("sym_j"))
-    out = pairs.join(met, ["sym_i", "sym_j"], "left").join(g)
-    return out.select("sym_i", "sym_j", ((F.coalesce("xy", F.lit(0.0)) - F.col("si") * F.col("sj") / F.col("g")) / (F.col("g") - 1)).alias("cov"))
+    grid = dates_indexed(x, "ts")
+    g = grid.agg(F.count("*").alias("g"))
+    names = tiles.numbered(x)
+    known = names.join(x.groupBy("symbol").agg(F.sum("ret").alias("s")), "symbol")
+    side = lambda t, p, k: known.select(F.col("tile").alias(t), F.col("pos").alias(p), F.col("symbol").alias(f"sym_{k}"), F.col("s").alias(f"s{k}"))
+    out = tiles.gram(x, names, grid).join(side("left", "i", "i"), ["left", "i"]).join(side("right", "j", "j"), ["right", "j"]).join(g)
+    return out.select("sym_i", "sym_j", ((F.col("xy") - F.col("si") * F.col("sj") / F.col("g")) / (F.col("g") - 1)).alias("cov"))
 
 
 def bitemporal_cov(intraday: DataFrame, daily: DataFrame, kappa: DataFrame) -> DataFrame:
@@ -147,9 +147,10 @@ def bitemporal_cov(intraday: DataFrame, daily: DataFrame, kappa: DataFrame) -> D
     """
     fast = pair_covariance(intraday).join(kappa.select("kappa")).select("sym_i", "sym_j", (F.col("cov") * F.col("kappa")).alias("cov"))
     members = intraday.select("symbol").distinct()
-    slow = pair_covariance(daily).select("sym_i", "sym_j", (F.col("cov") * 5).alias("cov"))
-    both_fast = slow.join(members.select(F.col("symbol").alias("sym_i")), "sym_i", "left_semi").join(members.select(F.col("symbol").alias("sym_j")), "sym_j", "left_semi").select("sym_i", "sym_j")
-    return fast.unionByName(slow.join(both_fast, ["sym_i", "sym_j"], "left_anti"))
+    member = lambda k: members.select(F.col("symbol").alias(f"sym_{k}"), F.lit(True).alias(f"fast_{k}"))
+    slow = pair_covariance(daily).join(member("i"), "sym_i", "left").join(member("j"), "sym_j", "left")
+    slow = slow.where("fast_i is null or fast_j is null").select("sym_i", "sym_j", (F.col("cov") * 5).alias("cov"))
+    return fast.unionByName(slow)
 
 
 def rolling_cov(returns: DataFrame, n: int = 20, ridge: float = 1e-5) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Technical indicators per symbol over time (T1 to T14). The recursive averages run per symbol in Arrow batches."""
+"""Technical indicators per symbol over time (T1 to T14). Recursive averages are scans of affine maps."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.functions.scan import affine_scan
 from tidepanel.functions.windows import cascade, last_rows, rolled, running, series
 
 
@@ -16,32 +16,22 @@ def moving_stats(df: DataFrame, n: int = 20, at_least: int = 5) -> DataFrame:
     return out.withColumns({"zscore_price": (F.col("close") - F.col("sma")) / low("std"), "zscore_volume": (F.col("volume") - F.col("_vm")) / low("_vs")}).drop("_vm", "_vs")
 
 
-def ema(df: DataFrame, spans: dict[str, int], column: str = "close") -> DataFrame:
-    """Exponential averages seeded with the first value, alpha 2 / (span + 1); spans by name of the result.
-
-    The recursion is not expressible as a window frame; one symbol's history is one Arrow group.
-    """
-    schema = f"symbol {dict(df.dtypes)['symbol']}, date date, " + ", ".join(f"{name} double" for name in spans)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        return rows[["symbol", "date"]].assign(**{name: rows[column].ewm(span=n, adjust=False).mean() for name, n in spans.items()})
-
-    return df.select("symbol", "date", column).groupBy("symbol").applyInPandas(run, schema)
+def ema(df: DataFrame, spans: dict[str, int], column: str = "close", key: str = "symbol", order: str = "date") -> DataFrame:
+    """(key, order, averages): exponential averages seeded with the first value, alpha 2 / (span + 1); spans by name of the
+    result. Rows without a value are left out."""
+    x = df.where(F.col(column).isNotNull()).select(key, order, F.col(column).alias("_x"))
+    alpha = {name: 2.0 / (n + 1) for name, n in spans.items()}
+    return affine_scan(x, {name: (F.lit(1 - al), al * F.col("_x")) for name, al in alpha.items()}, dict.fromkeys(spans, F.col("_x")), key, order, seeded=True).drop("_x")
 
 
 def ppo_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, adx: float = 25.0) -> DataFrame:
     """Percentage oscillator, signal line, histogram and its differences, zero-line state, cross and its age, score, label."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        mean = lambda x, n: x.ewm(span=n, adjust=False).mean()
-        low = mean(rows["close"], slow)
-        ppo = (mean(rows["close"], fast) - low) / low.clip(lower=0.001) * 100
-        return rows[["symbol", "date"]].assign(ppo=ppo, signal=mean(ppo, signal))
-
+    x = ema(df, {"_fast": fast, "_slow": slow})
+    low = F.greatest("_slow", F.lit(0.001))
+    x = x.select("symbol", "date", ((F.col("_fast") - F.col("_slow")) / low * 100).alias("ppo"))
+    alpha = 2.0 / (signal + 1)
+    x = affine_scan(x, {"signal": (F.lit(1 - alpha), alpha * F.col("ppo"))}, {"signal": F.col("ppo")}, seeded=True)
     w = series()
-    x = df.select("symbol", "date", "close").groupBy("symbol").applyInPandas(run, f"symbol {dict(df.dtypes)['symbol']}, date date, ppo double, signal double")
     x = x.withColumn("hist", F.col("ppo") - F.col("signal"))
     x = x.withColumn("delta", F.col("hist") - F.lag("hist").over(w)).withColumn("accel", F.col("delta") - F.lag("delta").over(w))
     x = x.withColumn("bullish_cross", F.col("ppo") > F.col("signal"))
@@ -54,26 +44,16 @@ def ppo_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, adx
 
 def rsi_wilder(df: DataFrame, n: int = 14) -> DataFrame:
     """RSI with the first n changes averaged and Wilder's smoothing after; null before, and its change from row to row."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        change = rows["close"].diff()
-        out = []
-        for part in (change.clip(lower=0), (-change).clip(lower=0)):
-            start = part.rolling(n).mean()
-            smooth = part.where(part.index != part.index[0])
-            seeded = smooth.copy()
-            if len(rows) > n:
-                seeded.iloc[:n] = float("nan")
-                seeded.iloc[n] = start.iloc[n]
-                out.append(seeded.iloc[n:].ewm(alpha=1 / n, adjust=False).mean().reindex(rows.index))
-            else:
-                out.append(pd.Series(float("nan"), index=rows.index))
-        rsi = 100 - 100 / (1 + out[0] / out[1].clip(lower=0.0001))
-        return rows[["symbol", "date"]].assign(rsi=rsi, velocity=rsi.diff())
-
-    got = df.select("symbol", "date", "close").groupBy("symbol").applyInPandas(run, f"symbol {dict(df.dtypes)['symbol']}, date date, rsi double, velocity double")
-    return got.select("symbol", "date", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("rsi", "velocity")])
+    w = series()
+    change = F.col("close") - F.lag("close").over(w)
+    x = df.select("symbol", "date", change.alias("_d"), F.count("*").over(last_rows(n + 2)).alias("_row"))
+    seed, later = F.col("_row") == n + 1, F.col("_row") > n + 1
+    sides = {"_gain": F.greatest(F.col("_d"), F.lit(0.0)), "_loss": F.greatest(-F.col("_d"), F.lit(0.0))}
+    x = x.withColumns({f"{name}0": F.avg(side).over(last_rows(n)) for name, side in sides.items()})
+    maps = {name: (F.when(later, 1 - 1.0 / n).otherwise(0.0), F.when(later, side / n).when(seed, F.col(f"{name}0")).otherwise(0.0)) for name, side in sides.items()}
+    x = affine_scan(x, maps, dict.fromkeys(sides, F.lit(0.0)))
+    x = x.withColumn("rsi", F.when(seed | later, 100 - 100 / (1 + F.col("_gain") / F.greatest("_loss", F.lit(0.0001)))))
+    return x.select("symbol", "date", "rsi", (F.col("rsi") - F.lag("rsi").over(w)).alias("velocity"))
 
 
 def rsi_simple(df: DataFrame, n: int = 20, at_least: int = 5) -> DataFrame:
