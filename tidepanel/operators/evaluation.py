@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.windows import average_rank, cascade, correlation, cross_section, dates_indexed, series
+from tidepanel.functions.windows import average_rank, cascade, clip, correlation, cross_section, dates_indexed, series
 
 
 def _place(score: str, *, up: bool = False) -> Column:
@@ -26,15 +26,24 @@ def spearman(df: DataFrame) -> DataFrame:
     return out.select("date", F.when(F.col("n") < 3, 0.0).otherwise(F.coalesce("c", F.lit(0.0))).alias("spearman"))
 
 
-def root_cause(df: DataFrame, sector: str = "asset_type", rate: float = 0.1) -> DataFrame:
-    """Error, deviation, shock, sector noise, ranking weight, clamped learning rate and a summary per date."""
-    x = df.withColumn("_e", F.col("score") - F.col("actual"))
-    noise = x.groupBy("date", sector).agg(F.avg(F.abs("_e")).alias("m")).groupBy("date").agg(F.stddev_pop("m").alias("sector_std"))
-    own = x.groupBy("date").agg(F.avg(F.abs("_e")).alias("mae"), F.stddev_pop("_e").alias("deviation"), F.max(F.abs("_e")).alias("worst"))
-    out = own.join(noise, "date").join(ndcg_at_k(df), "date")
-    out = out.withColumns({"shock": F.col("worst") / (F.col("worst") + F.col("deviation") + 1e-6), "sector_noise": F.when(F.col("sector_std") > 0.02, 0.5).otherwise(0.2), "ranking_weight": 1 - F.col("ndcg")})
-    out = out.withColumn("learning_rate", F.greatest(F.lit(0.001), F.least(F.lit(rate), rate * F.col("ranking_weight") / (1 + F.col("deviation")))))
-    return out.withColumn("summary", F.format_string("noise %.1f", F.col("sector_noise"))).drop("worst")
+def root_cause(df: DataFrame, market: DataFrame, predicted: str = "score", sector: str = "asset_type") -> DataFrame:
+    """Why predictions of a date failed: error, deviation, weights of a market shock, of sector noise and of ranking, clamped
+    learning rate, and a summary of these figures.
+
+    market: (date, market_return, market_vol). predicted names the predicted return, score ranks. Sectors of one asset do not
+    count; neither do dates without market figures. (date, symbol) is a key.
+    """
+    x = df.withColumn("_e", F.col(predicted) - F.col("actual"))
+    noise = x.groupBy("date", sector).agg(F.avg(F.abs("_e")).alias("m"), F.count("*").alias("n")).groupBy("date").agg(F.stddev_pop(F.when(F.col("n") > 1, F.col("m"))).alias("sector_std"))
+    own = x.groupBy("date").agg(F.avg(F.abs("_e")).alias("mae"), F.stddev_pop("_e").alias("deviation"))
+    out = own.join(noise, "date").join(ndcg_at_k(df), "date").join(spearman(df), "date").join(market, "date")
+    # Limits 0.03 and 0.04, scales 0.05 and 0.06, floor 0.10, noise 0.5 and 0.2 at 0.02, rates 1e-6 to 1e-4
+    move, vol = F.abs("market_return"), F.col("market_vol")
+    out = out.withColumns({"shock": F.when((move > 0.03) | (vol > 0.04), F.least(F.lit(1.0), move / 0.05 + vol / 0.06)).otherwise(0.10), "sector_noise": F.when(F.col("sector_std") > 0.02, 0.5).otherwise(0.2)})
+    out = out.withColumn("ranking_weight", F.greatest(F.lit(0.0), 1 - (0.5 * F.col("shock") + 0.3 * F.col("sector_noise"))) * (1 - F.greatest(F.lit(0.0), F.col("spearman"))))
+    out = out.withColumn("learning_rate", clip(1e-4 * F.col("ranking_weight"), 1e-6, 1e-4))
+    figures = F.format_string("shock %.1f %%, sector noise %.1f %%, ranking %.1f %%, NDCG@10 %.2f, Spearman %.2f", 100 * F.col("shock"), 100 * F.col("sector_noise"), 100 * F.col("ranking_weight"), F.col("ndcg"), F.col("spearman"))
+    return out.select("date", "mae", "deviation", "shock", "sector_noise", "ranking_weight", "learning_rate", "ndcg", "spearman", figures.alias("summary"))
 
 
 def topk_hits(df: DataFrame, k: int = 3) -> DataFrame:
@@ -48,53 +57,85 @@ def topk_hits(df: DataFrame, k: int = 3) -> DataFrame:
 
 def proximity_score(df: DataFrame) -> DataFrame:
     e = F.abs(F.col("score") - F.col("actual")) * 100
-    return df.withColumn("proximity", cascade((e <= 0.5, 100), (e <= 1.5, 50), (e <= 3, 20), (e <= 5, 0), otherwise=-50))
+    return df.withColumn("proximity", cascade((e <= 1, 100), (e <= 3, 50), (e <= 5, 20), (e <= 10, 0), otherwise=-50))
 
 
 def huber_proximity(df: DataFrame, at: float = 0.03) -> DataFrame:
     e = F.abs(F.col("score") - F.col("actual"))
-    return df.groupBy("date").agg(F.avg(F.when(e < at, 0.5 * e * e / at).otherwise(e - 0.5 * at)).alias("huber"))
+    return df.groupBy("date").agg(F.avg(F.when(e < at, 0.5 * F.pow(e / at, 2)).otherwise(e / at - 0.5)).alias("huber"))
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    """Unordered pairs of the assets of a date: the size of a universe squared, once per date."""
-    a = df.select("date", F.col("symbol").alias("i"), F.col("score").alias("pi"), F.col("actual").alias("yi"))
-    b = df.select("date", F.col("symbol").alias("j"), F.col("score").alias("pj"), F.col("actual").alias("yj"))
-    return a.join(b, "date").where("i < j")
+def _hinges(df: DataFrame, margin: float) -> DataFrame:
+    """(date, n, hinges): sum over the pairs of a date of max(0, margin - sign(yi - yj) * (pi - pj)), without making pairs.
+
+    A pair counts margin if its actuals tie, else how far the lower one's score plus margin is above the higher one's score.
+    Assets get the dense rank of their actual; at each bit of it blocks have a lower and an upper half, and each pair meets in
+    the one block whose halves part it. In a block, running sums in the order of scores give each upper asset the lower ones
+    above it: n log n rows a date, and blocks lie in different tasks.
+    """
+    n = F.count("*").over(cross_section())
+    x = df.select("date", (F.dense_rank().over(Window.partitionBy("date").orderBy("actual")) - 1).alias("r"), F.col("score").alias("p"), n.alias("n"))
+    x = x.withColumn("bits", F.ceil(F.log2(F.max("r").over(cross_section()) + 1.0)).cast("int"))
+    ties = x.groupBy("date", "r").agg(F.count("*").alias("c"), F.max("n").alias("n")).groupBy("date").agg(F.max("n").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("ties"))
+    x = x.where("bits > 0").select("date", "r", "p", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("bit"))
+    x = x.select("date", "bit", F.expr("shiftright(r, bit + 1)").alias("block"), (F.expr("shiftright(r, bit)") % 2 == 1).alias("upper"), "p")
+    x = x.withColumn("key", F.when(F.col("upper"), F.col("p")).otherwise(F.col("p") + margin))
+    above = Window.partitionBy("date", "bit", "block").orderBy(F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
+    lower = F.when(~F.col("upper"), F.col("key"))
+    x = x.withColumns({"s": F.sum(lower).over(above), "c": F.count(lower).over(above)})
+    met = x.where("upper and c > 0").groupBy("date").agg(F.sum(F.col("s") - F.col("c") * F.col("p")).alias("h"))
+    return ties.join(met, "date", "left").select("date", "n", (F.coalesce("h", F.lit(0.0)) + margin * F.col("ties")).alias("hinges"))
 
 
 def pairwise_margin_loss(df: DataFrame, margin: float = 0.10) -> DataFrame:
-    term = F.greatest(F.lit(0.0), margin - F.signum(F.col("yi") - F.col("yj")) * (F.col("pi") - F.col("pj")))
-    return _pairs(df).groupBy("date").agg(F.avg(term).alias("pair_loss"))
+    """Mean over the pairs of a date of how far scores miss the order of actuals by a margin; dates of one asset have none."""
+    x = _hinges(df, margin).where("n > 1")
+    return x.select("date", (F.col("hinges") / (F.col("n") * (F.col("n") - 1) / 2)).alias("pair_loss"))
 
 
-def triplet_tail_loss(df: DataFrame, margin: float = 0.10) -> DataFrame:
+def triplet_tail_loss(df: DataFrame, margin: float = 0.10, tail_margin: float = 0.20) -> DataFrame:
     """Pair loss plus hinges that keep the actual best three above the fourth and the worst three below; 0 below 6 assets."""
     x = df.withColumns({"_t": _place("actual"), "_b": _place("actual", up=True)})
-    at = lambda c, fn, ok: fn(F.when(ok, F.col("score")))
-    out = x.groupBy("date").agg(at("t", F.min, F.col("_t") <= 3).alias("worst_top"), at("t", F.max, F.col("_t") == 4).alias("fourth"), at("b", F.max, F.col("_b") <= 3).alias("best_bottom"), at("b", F.min, F.col("_b") == 4).alias("fourth_bottom"), F.count("*").alias("n"))
+    at = lambda fn, ok: fn(F.when(ok, F.col("score")))
+    out = x.groupBy("date").agg(at(F.min, F.col("_t") <= 3).alias("worst_top"), at(F.max, F.col("_t") == 4).alias("fourth"), at(F.max, F.col("_b") <= 3).alias("best_bottom"), at(F.min, F.col("_b") == 4).alias("fourth_bottom"), F.count("*").alias("n"))
     out = out.join(pairwise_margin_loss(df, margin), "date", "left")
-    hinge = F.greatest(F.lit(0.0), margin + F.col("fourth") - F.col("worst_top")) + F.greatest(F.lit(0.0), margin + F.col("best_bottom") - F.col("fourth_bottom"))
+    hinge = F.greatest(F.lit(0.0), tail_margin + F.col("fourth") - F.col("worst_top")) + F.greatest(F.lit(0.0), tail_margin + F.col("best_bottom") - F.col("fourth_bottom"))
     return out.select("date", F.when(F.col("n") < 6, 0.0).otherwise(F.col("pair_loss") + hinge).alias("tail_loss"))
 
 
-def soft_ndcg_loss(df: DataFrame, tau: float = 1.0) -> DataFrame:
-    """Differentiable ranking loss as a metric per date: soft ranks from clamped pair differences, graded relevance 0 to 5,
-    penalties on variance and concentration, and a sigmoid push on crashed assets."""
-    w = cross_section()
-    s = F.stddev_pop("score").over(w)
-    z = F.when(s < 1e-6, 0.0).otherwise((F.col("score") - F.avg("score").over(w)) / s)
+#: Clamp of a scaled score difference, and the least temperature (fixed values).
+CLAMP, LEAST_TAU = 10.0, 0.10
+
+
+def soft_ndcg_loss(df: DataFrame, tau: float = 0.05, eta: float = 1.0) -> DataFrame:
+    """Differentiable ranking loss as a metric per date, for risers and fallers alike.
+
+    Soft ranks are sums of logistics of clamped differences of standardised scores at temperature tau, at least LEAST_TAU.
+    Relevance runs from 0 to 5 by the place of the actual (ties by symbol), in both directions; gains near rank 1 are boosted.
+    Added are a logistic of the scores of crashed assets, a penalty on the spread of scores and one on dominance.
+    The sum over the pairs of a date is left to a join on the date: its rows grow with the square of a date's assets.
+    """
+    w, tau = cross_section(), max(tau, LEAST_TAU)
+    z = (F.col("score") - F.avg("score").over(w)) / (F.stddev_pop("score").over(w) + 1e-5)
     n = F.count("*").over(w)
-    rel = F.floor(5 * (F.rank().over(Window.partitionBy("date").orderBy("actual")) - 1) / F.greatest(n - 1, F.lit(1)))
-    x = df.select("date", "symbol", z.alias("z"), rel.cast("double").alias("rel"), (F.col("actual") <= -0.90).cast("double").alias("crashed"), n.alias("n"))
-    a, b = x.select("date", F.col("symbol").alias("i"), F.col("z").alias("zi")), x.select("date", F.col("symbol").alias("j"), F.col("z").alias("zj"))
-    d = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), (F.col("zj") - F.col("zi")) / tau))
-    soft = a.join(b, "date").where("i <> j").groupBy("date", F.col("i").alias("symbol")).agg((1 + F.sum(1 / (1 + F.exp(-d)))).alias("soft"))
-    x = x.join(soft, ["date", "symbol"], "left").withColumn("soft", F.coalesce("soft", F.lit(1.0)))
-    x = x.withColumns({"g": F.pow(F.lit(2.0), F.col("rel")) - 1, "ideal": F.row_number().over(Window.partitionBy("date").orderBy(F.desc("rel"), "symbol")), "top": F.exp("z") / F.sum(F.exp("z")).over(w)})
-    out = x.groupBy("date").agg(F.sum(F.col("g") / F.log2(1 + F.col("soft"))).alias("dcg"), F.sum(F.col("g") / F.log2(1.0 + F.col("ideal"))).alias("idcg"), F.sum(F.col("top") ** 2).alias("concentration"), F.sum(F.col("crashed") / (1 + F.exp(-F.col("z")))).alias("crash"), F.var_pop("z").alias("variance"))
-    ndcg = F.when(F.col("idcg") <= 1e-8, 1.0).otherwise(F.col("dcg") / F.col("idcg"))
-    return out.select("date", (1 - ndcg + 0.05 * F.greatest(F.lit(0.0), 0.5 - F.col("variance")) + 0.05 * F.col("concentration") + 0.1 * F.col("crash")).alias("soft_loss"))
+    share = (_place("actual", up=True) - 1) / F.greatest(n - 1, F.lit(1))
+    top = F.exp(F.col("score") - F.max("score").over(w))
+    x = df.select("date", "symbol", "score", z.alias("z"), share.alias("share"), (F.col("actual") <= -0.90).alias("crashed"), top.alias("_e"), n.alias("n"))
+    a, b = x.select("date", "symbol", F.col("z").alias("zi")), x.select("date", F.col("z").alias("zj"))
+    d = clip((F.col("zj") - F.col("zi")) / tau, -CLAMP, CLAMP)
+    # an asset meets itself with a half; what a logistic lacks to 1 is that of the other direction
+    soft = a.join(b, "date").groupBy("date", "symbol").agg((F.sum(1 / (1 + F.exp(-d))) + 0.5).alias("soft"))
+    x = x.join(soft, ["date", "symbol"]).withColumn("reverse", F.col("n") + 1 - F.col("soft"))
+    parts = []
+    for rank, grade, name in (("soft", 5 * F.col("share"), "up"), ("reverse", 5 * (1 - F.col("share")), "down")):
+        gain = F.pow(F.lit(2.0), grade) - 1
+        boost = 1 + 4 * F.exp(-0.8 * F.pow(F.col(rank) - 1, 2))
+        place = F.col("n") - F.round(F.col("share") * (F.col("n") - 1)) if name == "up" else F.round(F.col("share") * (F.col("n") - 1)) + 1
+        parts += [F.sum(gain / F.log2(F.col(rank) + 1) * boost).alias(f"dcg_{name}"), F.sum(gain / F.log2(place + 1.0)).alias(f"idcg_{name}")]
+    push = F.sum(F.when(F.col("crashed"), 1 / (1 + F.exp(-F.col("score")))).otherwise(0.0))
+    out = x.groupBy("date").agg(*parts, push.alias("push"), F.stddev_pop("score").alias("std"), (F.max("_e") / F.sum("_e")).alias("most"))
+    side = lambda k: 1 - F.col(f"dcg_{k}") / F.greatest(F.col(f"idcg_{k}"), F.lit(1e-6))
+    return out.select("date", (0.5 * (side("up") + side("down")) + eta * F.col("push") + 0.5 * F.pow(F.col("std") - 1, 2) + 2 * F.greatest(F.col("most") - 0.15, F.lit(0.0))).alias("soft_loss"))
 
 
 def trajectory_error(df: DataFrame, n: int = 21) -> DataFrame:

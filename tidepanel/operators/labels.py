@@ -19,12 +19,23 @@ def barrier_label(df: DataFrame, column: str = "fwd", up: float = 0.075, down: f
 def path_barrier_outcome(cards: DataFrame, bars: DataFrame) -> DataFrame:
     """Outcome of cards (card_id, symbol, issue_date, due_date, target, stop): the target counts before the stop.
 
-    Cards meet the bars of the months that they are open in, not the whole history of their symbol.
+    Days are covered by aligned blocks of 1, 2, 4, ... days, for which highest high and lowest low are known; a card meets at
+    most two blocks of each length, so its joined rows grow with the logarithm of the days that it is open.
     """
-    b = bars.select("symbol", F.trunc("date", "month").alias("_m"), "date", "high", "low")
-    months = F.when(F.col("issue_date") <= F.col("due_date"), F.sequence(F.trunc("issue_date", "month"), F.trunc("due_date", "month"), F.expr("INTERVAL 1 MONTH")))
-    open_ = cards.withColumn("_m", F.explode_outer(months))
-    met = open_.join(b, (open_.symbol == b.symbol) & (open_._m == b._m) & b.date.between(open_.issue_date, open_.due_date), "left").drop(b.symbol)
+    days = F.datediff("due_date", "issue_date") + 1
+    opened = cards.withColumns({"_from": F.datediff("issue_date", F.lit("1970-01-01").cast("date")), "_days": F.greatest(days, F.lit(0))})
+    opened = opened.withColumn("_bits", F.when(F.col("_days") > 0, F.ceil(F.log2(F.col("_days") + 1.0))).otherwise(0).cast("int"))
+    longest = opened.agg(F.coalesce(F.max("_bits"), F.lit(0)).alias("_most"))
+    levels = lambda upto: F.explode(F.sequence(F.lit(0), upto))
+    b = bars.select("symbol", F.datediff("date", F.lit("1970-01-01").cast("date")).alias("_day"), "high", "low").join(F.broadcast(longest))
+    b = b.select("symbol", levels(F.col("_most")).alias("_level"), "_day", "high", "low")
+    blocks = b.groupBy("symbol", "_level", F.expr("shiftright(_day, _level)").alias("_block")).agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    # at each level: first block that starts inside, first one that does not end inside
+    first, end = F.expr("-shiftright(-_from, _level)"), F.expr("shiftright(_from + _days, _level)")
+    met = opened.withColumn("_level", levels(F.col("_bits"))).withColumns({"_first": first, "_end": end})
+    inside = F.col("_first") < F.col("_end")
+    cover = F.array_compact(F.array(F.when(inside & (F.col("_first") % 2 != 0), F.col("_first")), F.when(inside & (F.col("_end") % 2 != 0), F.col("_end") - 1)))
+    met = met.withColumn("_block", F.explode_outer(cover)).join(blocks, ["symbol", "_level", "_block"], "left")
     out = met.groupBy("card_id", "symbol", "target", "stop").agg(F.max("high").alias("max_price"), F.min("low").alias("min_price"))
     return out.withColumn("outcome", cascade((F.coalesce(F.col("max_price") >= F.col("target"), F.lit(False)), "SUCCESS"), (F.coalesce(F.col("min_price") <= F.col("stop"), F.lit(False)), "FAILURE"), otherwise="EXPIRED"))
 
@@ -43,14 +54,21 @@ def date_uniqueness(df: DataFrame) -> DataFrame:
 def label_uniqueness(spans: DataFrame) -> DataFrame:
     """Mean inverse concurrency over each span (symbol, start_t, end_t inclusive, ret), and the weight with the return.
 
-    A repeated row is a span of its own: it counts as concurrent and comes back as often as it was given.
+    Concurrency changes only where spans start or have ended: a sweep over these points counts it and sums its inverse up to
+    each of them, and a span takes the difference between its two ends. Rows grow with the spans, not with their lengths. A
+    repeated row is a span of its own: it counts as concurrent and comes back as often as it was given.
     """
-    points = spans.withColumn("t", F.explode(F.sequence("start_t", "end_t")))
-    busy = points.groupBy("symbol", "t").agg(F.count("*").alias("c"))
-    out = points.join(busy, ["symbol", "t"]).groupBy("symbol", "start_t", "end_t", "ret").agg(F.avg(1.0 / F.col("c")).alias("uniqueness"), F.count("*").alias("_n"))
-    times = (F.col("_n") / F.size(F.sequence("start_t", "end_t"))).cast("int")
-    out = out.withColumn("_n", F.explode(F.sequence(F.lit(1), times))).drop("_n")
-    return out.withColumn("weight", F.col("uniqueness") * F.abs("ret"))
+    starts = spans.select("symbol", F.col("start_t").alias("t"), F.lit(1).alias("d"))
+    ends = spans.select("symbol", (F.col("end_t") + 1).alias("t"), F.lit(-1).alias("d"))
+    points = starts.unionByName(ends).groupBy("symbol", "t").agg(F.sum("d").alias("d"))
+    w = series("symbol", "t")
+    points = points.withColumn("c", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    step = F.when(F.col("c") > 0, (F.lead("t").over(w) - F.col("t")) / F.col("c"))
+    upto = points.select("symbol", "t", step.alias("step")).withColumn("area", F.coalesce(F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    at = lambda t, name: upto.select("symbol", F.col("t").alias(t), F.col("area").alias(name))
+    x = spans.select("symbol", "start_t", "end_t", "ret", (F.col("end_t") + 1).alias("_end")).join(at("start_t", "_a"), ["symbol", "start_t"]).join(at("_end", "_b"), ["symbol", "_end"])
+    x = x.withColumn("uniqueness", (F.col("_b") - F.col("_a")) / (F.col("_end") - F.col("start_t")))
+    return x.select("symbol", "start_t", "end_t", "ret", "uniqueness", (F.col("uniqueness") * F.abs("ret")).alias("weight"))
 
 
 def sample_weights(df: DataFrame, column: str = "fwd") -> DataFrame:

@@ -143,18 +143,27 @@ G = "(2 ** greatest(actual, 0) - 1)"
 ND = f"nd AS (SELECT date, CASE WHEN sum(CASE WHEN at_ <= 10 THEN {G} / log2(at_ + 1) ELSE 0 END) <= 1e-8 THEN 1 ELSE sum(CASE WHEN pt <= 10 THEN {G} / log2(pt + 1) ELSE 0 END) / sum(CASE WHEN at_ <= 10 THEN {G} / log2(at_ + 1) ELSE 0 END) END AS ndcg FROM pq GROUP BY date)"
 add("e01_ndcg_at_k", lambda v: evaluation.ndcg_at_k(v("predictions")), "predictions", f"WITH {PRED}, {ND} SELECT * FROM nd", "date", "ndcg", 5)
 add("e02_spearman", lambda v: evaluation.spearman(v("predictions")), "predictions", "WITH r AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY score) + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0 AS p, rank() OVER (PARTITION BY date ORDER BY actual) + (count(*) OVER (PARTITION BY date, actual) - 1) / 2.0 AS a FROM predictions) SELECT date, CASE WHEN count(*) < 3 OR stddev_pop(p) = 0 OR stddev_pop(a) = 0 THEN 0 ELSE corr(p, a) END AS spearman FROM r GROUP BY date", "date", "spearman", 3)
-add("e03_root_cause", lambda v: evaluation.root_cause(v("predictions")), "predictions", f"""WITH {PRED}, {ND}, o AS (SELECT date, avg(abs(score - actual)) AS mae, stddev_pop(score - actual) AS deviation, max(abs(score - actual)) AS worst FROM predictions GROUP BY date), s AS (SELECT date, stddev_pop(m) AS sd FROM (SELECT date, asset_type, avg(abs(score - actual)) AS m FROM predictions GROUP BY 1, 2) t GROUP BY date)
-SELECT date, mae, deviation, worst / (worst + deviation + 1e-6) AS shock, CASE WHEN sd > 0.02 THEN 0.5 ELSE 0.2 END AS sector_noise, 1 - ndcg AS ranking_weight, greatest(0.001, least(0.1, 0.1 * (1 - ndcg) / (1 + deviation))) AS learning_rate, 'noise ' || CASE WHEN sd > 0.02 THEN '0.5' ELSE '0.2' END AS summary FROM o JOIN s USING (date) JOIN nd USING (date)""", "date summary", "mae deviation shock sector_noise ranking_weight learning_rate", 4)
+def market_facts(v):
+    return v("predictions").groupBy("date").agg((F.avg("actual") / 4).alias("market_return"), (F.stddev_pop("actual") / 20).alias("market_vol"))
+
+
+SPEAR = "sp AS (SELECT date, CASE WHEN count(*) < 3 OR stddev_pop(p) = 0 OR stddev_pop(a) = 0 THEN 0 ELSE corr(p, a) END AS spearman FROM (SELECT date, rank() OVER (PARTITION BY date ORDER BY score) + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0 AS p, rank() OVER (PARTITION BY date ORDER BY actual) + (count(*) OVER (PARTITION BY date, actual) - 1) / 2.0 AS a FROM predictions) r GROUP BY date)"
+add("e03_root_cause", lambda v: evaluation.root_cause(v("predictions"), market_facts(v)).withColumns({"rate": 1e6 * F.col("learning_rate")}), "predictions", f"""WITH {PRED}, {ND}, {SPEAR}, o AS (SELECT date, avg(abs(score - actual)) AS mae, stddev_pop(score - actual) AS deviation, abs(avg(actual) / 4) AS mk, stddev_pop(actual) / 20 AS mv FROM predictions GROUP BY date),
+s AS (SELECT date, coalesce(stddev_pop(m) FILTER (n > 1), 0) AS sd FROM (SELECT date, asset_type, avg(abs(score - actual)) AS m, count(*) AS n FROM predictions GROUP BY 1, 2) t GROUP BY date),
+k AS (SELECT *, CASE WHEN mk > 0.03 OR mv > 0.04 THEN least(1.0, mk / 0.05 + mv / 0.06) ELSE 0.10 END AS shock, CASE WHEN sd > 0.02 THEN 0.50 ELSE 0.20 END AS sector_noise FROM o JOIN s USING (date) JOIN nd USING (date) JOIN sp USING (date)),
+r AS (SELECT *, greatest(0.0, 1.0 - (shock * 0.5 + sector_noise * 0.3)) * (1.0 - greatest(0.0, spearman)) AS ranking_weight FROM k)
+SELECT date, mae, deviation, shock, sector_noise, ranking_weight, 1e6 * least(1e-4, greatest(1e-6, 1e-4 * ranking_weight)) AS rate, ndcg, spearman FROM r""", "date", "mae deviation shock sector_noise ranking_weight rate ndcg spearman", 4)
 add("e04_topk_hits", lambda v: evaluation.topk_hits(v("predictions")), "predictions", f"WITH {PRED}, h AS (SELECT date, count(*) FILTER (pt <= 3 AND at_ <= 3) AS top_hits, count(*) FILTER (pb <= 3 AND ab <= 3) AS bottom_hits FROM pq GROUP BY date) SELECT *, list_extract([0, 10, 50, 100], top_hits + 1) + list_extract([0, 10, 50, 100], bottom_hits + 1) AS points FROM h", "date top_hits bottom_hits points")
-add("e05_proximity_score", lambda v: evaluation.proximity_score(v("predictions")), "predictions", "SELECT date, symbol, CASE WHEN e <= 0.5 THEN 100 WHEN e <= 1.5 THEN 50 WHEN e <= 3 THEN 20 WHEN e <= 5 THEN 0 ELSE -50 END AS proximity FROM (SELECT *, abs(score - actual) * 100 AS e FROM predictions) t", "date symbol proximity")
-add("e06_huber_proximity", lambda v: evaluation.huber_proximity(v("predictions")), "predictions", "SELECT date, avg(CASE WHEN e < 0.03 THEN 0.5 * e * e / 0.03 ELSE e - 0.015 END) AS huber FROM (SELECT date, abs(score - actual) AS e FROM predictions) t GROUP BY date", "date", "huber", 4)
+add("e05_proximity_score", lambda v: evaluation.proximity_score(v("predictions")), "predictions", "SELECT date, symbol, CASE WHEN e <= 1 THEN 100 WHEN e <= 3 THEN 50 WHEN e <= 5 THEN 20 WHEN e <= 10 THEN 0 ELSE -50 END AS proximity FROM (SELECT *, abs(score - actual) * 100 AS e FROM predictions) t", "date symbol proximity")
+add("e06_huber_proximity", lambda v: evaluation.huber_proximity(v("predictions")), "predictions", "SELECT date, avg(CASE WHEN e < 0.03 THEN 0.5 * (e / 0.03) ** 2 ELSE e / 0.03 - 0.5 END) AS huber FROM (SELECT date, abs(score - actual) AS e FROM predictions) t GROUP BY date", "date", "huber", 4)
 PL = "pl AS (SELECT a.date, avg(greatest(0, 0.1 - sign(a.actual - b.actual) * (a.score - b.score))) AS pair_loss FROM predictions a JOIN predictions b ON a.date = b.date AND a.symbol < b.symbol GROUP BY 1)"
 add("e07_pairwise_margin_loss", lambda v: evaluation.pairwise_margin_loss(v("predictions")), "predictions", f"WITH {PL} SELECT * FROM pl", "date", "pair_loss", 4)
-add("e08_triplet_tail_loss", lambda v: evaluation.triplet_tail_loss(v("predictions")), "predictions", f"WITH {PRED}, {PL}, t AS (SELECT date, max(n) AS n, min(score) FILTER (at_ <= 3) AS wt, max(score) FILTER (at_ = 4) AS f, max(score) FILTER (ab <= 3) AS bb, min(score) FILTER (ab = 4) AS g FROM pq GROUP BY date) SELECT t.date, CASE WHEN n < 6 THEN 0 ELSE pair_loss + greatest(0, 0.1 + f - wt) + greatest(0, 0.1 + bb - g) END AS tail_loss FROM t LEFT JOIN pl USING (date)", "date", "tail_loss", 4)
-add("e09_soft_ndcg_loss", lambda v: evaluation.soft_ndcg_loss(v("predictions")), "predictions", """WITH a AS (SELECT date, symbol, actual, CASE WHEN stddev_pop(score) OVER w < 1e-6 THEN 0 ELSE (score - avg(score) OVER w) / stddev_pop(score) OVER w END AS z, floor(5.0 * (rank() OVER (PARTITION BY date ORDER BY actual) - 1) / greatest(count(*) OVER w - 1, 1)) AS rel FROM predictions WINDOW w AS (PARTITION BY date)),
-s AS (SELECT i.date, i.symbol, 1 + sum(1 / (1 + exp(-greatest(-20, least(20, j.z - i.z))))) AS soft FROM a i JOIN a j ON i.date = j.date AND i.symbol <> j.symbol GROUP BY 1, 2),
-b AS (SELECT a.*, coalesce(soft, 1) AS soft, 2 ** rel - 1 AS g, row_number() OVER (PARTITION BY a.date ORDER BY rel DESC, a.symbol) AS k, exp(z) / sum(exp(z)) OVER (PARTITION BY a.date) AS p FROM a LEFT JOIN s ON s.date = a.date AND s.symbol = a.symbol)
-SELECT date, 1 - CASE WHEN sum(g / log2(1 + k)) <= 1e-8 THEN 1 ELSE sum(g / log2(1 + soft)) / sum(g / log2(1 + k)) END + 0.05 * greatest(0, 0.5 - var_pop(z)) + 0.05 * sum(p * p) + 0.1 * sum(CASE WHEN actual <= -0.9 THEN 1 / (1 + exp(-z)) ELSE 0 END) AS soft_loss FROM b GROUP BY date""", "date", "soft_loss", 4)
+add("e08_triplet_tail_loss", lambda v: evaluation.triplet_tail_loss(v("predictions")), "predictions", f"WITH {PRED}, {PL}, t AS (SELECT date, max(n) AS n, min(score) FILTER (at_ <= 3) AS wt, max(score) FILTER (at_ = 4) AS f, max(score) FILTER (ab <= 3) AS bb, min(score) FILTER (ab = 4) AS g FROM pq GROUP BY date) SELECT t.date, CASE WHEN n < 6 THEN 0 ELSE pair_loss + greatest(0, f - wt + 0.2) + greatest(0, bb - g + 0.2) END AS tail_loss FROM t LEFT JOIN pl USING (date)", "date", "tail_loss", 4)
+add("e09_soft_ndcg_loss", lambda v: evaluation.soft_ndcg_loss(v("predictions")), "predictions", """WITH a AS (SELECT date, symbol, score, actual, (score - avg(score) OVER w) / (stddev_pop(score) OVER w + 1e-5) AS z, count(*) OVER w AS n, row_number() OVER (PARTITION BY date ORDER BY actual, symbol) - 1 AS k, exp(score - max(score) OVER w) AS e FROM predictions WINDOW w AS (PARTITION BY date)),
+s AS (SELECT i.date, i.symbol, 1 + sum(1 / (1 + exp(-x))) - 0.5 AS up, 1 + sum(1 / (1 + exp(x))) - 0.5 AS down FROM (SELECT i.date, i.symbol, least(10, greatest(-10, (j.z - i.z) / 0.1)) AS x FROM a i JOIN a j ON i.date = j.date) i GROUP BY 1, 2),
+b AS (SELECT a.*, up, down, 2 ** (5.0 * k / greatest(1, n - 1)) - 1 AS gu, 2 ** (5.0 * (1 - k / greatest(1, n - 1))) - 1 AS gd FROM a JOIN s ON s.date = a.date AND s.symbol = a.symbol)
+SELECT date, 0.5 * (1 - sum(gu / log2(up + 1) * (1 + 4 * exp(-0.8 * (up - 1) ** 2))) / greatest(1e-6, sum(gu / log2(n - k + 1)))) + 0.5 * (1 - sum(gd / log2(down + 1) * (1 + 4 * exp(-0.8 * (down - 1) ** 2))) / greatest(1e-6, sum(gd / log2(k + 2))))
+ + sum(CASE WHEN actual <= -0.9 THEN 1 / (1 + exp(-score)) ELSE 0 END) + 0.5 * (stddev_pop(score) - 1) ** 2 + 2 * greatest(0, max(e) / sum(e) - 0.15) AS soft_loss FROM b GROUP BY date""", "date", "soft_loss", 4)
 add("e10_trajectory_error", lambda v: evaluation.trajectory_error(v("predictions")), "predictions", "WITH i AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM predictions) d), x AS (SELECT * FROM predictions JOIN i USING (date)), s AS (SELECT a.date, b.i, avg(abs(a.score - b.actual)) AS e FROM x a JOIN x b ON a.symbol = b.symbol AND b.i > a.i AND b.i <= a.i + 21 GROUP BY 1, 2) SELECT date, avg(e) AS trajectory, count(*) AS steps FROM s GROUP BY date", "date steps", "trajectory", 4)
 add("e11_rank_report", lambda v: evaluation.rank_report(v("predictions")), "predictions", f"WITH {PRED} SELECT date, symbol, pt AS predicted_rank, at_ AS actual_rank, pt - at_ AS rank_gap FROM pq", "date symbol predicted_rank actual_rank rank_gap")
 add("e12_monthly_signal_audit", lambda v: evaluation.monthly_signal_audit(states(v), labels.forward_return(v("monthly_panel"), 1)), "signals", f"WITH {ST}, f AS (SELECT symbol, date, lead(close) OVER ({BY}) / close - 1 AS fwd FROM monthly_panel) SELECT symbol, count(*) AS calls, count(*) FILTER ((code = 1 AND fwd > 0) OR (code = -1 AND fwd < 0)) AS hits, count(*) FILTER ((code = 1 AND fwd > 0) OR (code = -1 AND fwd < 0)) * 1.0 / count(*) AS accuracy FROM st JOIN f USING (symbol, date) WHERE fwd IS NOT NULL AND code <> 0 GROUP BY symbol", "symbol calls hits", "accuracy")
