@@ -13,7 +13,7 @@ import os
 import re
 import zlib
 from collections import Counter
-from itertools import chain, repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,9 @@ TOGETHER = 4 << 20
 #: Rows of a block of aligned documents.
 BLOCK_DOCS = 1000
 #: Units that a worker remembers, and the characters of a unit that is worth it.
-UNITS, UNIT_CHARS = 300_000, 200
+UNITS, UNIT_CHARS = 500_000, 200
 #: Characters of units that a worker remembers, and that it encodes at once (more if one unit has more).
-HELD_CHARS, LEARN_CHARS = 16 << 20, 1 << 18
+HELD_CHARS, LEARN_CHARS = 24 << 20, 1 << 18
 #: Pairs of ids whose counts are broadcast at most, 17 bytes each; what vocabularies allow is counted first.
 PAIRS = 8_000_000
 SPACE, MARK = " ", "▁"
@@ -79,6 +79,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.of_a, self.of_b = bytes_a(self.a.get_vocab(with_added_tokens=True)), bytes_b(self.b)
+        self.text_a, self.text_b = {k: str(k) for k in self.of_a}, list(map(str, range(len(self.of_b))))
         self.is_byte = [self.b.is_byte(k) for k in range(len(self.of_b))]
         self.width = len(self.of_b)
         # spaces cut texts only if no piece has one behind another character
@@ -117,66 +118,70 @@ class Aligner:
             at = m.start()
         return [*out, whole[at + 1 :]]
 
-    def ends_a(self, unit: str, ids: list[int], offsets: list[tuple[int, int]]) -> dict[int, int]:
-        """Byte place -> tokens up to there, for the tokens of A that end with a character."""
+    def ends_a(self, unit: str, offsets: list[tuple[int, int]]) -> list[int]:
+        """Byte place where each token of A ends; -1 for those that end inside a character, which the next one shares."""
+        ends = [o[1] for o in offsets]
         if unit.isascii():
-            place = None
-        else:
-            lengths = np.fromiter((len(c.encode()) for c in unit), np.int64, len(unit))
-            place = [0, *np.cumsum(lengths).tolist()]
-        out = {}
-        for k, (_, end) in enumerate(offsets, 1):
-            if k == len(ids) or offsets[k][0] >= end:
-                out[end if place is None else place[end]] = k
-        return out
-
-    def ends_b(self, pieces) -> dict[int, int]:
+            return ends
+        place = [0, *accumulate(map(len, map(str.encode, unit)))]
+        starts = [o[0] for o in offsets[1:]]
+        return [place[e] if s >= e else -1 for e, s in zip(ends, [*starts, ends[-1]], strict=True)]
+
+    def ends_b(self, ids: list[int], pieces) -> list[int]:
         """The same for B; spans are bytes of the text behind the added space, empty for all but the last byte of a
         character that was spelt in bytes."""
-        out = {}
-        for k, p in enumerate(pieces, 1):
-            if p.end > p.begin or not self.is_byte[p.id]:
-                out[p.end + 1] = k
-        return out
-
-    def align(self, unit: str, ids_a: list[int], offsets: list, pieces) -> tuple[list[tuple[list[int], list[int]]], bool]:
-        """(groups of ids, whether both give the unit's bytes)."""
-        ids_b = [p.id for p in pieces]
-        raw = unit.encode()
-        a, b = [self.of_a[x] for x in ids_a], [self.of_b[x] for x in ids_b]
-        if b"".join(a) != raw or b"".join(b) != raw:
-            return [], False
-        if len(a) == 1 or len(b) == 1:
-            return [(ids_a, ids_b)], True
-        ends_a, ends_b = self.ends_a(unit, ids_a, offsets), self.ends_b(pieces)
-        inner = len(ends_a) < len(a) and len(ends_b) < len(b)  # both have tokens that end inside a character
-        groups, i, j = [], 0, 0
-        for place in sorted(ends_a.keys() & ends_b.keys()):
-            to_i, to_j = ends_a[place], ends_b[place]
-            if to_i <= i or to_j <= j:
-                continue
-            if to_i - i > 1 and to_j - j > 1 and inner:
-                groups += refined(ids_a[i:to_i], a[i:to_i], ids_b[j:to_j], b[j:to_j])
-            else:
-                groups.append((ids_a[i:to_i], ids_b[j:to_j]))
-            i, j = to_i, to_j
-        if i < len(a):  # no coarse cut at the end
-            groups += refined(ids_a[i:], a[i:], ids_b[j:], b[j:])
-        return groups, True
+        ends = [p.end + 1 for p in pieces]
+        if any(map(self.is_byte.__getitem__, ids)):
+            return [-1 if self.is_byte[p.id] and p.begin == p.end else e for p, e in zip(pieces, ends, strict=True)]
+        return ends
+
+    def align(self, unit: str, ids_a: list[int], offsets: list, ids_b: list[int], pieces) -> list[tuple[int, int]]:
+        """Numbers of tokens of A and B up to each common end."""
+        ends_a, ends_b = self.ends_a(unit, offsets), self.ends_b(ids_b, pieces)
+        inner = -1 in ends_a and -1 in ends_b  # both have tokens that end inside a character
+        place_b = {e: j for j, e in enumerate(ends_b, 1) if e >= 0}
+        cuts, i, j = [], 0, 0
+        for to_i, e in enumerate(ends_a, 1):
+            to_j = place_b.get(e, 0) if e >= 0 else 0
+            if to_j:
+                if inner and to_i - i > 1 and to_j - j > 1:
+                    cuts += [(i + p, j + q) for p, q in refined([self.of_a[x] for x in ids_a[i:to_i]], [self.of_b[x] for x in ids_b[j:to_j]])]
+                else:
+                    cuts.append((to_i, to_j))
+                i, j = to_i, to_j
+        return cuts
 
     def learn(self, units: list[str]) -> None:
-        got_a = self.a.encode_batch([SPACE + u for u in units], add_special_tokens=False)
+        whole = [SPACE + u for u in units]
+        got_a = self.a.encode_batch(whole, add_special_tokens=False)
         got_b = self.b.encode(units, return_type="proto", num_threads=1)
-        n_a, n_b, n_links, links = [], [], [], []
-        for u, x, y in zip(units, got_a, got_b, strict=True):
-            pieces = list(y.pieces)
-            groups, fits = self.align(SPACE + u, x.ids, x.offsets, pieces)
-            n_a.append(len(x.ids))
-            n_b.append(len(pieces))
-            n_links.append(len(groups))
-            links += [g[0][-1] * self.width + g[1][-1] for g in groups]
-            self.known[u] = len(self.groups)
-            self.groups.append(";".join(f"{','.join(map(str, p))}|{','.join(map(str, q))}" for p, q in groups).encode() if fits else None)
+        of_a, of_b, text_a, text_b = self.of_a, self.of_b, self.text_a, self.text_b
+        n_a, n_b, n_links, links, groups = [], [], [], [], []
+        for unit, x, y in zip(whole, got_a, got_b, strict=True):
+            pieces = y.pieces
+            ids_a, ids_b = x.ids, [p.id for p in pieces]
+            raw = unit.encode()
+            n_a.append(len(ids_a))
+            n_b.append(len(ids_b))
+            if b"".join([of_a[k] for k in ids_a]) != raw or b"".join([of_b[k] for k in ids_b]) != raw:
+                n_links.append(0)
+                groups.append(None)
+                continue
+            if len(ids_a) == 1 or len(ids_b) == 1:
+                n_links.append(1)
+                links.append(ids_a[-1] * self.width + ids_b[-1])
+                groups.append(f"{','.join([text_a[k] for k in ids_a])}|{','.join([text_b[k] for k in ids_b])}".encode())
+                continue
+            cuts = self.align(unit, ids_a, x.offsets, ids_b, pieces)
+            n_links.append(len(cuts))
+            i, j, parts = 0, 0, []
+            for to_i, to_j in cuts:
+                parts.append(f"{','.join([text_a[k] for k in ids_a[i:to_i]])}|{','.join([text_b[k] for k in ids_b[j:to_j]])}")
+                links.append(ids_a[to_i - 1] * self.width + ids_b[to_j - 1])
+                i, j = to_i, to_j
+            groups.append(";".join(parts).encode())
+        self.known.update(zip(units, range(len(self.groups), len(self.groups) + len(units)), strict=True))
+        self.groups += groups
         self.held += sum(map(len, units))
         as_array = lambda x: np.array(x, dtype=np.int64)
         self.n_a, self.n_b, self.n_links = np.concatenate((self.n_a, as_array(n_a))), np.concatenate((self.n_b, as_array(n_b))), np.concatenate((self.n_links, as_array(n_links)))
@@ -204,8 +209,13 @@ class Aligner:
         self.uses += np.bincount(at, minlength=len(self.uses))
         stop = np.cumsum(count)
         total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x[at])))[np.concatenate(([0], stop))])
-        bad = np.array([any(self.groups[k] is None for k in at[s - n : s].tolist()) for s, n in zip(stop.tolist(), count.tolist(), strict=True)], dtype=bool)
-        shas = ["" if not n or bad[d] else hashlib.sha256(b";".join([self.groups[k] for k in at[s - n : s].tolist()])).hexdigest() for d, (s, n) in enumerate(zip(stop.tolist(), count.tolist(), strict=True))]
+        bad, shas, groups = np.zeros(len(texts), bool), [], self.groups
+        places, k = at.tolist(), 0
+        for d, n in enumerate(count.tolist()):
+            own = [groups[p] for p in places[k : k + n]]
+            k += n
+            bad[d] = None in own
+            shas.append(hashlib.sha256(b";".join(own)).digest() if n and not bad[d] else b"")
         good = np.where(bad, 0, 1)
         # links of the units of sound documents, one after the other
         use = at[np.repeat(~bad, count)]
@@ -218,20 +228,10 @@ class Aligner:
         return {"n_a": total(self.n_a) * good, "n_b": total(self.n_b) * good, "n_groups": own, "sha": shas, "pairs": both % room, "times": times, "n_pairs": np.bincount(both // room, minlength=len(texts))}
 
 
-def refined(ids_a: list[int], a: list[bytes], ids_b: list[int], b: list[bytes]) -> list[tuple[list[int], list[int]]]:
-    """Groups of tokens between common ends of their decoded bytes."""
-    out, i, j, p, q, last_i, last_j = [], 0, 0, 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if p <= q:
-            p += len(a[i])
-            i += 1
-        else:
-            q += len(b[j])
-            j += 1
-        if p == q:
-            out.append((ids_a[last_i:i], ids_b[last_j:j]))
-            last_i, last_j = i, j
-    return out
+def refined(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """Numbers of tokens up to each common end of two spellings of the same bytes."""
+    ends_b = {e: j for j, e in enumerate(accumulate(map(len, b)), 1)}
+    return [(i, ends_b[e]) for i, e in enumerate(accumulate(map(len, a)), 1) if e in ends_b]
 
 
 _ALIGNERS: dict[int, Aligner] = {}
@@ -267,7 +267,7 @@ def aligned_blocks(docs: DataFrame, tokenizer_path: str, model_path: str) -> Dat
         for piece in _pieces(batches):
             x = aligner.documents(piece.column(1).to_pylist())
             offsets = pa.array(np.concatenate(([0], np.cumsum(x["n_pairs"]))), pa.int32())
-            columns = {"doc_id": piece.column(0), "n_a": pa.array(x["n_a"], pa.int64()), "n_b": pa.array(x["n_b"], pa.int64()), "n_groups": pa.array(x["n_groups"], pa.int64()), "sha": pa.array([bytes.fromhex(s) for s in x["sha"]], pa.binary())}
+            columns = {"doc_id": piece.column(0), "n_a": pa.array(x["n_a"], pa.int64()), "n_b": pa.array(x["n_b"], pa.int64()), "n_groups": pa.array(x["n_groups"], pa.int64()), "sha": pa.array(x["sha"], pa.binary())}
             columns |= {"pairs": pa.ListArray.from_arrays(offsets, pa.array(x["pairs"], pa.int64())), "times": pa.ListArray.from_arrays(offsets, pa.array(x["times"], pa.int32()))}
             yield pa.RecordBatch.from_pydict({"payload": pa.array([pack(pa.table(columns))], pa.binary())})
 
