@@ -102,6 +102,25 @@ def test_near_duplicates_decide_by_row(spark, tmp_path):
     assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted([("1", a), ("2", b), ("5", c), ("None", words(50, 4)), ("8", ""), ("8", ""), ("9", "None")])
 
 
+def test_row_numbers_do_not_follow_the_splits(spark, tmp_path):
+    """Numbers of rows are the same however many splits a job reads, and those of rows that come from no file are written."""
+    rows = spark.range(20_000).selectExpr("id as doc_id", "sha2(cast(id as string), 512) as text")
+    rows.repartition(4).write.option("parquet.block.size", 1 << 17).option("compression", "none").parquet(f"{tmp_path}/d")
+    docs, key, seen = spark.read.parquet(f"{tmp_path}/d"), "spark.sql.leafNodeDefaultParallelism", []
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for cores in ("2", "13"):
+            spark.conf.set(key, cores)
+            seen.append(({r.doc_id: r.row for r in corpus_pipeline.numbered(docs, "row").select("doc_id", "row").collect()}, docs.rdd.getNumPartitions()))
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (a, m), (b, n) = seen
+    assert m != n and a == b and len(set(a.values())) == 20_000
+    made = corpus_pipeline.numbered(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), "row")
+    assert {r.doc_id: r.row for r in made.collect()} == {r.doc_id: r.row for r in made.collect()}
+
+
 def docs_column(spark):
     from pyspark.sql import functions as F
 
