@@ -5,7 +5,8 @@ run() writes what a stage returns as Parquet in the shared folder and reads it a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm import ngram_join, quality_pu, sentencepiece_sa, substring_dedup, token_store, wu_manber
@@ -21,14 +22,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_pu.score_quality(docs, model).where("predicted = 1").select(docs.columns)
 
 
+#: Rows of a file at most.
+FILE_ROWS = 1 << 40
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a number for each row, the same in every job however the tables are split: place of the file among all
+    files by path, and of the row in its file. Tables that do not come from files are written first.
+
+    The broadcast has one row for each file, of which the driver holds the list anyway.
+    """
+    path, index = free_name(docs, "file_path"), free_name(docs, "row_index")
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
+    except AnalysisException:
+        return cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    files = rows.select(F.col(path).alias("file")).distinct().withColumn("n", F.row_number().over(Window.orderBy("file")).cast("long") - 1)
+    met = rows.join(F.broadcast(files), F.col(path) == F.col("file"))
+    return met.select(*docs.columns, (F.col("n") * FILE_ROWS + F.col(index)).alias(row))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id (nulls last), one row of repeated ones.
 
-    The join works on row numbers, so that another text under the same doc_id stays. docs is read twice and must come in
-    the same order both times, as a written table does.
+    The join works on row numbers, so that another text under the same doc_id stays.
     """
     row = free_name(docs, "row")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = numbered(docs, row)
     groups = ngram_join.jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), PERCENT, SHINGLE)
     groups = groups.select((F.col("doc_id") + 0).alias("member"), "component_id").join(rows.select("doc_id", row), F.col("member") == F.col(row))
     groups = cut(groups.select("component_id", "member", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "member").alias("place")))
