@@ -69,14 +69,19 @@ def winsorize(df: DataFrame, column: str, low: float = 0.025, high: float = 0.97
     return out.withColumn("winsorized", F.greatest(F.least(F.col(column), F.col("upper")), F.col("lower"))).drop("_q")
 
 
-def delist_decouple(df: DataFrame, column: str = "ret", crash: float = -0.90, target: float = -2.0, low: float = 0.025, high: float = 0.975, date: str = "date") -> DataFrame:
-    """Crashed rows get a fixed target and stay out of the quantiles by which the others are clipped."""
-    x = df.withColumn("is_delisted", F.coalesce(F.col(column) <= crash, F.lit(False)))
+def delist_decouple(df: DataFrame, column: str = "ret", crash: float = -0.90, target: float = -2.0, low: float = 0.025, high: float = 0.975, date: str = "date", flag: str | None = None) -> DataFrame:
+    """Delisted rows get a fixed target and stay out of the quantiles by which the others are clipped.
+
+    A boolean column flag, if named, says which rows are delisted (null: not); else those are that fell to crash or below. The
+    spread of the others is 0 on a date on which all are delisted.
+    """
+    gone = F.col(flag) if flag else F.col(column) <= crash
+    x = df.withColumn("is_delisted", F.coalesce(gone, F.lit(False)))
     healthy = F.when(~F.col("is_delisted"), F.col(column))
     q = x.groupBy(date).agg(F.percentile(healthy, F.array(F.lit(low), F.lit(high))).alias("_q"))
     x = x.join(q, date)
     t = F.when(F.col("is_delisted"), target).otherwise(F.greatest(F.least(F.col(column), F.col("_q")[1]), F.col("_q")[0]))
-    return x.withColumns({"target": t, "spread": F.col("_q")[1] - F.col("_q")[0]}).drop("_q")
+    return x.withColumns({"target": t, "spread": F.coalesce(F.col("_q")[1] - F.col("_q")[0], F.lit(0.0))}).drop("_q")
 
 
 def sector_median(df: DataFrame, metric: str, sector: str = "sector", date: str = "as_of") -> DataFrame:

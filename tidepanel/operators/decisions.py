@@ -147,7 +147,7 @@ def opportunity_cards(df: DataFrame, horizon: str = "month") -> DataFrame:
 
 
 def advisory_table(df: DataFrame, parts: list[str], k: int = 2) -> DataFrame:
-    """Action, confidence, the largest positive and negative contributions of the part scores, sector exposure.
+    """Action, confidence, recommended weight, the largest positive and negative contributions of the part scores, sector exposure.
 
     df: symbol, date, sector, p_success, weight and a column <part>_score per part.
     """
@@ -156,7 +156,7 @@ def advisory_table(df: DataFrame, parts: list[str], k: int = 2) -> DataFrame:
     down = F.slice(F.array_sort(F.filter(each, lambda s: s.v < 0)), 1, k)
     buy = F.col("p_success") > 0.60
     exposure = F.sum("weight").over(Window.partitionBy("date", "sector"))
-    return df.select("symbol", "date", F.when(buy, "BUY").otherwise("HOLD").alias("action"), (F.col("p_success") * 100).alias("confidence_pct"), F.concat_ws(",", F.transform(up, lambda s: s.part)).alias("positive"), F.concat_ws(",", F.transform(down, lambda s: s.part)).alias("negative"), exposure.alias("sector_exposure"))
+    return df.select("symbol", "date", F.when(buy, "ACCUMULATE_BUY").otherwise("NEUTRAL_HOLD").alias("action"), (F.col("p_success") * 100).alias("confidence_pct"), (100 * F.col("weight")).alias("weight_pct"), F.concat_ws(",", F.transform(up, lambda s: s.part)).alias("positive"), F.concat_ws(",", F.transform(down, lambda s: s.part)).alias("negative"), exposure.alias("sector_exposure"))
 
 
 def top_bottom(df: DataFrame, k: int = 3, score: str = "score") -> DataFrame:

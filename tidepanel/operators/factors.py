@@ -76,14 +76,23 @@ def clean_features(df: DataFrame, columns=FACTORS, skip_dates: int = 5) -> DataF
     return x.withColumns({c: clean(F.col(c)) for c in columns}).withColumn("last3", F.array("lag_2", "lag_1", "ret_1")).drop("idx")
 
 
-def horizon_factors(df: DataFrame, short: int = 21, long: int = 63) -> DataFrame:
-    """H1 to H5: 21-row return, strength against the date's median, Sharpe momentum, VWAP ratio, the median itself."""
+def horizon_factors(df: DataFrame, short: int = 21, long: int = 63, sector: str | None = None) -> DataFrame:
+    """H1 to H5: 21-row return, strength against the median of the date (of its sector, if a sector column is named), Sharpe
+    momentum, ratio of volume-weighted means (of plain means, where df has no volume), the median of the date."""
     w = series()
-    x = df.withColumns({"ret_21d": F.col("close") / F.lag("close", short).over(w) - 1, "_r": F.col("close") / F.lag("close").over(w) - 1, "_pv": F.col("close") * F.col("volume")})
-    vwap = lambda n: rolled(F.sum, "_pv", n, n) / rolled(F.sum, "volume", n, n)
-    x = x.withColumns({"sharpe_momentum": rolled(F.avg, "_r", short, short) / (rolled(F.stddev_samp, "_r", short, short) + 1e-5) * math.sqrt(252.0), "vwap_ratio": vwap(short) / vwap(long) - 1})
+    x = df.withColumns({"ret_21d": F.col("close") / F.lag("close", short).over(w) - 1, "_r": F.col("close") / F.lag("close").over(w) - 1})
+    if "volume" in df.columns:
+        x = x.withColumn("_pv", F.col("close") * F.col("volume"))
+        mean = lambda n: rolled(F.sum, "_pv", n, n) / rolled(F.sum, "volume", n, n)
+    else:
+        mean = lambda n: rolled(F.avg, "close", n, n)
+    x = x.withColumns({"sharpe_momentum": rolled(F.avg, "_r", short, short) / (rolled(F.stddev_samp, "_r", short, short) + 1e-5) * math.sqrt(252.0), "vwap_ratio": mean(short) / mean(long) - 1})
     x = date_median(x, "ret_21d", "macro_spread")
-    return x.withColumn("rs_sector", F.col("ret_21d") - F.col("macro_spread")).drop("_r", "_pv")
+    against = "macro_spread"
+    if sector:
+        against = "_median"
+        x = x.join(x.groupBy("date", sector).agg(F.percentile("ret_21d", 0.5).alias(against)), ["date", sector])
+    return x.withColumn("rs_sector", F.col("ret_21d") - F.col(against)).drop("_r", "_pv", "_median")
 
 
 def risk_adjusted_target(df: DataFrame, n: int = 21) -> DataFrame:

@@ -27,11 +27,13 @@ def _unit(c: Column) -> Column:
 def pe_score(df: DataFrame) -> DataFrame:
     """Raw and adjusted price-earnings, yield, growth ratio, relative multiple, premium, z, flags, score, confidence, label.
 
-    Sector medians and five-year history come from the table itself.
+    Sector medians and five-year history come from the table itself. One-off income is taken off, one-off expenses (a column
+    that may be missing) are added back.
     """
     mc, ni = F.col("market_cap"), F.col("net_income")
     wins = lambda c: F.greatest(F.lit(1.0), F.least(F.lit(500.0), c))
-    adj = ni - F.col("one_off_income")
+    expense = F.coalesce("one_off_expense", F.lit(0.0)) if "one_off_expense" in df.columns else F.lit(0.0)
+    adj = ni - F.col("one_off_income") + expense
     negative = (ni <= 0) | (mc <= 0)
     x = df.withColumns({"negative": negative, "raw_pe": F.when(~negative, wins(mc / ni)), "adjusted_pe": F.when((adj > 0) & (mc > 0), wins(mc / adj))})
     x = x.withColumn("pe", F.coalesce("adjusted_pe", "raw_pe"))
@@ -99,9 +101,14 @@ def ebitda_score(df: DataFrame) -> DataFrame:
 
 
 def ev_score(df: DataFrame) -> DataFrame:
-    """Enterprise value and its multiples, leverage, three flags, score and label; sector medians from the table."""
-    gross = 0.5 * F.col("total_liabilities")
-    x = df.withColumns({"ev": F.col("market_cap") + gross + F.col("leases") - F.col("cash"), "_gross": gross, "_e": F.col("ebitda")})
+    """Enterprise value and its multiples, leverage, four flags, score and label; sector medians from the table.
+
+    Needs market_cap, gross_debt, leases, cash, restricted_cash, associates, minority, ebitda and capex. Restricted cash is no
+    cash, associates are taken off, a fifth of minority interest is added.
+    """
+    free_cash = F.col("cash") - F.col("restricted_cash")
+    ev = F.col("market_cap") + F.col("gross_debt") + F.col("leases") - free_cash - F.col("associates") + 0.20 * F.col("minority")
+    x = df.withColumns({"ev": ev, "restricted_cash_adjusted": F.col("restricted_cash") > 0, "_gross": F.col("gross_debt"), "_e": F.col("ebitda")})
     ok = F.col("_e") > 0
     x = x.withColumns({"ev_ebitda": F.when(ok, F.col("ev") / F.col("_e")), "ev_after_capex": F.when(ok, F.when(F.col("_e") > F.col("capex"), F.col("ev") / (F.col("_e") - F.col("capex"))).otherwise(999.0)), "ev_leverage": F.col("_gross") / F.greatest(F.lit(1.0), F.when(ok, F.abs("ev")).otherwise(F.col("ev")))})
     x = sector_median(x, "ev_ebitda")

@@ -48,9 +48,10 @@ def custody_concentration(custody: DataFrame, k: int = 3) -> DataFrame:
 
 
 def money_flow_fusion(df: DataFrame) -> DataFrame:
-    """Stealth accumulation, flow scores and overall signal from (obi, concentration, net_flow, price_change)."""
+    """Stealth accumulation, four flow scores, overall signal and label from (obi, concentration, custody, net_flow,
+    price_change); custody is the score of custody_concentration, 0.80 where there is none."""
     stealth = (F.col("price_change") < 0) & (F.col("net_flow") > 0)
-    return df.withColumns({"regime": F.when(stealth, "STEALTH_ACCUMULATION_DETECTED").otherwise("NEUTRAL"), "order_book_score": 0.5 + 0.4 * F.col("obi"), "broker_score": 0.5 + 0.4 * F.col("concentration"), "money_flow_score": F.when(F.col("net_flow") > 0, 0.85).otherwise(0.40), "signal": F.when(stealth, 0.88).otherwise(0.50)})
+    return df.withColumns({"regime": F.when(stealth, "STEALTH_ACCUMULATION_DETECTED").otherwise("NEUTRAL"), "order_book_score": 0.5 + 0.4 * F.col("obi"), "broker_score": 0.5 + 0.4 * F.col("concentration"), "custody_score": F.coalesce("custody", F.lit(0.80)), "money_flow_score": F.when(F.col("net_flow") > 0, 0.85).otherwise(0.40), "signal": F.when(stealth, 0.88).otherwise(0.50), "label": F.when(stealth, "STRONG_BULLISH_INSTITUTIONAL_BUY").otherwise("NEUTRAL")})
 
 
 def macro_regime(df: DataFrame, volatility_limit: float = 30.0) -> DataFrame:

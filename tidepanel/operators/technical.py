@@ -122,11 +122,16 @@ def obv(df: DataFrame, start: float = 1_000_000.0) -> DataFrame:
 
 
 def rvol_flow(df: DataFrame) -> DataFrame:
-    """Volume against its mean so far, spike and illiquidity flags, divergence of price and flow, score and label."""
+    """Volume against its mean so far, bid-ask delta, spike and illiquidity flags, divergence of price and flow, score, label.
+
+    The delta is what buyers took less what sellers gave (bid_volume, ask_volume, if df has them); 0 where that is unknown.
+    """
+    sides = {"bid_volume", "ask_volume"} <= set(df.columns)
+    delta = F.coalesce("bid_volume", F.lit(0.0)) - F.coalesce("ask_volume", F.lit(0.0)) if sides else F.lit(0.0)
     x = obv(df).withColumns({"rvol": F.col("volume") / F.greatest(F.lit(1.0), F.avg("volume").over(running())), "_dp": F.col("close") - F.first("close").over(running()), "_do": F.col("obv") - F.first("obv").over(running())})
     hidden = (F.col("_dp") < 0) & (F.col("_do") > 0)
     case = lambda *v: cascade((hidden, v[0]), ((F.col("_dp") > 0) & (F.col("rvol") < 0.6), v[1]), (F.col("rvol") > 2, v[2]), otherwise=v[3])
-    return x.select("symbol", "date", "obv", "obv_mean", "rvol", (F.col("rvol") > 2).alias("is_spike"), (F.col("rvol") < 0.5).alias("is_illiquid"), hidden.alias("accumulation"), case(0.90, 0.18, 0.85, 0.50).alias("score"), case("SMART_MONEY_ACCUMULATION", "UNSUPPORTED_VOLUME_TRAP", "STRONG_VOLUME_BREAKOUT", "NEUTRAL_VOLUME_FLOW").alias("label"))
+    return x.select("symbol", "date", "obv", "obv_mean", "rvol", delta.alias("delta"), (F.col("rvol") > 2).alias("is_spike"), (F.col("rvol") < 0.5).alias("is_illiquid"), hidden.alias("accumulation"), case(0.90, 0.18, 0.85, 0.50).alias("score"), case("SMART_MONEY_ACCUMULATION", "UNSUPPORTED_VOLUME_TRAP", "STRONG_VOLUME_BREAKOUT", "NEUTRAL_VOLUME_FLOW").alias("label"))
 
 
 RETRACEMENTS = {"level_236": 0.236, "level_382": 0.382, "level_500": 0.5, "level_618": 0.618, "level_650": 0.65, "level_786": 0.786}

@@ -178,8 +178,8 @@ c AS (SELECT *, {full('avg(bandwidth)', 'bandwidth', 20, 5)} AS bm, {full('stdde
 SELECT symbol, date, mid + 2 * s AS upper, mid, mid - 2 * s AS lower, bandwidth, pct_b, CASE WHEN bs > 1e-9 THEN (bandwidth - bm) / bs ELSE 0 END AS bandwidth_z, CASE WHEN pct_b > 0.5 THEN 'UPWARD_EXPANSION' ELSE 'DOWNWARD_EXPANSION' END AS direction, CASE WHEN pct_b > 1 THEN 0.7 WHEN pct_b < 0 THEN 0.1 ELSE 0.5 END AS score FROM c""", "symbol date direction", "upper mid lower bandwidth pct_b bandwidth_z score", 3)
 OBV = f"ob AS (SELECT *, 1000000 + sum(mv) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS obv FROM (SELECT *, coalesce(sign(close - lag(close) OVER ({BY})), 0) * volume AS mv FROM daily_bars) a)"
 add("t11_obv", lambda v: technical.obv(v("daily_bars")), "daily_bars", f"WITH {OBV} SELECT symbol, date, obv, avg(obv) OVER {last(20)} AS obv_mean FROM ob", "symbol date", "obv obv_mean", 3)
-add("t12_rvol_flow", lambda v: technical.rvol_flow(v("daily_bars")), "daily_bars", f"""WITH {OBV}, a AS (SELECT symbol, date, obv, volume / greatest(1, avg(volume) OVER r) AS rvol, close - first_value(close) OVER r AS dp, obv - first_value(obv) OVER r AS dv FROM ob WINDOW r AS ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT symbol, date, obv, rvol, rvol > 2 AS is_spike, rvol < 0.5 AS is_illiquid, dp < 0 AND dv > 0 AS accumulation, CASE WHEN dp < 0 AND dv > 0 THEN 0.9 WHEN dp > 0 AND rvol < 0.6 THEN 0.18 WHEN rvol > 2 THEN 0.85 ELSE 0.5 END AS score FROM a""", "symbol date is_spike is_illiquid accumulation", "obv rvol score", 3)
+add("t12_rvol_flow", lambda v: technical.rvol_flow(v("daily_bars").withColumns({"bid_volume": F.col("auction_volume").cast("double"), "ask_volume": (F.col("volume") - F.col("auction_volume")).cast("double")})), "daily_bars", f"""WITH {OBV}, a AS (SELECT symbol, date, obv, 2 * auction_volume - volume AS delta, volume / greatest(1, avg(volume) OVER r) AS rvol, close - first_value(close) OVER r AS dp, obv - first_value(obv) OVER r AS dv FROM ob WINDOW r AS ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT symbol, date, obv, delta, rvol, rvol > 2 AS is_spike, rvol < 0.5 AS is_illiquid, dp < 0 AND dv > 0 AS accumulation, CASE WHEN dp < 0 AND dv > 0 THEN 0.9 WHEN dp > 0 AND rvol < 0.6 THEN 0.18 WHEN rvol > 2 THEN 0.85 ELSE 0.5 END AS score FROM a""", "symbol date is_spike is_illiquid accumulation", "obv rvol delta score", 3)
 add("t13_fib_levels", lambda v: technical.fib_levels(v("daily_bars")), "daily_bars", f"""WITH a AS (SELECT symbol, date, close, max(high) OVER {last(60)} AS h, min(low) OVER {last(60)} AS l FROM daily_bars)
 SELECT symbol, date, h AS swing_high, l AS swing_low, {', '.join(f"h - (h - l) * {s} AS {n}" for n, s in technical.RETRACEMENTS.items())}, close < h - (h - l) * 0.786 AS invalidated, CASE WHEN close < h - (h - l) * 0.786 THEN 'BELOW_0786_BROKEN' WHEN close < h - (h - l) * 0.618 THEN 'LEVEL_0786' WHEN close < h - (h - l) * 0.5 THEN 'LEVEL_0618' WHEN close < h - (h - l) * 0.382 THEN 'LEVEL_0500' WHEN close < h - (h - l) * 0.236 THEN 'LEVEL_0382' ELSE 'ABOVE_0236' END AS zone FROM a""", "symbol date invalidated zone", "swing_high swing_low " + " ".join(technical.RETRACEMENTS), 4)
 
@@ -200,6 +200,9 @@ HZ = f"""h1 AS (SELECT *, close / lag(close, 21) OVER ({BY}) - 1 AS ret_21d, clo
 h2 AS (SELECT *, {full('avg(r)', 'r', 21, 21)} / ({full('stddev_samp(r)', 'r', 21, 21)} + 1e-5) * sqrt(252) AS sharpe_momentum, ({full('sum(pv)', 'pv', 21, 21)} / {full('sum(volume)', 'volume', 21, 21)}) / ({full('sum(pv)', 'pv', 63, 63)} / {full('sum(volume)', 'volume', 63, 63)}) - 1 AS vwap_ratio, quantile_cont(ret_21d, 0.5) OVER (PARTITION BY date) AS macro_spread FROM h1),
 hx AS (SELECT *, ret_21d - macro_spread AS rs_sector FROM h2)"""
 add("h01_h05_horizon_factors", lambda v: factors.horizon_factors(v("daily_bars")), "daily_bars", f"WITH {HZ} SELECT * FROM hx", "symbol date", "ret_21d rs_sector sharpe_momentum vwap_ratio macro_spread", 4)
+HS = f"""h1 AS (SELECT *, close / lag(close, 21) OVER ({BY}) - 1 AS ret_21d FROM daily_bars), h2 AS (SELECT *, quantile_cont(ret_21d, 0.5) OVER (PARTITION BY date) AS macro_spread, quantile_cont(ret_21d, 0.5) OVER (PARTITION BY date, symbol % 7) AS ms,
+{full('avg(close)', 'close', 21, 21)} / {full('avg(close)', 'close', 63, 63)} - 1 AS vwap_ratio FROM h1)"""
+add("h02_h04_sector_strength", lambda v: factors.horizon_factors(v("daily_bars").drop("volume").withColumn("sector", F.col("symbol") % 7), sector="sector"), "daily_bars", f"WITH {HS} SELECT symbol, date, symbol % 7 AS sector, ret_21d - ms AS rs_sector, vwap_ratio, macro_spread FROM h2", "symbol date sector", "rs_sector vwap_ratio macro_spread", 4)
 TG = f"tg AS (SELECT symbol, date, asset_type, CASE WHEN {NAV} THEN (lead(close, 22) OVER ({BY}) - lead(close, 1) OVER ({BY})) / (lead(close, 1) OVER ({BY}) + 1e-5) ELSE (lead(close, 21) OVER ({BY}) - close) / (close + 1e-5) END / (coalesce({full('stddev_samp(r)', 'r', 21, 21)}, 0.01) + 1e-5) AS target FROM (SELECT *, close / lag(close) OVER ({BY}) - 1 AS r FROM daily_bars) b)"
 add("h06_risk_adjusted_target", lambda v: factors.risk_adjusted_target(v("daily_bars")), "daily_bars", f"WITH {TG} SELECT * FROM tg", "symbol date", "target", 3)
 CZ = "CASE WHEN n = 1 THEN {c} WHEN {s} <= 1e-7 THEN {f} ELSE least(3, greatest(-3, ({c} - {m}) / {s})) END AS {c}"
@@ -218,6 +221,7 @@ add("n05_date_zscore", lambda v: crosssec.date_zscore(v("monthly_panel"), "volum
 add("n06_alpha_normalise", lambda v: crosssec.alpha_normalise(v("panel_returns"), "ret"), "panel_returns", f"WITH a AS (SELECT symbol, date, asset_type, coalesce(ret, quantile_cont(ret, 0.5) OVER (PARTITION BY date), 0) AS x FROM panel_returns), b AS (SELECT *, avg(x) OVER (PARTITION BY date) AS m, stddev_pop(x) OVER (PARTITION BY date) AS s FROM a) SELECT symbol, date, CASE WHEN s < 1e-6 THEN 0 ELSE (x - m) / s END * 0.02 * CASE WHEN {NAV} THEN 0.8 ELSE 1 END AS alpha, -CASE WHEN s < 1e-6 THEN 0 ELSE (x - m) / s END * 0.02 * CASE WHEN {NAV} THEN 0.8 ELSE 1 END AS q FROM b", "symbol date", "alpha q")
 add("n07_winsorize", lambda v: crosssec.winsorize(v("panel_returns"), "ret"), "panel_returns", "WITH a AS (SELECT symbol, date, coalesce(ret, quantile_cont(ret, 0.5) OVER (PARTITION BY date), 0) AS ret FROM panel_returns), b AS (SELECT *, quantile_cont(ret, 0.025) OVER (PARTITION BY date) AS lower, quantile_cont(ret, 0.975) OVER (PARTITION BY date) AS upper FROM a) SELECT symbol, date, lower, upper, greatest(least(ret, upper), lower) AS winsorized FROM b", "symbol date", "lower upper winsorized", 4)
 add("n08_delist_decouple", lambda v: crosssec.delist_decouple(v("panel_returns").where("ret is not null"), crash=-0.5), "panel_returns", "WITH a AS (SELECT symbol, date, ret, ret <= -0.5 AS is_delisted, quantile_cont(CASE WHEN ret > -0.5 THEN ret END, 0.025) OVER (PARTITION BY date) AS lo, quantile_cont(CASE WHEN ret > -0.5 THEN ret END, 0.975) OVER (PARTITION BY date) AS hi FROM panel_returns WHERE ret IS NOT NULL) SELECT symbol, date, is_delisted, CASE WHEN is_delisted THEN -2 ELSE greatest(least(ret, hi), lo) END AS target, hi - lo AS spread FROM a", "symbol date is_delisted", "target spread", 4)
+add("n08_delist_flag", lambda v: crosssec.delist_decouple(v("panel_returns").where("ret is not null").withColumn("gone", F.expr("CASE WHEN month(date) = 3 THEN true WHEN symbol % 5 = 0 THEN true WHEN symbol % 5 = 1 THEN NULL ELSE false END")), flag="gone"), "panel_returns", "WITH a AS (SELECT symbol, date, ret, month(date) = 3 OR symbol % 5 = 0 AS is_delisted FROM panel_returns WHERE ret IS NOT NULL), b AS (SELECT *, quantile_cont(ret, 0.025) FILTER (NOT is_delisted) OVER (PARTITION BY date) AS lo, quantile_cont(ret, 0.975) FILTER (NOT is_delisted) OVER (PARTITION BY date) AS hi FROM a) SELECT symbol, date, is_delisted, CASE WHEN is_delisted THEN -2 ELSE greatest(least(ret, hi), lo) END AS target, coalesce(hi - lo, 0) AS spread FROM b", "symbol date is_delisted", "target spread", 4)
 add("n09_sector_median", lambda v: crosssec.sector_median(v("fundamentals"), "revenue"), "fundamentals", "SELECT ticker, as_of, quantile_cont(revenue, 0.5) OVER (PARTITION BY as_of, sector) AS sector_revenue FROM fundamentals", "ticker as_of", "sector_revenue", 2)
 add("n10_history_zscore", lambda v: crosssec.history_zscore(v("fundamentals"), "revenue"), "fundamentals", "SELECT ticker, as_of, CASE WHEN s > 1e-9 THEN (revenue - m) / s ELSE 0 END AS revenue_z FROM (SELECT ticker, as_of, revenue, stddev_samp(revenue) OVER w AS s, avg(revenue) OVER w AS m FROM fundamentals WINDOW w AS (PARTITION BY ticker ORDER BY date_diff('day', DATE '1970-01-01', as_of) RANGE BETWEEN 1825 PRECEDING AND CURRENT ROW)) t", "ticker as_of", "revenue_z", 4)
 

@@ -18,7 +18,7 @@ BY = "PARTITION BY symbol ORDER BY date"
 BANDS = "CASE WHEN {p} >= 0.75 THEN 'BULLISH' WHEN {p} >= 0.60 THEN 'MODERATE_BULLISH' WHEN {p} >= 0.40 THEN 'NEUTRAL' ELSE 'BEARISH' END"
 
 # -- fundamentals ---------------------------------------------------------------------------------------------------
-PE = """pe1 AS (SELECT *, net_income <= 0 OR market_cap <= 0 AS negative, CASE WHEN net_income > 0 AND market_cap > 0 THEN greatest(1, least(500, market_cap / net_income)) END AS raw_pe, CASE WHEN net_income - one_off_income > 0 AND market_cap > 0 THEN greatest(1, least(500, market_cap / (net_income - one_off_income))) END AS adjusted_pe FROM company),
+PE = """pe1 AS (SELECT *, net_income <= 0 OR market_cap <= 0 AS negative, CASE WHEN net_income > 0 AND market_cap > 0 THEN greatest(1, least(500, market_cap / net_income)) END AS raw_pe, CASE WHEN net_income - one_off_income + one_off_expense > 0 AND market_cap > 0 THEN greatest(1, least(500, market_cap / (net_income - one_off_income + one_off_expense))) END AS adjusted_pe FROM company),
 pe2 AS (SELECT *, coalesce(adjusted_pe, raw_pe) AS pe FROM pe1), pe3 AS (SELECT *, quantile_cont(pe, 0.5) OVER (PARTITION BY as_of, sector) AS sector_pe, avg(pe) OVER w AS pm, stddev_samp(pe) OVER w AS ps FROM pe2 WINDOW w AS (PARTITION BY ticker ORDER BY date_diff('day', DATE '1970-01-01', as_of) RANGE BETWEEN 1825 PRECEDING AND CURRENT ROW)),
 pe4 AS (SELECT *, pe / greatest(0.1, growth_pct) AS peg, CASE WHEN pe IS NOT NULL AND sector_pe > 0 THEN pe / sector_pe ELSE 1 END AS rel, CASE WHEN pe IS NOT NULL THEN 1 / pe - risk_free ELSE -risk_free END AS erp, net_debt / greatest(1, ebitda) AS lev, CASE WHEN pe IS NOT NULL AND ps > 1e-9 THEN (pe - pm) / ps ELSE 0 END AS pe_z, sector IN (1, 3) AS cyc, one_off_income > 0 AS oo FROM pe3),
 pe5 AS (SELECT *, round(least(1, greatest(0, 0.5 + CASE WHEN rel < 0.8 THEN 0.15 WHEN rel > 1.5 THEN -0.2 ELSE 0 END + CASE WHEN risk_free > 0.2 AND rel > 1.2 THEN -0.15 ELSE 0 END + CASE WHEN erp > 0.05 THEN 0.05 WHEN erp < 0 THEN -0.05 ELSE 0 END)), 6) AS pts FROM pe4),
@@ -35,11 +35,11 @@ EB = f"""eb1 AS (SELECT *, ebit + depreciation AS re FROM company), eb2 AS (SELE
 eb4 AS (SELECT *, round(least(1, greatest(0, 0.6 + CASE WHEN conversion >= 0.4 THEN 0.15 ELSE 0 END + CASE WHEN margin > 0.1 THEN 0.1 ELSE 0 END + CASE WHEN leverage < 3 THEN 0.05 WHEN leverage > 4 THEN -0.15 ELSE 0 END + CASE WHEN f3 THEN -0.05 ELSE 0 END + CASE WHEN f1 THEN -0.04 ELSE 0 END + CASE WHEN f2 THEN -0.1 ELSE 0 END)), 6) AS pts FROM eb3),
 ebx AS (SELECT *, CASE WHEN conversion < 0.3 THEN 0.18 WHEN net_income < 0 AND leverage < 4 THEN 0.78 ELSE pts END AS score, CASE WHEN conversion < 0.3 THEN 'VALUE_TRAP_NO_CASH_CONVERSION' WHEN net_income < 0 AND leverage < 4 THEN 'TURNAROUND_BUY' ELSE {BANDS.format(p='pts')} END AS label FROM eb4)"""
 add("v03_ebitda_score", lambda v: fundamentals.ebitda_score(v("company")), "company", f"WITH {EB} SELECT ticker, as_of, label, re AS raw_ebitda, margin, score FROM ebx", "ticker as_of label", {"raw_ebitda": 2, "margin": 5, "score": 4})
-EV = f"""ev1 AS (SELECT *, market_cap + 0.5 * total_liabilities + leases - cash AS ev, 0.5 * total_liabilities AS gross FROM company), ev2 AS (SELECT *, CASE WHEN ebitda > 0 THEN ev / ebitda END AS ev_ebitda, CASE WHEN ebitda > 0 THEN CASE WHEN ebitda > capex THEN ev / (ebitda - capex) ELSE 999 END END AS eac, gross / greatest(1, CASE WHEN ebitda > 0 THEN abs(ev) ELSE ev END) AS lev FROM ev1),
+EV = f"""ev1 AS (SELECT *, market_cap + gross_debt + leases - (cash - restricted_cash) - associates + minority * 0.20 AS ev, gross_debt AS gross FROM company), ev2 AS (SELECT *, CASE WHEN ebitda > 0 THEN ev / ebitda END AS ev_ebitda, CASE WHEN ebitda > 0 THEN CASE WHEN ebitda > capex THEN ev / (ebitda - capex) ELSE 999 END END AS eac, gross / greatest(1, CASE WHEN ebitda > 0 THEN abs(ev) ELSE ev END) AS lev FROM ev1),
 ev3 AS (SELECT *, quantile_cont(ev_ebitda, 0.5) OVER (PARTITION BY as_of, sector) AS med, coalesce(eac / greatest(0.1, ev_ebitda) > 2.5, false) AS trap FROM ev2), ev4 AS (SELECT *, coalesce(ev_ebitda < 0.75 * med, false) AND NOT trap AS tt FROM ev3),
 ev5 AS (SELECT *, round(least(1, greatest(0, 0.5 + CASE WHEN ev_ebitda < 0.85 * med THEN 0.15 WHEN ev_ebitda > 1.4 * med THEN -0.2 ELSE 0 END + CASE WHEN tt THEN 0.1 ELSE 0 END + CASE WHEN lev > 0.6 THEN -0.15 ELSE 0 END)), 6) AS pts FROM ev4),
 evx AS (SELECT *, CASE WHEN ebitda <= 0 THEN 0.15 WHEN ev < 0 THEN 0.95 WHEN trap THEN 0.22 WHEN ev_ebitda < 0.7 * med AND lev < 0.5 THEN 0.86 ELSE pts END AS score, CASE WHEN ebitda <= 0 THEN 'CASH_BURN_RED_FLAG' WHEN ev < 0 THEN 'STRONG_BUY_NET_NET_LIQUIDATION' WHEN trap THEN 'BEARISH_CAPEX_TRAP' WHEN ev_ebitda < 0.7 * med AND lev < 0.5 THEN 'BULLISH' ELSE {BANDS.format(p='pts')} END AS label FROM ev5)"""
-add("v04_ev_score", lambda v: fundamentals.ev_score(v("company")), "company", f"WITH {EV} SELECT ticker, as_of, label, trap AS capex_trap, tt AS takeover_target, ev, lev AS ev_leverage, score FROM evx", "ticker as_of label capex_trap takeover_target", {"ev": 2, "ev_leverage": 5, "score": 4})
+add("v04_ev_score", lambda v: fundamentals.ev_score(v("company")), "company", f"WITH {EV} SELECT ticker, as_of, label, trap AS capex_trap, tt AS takeover_target, restricted_cash > 0 AS restricted_cash_adjusted, ev, lev AS ev_leverage, score FROM evx", "ticker as_of label capex_trap takeover_target restricted_cash_adjusted", {"ev": 2, "ev_leverage": 5, "score": 4})
 RO = f"""ro1 AS (SELECT *, (equity + coalesce(lag(equity, 4) OVER (PARTITION BY ticker ORDER BY as_of), equity)) / 2 AS ae FROM company), ro2 AS (SELECT *, CASE WHEN ae > 0 THEN net_income / ae END AS raw_roe, CASE WHEN ae > 0 THEN (net_income - one_off_income) / ae END AS core_roe, CASE WHEN ae > 0 THEN greatest(1, total_assets) / ae END AS lev, CASE WHEN ae > 0 THEN greatest(1, revenue) / greatest(1, total_assets) END AS turn, CASE WHEN ae > 0 THEN ebit / greatest(1, revenue) END AS em FROM ro1),
 ro3 AS (SELECT *, CASE WHEN NOT ae > 0 THEN 'DOUBLE_NEGATIVE_BANKRUPTCY' WHEN lev > 5 THEN 'LEVERAGE_DRIVEN' WHEN turn > 2 THEN 'ASSET_TURNOVER_DRIVEN' WHEN em > 0.15 THEN 'MOAT_MARGIN_DRIVEN' ELSE 'BALANCED' END AS driver FROM ro2),
 ro4 AS (SELECT *, round(least(1, greatest(0, CASE WHEN core_roe > 0.25 AND lev < 4 THEN 0.85 ELSE 0.5 END + CASE WHEN core_roe - 0.1 > 0.15 THEN 0.07 ELSE 0 END + CASE WHEN driver IN ('ASSET_TURNOVER_DRIVEN', 'MOAT_MARGIN_DRIVEN') THEN 0.05 ELSE 0 END)), 6) AS pts FROM ro3),
@@ -66,11 +66,12 @@ def flow_facts(v):
     book = micro.book_imbalance(v("book_levels")).groupBy("ticker").agg(F.max_by("obi", "ts").alias("obi"))
     net = v("broker_flow").groupBy("ticker", "as_of").agg(F.sum("net_lot").alias("net_flow"))
     price = v("company").withColumn("price_change", F.col("price") / F.lag("price").over(pit.series("ticker", "as_of")) - 1).select("ticker", "as_of", "price_change")
-    return broker.join(net, ["ticker", "as_of"]).join(book, "ticker").join(price, ["ticker", "as_of"])
+    held = micro.custody_concentration(v("custody")).groupBy("ticker", F.trunc("week", "quarter").alias("as_of")).agg(F.max_by("score", "week").alias("custody"))
+    return broker.join(net, ["ticker", "as_of"]).join(book, "ticker").join(price, ["ticker", "as_of"]).join(held, ["ticker", "as_of"], "left")
 
 
-FF = f"{BC}, {BI}, ff AS (SELECT bc.ticker, bc.as_of, buyer_share - seller_share AS concentration, obi, net_flow, price_change FROM bc JOIN (SELECT ticker, as_of, sum(net_lot) AS net_flow FROM broker_flow GROUP BY 1, 2) n USING (ticker, as_of) JOIN (SELECT ticker, max_by(obi, ts) AS obi FROM bi GROUP BY 1) o USING (ticker) JOIN (SELECT ticker, as_of, price / lag(price) OVER (PARTITION BY ticker ORDER BY as_of) - 1 AS price_change FROM company) c USING (ticker, as_of))"
-add("m04_money_flow_fusion", lambda v: micro.money_flow_fusion(flow_facts(v)), "company broker_flow book_levels", f"WITH {FF} SELECT ticker, as_of, 0.5 + 0.4 * obi AS order_book_score, 0.5 + 0.4 * concentration AS broker_score, CASE WHEN net_flow > 0 THEN 0.85 ELSE 0.4 END AS money_flow_score, CASE WHEN price_change < 0 AND net_flow > 0 THEN 0.88 ELSE 0.5 END AS signal, CASE WHEN price_change < 0 AND net_flow > 0 THEN 'STEALTH_ACCUMULATION_DETECTED' ELSE 'NEUTRAL' END AS regime FROM ff", "ticker as_of regime", "order_book_score broker_score money_flow_score signal")
+FF = f"{BC}, {BI}, hs AS (SELECT ticker, CAST(date_trunc('quarter', week) AS DATE) AS as_of, max_by(CASE WHEN top / al >= 0.7 THEN 0.80 ELSE 0.50 END, week) AS held FROM (SELECT ticker, week, sum(CASE WHEN k <= 3 THEN shares ELSE 0 END) AS top, sum(shares) AS al FROM (SELECT *, row_number() OVER (PARTITION BY ticker, week ORDER BY shares DESC, custodian) AS k FROM custody) a GROUP BY 1, 2) b GROUP BY 1, 2), ff AS (SELECT bc.ticker, bc.as_of, held, buyer_share - seller_share AS concentration, obi, net_flow, price_change FROM bc JOIN (SELECT ticker, as_of, sum(net_lot) AS net_flow FROM broker_flow GROUP BY 1, 2) n USING (ticker, as_of) JOIN (SELECT ticker, max_by(obi, ts) AS obi FROM bi GROUP BY 1) o USING (ticker) JOIN (SELECT ticker, as_of, price / lag(price) OVER (PARTITION BY ticker ORDER BY as_of) - 1 AS price_change FROM company) c USING (ticker, as_of) LEFT JOIN hs USING (ticker, as_of))"
+add("m04_money_flow_fusion", lambda v: micro.money_flow_fusion(flow_facts(v)), "company broker_flow book_levels custody", f"WITH {FF} SELECT ticker, as_of, 0.5 + 0.4 * obi AS order_book_score, 0.5 + 0.4 * concentration AS broker_score, coalesce(held, 0.80) AS custody_score, CASE WHEN net_flow > 0 THEN 0.85 ELSE 0.4 END AS money_flow_score, CASE WHEN price_change < 0 AND net_flow > 0 THEN 0.88 ELSE 0.5 END AS signal, CASE WHEN price_change < 0 AND net_flow > 0 THEN 'STEALTH_ACCUMULATION_DETECTED' ELSE 'NEUTRAL' END AS regime, CASE WHEN price_change < 0 AND net_flow > 0 THEN 'STRONG_BULLISH_INSTITUTIONAL_BUY' ELSE 'NEUTRAL' END AS label FROM ff", "ticker as_of regime label", "order_book_score broker_score custody_score money_flow_score signal")
 
 
 def macro_facts(v):
@@ -127,7 +128,7 @@ def advisory(v) -> DataFrame:
 
 
 add("d11_advisory", advisory, "signals", """WITH a AS (SELECT symbol, date, symbol % 5 AS sector, p_success, p_bull / 100 AS weight, [{'v': p_success - 0.5, 'part': 'rank'}, {'v': p_bull - 0.5, 'part': 'momentum'}, {'v': symbol % 11 / 10.0 - 0.5, 'part': 'size'}] AS ps FROM signals)
-SELECT symbol, date, CASE WHEN p_success > 0.6 THEN 'BUY' ELSE 'HOLD' END AS action, p_success * 100 AS confidence_pct, array_to_string(list_transform(list_slice(list_reverse_sort(list_filter(ps, lambda s: s.v > 0)), 1, 2), lambda s: s.part), ',') AS positive, array_to_string(list_transform(list_slice(list_sort(list_filter(ps, lambda s: s.v < 0)), 1, 2), lambda s: s.part), ',') AS negative, sum(weight) OVER (PARTITION BY date, sector) AS sector_exposure FROM a""", "symbol date action positive negative", "confidence_pct sector_exposure", 4)
+SELECT symbol, date, CASE WHEN p_success > 0.6 THEN 'ACCUMULATE_BUY' ELSE 'NEUTRAL_HOLD' END AS action, p_success * 100 AS confidence_pct, 100 * weight AS weight_pct, array_to_string(list_transform(list_slice(list_reverse_sort(list_filter(ps, lambda s: s.v > 0)), 1, 2), lambda s: s.part), ',') AS positive, array_to_string(list_transform(list_slice(list_sort(list_filter(ps, lambda s: s.v < 0)), 1, 2), lambda s: s.part), ',') AS negative, sum(weight) OVER (PARTITION BY date, sector) AS sector_exposure FROM a""", "symbol date action positive negative", "confidence_pct weight_pct sector_exposure", 4)
 RK = "row_number() OVER (PARTITION BY date ORDER BY {c} {d}, symbol)"
 PRED = "pq AS (SELECT date, symbol, asset_type, score, actual, " + ", ".join(f"{RK.format(c=c, d=d)} AS {n}" for c, d, n in (("score", "DESC", "pt"), ("actual", "DESC", "at_"), ("score", "ASC", "pb"), ("actual", "ASC", "ab"))) + ", count(*) OVER (PARTITION BY date) AS n FROM predictions)"
 add("d12_top_bottom", lambda v: decisions.top_bottom(v("predictions")), "predictions", f"WITH {PRED} SELECT date, symbol, pt AS rank_top, pb AS rank_bottom FROM pq WHERE pt <= 3 OR pb <= 3", "date symbol rank_top rank_bottom")

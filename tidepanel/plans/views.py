@@ -61,7 +61,8 @@ WHERE mom IS NOT NULL""",
        0.06 * f.depreciation AS leases, 0.01 * f.revenue AS stock_pay, 0.004 * f.revenue AS capitalised_capex, 0.02 * f.revenue AS capex,
        0.9 * f.ebit + f.depreciation AS operating_cash, 0.35 * f.total_assets AS current_assets, 0.45 * f.total_liabilities AS current_liabilities,
        0.1 * f.total_assets AS inventories, 0.04 * f.total_assets AS related_receivables, 0.01 * f.total_assets AS doubtful_receivables,
-       0.05 * f.total_assets AS cash, 0.1 * p.vol AS free_float_shares, 0.2 + 0.05 * (f.ticker % 5) AS risk_free, 12.0 + f.ticker % 9 AS growth_pct
+       0.05 * f.total_assets AS cash, 0.1 * p.vol AS free_float_shares, 0.2 + 0.05 * (f.ticker % 5) AS risk_free, 12.0 + f.ticker % 9 AS growth_pct, 0.003 * f.revenue * (f.ticker % 2) AS one_off_expense, 0.5 * f.total_liabilities AS gross_debt,
+       0.01 * f.total_assets * (f.ticker % 3) AS restricted_cash, 0.02 * f.total_assets AS associates, 0.015 * f.total_assets AS minority
 FROM fundamentals f JOIN (SELECT symbol, CAST(date_trunc('quarter', date) AS DATE) AS q, max_by(close, date) AS px, SUM(volume) AS vol
      FROM daily_bars GROUP BY symbol, CAST(date_trunc('quarter', date) AS DATE)) p ON p.symbol = f.ticker AND p.q = f.as_of""",
 }
