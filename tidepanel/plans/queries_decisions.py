@@ -301,8 +301,20 @@ def replay(v, source: DataFrame, build, files: int = 1, order: str | None = None
     else:
         source.repartition(files).write.parquet(f"{path}/in")
     stream = v.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1 if order else 1000).parquet(f"{path}/in")
-    out = build(stream)
-    out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).format("parquet").option("path", f"{path}/out").start().awaitTermination()
+    return written(v, build(stream), path, mode)
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def written(v, out: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """What a streaming DataFrame gives when all that is there has been read; state is kept in RocksDB meanwhile."""
+    before = v.spark.conf.get(STORE)
+    v.spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).format("parquet").option("path", f"{path}/out").start().awaitTermination()
+    finally:
+        v.spark.conf.set(STORE, before)
     return v.spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
@@ -345,7 +357,41 @@ def lock_stream(v) -> DataFrame:
 
 
 add("st03_stream_temporal_lock", lock_stream, "daily_bars", "SELECT symbol, asset_type, date, date <= CASE WHEN asset_type IN ('TEFAS_FREE', 'TEFAS_LIQUID') THEN DATE '1997-06-29' ELSE DATE '1997-06-30' END AS kept FROM daily_bars", "symbol asset_type date kept")
-add("st04_stream_eod_state", lambda v: replay(v, v("signals").select(F.col("symbol").cast("long").alias("symbol"), "date", "close", "atr", "p_success"), streams.stream_eod_state, 3, "date"), "signals", f"WITH {ST} SELECT symbol, date, code, days_held, p_prev FROM st", "symbol date code days_held", "p_prev")
+
+
+def late_signals(v) -> DataFrame:
+    """Daily decisions of a feed that brings a third of its rows a batch late, and one row far ahead that ends the wait."""
+    x = v("signals").select(F.col("symbol").cast("long").alias("symbol"), "date", "close", "atr", "p_success")
+    x = closing(x, "date", {"symbol": F.lit(-1), "date": F.lit("2100-01-01")})
+    path = folder(v)
+    # a file a year; of each year a third comes with the next one
+    batch = F.least(F.year("date") + F.when((F.col("symbol") > -1) & (F.hash("symbol", "date") % 3 == 0), 1).otherwise(0), F.lit(2100))
+    placed = x.withColumn("_part", batch)
+    first, last = x.where("symbol > -1").agg(F.min(F.year("date")), F.max(F.year("date"))).first()
+    for k in [*range(first, last + 2), 2100]:
+        placed.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(f"{path}/in")
+    stream = v.spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    return written(v, streams.stream_eod_state(stream, "800 days"), path)
+
+
+add("st04_stream_eod_state", late_signals, "signals", f"WITH {ST} SELECT symbol, date, code, days_held, p_prev FROM st", "symbol date code days_held", "p_prev")
+
+
+def watched(v) -> DataFrame:
+    """Ticks and daily signals (yesterday's lowest and last price of each symbol) as two streams."""
+    base = closing(ticks(v).select("symbol", "ts", "price"), "ts", {"symbol": F.lit(-1), "ts": F.lit(FAR)})
+    days = v("intraday_bars").groupBy("symbol", F.to_date("ts").alias("day")).agg(F.min("low").alias("low"), F.max_by("price", "ts").alias("prev_close"))
+    signals = days.select("symbol", F.date_add("day", 1).cast("timestamp").alias("ts"), (F.col("low") * 1.01).alias("stop"), (F.col("prev_close") * 0.3).alias("atr"), "prev_close")
+    signals = closing(signals, "ts", {"symbol": F.lit(-1), "ts": F.lit(FAR)})
+    path = folder(v)
+    base.repartition(3).write.parquet(f"{path}/ticks")
+    signals.write.parquet(f"{path}/signals")
+    read = lambda df, name: v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}/{name}")
+    return written(v, streams.stream_gap_sentinel(read(base, "ticks"), read(signals, "signals")), path)
+
+
+add("st01_streamed_signals", watched, "intraday_bars", """WITH s AS (SELECT symbol, CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) AS t, min(low) * 1.01 AS stop, max_by(price, ts) AS pc FROM intraday_bars GROUP BY 1, 2)
+SELECT user_id AS symbol, ts, value AS price, CASE WHEN value <= stop THEN 'STOP' ELSE 'GAP' END AS alert FROM events e ASOF JOIN s ON s.symbol = e.user_id AND e.ts >= s.t WHERE value <= stop OR value / pc - 1 <= -greatest(1.8 * 0.3, 0.04)""", "symbol alert", "price", 4)
 
 
 def appended(v) -> DataFrame:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidepanel.functions.windows import cascade
 from tidepanel.operators.decisions import stop_threshold
 from tidepanel.operators.ingest import INTRADAY, NAV
+from tidepanel.streaming.ordered import in_order
 
 
 def gap_sentinel(ticks: DataFrame, latest: DataFrame) -> DataFrame:
@@ -22,6 +19,28 @@ def gap_sentinel(ticks: DataFrame, latest: DataFrame) -> DataFrame:
     return x.where(stop | gap).select("symbol", "ts", "price", "change", cascade((stop, "STOP"), otherwise="GAP").alias("alert"))
 
 
+def _watch(key: tuple, signal: tuple | None, row: Row) -> tuple[tuple | None, list[tuple]]:
+    if row.is_signal:
+        return (row.stop, row.atr, row.prev_close), []
+    if signal is None:
+        return None, []
+    stop, atr, before = signal
+    change = row.price / before - 1
+    if row.price <= stop or change <= -max(1.8 * atr / before, 0.04):
+        return signal, [(key[0], row.ts, row.price, change, "STOP" if row.price <= stop else "GAP")]
+    return signal, []
+
+
+def stream_gap_sentinel(ticks: DataFrame, signals: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The sentinel with signals as a second stream: each tick (symbol, ts, price) against the latest signal (symbol, ts, stop,
+    atr, prev_close) at or before it, whatever order both arrive in within the watermark. Ticks before the first signal pass."""
+    symbol = dict(ticks.dtypes)["symbol"]
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("stop", "atr", "prev_close")]
+    both = ticks.select("symbol", "ts", F.lit(False).alias("is_signal"), "price", *nothing).unionByName(signals.select("symbol", "ts", F.lit(True).alias("is_signal"), F.lit(None).cast("double").alias("price"), "stop", "atr", "prev_close"))
+    out = f"symbol {symbol}, ts timestamp, price double, change double, alert string"
+    return in_order(both, "symbol", "ts", late, _watch, "stop double, atr double, prev_close double", out, first=("is_signal",))
+
+
 def stream_bars(ticks: DataFrame, width: str = "15 minutes", late: str = "1 hour") -> DataFrame:
     """Event-time bars of (symbol, ts, price, volume); ties of time by the larger price."""
     x = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", width).alias("w"))
@@ -36,36 +55,26 @@ def stream_temporal_lock(events: DataFrame, snapshot, nav, ts: str = "ts") -> tu
     return events.where(ok), events.where(~ok)
 
 
-STATE = "code int, p_prev double, days_held int, prev_close double"
-STATES = "symbol long, date date, code int, p_prev double, days_held int"
-
-
-def _step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    code, before, held, prev = state.get if state.exists else (0, None, -1, None)
-    # a key's rows may come in several pieces, which are in order only together
-    parts = list(rows)
-    if parts:
-        out = []
-        for r in pd.concat(parts).sort_values("date").itertuples():
-            held += 1
-            p = r.p_success
-            drop = prev is not None and r.close / prev - 1 <= -max(1.8 * r.atr / prev, 0.04)
-            if drop or p < 0.40 or (p < 0.45 and held >= 20):
-                code = -1
-            elif p >= 0.52:
-                code = 1
-            out.append((key[0], r.date, code, p if before is None else before, held))
-            before, prev = p, r.close
-        state.update((code, before, held, prev))
-        yield pd.DataFrame(out, columns=["symbol", "date", "code", "p_prev", "days_held"])
+def _decide(key: tuple, state: tuple | None, row: Row) -> tuple[tuple, list[tuple]]:
+    code, before, held, prev = state or (0, row.p_success, -1, None)
+    held, p = held + 1, row.p_success
+    drop = prev is not None and row.close / prev - 1 <= -max(1.8 * row.atr / prev, 0.04)
+    if drop or p < 0.40 or (p < 0.45 and held >= 20):
+        code = -1
+    elif p >= 0.52:
+        code = 1
+    return (code, p, held, row.close), [(key[0], row.date, code, before, held)]
 
 
-def stream_eod_state(rows: DataFrame) -> DataFrame:
+def stream_eod_state(rows: DataFrame, late: str = "31 days") -> DataFrame:
     """The state rule of the daily decision with state per symbol (last code, last probability, rows held, last close).
 
-    Rows (symbol, date, close, atr, p_success) must come in the order of their dates, as a daily feed does.
+    Rows (symbol, date, close, atr, p_success) may come up to `late` behind the newest date: they wait in the state until the
+    watermark has passed and are then decided in the order of their dates.
     """
-    return rows.groupBy("symbol").applyInPandasWithState(_step, STATES, STATE, "append", GroupStateTimeout.NoTimeout)
+    symbol = dict(rows.dtypes)["symbol"]
+    timed = rows.select("symbol", F.col("date").cast("timestamp").alias("ts"), "date", "close", "atr", "p_success")
+    return in_order(timed, "symbol", "ts", late, _decide, "code int, before double, held int, prev double", f"symbol {symbol}, date date, code int, p_prev double, days_held int")
 
 
 def stream_signal_append(signals: DataFrame, path: str, checkpoint: str, late: str = "1 day"):
