@@ -114,13 +114,13 @@ def newey_west_kappa(returns: DataFrame, max_lag: int = 4, n: int = 175) -> Data
         head, tail = F.col("idx") < F.col("g") - k, F.col("idx") >= k
         product = sum((F.when(F.col(f"_idx{j}") == F.col("idx") - k, F.col(f"_ret{j}") * F.col("ret")).otherwise(0.0) for j in range(1, k + 1)), F.lit(0.0))
         sums += [part(head, F.col("ret")).alias(f"sx{k}"), part(head, F.col("ret") ** 2).alias(f"qx{k}"), part(tail, F.col("ret")).alias(f"sy{k}"), part(tail, F.col("ret") ** 2).alias(f"qy{k}"), F.sum(product).alias(f"xy{k}")]
-    own = x.groupBy("symbol").agg(*sums).where((F.col("q") - F.col("s") * F.col("s") / F.col("g")) / (F.col("g") - 1) >= 1e-16)
+    own = x.groupBy("symbol").agg(*sums).where((F.col("q") - F.col("s") * F.col("s") / F.col("g")) / F.greatest(F.col("g") - 1, F.lit(1)) >= 1e-16)
     total = F.lit(0.0)
     for k in range(1, max_lag + 1):
-        m = F.col("g") - k
+        m = F.greatest(F.col("g") - k, F.lit(1))
         vx, vy = F.col(f"qx{k}") - F.col(f"sx{k}") ** 2 / m, F.col(f"qy{k}") - F.col(f"sy{k}") ** 2 / m
         rho = (F.col(f"xy{k}") - F.col(f"sx{k}") * F.col(f"sy{k}") / m) / F.sqrt(vx * vy)
-        total = total + F.when((vx > 1e-18) & (vy > 1e-18), rho).otherwise(0.0) * (1 - k / (max_lag + 1.0))
+        total = total + F.when((F.col("g") > k) & (vx > 1e-18) & (vy > 1e-18), rho).otherwise(0.0) * (1 - k / (max_lag + 1.0))
     out = own.agg(F.avg(total).alias("avg_rho"))
     return out.select("avg_rho", F.coalesce(clip(n * (1 + 2 * F.col("avg_rho")), 30, 75), F.lit(45.0)).alias("kappa"))
 
