@@ -67,6 +67,21 @@ def test_products_of_tiles(spark, tile, span):
         assert xy == pytest.approx(sum(value.get((i, t), 0) * value.get((j, t), 0) for t in days), abs=1e-12)
 
 
+@pytest.mark.parametrize("tile", [2, 32])
+def test_rolling_covariance_of_common_rows(spark, tile):
+    rng = random.Random(9)
+    rows = [(f"s{s}", D + dt.timedelta(days=t), rng.uniform(-1, 1)) for s in range(5) for t in range(40) if rng.random() < 0.7]
+    got = {(r.sym_i, r.sym_j, r.ts): r.cov for r in tiles.rolling_pairs(spark.createDataFrame(rows, "symbol string, ts date, ret double"), 6, tile).collect()}
+    value, want = {(s, t): r for s, t, r in rows}, {}
+    for i in range(5):
+        for j in range(i, 5):
+            both = [t for t in sorted({r[1] for r in rows}) if (f"s{i}", t) in value and (f"s{j}", t) in value]
+            for k in range(5, len(both)):
+                x, y = ([value[f"s{s}", t] for t in both[k - 5 : k + 1]] for s in (i, j))
+                want[f"s{i}", f"s{j}", both[k]] = pytest.approx(np.cov(x, y)[0, 1], abs=1e-12)
+    assert got == want
+
+
 def panel(spark, symbols=70, days=60, seed=3):
     rng = np.random.default_rng(seed)
     classes = ["EQUITY", "ETF", "TEFAS_FREE", "TEFAS_LIQUID"]

@@ -59,3 +59,52 @@ def gram(returns: DataFrame, names: DataFrame, grid: DataFrame, tile: int = TILE
 
     parts = meetings(packed, "span", "cells").groupBy("left", "right", "span").applyInArrow(run, "left int, i int, right int, j int, xy double")
     return parts.groupBy("left", "i", "right", "j").agg(F.sum("xy").alias("xy"))
+
+
+def packed_symbols(returns: DataFrame, names: DataFrame, grid: DataFrame) -> DataFrame:
+    """(tile, n_tiles, who, cells): symbols of each tile by place, and its cells (idx, pos, ret)."""
+    x = returns.join(names, "symbol").join(grid, "ts")
+    cells = x.groupBy("tile").agg(F.collect_list(F.struct("idx", "pos", "ret")).alias("cells"), F.max("n_tiles").alias("n_tiles"))
+    return cells.join(names.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("pos", "symbol"))).alias("who")), "tile")
+
+
+def rolling_pairs(returns: DataFrame, n: int, tile: int = 32) -> DataFrame:
+    """(ts, sym_i, sym_j, cov): sample covariance of the last n rows in which both of a pair have a return, i <= j.
+
+    A pair of tiles holds both histories and keeps running sums for each pair of symbols: the newest common row is added and
+    the one n rows back taken off. Only tiles travel, and what comes back is the result.
+    """
+    names = numbered(returns, tile)
+    x = returns.select("symbol", "ts", "ret")
+    grid = x.select("ts").distinct().withColumn("idx", F.unix_date("ts"))
+    symbol = dict(returns.dtypes)["symbol"]
+
+    def run(key, table):
+        sides = {}
+        for k in range(table.num_rows):
+            cells = table.column("cells")[k].values
+            t, pos, ret = (cells.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+            order = np.lexsort((t, pos))
+            t, pos, ret = t[order], pos[order], ret[order]
+            who = table.column("who")[k].values.field("symbol")
+            cuts = np.searchsorted(pos, np.arange(len(who) + 1))
+            sides[table.column("tile")[k].as_py()] = who, [(t[a:b], ret[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        (left, xs), (right, ys) = sides[key[0].as_py()], sides[key[1].as_py()]
+        same = key[0].as_py() == key[1].as_py()
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for i, (tx, x) in enumerate(xs):
+            for j in range(i if same else 0, len(ys)):
+                ty, y = ys[j]
+                t, a, b = np.intersect1d(tx, ty, assume_unique=True, return_indices=True)
+                if len(t) < n:
+                    continue
+                u, v = x[a], y[b]
+                sums = np.cumsum(np.vstack((u, v, u * v)), axis=1)
+                sums[:, n:] -= sums[:, :-n].copy()
+                su, sv, suv = sums[:, n - 1 :]
+                for column, values in zip(out, (t[n - 1 :], np.full(len(su), i), np.full(len(su), j), (suv - su * sv / n) / (n - 1)), strict=True):
+                    column.append(values)
+        t, i, j, cov = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+        return pa.table({"ts": pa.array(t.astype(np.int32)).cast(pa.date32()), "sym_i": left.take(pa.array(i.astype(np.int64))), "sym_j": right.take(pa.array(j.astype(np.int64))), "cov": pa.array(cov.astype(float))})
+
+    return meetings(packed_symbols(x, names, grid), "cells", "who").groupBy("left", "right").applyInArrow(run, f"ts date, sym_i {symbol}, sym_j {symbol}, cov double")

@@ -154,13 +154,12 @@ def bitemporal_cov(intraday: DataFrame, daily: DataFrame, kappa: DataFrame) -> D
 
 
 def rolling_cov(returns: DataFrame, n: int = 20, ridge: float = 1e-5) -> DataFrame:
-    """Covariance of the last n common returns per date and pair i <= j; ridge on the diagonal."""
-    a = returns.select("date", F.col("symbol").alias("sym_i"), F.col("ret").alias("x"))
-    b = returns.select("date", F.col("symbol").alias("sym_j"), F.col("ret").alias("y"))
-    w = Window.partitionBy("sym_i", "sym_j").orderBy("date").rowsBetween(-(n - 1), 0)
-    met = a.join(b, "date").where("sym_i <= sym_j")
-    cov = F.covar_samp("x", "y").over(w) + F.when(F.col("sym_i") == F.col("sym_j"), ridge).otherwise(0.0)
-    return met.select("date", "sym_i", "sym_j", F.when(F.count("*").over(w) >= n, cov).alias("cov")).where("cov is not null")
+    """Covariance of the last n common returns per date and pair i <= j of (symbol, date, ret); ridge on the diagonal.
+
+    Running sums within pairs of tiles (see functions/tiles.py); (symbol, date) is a key, rows without a return are left out.
+    """
+    x = tiles.rolling_pairs(returns.where("ret is not null").withColumnRenamed("date", "ts"), n)
+    return x.select(F.col("ts").alias("date"), "sym_i", "sym_j", (F.col("cov") + F.when(F.col("sym_i") == F.col("sym_j"), ridge).otherwise(0.0)).alias("cov"))
 
 
 def cov_vols(cov: DataFrame) -> DataFrame:
