@@ -1,16 +1,18 @@
 """Scans, tiles, many snapshots, sorted sums and range covers against plain loops."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.functions import tiles
+from tidepanel.functions import tiles, wide
 from tidepanel.functions.scan import affine_scan
 from tidepanel.functions.windows import dates_indexed
 from tidepanel.operators import evaluation, labels, risk, snapshots, technical
+from tidepanel.sources import io
 
 D = dt.date(2020, 1, 1)
 
@@ -67,6 +69,37 @@ def test_products_of_tiles(spark, tile, span):
         assert xy == pytest.approx(sum(value.get((i, t), 0) * value.get((j, t), 0) for t in days), abs=1e-12)
 
 
+def test_a_wide_date_over_several_tasks(split):
+    rng = random.Random(10)
+    rows = [(d, k, rng.choice([None, 0.0, -0.0, 1e9, -3.5, rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)])) for d, n in ((1, 500), (2, 1), (3, 4), (None, 50)) for k in range(n)]
+    rows += [(4, 0, None), (5, 0, float("inf")), (5, 1, float("-inf")), (5, 2, 1.0), (5, 3, float("nan"))]
+    df = split.createDataFrame(rows, "date int, symbol long, x double")
+    got = wide.ranked(df, "x", pieces=16)
+    mine = {(r.date, r.symbol): (r._rank, r._ties, r._n, r._all) for r in got.collect()}
+    key = lambda v: (math.isnan(v), v)
+    for d in (1, 2, 3, 4, 5, None):
+        own = [(k, v) for dd, k, v in rows if dd == d]
+        values = [key(v) for _, v in own if v is not None]
+        for k, v in own:
+            want = (None, None, len(values), len(own)) if v is None else (1 + sum(x < key(v) for x in values), sum(x == key(v) for x in values) if v == v else 1, len(values), len(own))
+            assert mine[d, k] == want, (d, k, v)
+    assert got.where("date = 1").select(F.spark_partition_id()).distinct().count() > 2
+    finite = df.where("abs(x) < 1e300 or x is null")
+    for r in wide.quantiles(finite, "x", [0.0, 0.025, 0.5, 1.0], pieces=16).collect():
+        values = [v for dd, _, v in rows if dd == r.date and v is not None and abs(v) < 1e300]
+        assert [r.q0, r.q1, r.q2, r.q3] == (pytest.approx(np.quantile(values, [0.0, 0.025, 0.5, 1.0])) if values else [None] * 4)
+
+
+def test_windows_over_buckets_need_no_shuffle(split, tmp_path):
+    bars, rows = panel(split, 12, 20)
+    io.write_bucketed(bars, "bucketed_bars", 4, str(tmp_path / "t"))
+    out = risk.log_returns(split.table("bucketed_bars"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" in plan
+    assert sorted(map(tuple, out.select("symbol", "date", "ret").collect())) == sorted(map(tuple, risk.log_returns(bars).select("symbol", "date", "ret").collect()))
+    split.sql("DROP TABLE bucketed_bars")
+
+
 @pytest.mark.parametrize("tile", [2, 32])
 def test_rolling_covariance_of_common_rows(spark, tile):
     rng = random.Random(9)

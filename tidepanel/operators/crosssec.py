@@ -5,19 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions import wide
 from tidepanel.functions.windows import clip, cross_section, finite
 from tidepanel.operators.ingest import NAV
 
 
-def pct_rank_min(df: DataFrame, columns: list[str], date: str = "date") -> DataFrame:
-    """(least rank - 1) / (rows of the date - 1) per column as <column>_ranked; nulls stay null but count as rows."""
+def pct_rank_min(df: DataFrame, columns: list[str], date: str = "date", pieces: int = 1) -> DataFrame:
+    """(least rank - 1) / (rows of the date - 1) per column as <column>_ranked; nulls stay null but count as rows.
+
+    pieces: tasks that may share one date (functions/wide.py).
+    """
+    if pieces > 1:
+        for c in columns:
+            x = wide.ranked(df, c, date, pieces)
+            df = x.withColumn(f"{c}_ranked", (F.col("_rank") - 1) / F.greatest(F.col("_all") - 1, F.lit(1))).drop("_rank", "_place", "_ties", "_n", "_all")
+        return df
     n = F.count("*").over(Window.partitionBy(date))
     rank = lambda c: F.rank().over(Window.partitionBy(date).orderBy(F.col(c).asc_nulls_last()))
     return df.withColumns({f"{c}_ranked": F.when(F.col(c).isNotNull(), (rank(c) - 1) / F.greatest(n - 1, F.lit(1))) for c in columns})
 
 
-def pct_rank_avg(df: DataFrame, column: str, date: str = "date") -> DataFrame:
-    """Mean rank of ties, (r - 1) / (n - 1) to 4 decimals, 0.5 for a single row."""
+def pct_rank_avg(df: DataFrame, column: str, date: str = "date", pieces: int = 1) -> DataFrame:
+    """Mean rank of ties, (r - 1) / (n - 1) to 4 decimals, 0.5 for a single row; the column has no nulls.
+
+    pieces: tasks that may share one date (functions/wide.py).
+    """
+    if pieces > 1:
+        x = wide.ranked(df, column, date, pieces)
+        rank = (F.col("_rank") + (F.col("_ties") - 1) / 2.0 - 1) / F.greatest(F.col("_all") - 1, F.lit(1))
+        return x.withColumn("pct_rank", F.when(F.col("_all") <= 1, 0.5).otherwise(F.round(rank, 4))).drop("_rank", "_place", "_ties", "_n", "_all")
     n = F.count("*").over(Window.partitionBy(date))
     r = F.rank().over(Window.partitionBy(date).orderBy(column)) + (F.count("*").over(Window.partitionBy(date, column)) - 1) / 2.0
     return df.withColumn("pct_rank", F.when(n <= 1, 0.5).otherwise(F.round((r - 1) / (n - 1), 4)))
@@ -42,9 +58,12 @@ def date_zscore(df: DataFrame, column: str, date: str = "date") -> DataFrame:
     return df.withColumn("zscore", clip((F.col(column) - F.avg(column).over(w)) / (F.stddev_samp(column).over(w) + 1e-6), -3, 3))
 
 
-def finite_or_median(df: DataFrame, column: str, date: str = "date") -> DataFrame:
+def finite_or_median(df: DataFrame, column: str, date: str = "date", pieces: int = 1) -> DataFrame:
     x = df.withColumn(column, finite(F.col(column)))
-    m = x.groupBy(date).agg(F.percentile(column, 0.5).alias("_med"))
+    if pieces > 1:
+        m = wide.quantiles(x, column, [0.5], date, pieces).withColumnRenamed("q0", "_med")
+    else:
+        m = x.groupBy(date).agg(F.percentile(column, 0.5).alias("_med"))
     return x.join(m, date).withColumn(column, F.coalesce(column, "_med", F.lit(0.0))).drop("_med")
 
 
@@ -58,9 +77,18 @@ def alpha_normalise(df: DataFrame, column: str = "score", scale: float = 0.02, n
     return x.withColumn("q", -F.col("alpha"))
 
 
-def winsorize(df: DataFrame, column: str, low: float = 0.025, high: float = 0.975, date: str = "date") -> DataFrame:
-    """Values clipped at interpolated quantiles of their date, and how many were clipped on each side."""
-    x = finite_or_median(df, column, date)
+def winsorize(df: DataFrame, column: str, low: float = 0.025, high: float = 0.975, date: str = "date", pieces: int = 1) -> DataFrame:
+    """Values clipped at interpolated quantiles of their date, and how many were clipped on each side.
+
+    pieces: tasks that may share the quantiles of one date (functions/wide.py); counts are sums that combine before they meet.
+    """
+    x = finite_or_median(df, column, date, pieces)
+    if pieces > 1:
+        q = wide.quantiles(x, column, [low, high], date, pieces)
+        x = x.join(q.select(date, F.col("q0").alias("lower"), F.col("q1").alias("upper")), date)
+        side = lambda c: F.sum(F.when(c, 1).otherwise(0))
+        n = x.groupBy(date).agg(side(F.col(column) < F.col("lower")).alias("n_low"), side(F.col(column) > F.col("upper")).alias("n_high"))
+        return x.join(n, date).withColumn("winsorized", F.greatest(F.least(F.col(column), F.col("upper")), F.col("lower")))
     q = x.groupBy(date).agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q"))
     x = x.join(q, date).withColumns({"lower": F.col("_q")[0], "upper": F.col("_q")[1]})
     w = cross_section(date)

@@ -10,12 +10,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.functions import wide
 from tidepanel.functions.windows import average_rank, clip, cross_section, dates_indexed, last_rows, rolled, series
 from tidepanel.operators.ingest import NAV
 
 
-def date_median(df: DataFrame, column: str, name: str, date: str = "date") -> DataFrame:
-    """df with the median of a column per date; grouped and joined back, since medians have no sliding form."""
+def date_median(df: DataFrame, column: str, name: str, date: str = "date", pieces: int = 1) -> DataFrame:
+    """df with the median of a column per date; grouped and joined back, since medians have no sliding form.
+
+    pieces: tasks that may share one date (functions/wide.py).
+    """
+    if pieces > 1:
+        return df.join(wide.quantiles(df, column, [0.5], date, pieces).withColumnRenamed("q0", name), date)
     medians = df.groupBy(date).agg(F.percentile(column, 0.5).alias(name))
     return df.join(medians, date)
 

@@ -213,6 +213,7 @@ SELECT symbol, date, {', '.join(CZ.format(c=c, s=f's_{c}', m=f'm_{c}', f='0' if
 
 # -- cross-section --------------------------------------------------------------------------------------------------
 add("n01_pct_rank_min", lambda v: crosssec.pct_rank_min(v("panel_returns").withColumn("k", F.floor(F.col("volume") / 10)), ["k", "ret"]).select("symbol", "date", "k_ranked", F.col("ret_ranked").isNull().alias("no_ret")), "panel_returns", "SELECT symbol, date, (rank() OVER (PARTITION BY date ORDER BY floor(volume / 10)) - 1) / greatest(count(*) OVER (PARTITION BY date) - 1, 1) AS k_ranked, ret IS NULL AS no_ret FROM panel_returns", "symbol date no_ret", "k_ranked")
+add("n01_n02_wide_ranks", lambda v: crosssec.pct_rank_avg(crosssec.pct_rank_min(v("panel_returns").withColumn("k", F.floor(F.col("volume") / 10)), ["k", "ret"], pieces=8), "k", pieces=8), "panel_returns", "SELECT symbol, date, (k1 - 1) / greatest(n - 1, 1) AS k_ranked, CASE WHEN ret IS NOT NULL THEN (r1 - 1) / greatest(n - 1, 1) END AS ret_ranked, CASE WHEN n <= 1 THEN 0.5 ELSE round((k1 + (t - 1) / 2.0 - 1) / (n - 1), 4) END AS pct_rank FROM (SELECT symbol, date, ret, rank() OVER (PARTITION BY date ORDER BY floor(volume / 10)) AS k1, count(*) OVER (PARTITION BY date, floor(volume / 10)) AS t, rank() OVER (PARTITION BY date ORDER BY ret NULLS LAST) AS r1, count(*) OVER (PARTITION BY date) AS n FROM panel_returns) x", "symbol date", {"k_ranked": 6, "ret_ranked": 6, "pct_rank": 3})
 add("n02_pct_rank_avg", lambda v: crosssec.pct_rank_avg(v("monthly_panel").withColumn("k", F.floor(F.col("volume") / 20)), "k"), "monthly_panel", "SELECT symbol, date, CASE WHEN n <= 1 THEN 0.5 ELSE round((rk + (t - 1) / 2.0 - 1) / (n - 1), 4) END AS pct_rank FROM (SELECT symbol, date, rank() OVER (PARTITION BY date ORDER BY floor(volume / 20)) AS rk, count(*) OVER (PARTITION BY date, floor(volume / 20)) AS t, count(*) OVER (PARTITION BY date) AS n FROM monthly_panel) x", "symbol date", "pct_rank", 3)
 _CZ = lambda flat: f"SELECT symbol, date, CASE WHEN n = 1 THEN volume WHEN s <= 1e-7 THEN {flat} ELSE least(3, greatest(-3, (volume - m) / s)) END AS volume FROM (SELECT symbol, date, volume, count(*) OVER w AS n, avg(volume) OVER w AS m, stddev_pop(volume) OVER w AS s FROM monthly_panel WINDOW w AS (PARTITION BY date, asset_type)) t"
 add("n03_class_zscore", lambda v: crosssec.class_zscore(v("monthly_panel"), ["volume"]), "monthly_panel", _CZ("0"), "symbol date", "volume")
@@ -220,6 +221,7 @@ add("n04_class_zscore_target", lambda v: crosssec.class_zscore(v("monthly_panel"
 add("n05_date_zscore", lambda v: crosssec.date_zscore(v("monthly_panel"), "volume"), "monthly_panel", "SELECT symbol, date, least(3, greatest(-3, (volume - avg(volume) OVER w) / (stddev_samp(volume) OVER w + 1e-6))) AS zscore FROM monthly_panel WINDOW w AS (PARTITION BY date)", "symbol date", "zscore", 4)
 add("n06_alpha_normalise", lambda v: crosssec.alpha_normalise(v("panel_returns"), "ret"), "panel_returns", f"WITH a AS (SELECT symbol, date, asset_type, coalesce(ret, quantile_cont(ret, 0.5) OVER (PARTITION BY date), 0) AS x FROM panel_returns), b AS (SELECT *, avg(x) OVER (PARTITION BY date) AS m, stddev_pop(x) OVER (PARTITION BY date) AS s FROM a) SELECT symbol, date, CASE WHEN s < 1e-6 THEN 0 ELSE (x - m) / s END * 0.02 * CASE WHEN {NAV} THEN 0.8 ELSE 1 END AS alpha, -CASE WHEN s < 1e-6 THEN 0 ELSE (x - m) / s END * 0.02 * CASE WHEN {NAV} THEN 0.8 ELSE 1 END AS q FROM b", "symbol date", "alpha q")
 add("n07_winsorize", lambda v: crosssec.winsorize(v("panel_returns"), "ret"), "panel_returns", "WITH a AS (SELECT symbol, date, coalesce(ret, quantile_cont(ret, 0.5) OVER (PARTITION BY date), 0) AS ret FROM panel_returns), b AS (SELECT *, quantile_cont(ret, 0.025) OVER (PARTITION BY date) AS lower, quantile_cont(ret, 0.975) OVER (PARTITION BY date) AS upper FROM a) SELECT symbol, date, lower, upper, greatest(least(ret, upper), lower) AS winsorized FROM b", "symbol date", "lower upper winsorized", 4)
+add("n07_f20_wide_quantiles", lambda v: factors.date_median(crosssec.winsorize(v("panel_returns"), "ret", pieces=8), "ret", "median", pieces=8), "panel_returns", "WITH a AS (SELECT symbol, date, coalesce(ret, quantile_cont(ret, 0.5) OVER (PARTITION BY date), 0) AS ret FROM panel_returns), b AS (SELECT *, quantile_cont(ret, 0.025) OVER w AS lower, quantile_cont(ret, 0.975) OVER w AS upper, quantile_cont(ret, 0.5) OVER w AS median FROM a WINDOW w AS (PARTITION BY date)) SELECT symbol, date, count(*) FILTER (ret < lower) OVER (PARTITION BY date) AS n_low, count(*) FILTER (ret > upper) OVER (PARTITION BY date) AS n_high, lower, upper, median, greatest(least(ret, upper), lower) AS winsorized FROM b", "symbol date n_low n_high", "lower upper median winsorized", 4)
 add("n08_delist_decouple", lambda v: crosssec.delist_decouple(v("panel_returns").where("ret is not null"), crash=-0.5), "panel_returns", "WITH a AS (SELECT symbol, date, ret, ret <= -0.5 AS is_delisted, quantile_cont(CASE WHEN ret > -0.5 THEN ret END, 0.025) OVER (PARTITION BY date) AS lo, quantile_cont(CASE WHEN ret > -0.5 THEN ret END, 0.975) OVER (PARTITION BY date) AS hi FROM panel_returns WHERE ret IS NOT NULL) SELECT symbol, date, is_delisted, CASE WHEN is_delisted THEN -2 ELSE greatest(least(ret, hi), lo) END AS target, hi - lo AS spread FROM a", "symbol date is_delisted", "target spread", 4)
 add("n08_delist_flag", lambda v: crosssec.delist_decouple(v("panel_returns").where("ret is not null").withColumn("gone", F.expr("CASE WHEN month(date) = 3 THEN true WHEN symbol % 5 = 0 THEN true WHEN symbol % 5 = 1 THEN NULL ELSE false END")), flag="gone"), "panel_returns", "WITH a AS (SELECT symbol, date, ret, month(date) = 3 OR symbol % 5 = 0 AS is_delisted FROM panel_returns WHERE ret IS NOT NULL), b AS (SELECT *, quantile_cont(ret, 0.025) FILTER (NOT is_delisted) OVER (PARTITION BY date) AS lo, quantile_cont(ret, 0.975) FILTER (NOT is_delisted) OVER (PARTITION BY date) AS hi FROM a) SELECT symbol, date, is_delisted, CASE WHEN is_delisted THEN -2 ELSE greatest(least(ret, hi), lo) END AS target, coalesce(hi - lo, 0) AS spread FROM b", "symbol date is_delisted", "target spread", 4)
 add("n09_sector_median", lambda v: crosssec.sector_median(v("fundamentals"), "revenue"), "fundamentals", "SELECT ticker, as_of, quantile_cont(revenue, 0.5) OVER (PARTITION BY as_of, sector) AS sector_revenue FROM fundamentals", "ticker as_of", "sector_revenue", 2)

@@ -258,13 +258,21 @@ def stored_panel(v) -> DataFrame:
 
 
 def written_panel(v) -> DataFrame:
-    return stored_panel(v).where("year = 1996")
+    return stored_panel(v)
+
+
+def bucketed_panel(v) -> DataFrame:
+    """Log returns over a bucketed table, whose windows need no shuffle."""
+    name = f"panel_{uuid.uuid4().hex}"
+    io.write_bucketed(v("daily_bars").select("symbol", "date", "close"), name, 8, folder(v))
+    return risk.log_returns(v.spark.table(name))
 
 
 # pruning is the feature: whole years by folder, then the date inside the files
 add("s01_read_panel_pruned", lambda v: stored_panel(v).where("year >= 1996 and date >= '1996-01-01'").groupBy("asset_type").agg(F.count("*").alias("n"), F.sum("close").alias("total")), "daily_bars", "SELECT asset_type, count(*) AS n, sum(close) AS total FROM daily_bars WHERE date >= DATE '1996-01-01' GROUP BY asset_type", "asset_type n", "total", 2)
 
-add("s02_write_panel", written_panel, "daily_bars", "SELECT symbol, date, close, volume FROM daily_bars WHERE year(date) = 1996", "symbol date", "close volume", 8)
+add("s02_write_panel", written_panel, "daily_bars", "SELECT symbol, date, close, volume FROM daily_bars", "symbol date", "close volume", 8)
+add("s01_s02_bucketed_panel", bucketed_panel, "daily_bars", "SELECT * FROM (SELECT symbol, date, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS ret FROM daily_bars) t WHERE ret IS NOT NULL", "symbol date", "ret")
 
 
 def written_metrics(v) -> DataFrame:

@@ -19,6 +19,17 @@ def write_panel(df: DataFrame, path: str) -> None:
     df.withColumn("year", F.year("date")).repartition("year", F.pmod(F.hash("symbol"), F.lit(16))).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, buckets: int = 256, path: str | None = None) -> None:
+    """Table of the session's catalog, dealt into buckets by symbol and sorted by symbol and date.
+
+    Windows over the history of a symbol, and joins of such tables by symbol, need no shuffle and no sort: all files of a
+    bucket are one partition, and there is one file a bucket. Files go to path, else to the warehouse; all executors must
+    reach them.
+    """
+    out = df.repartition(buckets, "symbol").write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", "date")
+    (out.option("path", path) if path else out).saveAsTable(table)
+
+
 def append_metrics(df: DataFrame, path: str) -> None:
     df.select("timestamp", "event", "metrics", "metadata").write.mode("append").json(path)
 
