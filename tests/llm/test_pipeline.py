@@ -106,11 +106,12 @@ def test_row_numbers_do_not_follow_the_splits(spark, tmp_path):
     """Numbers of rows are the same however many splits a job reads, and those of rows that come from no file are written."""
     rows = spark.range(20_000).selectExpr("id as doc_id", "sha2(cast(id as string), 512) as text")
     rows.repartition(4).write.option("parquet.block.size", 1 << 17).option("compression", "none").parquet(f"{tmp_path}/d")
-    docs, key, seen = spark.read.parquet(f"{tmp_path}/d"), "spark.sql.leafNodeDefaultParallelism", []
+    key, seen = "spark.sql.leafNodeDefaultParallelism", []
     try:
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
         for cores in ("2", "13"):
             spark.conf.set(key, cores)
+            docs = spark.read.parquet(f"{tmp_path}/d")
             seen.append(({r.doc_id: r.row for r in corpus_pipeline.numbered(docs, "row").select("doc_id", "row").collect()}, docs.rdd.getNumPartitions()))
     finally:
         spark.conf.unset(key)
