@@ -321,10 +321,76 @@ def test_embedding_links_equal_brute_force(spark, shard, partners, monkeypatch):
     assert embedding_hnsw.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
-def test_graph_recall():
+def planted():
     rng = np.random.default_rng(13)
     x = np.concatenate([rng.normal(size=(1, 32)) + rng.normal(size=(3, 32)) * 0.05 for _ in range(400)] + [rng.normal(size=(600, 32))])
-    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    found = embedding_hnsw.linked_pairs(embedding_hnsw.Graph.build(unit), unit, True, 0.98)
-    true = np.argwhere(np.triu(unit @ unit.T >= 0.98, 1))
-    assert len(true) > 300 and len(set(map(tuple, found)) & set(map(tuple, true))) >= 0.9 * len(true)
+    unit = embedding_hnsw.unit_of(x)
+    return unit, set(map(tuple, np.argwhere(np.triu(unit @ unit.T >= 0.98 - embedding_hnsw.SLACK, 1)).tolist()))
+
+
+def test_graph_recall():
+    """The searches alone find the links; without its neighbour lists the graph finds none, and all are compared."""
+    unit, true = planted()
+    graph = embedding_hnsw.Graph.build(unit)
+    pairs, left, (audited, known, found, _) = embedding_hnsw.linked_pairs(graph, unit, True, 0.98)
+    got = {(min(p), max(p)) for p in pairs.tolist() if p[0] != p[1]}
+    assert len(true) > 300 and len(got & true) >= 0.99 * len(true)
+    assert len(left) == 0 and audited <= embedding_hnsw.AUDIT and 0 < known and found >= 0.9 * known
+    for _, links in graph.layers:
+        links[:] = -1
+    pairs, left, (_, known, found, compared) = embedding_hnsw.linked_pairs(graph, unit, True, 0.98)
+    assert found < 0.1 * known and compared == len(left) == len(unit)
+    links, edges, _ = embedding_hnsw.link_shards(graph, unit.astype(np.float64), np.ones(len(unit), np.int64), None, 0.98)
+    assert abs(links.sum() - 2 * len(true)) <= 0.01 * len(true)
+
+
+@pytest.mark.parametrize("emptied", [False, True])
+def test_links_of_shards_count_once(emptied, monkeypatch):
+    """A group larger than the widest beam, inside one shard and between two, through graphs and by comparison alone."""
+    monkeypatch.setattr(embedding_hnsw, "WIDEST", 32)
+    rng = np.random.default_rng(3)
+    hub = rng.normal(size=24)
+    x = np.concatenate((hub + rng.normal(size=(150, 24)) * 0.1, rng.normal(size=(200, 24)), hub + rng.normal(size=(30, 24)) * 0.02))
+    x[200:230] = x[300:330] + rng.normal(size=(30, 24)) * 0.02
+    size = rng.integers(1, 5, len(x))
+    near = x @ x.T / np.linalg.norm(x, axis=1) / np.linalg.norm(x, axis=1)[:, None] >= 0.98
+    np.fill_diagonal(near, False)
+
+    def components(edges, n):
+        label = np.arange(n)
+        for _ in range(n):
+            new = label.copy()
+            np.minimum.at(new, edges[:, 0], label[edges[:, 1]])
+            np.minimum.at(new, edges[:, 1], label[edges[:, 0]])
+            if (new == label).all():
+                return label
+            label = new
+
+    for cut in (len(x), 160):
+        graph = embedding_hnsw.Graph.build(embedding_hnsw.unit_of(x[:cut]))
+        if emptied:
+            graph.layers = [(m, np.full_like(k, -1)) for m, k in graph.layers]
+        other = None if cut == len(x) else (x[cut:], size[cut:])
+        links, edges, _ = embedding_hnsw.link_shards(graph, x[:cut], size[:cut], other, 0.98)
+        want = near.copy()
+        if other is not None:
+            want[:cut, :cut] = want[cut:, cut:] = False
+        assert links.tolist() == (want @ size).tolist()
+        assert (components(edges, len(x)) == components(np.argwhere(want), len(x))).all()
+        assert len(edges) == len(x) - len(set(components(edges, len(x)).tolist()))
+
+
+def test_magnitudes_and_exact_links(spark):
+    """Huge and tiny vectors link as their directions do; exact=True gives the same; recall is reported by label."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(20, 8))
+    rows = []
+    for k, v in enumerate(base):
+        for m, scale in enumerate((1.0, 1e200, 1e-200, 1e-310)):
+            rows.append((4 * k + m, [float(c) for c in (v + rng.normal(size=8) * 1e-3) * scale], k % 2))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    for exact in (False, True):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_hnsw.near_duplicates(df, exact=exact, shard=30).collect()}
+        assert got == {k: (3, k - k % 4) for k in range(80)}
+    report = embedding_hnsw.recall(df).orderBy("label").collect()
+    assert [(r.label, r.audited, r.true_links, r.recall) for r in report] == [(0, 40, 120, 1.0), (1, 40, 120, 1.0)]

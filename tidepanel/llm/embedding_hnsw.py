@@ -2,11 +2,12 @@
 
 Equal vectors of a label are one vertex. The vertices of a label are dealt into shards of bounded size; each shard gets a
 graph, built in batches with numpy. Every shard is queried with every shard of its label (each unordered pair of shards
-once): searches of many queries run in step through the layers. Beams are widened until an audit against brute force,
-of queries drawn at random until they have enough true links, finds all these links, and further for each query whose
-beam is full of links. What the audit finds counts as found. Cosines of what is found
-are verified in double precision; links inside a pair of shards are counted and thinned to a spanning forest before they
-leave the task, and the forests are united as Spark jobs.
+once): searches of many queries run in step through the layers. A bounded audit decides on the beams: a fixed number of
+random queries is compared with the whole shard, and disturbed copies of indexed vectors must find what they were made
+from. Beams are widened until the audit misses nothing, and further for each query whose beam is full of links; queries
+that the widest beam does not settle are compared with all vectors of the shard. Cosines of what is found are verified in
+double precision; links inside a pair of shards are counted and thinned to a spanning forest before they leave the task,
+and the forests are united as Spark jobs. `recall` reports what the graphs alone find.
 """
 
 from __future__ import annotations
@@ -20,18 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.components import components
-from tidepanel.llm.store import cut
+from tidepanel.llm.store import cut, tidy
 
 THRESHOLD = 0.98
-#: Vertices a shard holds on average at most.
-SHARD = 4096
-DEGREE, BUILD_BEAM, BEAM, EXPAND, AUDIT, CHUNK = 12, 32, 32, 4, 64, 1024
-#: Audited queries have so many true links at least (or all queries are audited), and this share of them must be found.
-AUDIT_LINKS = 200
-AUDIT_RECALL = 1.0
+#: Vertices a shard holds on average at most, and bytes of its vectors in double precision.
+SHARD, SHARD_BYTES = 100_000, 48 << 20
+DEGREE, BUILD_BEAM, BEAM, EXPAND, CHUNK = 12, 32, 32, 4, 1024
+#: Queries of a pair of shards that are compared with all vectors, and disturbed copies that are searched.
+AUDIT, PROBES = 64, 256
+#: Queries that need a wider beam are compared with all vectors of the shard.
+WIDEST = 256
 #: Shards that meet a shard in one task at most.
 PARTNERS = 16
 SLACK = 1e-5
+#: Bytes of the marks of visited vertices of one chunk of queries, and of one block of compared queries.
+MARKS = 64 << 20
 
 
 class Graph:
@@ -145,22 +149,24 @@ class Graph:
         return search(self.unit, self.layers[0][1], queries, own, beam)
 
     def dump(self) -> bytes:
+        """The layers alone; the vectors travel beside them."""
         out = io.BytesIO()
-        np.savez(out, unit=self.unit, **{f"m{k}": m for k, (m, _) in enumerate(self.layers)}, **{f"l{k}": x for k, (_, x) in enumerate(self.layers)})
+        np.savez(out, **{f"m{k}": m for k, (m, _) in enumerate(self.layers)}, **{f"l{k}": x for k, (_, x) in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
-    def load(cls, data) -> Graph:
-        z = np.load(io.BytesIO(bytes(data)))
-        return cls(z["unit"], [(z[f"m{k}"], z[f"l{k}"]) for k in range((len(z.files) - 1) // 2)])
+    def load(cls, data, unit: np.ndarray) -> Graph:
+        z = np.load(io.BytesIO(data))
+        return cls(unit, [(z[f"m{k}"], z[f"l{k}"]) for k in range(len(z.files) // 2)])
 
 
 def search(unit: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int):
     """Beam search of all queries in step over one layer: (ids, cosines), -1 and -2 where a beam is not filled."""
     q, n = len(queries), len(unit)
     ids, sims = np.full((q, beam), -1, dtype=np.int64), np.full((q, beam), -2.0, dtype=np.float32)
-    for lo in range(0, q, CHUNK):
-        part = slice(lo, min(q, lo + CHUNK))
+    chunk = max(1, min(CHUNK, MARKS // max(1, n)))
+    for lo in range(0, q, chunk):
+        part = slice(lo, min(q, lo + chunk))
         ids[part], sims[part] = _search(unit, links, queries[part], entry[part], beam, n)
     return ids, sims
 
@@ -198,133 +204,221 @@ def _search(unit, links, queries, entry, beam, n):
     return ids, sims
 
 
-def linked_pairs(graph: Graph, queries: np.ndarray, same: bool, threshold: float) -> np.ndarray:
-    """(query row, indexed row) pairs that may reach the threshold; same: the queries are the indexed vectors, pairs i < j."""
+def unit_of(x: np.ndarray) -> np.ndarray:
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _probes(unit: np.ndarray, threshold: float, rng) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, vectors): random rows turned in random directions, to a cosine between the threshold and 1."""
+    rows = rng.permutation(len(unit))[:PROBES]
+    side = rng.normal(size=(len(rows), unit.shape[1])).astype(np.float32)
+    side -= (side * unit[rows]).sum(1, keepdims=True) * unit[rows]
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-6)
+    near = threshold + (1 - threshold) / 4
+    turned = near * unit[rows] + np.sqrt(max(0.0, 1 - near * near)) * side
+    return rows, (turned / np.linalg.norm(turned, axis=1, keepdims=True)).astype(np.float32)
+
+
+def linked_pairs(graph: Graph, queries: np.ndarray, same: bool, threshold: float, exact: bool = False):
+    """(pairs, left, report): (query row, indexed row) pairs that may reach the threshold, and query rows that are left
+    to be compared with all; same: the queries are the indexed vectors.
+
+    report: (audited queries, their true links, those of them that searches found, queries left).
+    """
     n, q = len(graph.unit), len(queries)
+    if exact:
+        return np.zeros((0, 2), np.int64), np.arange(q), (0, 0, 0, q)
     limit = np.float32(threshold - SLACK)
     own = np.arange(q) if same else None
-    beam = min(n, BEAM)
-    ids, sims = graph.query(queries, beam, own)
-    # queries drawn at random are compared with all vectors, more and more until they have enough true links
-    drawn = np.random.default_rng(7).permutation(q)
-    audit, truth = drawn[:0], np.zeros((0, n), dtype=bool)
-    while len(audit) < q and truth.sum() - len(audit) * same < AUDIT_LINKS:
-        more = drawn[len(audit) : max(AUDIT, 2 * len(audit))]
-        audit, truth = np.concatenate((audit, more)), np.concatenate((truth, queries[more] @ graph.unit.T >= limit))
-    by = np.argsort(audit)
-    audit, truth = audit[by], truth[by]
-    out = []
-    todo = np.arange(q)
-    while True:
+    rng = np.random.default_rng(7)
+    audit = np.sort(rng.permutation(q)[:AUDIT])
+    truth = queries[audit] @ graph.unit.T >= limit
+    source, probes = _probes(graph.unit, threshold, rng)
+    if same:
+        truth[np.arange(len(audit)), audit] = False
+    seen = np.zeros_like(truth)
+    out, todo, beam, passed = [], np.arange(q), min(n, BEAM), False
+    while len(todo) and beam <= max(WIDEST, BEAM):
+        ids, sims = graph.query(queries[todo], beam, None if own is None else own[todo])
         hit = sims >= limit
-        found = np.zeros(truth.shape, dtype=bool)
-        place = np.searchsorted(todo, audit)
-        mine = (place < len(todo)) & (todo[np.minimum(place, len(todo) - 1)] == audit)
-        a, b = np.nonzero(hit[place[mine]])
-        found[np.flatnonzero(mine)[a], ids[place[mine]][a, b]] = True
         full = hit[:, -1] & (beam < n)
-        sure = mine.copy()  # audited queries whose beams end below the threshold
-        sure[mine] = ~hit[place[mine], -1] | (beam == n)
-        short = beam < n and (truth & found)[sure].sum() < AUDIT_RECALL * truth[sure].sum()
-        again = np.ones(len(todo), dtype=bool) if short else full
+        place = np.minimum(np.searchsorted(todo, audit), len(todo) - 1)
+        asked = np.flatnonzero(todo[place] == audit)
+        a, b = np.nonzero(hit[place[asked]])
+        seen[asked[a], ids[place[asked]][a, b]] = True
+        if not passed:
+            sure = asked[~full[place[asked]]]
+            at = graph.query(probes, beam)[0]
+            passed = not (truth[sure] & ~seen[sure]).any() and (at == source[:, None]).any(1).all()
+        again = full if passed else np.ones(len(todo), dtype=bool)
         r, c = np.nonzero(hit & ~again[:, None])
         out.append(np.stack((todo[r], ids[r, c]), 1))
         todo = todo[again]
-        if not len(todo):
+        if beam == n:
             break
         beam = min(n, 2 * beam)
-        ids, sims = graph.query(queries[todo], beam, None if own is None else own[todo])
-    r, c = np.nonzero(truth)
-    pairs = np.unique(np.concatenate([*out, np.stack((audit[r], c), 1)]), axis=0)
-    if same:
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        pairs = np.unique(np.sort(pairs, 1), axis=0)
-    return pairs
-
-
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Positions of edges that span the same components."""
-    root = list(range(n))
-
-    def top(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    keep = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = top(x), top(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep.append(k)
-    return np.array(keep, dtype=np.int64)
+    report = (len(audit), int(truth.sum()), int((truth & seen).sum()), len(todo))
+    return (np.concatenate(out) if out else np.zeros((0, 2), np.int64)), todo, report
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding array, label).
-
-    Rows link if their labels are equal and not null, their vectors have the same length, and their cosine reaches the
-    threshold; equal vectors are found exactly, others through the graphs (see the recall test). Vectors that are null,
-    empty, zero or hold null or non-finite components link with nothing. A null vec_id links with nothing and has a null
-    component_id and kept. Repeated rows count as vectors of their own, also those of one vec_id with other vectors or
-    labels. Other columns are ignored.
+def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of edges that join what label keeps apart and close no circle, the labels with these edges)."""
+    keep, at = [], np.arange(len(a))
+    while True:
+        high, low = np.maximum(label[a[at]], label[b[at]]), np.minimum(label[a[at]], label[b[at]])
+        apart = high != low
+        at, high, low = at[apart], high[apart], low[apart]
+        if not len(at):
+            return np.concatenate(keep) if keep else at, label
+        # each of the higher labels goes to the least one it meets
+        by = np.lexsort((low, high))
+        by = by[np.concatenate(([True], high[by][1:] != high[by][:-1]))]
+        parent = np.arange(len(label))
+        parent[high[by]] = low[by]
+        keep.append(at[by])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
+def link_shards(graph: Graph, xa: np.ndarray, size_a: np.ndarray, other: tuple[np.ndarray, np.ndarray] | None, threshold: float, exact: bool = False):
+    """(links of each vertex, edges of a spanning forest, report) of two shards, or of one with itself (other: None).
+
+    Vertices are numbered through both shards. Links found from either end count once.
     """
+    same, n = other is None, len(xa)
+    xb, size_b = (xa, size_a) if same else other
+    shift = 0 if same else n
+    sizes = size_a if same else np.concatenate((size_a, size_b))
+    queries = graph.unit if same else unit_of(xb)
+    na, nb = np.sqrt((xa * xa).sum(1)), np.sqrt((xb * xb).sum(1))
+    sure = lambda i, j: (xb[i] * xa[j]).sum(1) / (nb[i] * na[j]) >= threshold
+    pairs, left, report = linked_pairs(graph, queries, same, threshold, exact)
+    whole = np.zeros(len(xb), dtype=bool)
+    whole[left] = True
+    if same:
+        # what the compared queries have is counted with them
+        pairs = pairs[(pairs[:, 0] != pairs[:, 1]) & ~whole[pairs[:, 1]]]
+        key = np.unique(pairs.min(1) * n + pairs.max(1))
+        pairs = np.stack((key // n, key % n), 1)
+    if len(pairs):
+        pairs = pairs[np.concatenate([sure(p[:, 0], p[:, 1]) for p in np.array_split(pairs, len(pairs) // 100_000 + 1)])]
+    i, j = pairs[:, 0] + shift, pairs[:, 1]
+    links = np.zeros(len(sizes))
+    links += np.bincount(i, weights=sizes[j], minlength=len(sizes)) + np.bincount(j, weights=sizes[i], minlength=len(sizes))
+    kept, label = _forest(i, j, np.arange(len(sizes)))
+    edges = [np.stack((i[kept], j[kept]), 1)]
+    limit = np.float32(threshold - SLACK)
+    for part in np.array_split(left, max(1, len(left) * n * 4 // MARKS + 1)):
+        r, c = np.nonzero(queries[part] @ graph.unit.T >= limit)
+        r = part[r]
+        for lo in range(0, len(r), 100_000):
+            i, j = r[lo : lo + 100_000], c[lo : lo + 100_000]
+            ok = sure(i, j) & ((i != j) if same else True)
+            i, j = i[ok], j[ok]
+            links += np.bincount(i + shift, weights=sizes[j], minlength=len(sizes))
+            back = ~whole[j] if same else np.ones(len(j), dtype=bool)
+            links += np.bincount(j[back], weights=sizes[i[back] + shift], minlength=len(sizes))
+            kept, label = _forest(i + shift, j, label)
+            edges.append(np.stack((i[kept] + shift, j[kept]), 1))
+    return links.astype(np.int64), np.concatenate(edges), report
+
+
+def _valid(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     e = F.col("embedding")
     ok = e.isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding"), "label")
-    good, rest = rows.where(F.coalesce(ok, F.lit(False))), rows.where(~F.coalesce(ok, F.lit(False)))
-    # equal vectors have cosine 1, above any threshold in use
+    return rows.where(F.coalesce(ok, F.lit(False))), rows.where(~F.coalesce(ok, F.lit(False)))
+
+
+def _classes(good: DataFrame) -> DataFrame:
+    """Equal vectors of a label as one row: their cosine is 1, above any threshold in use."""
     classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
-    # the table is written, so its rows keep these numbers; a vec_id may be in several classes
-    classes = classes.withColumn("class", F.monotonically_increasing_id())
-    sizes = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.ceil(F.count("*") / shard).alias("shards"))
-    dealt = classes.withColumn("dim", F.size("embedding")).join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("class"), "shards").cast("int"))
+    # written, and numbered in a second cut: a vec_id may be in several classes
+    return cut(classes.withColumn("class", F.monotonically_increasing_id()))
+
+
+def _links(classes: DataFrame, threshold: float, shard: int, exact: bool) -> DataFrame:
+    """Rows (a, b, n, audited, truth, found, compared): links of class a (b null), edges of forests (n = 0), and an audit for
+    each pair of shards (audited not null, a: a class of it)."""
+    dim = F.size("embedding").alias("dim")
+    sizes = classes.groupBy("label", dim).agg(F.count("*").alias("n"))
+    sizes = sizes.select("label", "dim", F.ceil(F.greatest(F.col("n") / shard, F.col("n") * F.col("dim") * 8 / SHARD_BYTES)).alias("shards"))
+    dealt = classes.withColumn("dim", dim).join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("class"), "shards").cast("int"))
     kind = dict(classes.dtypes)["label"]
 
     def build(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["rep", "class"])
         x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        scaled = x / np.abs(x).max(1, keepdims=True)
-        unit = (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
+        # powers of two change no digit, and keep squares in range
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
         side = io.BytesIO()
         np.savez(side, ids=rows["class"].to_numpy(), size=rows["size"].to_numpy(), x=x)
-        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "shards": [rows["shards"].iloc[0]], "graph": [Graph.build(unit).dump()], "side": [side.getvalue()]})
+        graph = b"" if exact else Graph.build(unit_of(x)).dump()
+        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "shards": [rows["shards"].iloc[0]], "graph": [graph], "side": [side.getvalue()]})
 
     index = cut(dealt.groupBy("label", "dim", "shard").applyInPandas(build, f"label {kind}, dim int, shard int, shards long, graph binary, side binary"))
-    # shard a meets a, a + 1, ... up to half way round, so that each unordered pair comes once and all shards get as many
+    # shard a is queried with a, a + 1, ... up to half way round, so that each unordered pair comes once and all shards get
+    # as many; graphs are sent once a piece of partners, vectors of the queries once a partner
     steps = F.sequence(F.lit(0), F.floor(F.col("shards") / 2).cast("int"))
-    half = (F.col("step") * 2 == F.col("shards")) & (F.col("a") * 2 >= F.col("shards"))
-    left = index.select("label", "dim", "shards", F.col("shard").alias("a"), F.explode(steps).alias("step"), F.col("graph").alias("graph_a"), F.col("side").alias("side_a")).where(~half)
-    left = left.withColumn("shard", ((F.col("a") + F.col("step")) % F.col("shards")).cast("int")).withColumn("piece", F.floor(F.col("step") / PARTNERS).cast("int"))
+    half = (F.col("step") * 2 == F.col("shards")) & (F.col("shard") * 2 >= F.col("shards"))
+    right = index.select("label", "dim", "shards", F.col("shard").alias("b"), F.explode(steps).alias("step"), F.col("side").alias("side_b"))
+    right = right.withColumn("shard", ((F.col("b") - F.col("step") + F.col("shards")) % F.col("shards")).cast("int")).where(~half)
+    right = right.withColumn("piece", F.floor(F.col("step") / PARTNERS).cast("int")).withColumn("side_b", F.when(F.col("step") > 0, F.col("side_b")))
     pieces = F.sequence(F.lit(0), F.floor(F.floor(F.col("shards") / 2) / PARTNERS).cast("int"))
-    right = index.select("label", "dim", "shard", F.explode(pieces).alias("piece"), F.col("graph").alias("graph_b"), F.col("side").alias("side_b"))
+    left = index.select("label", "dim", "shard", F.explode(pieces).alias("piece"), F.col("graph").alias("graph_a"), F.col("side").alias("side_a"))
 
     def link(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b, ga, sa, gb, sb = (batch.column(i)[k] for i in range(6))
-                graph, own = Graph.load(ga.as_buffer()), np.load(io.BytesIO(sa.as_buffer()))
-                same = a.as_py() == b.as_py()
-                other = own if same else np.load(io.BytesIO(sb.as_buffer()))
-                queries = graph.unit if same else Graph.load(gb.as_buffer()).unit
-                pairs = linked_pairs(graph, queries, same, threshold)
-                xa, xb = own["x"], other["x"]
-                na, nb = np.sqrt((xa * xa).sum(1)), np.sqrt((xb * xb).sum(1))
-                sure = np.concatenate([(xb[p[:, 0]] * xa[p[:, 1]]).sum(1) / (nb[p[:, 0]] * na[p[:, 1]]) >= threshold for p in np.array_split(pairs, max(1, len(pairs) // 100_000))]) if len(pairs) else np.zeros(0, bool)
-                pairs = pairs[sure]
-                shift = 0 if same else len(xa)
-                ids = own["ids"] if same else np.concatenate((own["ids"], other["ids"]))
-                sizes_ = own["size"] if same else np.concatenate((own["size"], other["size"]))
-                i, j = pairs[:, 0] + shift, pairs[:, 1]
-                n_links = np.bincount(i, weights=sizes_[j], minlength=len(ids)) + np.bincount(j, weights=sizes_[i], minlength=len(ids))
-                some = np.flatnonzero(n_links)
-                keep = _forest(i, j, len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[some], ids[i[keep]])), pa.int64()), pa.array([None] * len(some) + ids[j[keep]].tolist(), pa.int64()), pa.array(np.concatenate((n_links[some], np.zeros(len(keep)))).astype(np.int64), pa.int64())], ["a", "b", "n"])
-
-    found = cut(left.join(right, ["label", "dim", "shard", "piece"]).select("a", "shard", "graph_a", "side_a", "graph_b", "side_b").mapInArrow(link, "a long, b long, n long"))
+                ga, sa, sb = (batch.column(c)[k].as_buffer() for c in range(3))
+                own = np.load(io.BytesIO(sa))
+                xa, ids, size = own["x"], own["ids"], own["size"]
+                unit = unit_of(xa)
+                graph = Graph(unit, []) if exact else Graph.load(ga, unit)
+                other = None
+                if sb is not None:
+                    more = np.load(io.BytesIO(sb))
+                    other, ids = (more["x"], more["size"]), np.concatenate((ids, more["ids"]))
+                links, edges, report = link_shards(graph, xa, size, other, threshold, exact)
+                some = np.flatnonzero(links)
+                none = lambda n: pa.nulls(n, pa.int64())
+                columns = [
+                    pa.array(np.concatenate((ids[some], ids[edges[:, 0]], ids[:1])), pa.int64()),
+                    pa.concat_arrays([none(len(some)), pa.array(ids[edges[:, 1]], pa.int64()), none(1)]),
+                    pa.array(np.concatenate((links[some], np.zeros(len(edges) + 1, np.int64))), pa.int64()),
+                    *[pa.concat_arrays([none(len(some) + len(edges)), pa.array([v], pa.int64())]) for v in report],
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "audited", "truth", "found", "compared"])
+
+    met = left.join(right, ["label", "dim", "shard", "piece"]).select("graph_a", "side_a", "side_b")
+    return cut(met.mapInArrow(tidy(link), "a long, b long, n long, audited long, truth long, found long, compared long"))
+
+
+def recall(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
+    """(label, audited, true_links, found_links, recall, compared) for each label: queries that audits compared with all
+    vectors of a shard, their links, those of them that searches of the graphs alone found (recall: their share, null
+    without any link), and queries that no beam settled, which near_duplicates compares with all."""
+    classes = _classes(_valid(vectors)[0])
+    audits = _links(classes, threshold, shard, False).where("audited is not null").join(classes.select("class", "label"), F.col("a") == F.col("class"))
+    out = audits.groupBy("label").agg(F.sum("audited").alias("audited"), F.sum("truth").alias("true_links"), F.sum("found").alias("found_links"), F.sum("compared").alias("compared"))
+    return out.withColumn("recall", F.try_divide("found_links", "true_links"))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, exact: bool = False) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding array, label).
+
+    Rows link if their labels are equal and not null, their vectors have the same length, and their cosine reaches the
+    threshold; equal vectors are found exactly, others through the graphs (see `recall`), or with exact=True by products of
+    whole shards. Vectors that are null, empty, zero or hold null or non-finite components link with nothing. A null vec_id
+    links with nothing and has a null component_id and kept. Repeated rows count as vectors of their own, also those of one
+    vec_id with other vectors or labels. Magnitudes do not matter, however large or small. Other columns are ignored.
+    """
+    good, rest = _valid(vectors)
+    classes = _classes(good)
+    found = _links(classes, threshold, shard, exact)
     united = components(found.where("b is not null").select("a", "b"))
-    counts = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
+    counts = found.where("b is null and audited is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
     placed = cut(united.select(F.col("node").alias("class"), "component").join(classes.select("class", "rep"), "class"))
     names = cut(placed.groupBy("component").agg(F.min("rep").alias("name")))
     known = classes.join(counts, "class", "left").join(placed.join(names, "component").select("class", "name"), "class", "left")
