@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions import tiles
 from tidepanel.functions.windows import cascade, running, series
 
 ASSET_TYPES = ("EQUITY", "ETF", "TEFAS_FREE", "TEFAS_LIQUID")
@@ -31,6 +32,27 @@ def long_to_wide(df: DataFrame, key: str, column: str, value: str, columns: list
     return df.groupBy(key).pivot(column, columns).agg(F.max(value))
 
 
+def long_to_tiles(df: DataFrame, key: str, column: str, value: str, width: int = tiles.TILE) -> tuple[DataFrame, DataFrame]:
+    """(rows (key, tile, c0, c1, ...), names (column, tile, pos)): the wide shape for any number of columns.
+
+    A row holds `width` columns of one key; tile and pos say which, by the dictionary `names`. Of repeated cells the largest
+    value is taken, as in long_to_wide; rows with a null in `column` are left out. No list of columns reaches the driver.
+    """
+    x = df.where(F.col(column).isNotNull()).select(F.col(key).alias("k"), F.col(column).alias("symbol"), F.col(value).alias("v"))
+    names = tiles.numbered(x, width).drop("n_tiles")
+    cells = [F.max(F.when(F.col("pos") == c, F.col("v"))).alias(f"c{c}") for c in range(width)]
+    rows = x.join(names, "symbol").groupBy(F.col("k").alias(key), "tile").agg(*cells)
+    return rows, names.withColumnRenamed("symbol", column)
+
+
+def tiles_to_long(rows: DataFrame, names: DataFrame, key: str, column: str, value: str) -> DataFrame:
+    """(key, column, value) of what long_to_tiles made; missing cells are dropped."""
+    cells = [c for c in rows.columns if c not in (key, "tile")]
+    x = rows.unpivot([key, "tile"], cells, "_cell", value).where(F.col(value).isNotNull())
+    x = x.withColumn("pos", F.substring("_cell", 2, 9).cast("int"))
+    return x.join(names, ["tile", "pos"]).select(key, column, value)
+
+
 def align_panels(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer alignment of two panels on their keys."""
     return a.join(b, keys, "full")

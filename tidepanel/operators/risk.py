@@ -179,10 +179,13 @@ def cov_bounds(cov: DataFrame) -> DataFrame:
     return out.withColumns({"condition_bound": F.when(F.col("lower") > 0, F.col("upper") / F.col("lower")), "surely_definite": F.col("lower") > 0})
 
 
-def cov_condition(cov: DataFrame, floor: float = 1e-6, most: float = 1e4) -> DataFrame:
-    """The matrix with a shift on its diagonal so that the least eigenvalue and the condition number keep their limits."""
+def cov_condition(cov: DataFrame, floor: float = 1e-6, most: float = 1e4, bounds: DataFrame | None = None) -> DataFrame:
+    """The matrix with a shift on its diagonal so that the least eigenvalue and the condition number keep their limits.
+
+    bounds: one row (lower, upper), by default from row sums; those of spectrum.cov_spectrum give a smaller shift.
+    """
     eps = F.greatest(floor - F.col("lower"), (F.col("upper") - most * F.col("lower")) / (most - 1), F.lit(0.0))
-    shift = cov_bounds(cov).select(eps.alias("eps"))
+    shift = (cov_bounds(cov) if bounds is None else bounds).select(eps.alias("eps"))
     return cov.join(F.broadcast(shift)).select("sym_i", "sym_j", (F.col("cov") + F.when(F.col("sym_i") == F.col("sym_j"), F.col("eps")).otherwise(0.0)).alias("cov"), "eps")
 
 

@@ -35,8 +35,7 @@ RET = f"SELECT *, close / lag(close) OVER ({BY}) - 1 AS r, ln(close / lag(close)
 add("s05_watchlist", lambda v: ingest.watchlist_remove(ingest.watchlist_add(v("nation").where("n_regionkey < 2").select(F.col("n_name").alias("ticker")), v("nation").where("n_regionkey < 4").select(F.lower("n_name").alias("ticker"))), v("nation").where("n_nationkey % 5 = 0").select(F.col("n_name").alias("ticker"))), "", "SELECT upper(n_name) AS ticker FROM nation WHERE n_regionkey < 4 AND n_nationkey % 5 <> 0", "ticker")
 def wide_long(v):
     x = v("monthly_panel")
-    columns = [r[0] for r in x.select("symbol").distinct().orderBy("symbol").collect()]
-    return ingest.wide_to_long(ingest.long_to_wide(x, "date", "symbol", "close", columns), "date").select("date", F.col("symbol").cast("long").alias("symbol"), "close")
+    return ingest.tiles_to_long(*ingest.long_to_tiles(x, "date", "symbol", "close"), "date", "symbol", "close").select("date", F.col("symbol").cast("long").alias("symbol"), "close")
 
 
 add("s06_wide_long", wide_long, "monthly_panel", "SELECT date, CAST(symbol AS BIGINT) AS symbol, close FROM monthly_panel", "date symbol", "close", 8)
