@@ -46,6 +46,18 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(c)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: infinite or NaN where b is zero (the operator fails there in ANSI mode)."""
+    a, b = a.cast("double"), b.cast("double")
+    zero = F.when(F.isnan(a) | (a == 0), float("nan")).when(a > 0, float("inf")).otherwise(float("-inf"))
+    return F.when(b != 0, a / b).when((b == 0) & a.isNotNull(), zero)
+
+
+def ln(c: Column) -> Column:
+    """Natural logarithm as floating point has it: -infinite at zero, NaN below (the built-in one is null there)."""
+    return F.when(c > 0, F.log(c)).when(c == 0, float("-inf")).when(c < 0, float("nan"))
+
+
 def correlation(x: str, y: str) -> Column:
     """Aggregate Pearson correlation, null where one side does not vary (the built-in one fails there in ANSI mode)."""
     a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import tiles
-from tidepanel.functions.windows import cascade, clip, correlation, dates_indexed, finite, series
+from tidepanel.functions.windows import cascade, clip, correlation, dates_indexed, finite, ln, ratio, series
 from tidepanel.operators.ingest import INTRADAY, NAV
 
 YEAR = 252.0
@@ -17,8 +17,8 @@ DECAY, UP, DOWN = 0.94, 0.8, 1.2
 
 
 def log_returns(df: DataFrame, price: str = "close", ts: str = "date", key: str = "symbol") -> DataFrame:
-    """ln(P_t / P_t-1) per symbol; the first row has none and goes."""
-    out = df.withColumn("ret", F.log(F.col(price) / F.lag(price).over(series(key, ts))))
+    """ln(P_t / P_t-1) per symbol; the first row has none and goes. A price of zero gives -infinite and then infinite returns."""
+    out = df.withColumn("ret", ln(ratio(F.col(price), F.lag(price).over(series(key, ts)))))
     return out.where("ret is not null")
 
 
