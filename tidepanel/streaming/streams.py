@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ def _watch(key: tuple, signal: tuple | None, row: Row) -> tuple[tuple | None, li
     if signal is None:
         return None, []
     stop, atr, before = signal
-    change = row.price / before - 1
-    if row.price <= stop or change <= -max(1.8 * atr / before, 0.04):
+    # as floating point has it: nothing falls from a price of zero
+    change = row.price / before - 1 if before else math.copysign(math.inf, row.price) if row.price else math.nan
+    if row.price <= stop or (before and change <= -max(1.8 * atr / before, 0.04)):
         return signal, [(key[0], row.ts, row.price, change, "STOP" if row.price <= stop else "GAP")]
     return signal, []
 
@@ -58,7 +61,7 @@ def stream_temporal_lock(events: DataFrame, snapshot, nav, ts: str = "ts") -> tu
 def _decide(key: tuple, state: tuple | None, row: Row) -> tuple[tuple, list[tuple]]:
     code, before, held, prev = state or (0, row.p_success, -1, None)
     held, p = held + 1, row.p_success
-    drop = prev is not None and row.close / prev - 1 <= -max(1.8 * row.atr / prev, 0.04)
+    drop = bool(prev) and row.close / prev - 1 <= -max(1.8 * row.atr / prev, 0.04)
     if drop or p < 0.40 or (p < 0.45 and held >= 20):
         code = -1
     elif p >= 0.52:
