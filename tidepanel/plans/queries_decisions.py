@@ -296,20 +296,31 @@ def written_signals(v) -> DataFrame:
 add("s04_append_signals", written_signals, "signals", f"WITH {ST} SELECT symbol, date, code FROM st", "symbol date code")
 
 
-def replay(v, source: DataFrame, build, files: int = 1, order: str | None = None, mode: str = "append") -> DataFrame:
-    """Rows that a streaming query makes of a bounded source: written as files, read as a stream, all available at once."""
+def replay(v, source: DataFrame, build, files: int | None = None, order: str | None = None, mode: str = "append") -> DataFrame:
+    """Rows that a streaming query makes of a bounded source: written as files, read as a stream, all available at once.
+
+    Every task writes its own files. With an order they come in `files` steps of time, and the stream runs once for each.
+    """
     path = folder(v)
-    if order:
-        # one file after the other, as a feed would bring them: the stream takes files by their age
-        at = source.select(F.percentile_approx(F.unix_date(F.to_date(order)), F.array(*[F.lit(k / files) for k in range(1, files)])).alias("q"))
-        part = F.size(F.filter("q", lambda q: q < F.unix_date(F.to_date(order))))
-        placed = source.join(F.broadcast(at)).withColumn("_part", part).drop("q")
-        for k in range(files):
-            placed.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{path}/in")
-    else:
-        source.repartition(files).write.parquet(f"{path}/in")
-    stream = v.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1 if order else 1000).parquet(f"{path}/in")
-    return written(v, build(stream), path, mode)
+    if not order:
+        source.write.parquet(f"{path}/in")
+        stream = v.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}/in")
+        return written(v, build(stream), path, mode)
+    at = source.select(F.percentile_approx(F.unix_date(F.to_date(order)), F.array(*[F.lit(k / files) for k in range(1, files)])).alias("q"))
+    part = F.size(F.filter("q", lambda q: q < F.unix_date(F.to_date(order))))
+    return fed(v, source.join(F.broadcast(at)).withColumn("_part", part).drop("q"), "_part", range(files), build, path, mode)
+
+
+def fed(v, placed: DataFrame, part: str, steps, build, path: str, mode: str = "append") -> DataFrame:
+    """What a stream makes of rows that a feed brings step by step: dealt into folders once, then one run a step."""
+    schema = placed.drop(part).schema
+    placed.write.partitionBy(part).parquet(f"{path}/placed")
+    out, result, dealt = None, None, v.spark.read.schema(placed.schema).parquet(f"{path}/placed")
+    for k in steps:
+        dealt.where(F.col(part) == k).drop(part).write.mode("append").parquet(f"{path}/in")
+        out = out or build(v.spark.readStream.schema(schema).parquet(f"{path}/in"))
+        result = written(v, out, path, mode)
+    return result
 
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -359,9 +370,13 @@ add("st02_stream_bars", bars, "", "SELECT user_id AS symbol, time_bucket(INTERVA
 def lock_stream(v) -> DataFrame:
     src = v("daily_bars").select("symbol", "asset_type", "date")
     cut = (F.lit("1997-06-30").cast("date"), F.lit("1997-06-29").cast("date"))
-    kept = replay(v, src, lambda s: streams.stream_temporal_lock(s, *cut, ts="date")[0]).withColumn("kept", F.lit(True))
-    gone = replay(v, src, lambda s: streams.stream_temporal_lock(s, *cut, ts="date")[1]).withColumn("kept", F.lit(False))
-    return kept.unionByName(gone)
+    path = folder(v)
+    src.write.parquet(f"{path}/in")
+    sides = []
+    for k in range(2):
+        stream = v.spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}/in")
+        sides.append(written(v, streams.stream_temporal_lock(stream, *cut, ts="date")[k], f"{path}/{k}").withColumn("kept", F.lit(k == 0)))
+    return sides[0].unionByName(sides[1])
 
 
 add("st03_stream_temporal_lock", lock_stream, "daily_bars", "SELECT symbol, asset_type, date, date <= CASE WHEN asset_type IN ('TEFAS_FREE', 'TEFAS_LIQUID') THEN DATE '1997-06-29' ELSE DATE '1997-06-30' END AS kept FROM daily_bars", "symbol asset_type date kept")
@@ -371,15 +386,10 @@ def late_signals(v) -> DataFrame:
     """Daily decisions of a feed that brings a third of its rows a batch late, and one row far ahead that ends the wait."""
     x = v("signals").select(F.col("symbol").cast("long").alias("symbol"), "date", "close", "atr", "p_success")
     x = closing(x, "date", {"symbol": F.lit(-1), "date": F.lit("2100-01-01")})
-    path = folder(v)
-    # a file a year; of each year a third comes with the next one
+    # a step a year; of each year a third comes with the next one
     batch = F.least(F.year("date") + F.when((F.col("symbol") > -1) & (F.hash("symbol", "date") % 3 == 0), 1).otherwise(0), F.lit(2100))
-    placed = x.withColumn("_part", batch)
     first, last = x.where("symbol > -1").agg(F.min(F.year("date")), F.max(F.year("date"))).first()
-    for k in [*range(first, last + 2), 2100]:
-        placed.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(f"{path}/in")
-    stream = v.spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
-    return written(v, streams.stream_eod_state(stream, "800 days"), path)
+    return fed(v, x.withColumn("_part", batch), "_part", [*range(first, last + 2), 2100], lambda s: streams.stream_eod_state(s, "800 days"), folder(v))
 
 
 add("st04_stream_eod_state", late_signals, "signals", f"WITH {ST} SELECT symbol, date, code, days_held, p_prev FROM st", "symbol date code days_held", "p_prev")

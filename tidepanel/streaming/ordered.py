@@ -15,7 +15,8 @@ MICROS = "_micros"
 
 
 class InOrder(StatefulProcessor):
-    """Keeps rows in a list state and the result so far in a value state; a timer per time of a row wakes it up."""
+    """Keeps rows in a list state and the result so far in a value state; a timer at the
+    earliest row that waits wakes it up. The store is asked a few times a key and batch, not for each row."""
 
     def __init__(self, step: Step, rows: StructType, state: str, order: list[str], out: list[str]):
         self.step, self.rows, self.state, self.order, self.out = step, rows, state, order, Row(*out)
@@ -26,23 +27,25 @@ class InOrder(StatefulProcessor):
         self.last = handle.getValueState("last", self.state)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        times = set()
-        for row in rows:
-            self.open.appendValue(tuple(row))
-            times.add(row[MICROS] // 1000)
-        for t in times:
-            self.handle.registerTimer(t)
+        rows = list(rows)
+        self.open.appendList([tuple(r) for r in rows])
+        self.handle.registerTimer(min(r[MICROS] // 1000 for r in rows))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         upto = timerValues.getCurrentWatermarkInMs()
         names = self.rows.names
+        at = names.index(MICROS)
         held = [Row(*names)(*r) for r in self.open.get()] if self.open.exists() else []
         due = sorted((r for r in held if r[MICROS] // 1000 <= upto), key=lambda r: tuple(r[c] for c in self.order))
         if not due:
             return
         wait = [tuple(r) for r in held if r[MICROS] // 1000 > upto]
-        self.open.put(wait) if wait else self.open.clear()
+        if wait:
+            self.open.put(wait)
+            self.handle.registerTimer(min(r[at] // 1000 for r in wait))
+        else:
+            self.open.clear()
         state = self.last.get() if self.last.exists() else None
         state = None if state is None else tuple(state)
         for row in due:
