@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions import softrank
 from tidepanel.functions.windows import average_rank, cascade, clip, correlation, cross_section, dates_indexed, series
 
 
@@ -113,7 +114,7 @@ def soft_ndcg_loss(df: DataFrame, tau: float = 0.05, eta: float = 1.0) -> DataFr
     Soft ranks are sums of logistics of clamped differences of standardised scores at temperature tau, at least LEAST_TAU.
     Relevance runs from 0 to 5 by the place of the actual (ties by symbol), in both directions; gains near rank 1 are boosted.
     Added are a logistic of the scores of crashed assets, a penalty on the spread of scores and one on dominance.
-    The sum over the pairs of a date is left to a join on the date: its rows grow with the square of a date's assets.
+    The sums over the pairs of a date are those of functions/softrank.py, whose work grows with a date's assets.
     """
     w, tau = cross_section(), max(tau, LEAST_TAU)
     z = (F.col("score") - F.avg("score").over(w)) / (F.stddev_pop("score").over(w) + 1e-5)
@@ -121,10 +122,8 @@ def soft_ndcg_loss(df: DataFrame, tau: float = 0.05, eta: float = 1.0) -> DataFr
     share = (_place("actual", up=True) - 1) / F.greatest(n - 1, F.lit(1))
     top = F.exp(F.col("score") - F.max("score").over(w))
     x = df.select("date", "symbol", "score", z.alias("z"), share.alias("share"), (F.col("actual") <= -0.90).alias("crashed"), top.alias("_e"), n.alias("n"))
-    a, b = x.select("date", "symbol", F.col("z").alias("zi")), x.select("date", F.col("z").alias("zj"))
-    d = clip((F.col("zj") - F.col("zi")) / tau, -CLAMP, CLAMP)
     # an asset meets itself with a half; what a logistic lacks to 1 is that of the other direction
-    soft = a.join(b, "date").groupBy("date", "symbol").agg((F.sum(1 / (1 + F.exp(-d))) + 0.5).alias("soft"))
+    soft = softrank.logistic_sums(x.select("date", "symbol", "z"), tau, CLAMP).select("date", "symbol", (F.col("total") + 0.5).alias("soft"))
     x = x.join(soft, ["date", "symbol"]).withColumn("reverse", F.col("n") + 1 - F.col("soft"))
     parts = []
     for rank, grade, name in (("soft", 5 * F.col("share"), "up"), ("reverse", 5 * (1 - F.col("share")), "down")):
