@@ -69,6 +69,9 @@ FROM fundamentals f JOIN (SELECT symbol, CAST(date_trunc('quarter', date) AS DAT
 
 NEEDS = {"company": ["daily_bars", "fundamentals"], "monthly_panel": ["daily_bars"], "label_spans": ["daily_bars"], "panel_returns": ["monthly_panel"], "predictions": ["panel_returns"], "weights": ["panel_returns"], "signals": ["monthly_panel"]}
 
+#: Column by which the base table of a view is dealt before its groups are made, and rows of a task.
+CLUSTERED, TASK_ROWS = {"daily_bars": "l_suppkey"}, 500_000
+
 
 def ordered(names: list[str]) -> list[str]:
     """The views and what they need, each after its inputs."""
@@ -95,6 +98,12 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, column: str) -> DataFrame:
+    """df with the rows of a value together, about TASK_ROWS in a task: groups and windows by the column need no other shuffle, and
+    a task's tables grow neither with the files nor with what fits into a shuffle block of well compressed rows."""
+    return df.repartition(max(-(-df.count() // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), column)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A canonical table; Spark SQL over the base tables, which are named as DataFrame arguments."""
     sql, frames = VIEWS[name], {}
@@ -103,5 +112,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in [*BASE, *VIEWS]:
         if re.search(rf"\b(FROM|JOIN) {t}\b", sql):
             frames[t] = base(spark, sf_dir, t) if t in BASE else view(spark, sf_dir, t)
+            if name in CLUSTERED and t in BASE:
+                frames[t] = dealt(frames[t], CLUSTERED[name])
             sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **frames)
