@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.functions.cuts import cut
 from tidepanel.operators import crosssec, decisions, evaluation, fundamentals, labels, micro, ml, pit, risk, technical
 from tidepanel.plans.queries_data import ADV, FWD, PEN, labelled
 from tidepanel.plans.registry import Tables, add
@@ -84,7 +85,8 @@ add("m05_macro_regime", lambda v: micro.macro_regime(macro_facts(v)), "monthly_p
 
 # -- decisions ------------------------------------------------------------------------------------------------------
 def fusion_facts(v) -> DataFrame:
-    c = v("company")
+    # written once: each of the scores and their medians would make the table anew
+    c = cut(v("company"))
     out = c.select("ticker", "as_of", "sector", "price", "volume")
     for name, scored in (("pe", fundamentals.pe_score(c)), ("pb", fundamentals.pb_score(c)), ("ebitda", fundamentals.ebitda_score(c)), ("ev", fundamentals.ev_score(c)), ("roe", fundamentals.roe_score(c).withColumn("dn", F.col("double_negative"))), ("liquidity", fundamentals.liquidity_score(c))):
         extra = {"roe": [F.col("double_negative")], "liquidity": [F.col("distress")]}.get(name, [])
