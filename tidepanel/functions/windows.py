@@ -31,6 +31,11 @@ def rolled(fn, col: str | Column, n: int, at_least: int = 1, key="symbol", order
     return F.when(F.count(c).over(w) >= at_least, fn(c).over(w))
 
 
+def longer(sums: str, n: int, times: int, key="symbol", order="date") -> Column:
+    """Sum of the last n * times rows from a column of sums of the last n, null where one of these is."""
+    return sum((F.lag(sums, n * k).over(series(key, order)) for k in range(1, times)), F.col(sums))
+
+
 def clip(c: Column, low: float | None = None, high: float | None = None) -> Column:
     """Bounded values; null stays null (least and greatest would skip it)."""
     out = c

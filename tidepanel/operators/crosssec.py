@@ -39,18 +39,24 @@ def pct_rank_avg(df: DataFrame, column: str, date: str = "date", pieces: int = 1
     return df.withColumn("pct_rank", F.when(n <= 1, 0.5).otherwise(F.round((r - 1) / (n - 1), 4)))
 
 
-def class_zscore(df: DataFrame, columns: list[str], date: str = "date", is_target: bool = False) -> DataFrame:
-    """z per date and class (ddof 0), clipped to +-3; single members unchanged; a flat class gives 0, for a target the
-    difference from its mean."""
+def class_zscores(df: DataFrame, columns: list[str], targets: list[str], date: str = "date") -> DataFrame:
+    """class_zscore of columns and of targets in one pass; mean and deviation of each are asked for once."""
     w = cross_section(date, "asset_type")
-    n = F.count("*").over(w)
+    both = [*columns, *targets]
+    x = df.withColumns({"_n": F.count("*").over(w), **{f"_m_{c}": F.avg(c).over(w) for c in both}, **{f"_s_{c}": F.stddev_pop(c).over(w) for c in both}})
+    x = x.withColumns({f"_z_{c}": F.when(F.col(f"_s_{c}") > 1e-7, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")) for c in both})
 
     def z(c: str) -> Column:
-        m, s = F.avg(c).over(w), F.stddev_pop(c).over(w)
-        flat = (F.col(c) - m) if is_target else F.lit(0.0)
-        return F.when(n <= 1, F.col(c)).when(s <= 1e-7, flat).otherwise(clip((F.col(c) - m) / s, -3, 3))
+        flat = (F.col(c) - F.col(f"_m_{c}")) if c in targets else F.lit(0.0)
+        return F.when(F.col("_n") <= 1, F.col(c)).when(F.col(f"_s_{c}") <= 1e-7, flat).otherwise(clip(F.col(f"_z_{c}"), -3, 3))
+
+    return x.withColumns({c: z(c) for c in both}).select(*df.columns)
 
-    return df.withColumns({c: z(c) for c in columns})
+
+def class_zscore(df: DataFrame, columns: list[str], date: str = "date", is_target: bool = False) -> DataFrame:
+    """z per date and class (ddof 0), clipped to +-3; single members unchanged; a flat class gives 0, for a target the
+    difference from its mean."""
+    return class_zscores(df, *([[], columns] if is_target else [columns, []]), date)
 
 
 def date_zscore(df: DataFrame, column: str, date: str = "date") -> DataFrame:

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import wide
-from tidepanel.functions.windows import average_rank, clip, cross_section, dates_indexed, last_rows, rolled, series
+from tidepanel.functions.windows import average_rank, clip, cross_section, dates_indexed, last_rows, longer, series
 from tidepanel.operators.ingest import NAV
 
 
@@ -82,48 +82,73 @@ def clean_features(df: DataFrame, columns=FACTORS, skip_dates: int = 5) -> DataF
     return x.withColumns({c: clean(F.col(c)) for c in columns}).withColumn("last3", F.array("lag_2", "lag_1", "ret_1")).drop("idx")
 
 
+def _steps(n: int) -> dict[str, Column]:
+    """Return of a row and the closes that the target of H6 looks ahead to."""
+    w = series()
+    lead = lambda k: F.lead("close", k).over(w)
+    return {"_r": F.col("close") / F.lag("close").over(w) - 1, "_next": lead(1), "_later": lead(n), "_later_next": lead(n + 1)}
+
+
+def _deviation(n: int) -> dict[str, Column]:
+    return {"_k": F.count("_r").over(last_rows(n)), "_dev": F.stddev_samp("_r").over(last_rows(n))}
+
+
+def _target(n: int) -> Column:
+    vol = F.coalesce(F.when(F.col("_k") >= n, F.col("_dev")), F.lit(0.01)) + 1e-5
+    ahead = lambda now, later: (F.col(later) - F.col(now)) / (F.col(now) + 1e-5)
+    return F.when(F.col("asset_type").isin(*NAV), ahead("_next", "_later_next")).otherwise(ahead("close", "_later")) / vol
+
+
+HELPERS = ("_r", "_next", "_later", "_later_next", "_k", "_dev", "_mean", "_pv", "_v", "_full", "_pv_short", "_v_short", "_pv_long", "_v_long")
+
+
+def _histories(df: DataFrame, short: int, long: int) -> DataFrame:
+    """df with what H1, H3, H5 and H6 take from the history of a symbol, and their helpers: windows over one sort, each window
+    function once; sums over the long span are made of those over the short one where it is a multiple."""
+    w, near, far = series(), last_rows(short), last_rows(long)
+    pv, v = (F.col("close") * F.col("volume"), F.col("volume")) if "volume" in df.columns else (F.col("close"), F.lit(1.0))
+    x = df.withColumns({"ret_21d": F.col("close") / F.lag("close", short).over(w) - 1, **_steps(short), "_pv": pv, "_v": v})
+    x = x.withColumns({**_deviation(short), "_mean": F.avg("_r").over(near), "_full": F.count("_pv").over(near), "_pv_short": F.sum("_pv").over(near), "_v_short": F.sum("_v").over(near)})
+    x = x.withColumns({c: F.when(F.col("_full") >= short, F.col(c)) for c in ("_pv_short", "_v_short")})
+    over = lambda c: longer(f"{c}_short", short, long // short) if long % short == 0 else F.when(F.count("_pv").over(far) >= long, F.sum(c).over(far))
+    x = x.withColumns({"_pv_long": over("_pv"), "_v_long": over("_v")})
+    sharpe = F.when(F.col("_k") >= short, F.col("_mean") / (F.col("_dev") + 1e-5) * math.sqrt(252.0))
+    return x.withColumns({"sharpe_momentum": sharpe, "vwap_ratio": F.col("_pv_short") / F.col("_v_short") / (F.col("_pv_long") / F.col("_v_long")) - 1})
+
+
+def _against_medians(x: DataFrame, sector: str | None = None) -> DataFrame:
+    median = lambda *keys: F.percentile("ret_21d", 0.5).over(Window.partitionBy(*keys))
+    x = x.withColumn("macro_spread", median("date"))
+    return x.withColumn("rs_sector", F.col("ret_21d") - (median("date", sector) if sector else F.col("macro_spread")))
+
+
 def horizon_factors(df: DataFrame, short: int = 21, long: int = 63, sector: str | None = None) -> DataFrame:
     """H1 to H5: 21-row return, strength against the median of the date (of its sector, if a sector column is named), Sharpe
     momentum, ratio of volume-weighted means (of plain means, where df has no volume), the median of the date."""
-    w = series()
-    x = df.withColumns({"ret_21d": F.col("close") / F.lag("close", short).over(w) - 1, "_r": F.col("close") / F.lag("close").over(w) - 1})
-    if "volume" in df.columns:
-        x = x.withColumn("_pv", F.col("close") * F.col("volume"))
-        mean = lambda n: rolled(F.sum, "_pv", n, n) / rolled(F.sum, "volume", n, n)
-    else:
-        mean = lambda n: rolled(F.avg, "close", n, n)
-    x = x.withColumns({"sharpe_momentum": rolled(F.avg, "_r", short, short) / (rolled(F.stddev_samp, "_r", short, short) + 1e-5) * math.sqrt(252.0), "vwap_ratio": mean(short) / mean(long) - 1})
-    x = date_median(x, "ret_21d", "macro_spread")
-    against = "macro_spread"
-    if sector:
-        against = "_median"
-        x = x.join(x.groupBy("date", sector).agg(F.percentile("ret_21d", 0.5).alias(against)), ["date", sector])
-    return x.withColumn("rs_sector", F.col("ret_21d") - F.col(against)).drop("_r", "_pv", "_median")
+    return _against_medians(_histories(df, short, long).drop(*HELPERS), sector)
 
 
 def risk_adjusted_target(df: DataFrame, n: int = 21) -> DataFrame:
     """H6: return over the next 21 rows, one row later for NAV classes, divided by the 21-row deviation."""
-    w = series()
-    x = df.withColumn("_r", F.col("close") / F.lag("close").over(w) - 1)
-    vol = F.coalesce(rolled(F.stddev_samp, "_r", n, n), F.lit(0.01)) + 1e-5
-    now, later = F.col("close"), F.lead("close", n).over(w)
-    now1, later1 = F.lead("close", 1).over(w), F.lead("close", n + 1).over(w)
-    target = F.when(F.col("asset_type").isin(*NAV), (later1 - now1) / (now1 + 1e-5)).otherwise((later - now) / (now + 1e-5))
-    return x.withColumn("target", target / vol).drop("_r")
+    return df.withColumns(_steps(n)).withColumns(_deviation(n)).withColumn("target", _target(n)).drop(*HELPERS)
 
 
 HORIZON = ("ret_21d", "rs_sector", "sharpe_momentum", "vwap_ratio", "macro_spread")
 
 
-def rolling_dataset(df: DataFrame, warmup: int = 63, tail: int = 22) -> DataFrame:
-    """H7: horizon factors and target, z-scored per date and class, without the warm-up and the tail of the calendar."""
-    from tidepanel.operators.crosssec import class_zscore
+def rolling_dataset(df: DataFrame, warmup: int = 63, tail: int = 22, calendar: DataFrame | None = None) -> DataFrame:
+    """H7: horizon factors and target, z-scored per date and class, without the warm-up and the tail of the calendar.
+
+    calendar: the dates of df, repeated or not, where they are at hand in a form that costs less than df itself. All windows by
+    symbol come first, then rows are dealt and sorted by date and class once: medians and z-scores are windows over that.
+    """
+    from tidepanel.operators.crosssec import class_zscores
 
-    x = risk_adjusted_target(horizon_factors(df)).fillna(0.0, [*HORIZON, "target"])
-    x = class_zscore(class_zscore(x, list(HORIZON)), ["target"], is_target=True)
-    idx = dates_indexed(x)
-    last = idx.agg(F.max("idx").alias("_last"))
-    return x.join(idx.join(last).where((F.col("idx") >= warmup) & (F.col("idx") <= F.col("_last") - tail)).select("date"), "date")
+    idx = dates_indexed(df if calendar is None else calendar)
+    kept = idx.withColumn("_last", F.max("idx").over(Window.partitionBy())).where((F.col("idx") >= warmup) & (F.col("idx") <= F.col("_last") - tail)).select("date")
+    x = _histories(df, 21, 63).withColumn("target", _target(21)).drop(*HELPERS)
+    x = x.join(kept, "date", "left_semi").repartition("date").sortWithinPartitions("date", "asset_type")
+    return class_zscores(_against_medians(x).fillna(0.0, [*HORIZON, "target"]), list(HORIZON), ["target"])
 
 
 def clipped(c: Column) -> Column:

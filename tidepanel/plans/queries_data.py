@@ -205,7 +205,7 @@ add("h02_h04_sector_strength", lambda v: factors.horizon_factors(v("daily_bars")
 TG = f"tg AS (SELECT symbol, date, asset_type, CASE WHEN {NAV} THEN (lead(close, 22) OVER ({BY}) - lead(close, 1) OVER ({BY})) / (lead(close, 1) OVER ({BY}) + 1e-5) ELSE (lead(close, 21) OVER ({BY}) - close) / (close + 1e-5) END / (coalesce({full('stddev_samp(r)', 'r', 21, 21)}, 0.01) + 1e-5) AS target FROM (SELECT *, close / lag(close) OVER ({BY}) - 1 AS r FROM daily_bars) b)"
 add("h06_risk_adjusted_target", lambda v: factors.risk_adjusted_target(v("daily_bars")), "daily_bars", f"WITH {TG} SELECT * FROM tg", "symbol date", "target", 3)
 CZ = "CASE WHEN n = 1 THEN {c} WHEN {s} <= 1e-7 THEN {f} ELSE least(3, greatest(-3, ({c} - {m}) / {s})) END AS {c}"
-add("h07_rolling_dataset", lambda v: factors.rolling_dataset(v("daily_bars")), "daily_bars", f"""WITH {HZ}, {TG}, j AS (SELECT hx.symbol, hx.date, hx.asset_type, coalesce(ret_21d, 0) AS ret_21d, coalesce(rs_sector, 0) AS rs_sector, coalesce(sharpe_momentum, 0) AS sharpe_momentum, coalesce(vwap_ratio, 0) AS vwap_ratio, coalesce(target, 0) AS target FROM hx JOIN tg ON tg.symbol = hx.symbol AND tg.date = hx.date),
+add("h07_rolling_dataset", lambda v: factors.rolling_dataset(v("daily_bars"), calendar=v("lineitem").select(F.col("l_shipdate").cast("date").alias("date"))), "daily_bars", f"""WITH {HZ}, {TG}, j AS (SELECT hx.symbol, hx.date, hx.asset_type, coalesce(ret_21d, 0) AS ret_21d, coalesce(rs_sector, 0) AS rs_sector, coalesce(sharpe_momentum, 0) AS sharpe_momentum, coalesce(vwap_ratio, 0) AS vwap_ratio, coalesce(target, 0) AS target FROM hx JOIN tg ON tg.symbol = hx.symbol AND tg.date = hx.date),
 k AS (SELECT *, count(*) OVER w AS n, {', '.join(f'avg({c}) OVER w AS m_{c}, stddev_pop({c}) OVER w AS s_{c}' for c in ('ret_21d', 'rs_sector', 'sharpe_momentum', 'vwap_ratio', 'target'))} FROM j WINDOW w AS (PARTITION BY date, asset_type)),
 ix AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () - 1 AS top FROM (SELECT DISTINCT date FROM daily_bars) d)
 SELECT symbol, date, {', '.join(CZ.format(c=c, s=f's_{c}', m=f'm_{c}', f='0' if c != 'target' else f'{c} - m_{c}') for c in ('ret_21d', 'rs_sector', 'sharpe_momentum', 'vwap_ratio', 'target'))} FROM k JOIN ix USING (date) WHERE i >= 63 AND i <= top - 22""", "symbol date", "ret_21d rs_sector sharpe_momentum vwap_ratio target", 3)
