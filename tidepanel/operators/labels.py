@@ -19,24 +19,29 @@ def barrier_label(df: DataFrame, column: str = "fwd", up: float = 0.075, down: f
 def path_barrier_outcome(cards: DataFrame, bars: DataFrame) -> DataFrame:
     """Outcome of cards (card_id, symbol, issue_date, due_date, target, stop): the target counts before the stop.
 
-    Days are covered by aligned blocks of 1, 2, 4, ... days, for which highest high and lowest low are known; a card meets at
-    most two blocks of each length, so its joined rows grow with the logarithm of the days that it is open.
+    A card open for 2^k to 2^(k+1) - 1 days meets two or three aligned blocks of 2^k days: it takes the extremes from its first
+    day to the end of the one, those from the start of the other to its last day, and those of all of a block between. These are
+    running extremes of the bars of a block, forwards and backwards, in which cards are rows as well. Bars are repeated for the
+    lengths k of their symbol's cards. All of it stays where the symbol is: tables that are dealt by symbol into the same number
+    of tasks are not shuffled again.
     """
-    days = F.datediff("due_date", "issue_date") + 1
-    opened = cards.withColumns({"_from": F.datediff("issue_date", F.lit("1970-01-01").cast("date")), "_days": F.greatest(days, F.lit(0))})
-    opened = opened.withColumn("_bits", F.when(F.col("_days") > 0, F.ceil(F.log2(F.col("_days") + 1.0))).otherwise(0).cast("int"))
-    longest = opened.agg(F.coalesce(F.max("_bits"), F.lit(0)).alias("_most"))
-    levels = lambda upto: F.explode(F.sequence(F.lit(0), upto))
-    b = bars.select("symbol", F.datediff("date", F.lit("1970-01-01").cast("date")).alias("_day"), "high", "low").join(F.broadcast(longest))
-    b = b.select("symbol", levels(F.col("_most")).alias("_level"), "_day", "high", "low")
-    blocks = b.groupBy("symbol", "_level", F.expr("shiftright(_day, _level)").alias("_block")).agg(F.max("high").alias("high"), F.min("low").alias("low"))
-    # at each level: first block that starts inside, first one that does not end inside
-    first, end = F.expr("-shiftright(-_from, _level)"), F.expr("shiftright(_from + _days, _level)")
-    met = opened.withColumn("_level", levels(F.col("_bits"))).withColumns({"_first": first, "_end": end})
-    inside = F.col("_first") < F.col("_end")
-    cover = F.array_compact(F.array(F.when(inside & (F.col("_first") % 2 != 0), F.col("_first")), F.when(inside & (F.col("_end") % 2 != 0), F.col("_end") - 1)))
-    met = met.withColumn("_block", F.explode_outer(cover)).join(blocks, ["symbol", "_level", "_block"], "left")
-    out = met.groupBy("card_id", "symbol", "target", "stop").agg(F.max("high").alias("max_price"), F.min("low").alias("min_price"))
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    opened = cards.withColumns({"_from": day("issue_date"), "_to": day("due_date")})
+    opened = opened.withColumn("_level", F.when(F.col("_to") >= F.col("_from"), F.length(F.bin(F.col("_to") - F.col("_from") + 1)) - 1))
+    paths = bars.where("symbol is not null and date is not null").select("symbol", day("date").alias("_from"), "high", "low", F.lit(False).alias("_card"))
+    both = paths.unionByName(opened.select("card_id", "symbol", "target", "stop", "_from", "_to", "_level", F.lit(True).alias("_card")), allowMissingColumns=True)
+    x = both.withColumn("_levels", F.collect_set("_level").over(Window.partitionBy("symbol")))
+    x = x.withColumn("_level", F.explode_outer(F.when(F.col("_card"), F.array("_level")).otherwise(F.col("_levels")))).where("_card or _level is not null")
+    # direction, block and place in the direction; a card comes after the bar of its day
+    at = lambda back, block, place: F.struct(F.lit(back).alias("back"), block.alias("block"), place.alias("place"))
+    block = lambda c: F.expr(f"shiftright({c}, _level)")
+    between = F.when(block("_to") - block("_from") == 2, at(False, block("_from") + 1, F.expr("shiftleft(shiftright(_from, _level) + 2, _level) - 1")))
+    first = at(True, block("_from"), -F.col("_from"))
+    met = F.when(F.col("_card"), F.array(first, at(False, block("_to"), F.col("_to")), between)).otherwise(F.array(first, at(False, block("_from"), F.col("_from"))))
+    x = x.withColumn("_at", F.explode(met)).where("_at is not null").select("card_id", "symbol", "target", "stop", "high", "low", "_card", "_level", "_at.*")
+    w = Window.partitionBy("symbol", "_level", "back", "block").orderBy("place", "_card").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"high": F.max("high").over(w), "low": F.min("low").over(w)}).where("_card")
+    out = x.groupBy("card_id", "symbol", "target", "stop").agg(F.max("high").alias("max_price"), F.min("low").alias("min_price"))
     return out.withColumn("outcome", cascade((F.coalesce(F.col("max_price") >= F.col("target"), F.lit(False)), "SUCCESS"), (F.coalesce(F.col("min_price") <= F.col("stop"), F.lit(False)), "FAILURE"), otherwise="EXPIRED"))
 
 

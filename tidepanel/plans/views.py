@@ -98,10 +98,19 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(df: DataFrame) -> int:
+    return max(-(-df.count() // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+
+
 def dealt(df: DataFrame, column: str) -> DataFrame:
     """df with the rows of a value together, about TASK_ROWS in a task: groups and windows by the column need no other shuffle, and
     a task's tables grow neither with the files nor with what fits into a shuffle block of well compressed rows."""
-    return df.repartition(max(-(-df.count() // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), column)
+    return df.repartition(tasks(df), column)
+
+
+def dealt_as_bars(df: DataFrame, sf_dir: str, column: str) -> DataFrame:
+    """df with the rows of a symbol in the task that has its daily bars (same number of tasks, same type of key)."""
+    return df.repartition(tasks(base(df.sparkSession, sf_dir, "lineitem")), column)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
