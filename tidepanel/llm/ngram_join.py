@@ -2,12 +2,16 @@
 
 A document is its set of 4-word shingles (64-bit hashes). The global order puts rare shingles first, by the counts of a
 table of fixed size over the whole corpus, ties by hash. Two sets with Jaccard similarity t share a shingle in the first
-(1 - t) of each, so only those prefixes travel to propose pairs; identical sets are one vertex from the start. The sets
-in some pair are cut into fragments of the global order, which lie in rows and tasks of their own: the overlap of a pair
-is counted in each fragment separately and summed per pair. The rarest fragment goes first, and pairs that cannot reach
-the threshold any more are given up before the others travel. Long posting lists propose stars first; a second round
-then compares what is still in different components, so that nothing is lost and a group of near copies never becomes
-all its pairs. Lists are split into salted pieces, so no task holds a whole long one.
+(1 - t) of each, so only those prefixes travel to propose pairs; identical sets are one vertex from the start. Pairs whose
+sketches (parities of the hashes, about a bit a shingle) differ in more bits than linked sets can differ in shingles are
+given up before any text travels. The sets in some pair that is left are cut into fragments of the global order, which
+lie in rows and tasks of their own: the overlap of a pair is counted in each fragment separately and summed per pair. The
+rarest fragment goes first, and pairs that cannot reach the threshold any more are given up before the others travel.
+
+There are three rounds. The first takes one pair for each set, that of the likest other one, and the second what is left of the
+pairs between different components. Long posting lists propose stars only; the third round compares those of their members
+that are still in different components, so that nothing is lost and a group of near copies never becomes all its pairs.
+Lists are split into salted pieces, so no task holds a whole long one.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ CHUNKS = 32
 FRAGMENTS = 4
 #: Bits of the filter that keeps texts which are surely not wanted out of a shuffle; it may be full, but never drops any.
 FILTER_BITS = 1 << 25
+#: Bits of the largest sketch; sets of many more shingles are hardly told apart by it, and counted.
+SKETCH_BITS = 1 << 13
 #: Posting lists up to this length propose all their pairs at once.
 SHORT_LIST = 8
 #: Members that a piece of a long list has on average at most, and a block of the second round.
@@ -71,8 +77,31 @@ def set_ids(d: np.ndarray, h: np.ndarray, n: int):
     return size, np.where(size > 0, ids, -1)
 
 
+def sketches(d: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Each text's sketch: the parity of the number of its shingles at each of 2^k bits, at least as many as shingles (64 to
+    SKETCH_BITS). Every shingle that one of two sets has alone changes one bit. Empty sets have an empty sketch."""
+    bits = np.where(size > 0, np.clip(2 ** np.ceil(np.log2(np.maximum(size, 1))), 64, SKETCH_BITS), 0).astype(np.int64)
+    start = np.concatenate(([0], np.cumsum(bits)))
+    odd = np.zeros(start[-1], dtype=np.uint8)
+    np.add.at(odd, start[d] + (mix(h) & (bits[d] - 1).astype(np.uint64)).astype(np.int64), 1)
+    packed = np.packbits(odd & 1, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((start // 8).astype(np.int32)), pa.py_buffer(packed)])
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded to the length of the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, bits = int.from_bytes(x, "little"), 8 * len(x)
+    while bits > 8 * len(y):
+        bits //= 2
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
 def _counts(docs: DataFrame, shingle: int) -> tuple[DataFrame, bytes]:
-    """(doc_id, set_id, n) of every row, and the level of each cell of the count table (8 MB)."""
+    """(doc_id, set_id, n, sketch) of every row, and the level of each cell of the count table (8 MB)."""
+    names = ["doc_id", "set_id", "n", "sketch", "chunk", "cells"]
 
     def run(batches):
         cells = np.zeros(CELLS, dtype=np.uint32)
@@ -80,12 +109,12 @@ def _counts(docs: DataFrame, shingle: int) -> tuple[DataFrame, bytes]:
             d, h = shingle_sets(batch.column(1).to_pylist(), shingle)
             size, ids = set_ids(d, h, batch.num_rows)
             np.add.at(cells, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], ["doc_id", "set_id", "n", "chunk", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(size, pa.int64()), sketches(d, h, size), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
         step = CELLS // CHUNKS
         rows = [(k, zlib.compress(cells[k * step : (k + 1) * step].tobytes(), 1)) for k in range(CHUNKS) if cells[k * step : (k + 1) * step].any()]
         if rows:
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k for k, _ in rows], pa.int32()), pa.array([z for _, z in rows], pa.binary())], ["doc_id", "set_id", "n", "chunk", "cells"])
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(rows), pa.binary()), pa.array([k for k, _ in rows], pa.int32()), pa.array([z for _, z in rows], pa.binary())], names)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -96,13 +125,13 @@ def _counts(docs: DataFrame, shingle: int) -> tuple[DataFrame, bytes]:
         for k, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(255, 4 * np.log2(own + 1.0)).astype(np.uint8).tobytes()], pa.binary())], ["chunk", "cells"])
 
-    out = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, set_id long, n long, chunk int, cells binary"))
+    out = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, set_id long, n long, sketch binary, chunk int, cells binary"))
     chunks = out.where("chunk is not null").select("chunk", "cells").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, cells binary").collect()
     step = CELLS // CHUNKS
     level = np.zeros(CELLS, dtype=np.uint8)
     for r in chunks:
         level[r.chunk * step : (r.chunk + 1) * step] = np.frombuffer(bytes(r.cells), dtype=np.uint8)
-    return out.where("chunk is null").select("doc_id", "set_id", "n"), level.tobytes()
+    return out.where("chunk is null").select("doc_id", "set_id", "n", "sketch"), level.tobytes()
 
 
 def _ranks(h: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -270,7 +299,7 @@ def _slot(ids: np.ndarray) -> np.ndarray:
 
 
 def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id, text) whose doc_id may be among ids: a filter of fixed size is gathered and sent."""
+    """Rows of docs whose first column, an id, may be among ids: a filter of fixed size is gathered and sent."""
     step = FILTER_BITS // CHUNKS
 
     def mark(batches):
@@ -304,6 +333,24 @@ def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.mapInArrow(keep, docs.schema)
 
 
+def _near(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """(a, b, apart) of the pairs that can reach the threshold by their sketches (set_id, n, sketch): sets that differ in k bits
+    differ in k shingles at least. apart: the share of those in the shingles of both."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+            apart = np.fromiter(map(bits_apart, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, batch.num_rows)
+            both = (na + nb - apart) // 2
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart / (na + nb))], ["a", "b", "apart"])
+            yield out.filter(pa.array(100 * both >= percent * (na + nb - both)))
+
+    left = sketched.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    right = sketched.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    met = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return met.select("a", "b", "na", "nb", "x", "y").mapInArrow(tidy(run), "a long, b long, apart double")
+
+
 def _fragments(docs: DataFrame, shingle: int, levels, fragments: int) -> DataFrame:
     """(set_id, n, fragment int, shingles array<long>): a row for each fragment of the global order of the set of each row
     of docs (set_id, text); rows whose text has another set (a repeated doc_id) are left out."""
@@ -333,8 +380,8 @@ def _counted(pairs: DataFrame, parts: DataFrame, fragments: range) -> DataFrame:
     fragments, counted in each fragment by itself and summed over them."""
     pairs = pairs.select("a", "b", F.explode(F.array(*[F.lit(k) for k in fragments])).alias("fragment"))
     parts = parts.where(F.col("fragment").between(fragments[0], fragments[-1]))
-    left = parts.select(F.col("set_id").alias("a"), "fragment", F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = parts.select(F.col("set_id").alias("b"), "fragment", F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    # columns of their own on both sides: Spark then shuffles parts once for the two joins
+    left, right = (parts.select(F.col("set_id").alias(x), (F.col("fragment") + 0).alias("fragment"), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
     met = pairs.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
     met = met.select("a", "b", "fragment", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"), F.size("sa").alias("ka"), F.size("sb").alias("kb"))
     # a set may come twice, from two spellings under one doc_id
@@ -369,22 +416,37 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(24, math.ceil(total * (100 - percent) / 100 * 28 / prefix_bucket_bytes))
     proposed = cut(_prefixes(docs, levels, percent, buckets, shingle).groupBy("bucket").applyInPandas(_propose(percent), "a long, b long, shingle long, n int, place int"))
-    pairs = cut(proposed.where("b >= 0").select("a", "b").distinct())
+    met = cut(proposed.where("b >= 0").select("a", "b").distinct())
     lists = proposed.where("b < 0").select("a", "shingle", "n", "place")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(lists.select(F.col("a").alias("set_id"))).distinct()
+    wanted = met.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(lists.select(F.col("a").alias("set_id"))).distinct()
+    sketched = cut(_maybe(sets.where("n > 0").select("set_id", "n", "sketch"), wanted).distinct())
     classes = sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    chosen = cut(classes.where("rep is not null").join(wanted, "set_id").select("set_id", (F.col("rep") + 0).alias("rep")))
-    texts = _maybe(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen.select("rep"))
-    # a repeated doc_id brings all its texts; those with another set go in _fragments
-    texts = texts.join(chosen, F.col("doc_id") == F.col("rep")).select("rep", "set_id", "text").dropDuplicates()
-    parts = cut(_fragments(texts, shingle, levels, fragments))
-    first = components(cut(_verified(pairs, parts, percent, fragments)))
-    placed = lists.join(first.select(F.col("node").alias("a"), "component"), "a", "left").select("shingle", "a", "n", "place", F.coalesce("component", "a").alias("component"))
-    crossed = cut(_crossing(placed, percent).join(pairs, ["a", "b"], "left_anti"))
-    joined = first
-    if not crossed.isEmpty():
-        more = cut(_verified(crossed, parts, percent, fragments))
-        joined = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    def linked_pairs(pairs: DataFrame) -> DataFrame:
+        chosen = classes.where("rep is not null").join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id")
+        chosen = cut(chosen.select("set_id", (F.col("rep") + 0).alias("rep")))
+        texts = _maybe(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen.select("rep"))
+        # a repeated doc_id brings all its texts; those with another set go in _fragments
+        texts = texts.join(chosen, F.col("doc_id") == F.col("rep")).select("rep", "set_id", "text").dropDuplicates()
+        return cut(_verified(pairs, cut(_fragments(texts, shingle, levels, fragments)), percent, fragments))
+
+    pairs = cut(_near(met, sketched, percent))
+    likest = cut(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
+    joined = components(linked_pairs(likest))
+
+    def with_component(rows: DataFrame, of: str) -> DataFrame:
+        known = joined.select(F.col("node").alias(of), F.col("component").alias("found"))
+        return rows.join(known, of, "left").withColumn(f"component_{of}", F.coalesce("found", of)).drop("found")
+
+    def join_more(more: DataFrame) -> DataFrame:
+        if more.isEmpty():
+            return joined
+        return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked_pairs(more)))
+
+    others = with_component(with_component(pairs.join(likest, ["a", "b"], "left_anti"), "a"), "b")
+    joined = join_more(cut(others.where("component_a <> component_b").select("a", "b")))
+    placed = with_component(lists, "a").withColumnRenamed("component_a", "component")
+    joined = join_more(cut(_near(_crossing(placed, percent).join(met, ["a", "b"], "left_anti"), sketched, percent).select("a", "b")))
     # names of the linked sets, then of all; both sides of each join are tables, so that Spark can split a large component
     linked = cut(joined.join(classes.withColumnRenamed("set_id", "node"), "node").select(F.col("node").alias("set_id"), "component", "rep"))
     least = cut(linked.groupBy("component").agg(F.min("rep").alias("name")))
