@@ -23,8 +23,9 @@ def log_returns(df: DataFrame, price: str = "close", ts: str = "date", key: str
 
 
 def daily_close(df: DataFrame, price: str = "price", ts: str = "ts") -> DataFrame:
-    """Last price of each symbol and day."""
-    return df.groupBy("symbol", "asset_type", F.to_date(ts).alias("date")).agg(F.max_by(price, ts).alias("close"))
+    """Last price of each symbol and day; rows without one do not count. (symbol, ts) is a key."""
+    there = F.when(F.col(price).isNotNull(), F.col(ts))
+    return df.groupBy("symbol", "asset_type", F.to_date(ts).alias("date")).agg(F.max_by(price, there).alias("close"))
 
 
 def daily_close_returns(df: DataFrame) -> DataFrame:

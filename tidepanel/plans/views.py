@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -70,7 +71,11 @@ FROM fundamentals f JOIN (SELECT symbol, CAST(date_trunc('quarter', date) AS DAT
 NEEDS = {"company": ["daily_bars", "fundamentals"], "monthly_panel": ["daily_bars"], "label_spans": ["daily_bars"], "panel_returns": ["monthly_panel"], "predictions": ["panel_returns"], "weights": ["panel_returns"], "signals": ["monthly_panel"]}
 
 #: Column by which the base table of a view is dealt before its groups are made, and rows of a task.
-CLUSTERED, TASK_ROWS = {"daily_bars": "l_suppkey"}, 500_000
+CLUSTERED, TASK_ROWS = {"daily_bars": "l_suppkey", "intraday_bars": "user_id"}, 500_000
+
+#: max_by as DuckDB has it: of rows that tie the first one of the table counts, and rows without a value do not (Spark's takes the last
+#: one that it meets, null or not). By view: key, order and value of its base table, and what Spark is asked for instead.
+TIES = {"intraday_bars": ("user_id", "ts", "value", "max_by(value, ts)", "max_by(at_tie, CASE WHEN at_tie IS NOT NULL THEN ts END)")}
 
 
 def ordered(names: list[str]) -> list[str]:
@@ -108,6 +113,14 @@ def dealt(df: DataFrame, column: str) -> DataFrame:
     return df.repartition(tasks(df), column)
 
 
+def settled(df: DataFrame, column: str, key: str, order: str, value: str) -> DataFrame:
+    """df, a table as it is read, dealt by column, with at_tie: of the rows of a key at one place of the order the first value, in the
+    order of the table's files and rows. Rows that tie then say the same, in whatever order they meet."""
+    tie = Window.partitionBy(key, order).orderBy("_file", "_row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = dealt(df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")), column)
+    return x.withColumn("at_tie", F.first(value, ignorenulls=True).over(tie)).drop("_file", "_row")
+
+
 def dealt_as_bars(df: DataFrame, sf_dir: str, column: str) -> DataFrame:
     """df with the rows of a symbol in the task that has its daily bars (same number of tasks, same type of key)."""
     return df.repartition(tasks(base(df.sparkSession, sf_dir, "lineitem")), column)
@@ -121,7 +134,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in [*BASE, *VIEWS]:
         if re.search(rf"\b(FROM|JOIN) {t}\b", sql):
             frames[t] = base(spark, sf_dir, t) if t in BASE else view(spark, sf_dir, t)
-            if name in CLUSTERED and t in BASE:
+            if name in TIES and t in BASE:
+                *by, said, asked = TIES[name]
+                frames[t], sql = settled(frames[t], CLUSTERED[name], *by), sql.replace(said, asked)
+            elif name in CLUSTERED and t in BASE:
                 frames[t] = dealt(frames[t], CLUSTERED[name])
             sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **frames)
